@@ -1,25 +1,33 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Tokens are hashed word shingles, globally ordered by their hash, so that a document's prefix is its
-smallest hashes and only prefixes, about a tenth of all shingles, have to be counted. A token in few
-prefixes is indexed alone (class 1); frequent ones only as pairs (class 2) or triples (class 3) of
-the same group. A set x that links with y lacks at most ``tau(x)`` of its tokens in y; removing e
-tokens from a group of p class-k tokens leaves a k-combination unless e >= p - k + 1. So a prefix
-extended until the sum of max(0, p - k + 1) over its groups reaches tau + 1 shares at least one
-combination with every partner, whatever the classes are: no link is lost.
+Tokens are hashed word shingles. A set x that links with y lacks at most ``tau(x)`` of its tokens in
+y, so it is enough to index a part of each set with more than tau tokens. Sizes are cut into bands
+such that two sets that link are in the same or in neighbouring bands; each set is indexed under its
+own band and the next, and a band fixes which tokens count: those with a hash below the band's share
+of the hash range (its pool, at least about twice tau).
+
+Tokens in few pools are class 1 and indexed alone; frequent ones come after all of class 1 and only
+as pairs (class 2) or triples (class 3) within a group. Removing e tokens from a group of p class-k
+tokens leaves a k-combination unless e >= p - k + 1. So a prefix - class 1 by hash, then the others
+by hash - that is extended until the sum of max(0, p - k + 1) reaches tau + 1 shares at least one
+signature with every partner, and text that many documents share proposes no pairs unless documents
+consist of little else.
 
 Equal sets are collapsed first and keep one representative. Each signature then proposes the pairs of
 one leader with its members; verified links are contracted to components, another leader is drawn,
 and what is left - pairs of members of different components - is compared exhaustively. A large group
 of near copies so costs about its size, not its square, and no link between different texts is lost
-to the components.
+to the components. Proposed pairs are first compared by 128 one-byte minima of the hashes (a pair that
+links differs in more than half of them with a probability below 1e-25), then by their whole sets.
 
-Hashes have 64 bits (sets: 128); Jaccard is exact up to collisions of those.
+Hashes have 64 bits; results are exact up to collisions of those and chance events as rare.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, components, forget, mix, rows_out, store, table
+from convoylake.llm.common import column_bytes, components, mix, rows_out, store, table
 
-#: A token in at most so many prefixes is class 1; in more than FREQUENT of them class 3.
-RARE, FREQUENT = 12, 400
+#: A token in at most so many pools is class 1; in more than FREQUENT of them class 3.
+RARE, FREQUENT = 6, 300
 #: Star rounds before the exhaustive comparison of what is left, at most.
 ROUNDS = 4
+#: Bytes of a sketch.
+SKETCH = 128
 _WORDS: dict[bytes, int] = {}
 
 
@@ -41,13 +51,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; the cache is emptied at 500,000 words."""
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    new = {w: xxhash.xxh3_64_intdigest(w) for w in set(words) if w not in _WORDS} if len(words) < 50 else None
-    if new is None:
-        for w in words:
-            if w not in _WORDS:
-                _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    else:
-        _WORDS.update(new)
+    for w in words:
+        if w not in _WORDS:
+            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
@@ -69,42 +75,81 @@ def loss(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def schemes(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(scheme, groups of class 2, groups of class 3) of a set of ``n``: by the power of two of its size, and of its smallest partner's."""
-    low = (-(-percent * n // 100)).bit_length() - 1
-    return [(b, max(1, (1 << b) // 80), max(1, (1 << b) // 40)) for b in range(low, n.bit_length())]
+
+@cache
+def bounds(percent: int) -> tuple[int, ...]:
+    """Lower ends of the size bands; sets that link are in one band or in neighbours."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, -(-out[-1] * 100 // percent)))
+    return tuple(out)
+
+
+def band(n: int, percent: int) -> int:
+    return bisect_right(bounds(percent), n) - 1
+
+
+@cache
+def pool_end(b: int, percent: int) -> int:
+    """Hashes below this count in band ``b``: all for small sets, else a share that holds tau tokens and half as many more but for chances below 1e-9."""
+    low = bounds(percent)[max(0, b - 1)]
+    lost = (100 - percent) / 100
+    share = 1.6 * lost + 4.5 * (lost / low) ** 0.5 + 10 / low
+    return (1 << 64) - 1 if share >= 1 else int(share * (1 << 64))
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Length of the longest extended prefix of a set of ``n``."""
-    return min(n, loss(n, percent) + 1 + max(g2 + 2 * g3 for _, g2, g3 in schemes(n, percent)))
+@cache
+def group_counts(b: int, percent: int) -> tuple[int, int]:
+    """Groups of class 2 and of class 3 in band ``b``: some 16 and 8 tokens of a prefix each."""
+    tau = loss(bounds(percent)[b], percent)
+    return max(1, tau // 16), max(1, tau // 8)
 
 
-def signatures(n: int, percent: int, tokens: list[tuple[int, int, int]]) -> Iterator[int]:
-    """Signed 64-bit signatures of a set of ``n`` from its shared prefix tokens (position, token, class), by position."""
+def signatures(n: int, percent: int, sizes: tuple[int, int], tokens: list[tuple[int, int, int]]) -> Iterator[int]:
+    """Signed 64-bit signatures of a set of ``n``: from the sizes of its pools in its own and the next band, and its shared tokens (position by hash among all its tokens, hash, class) by position."""
     tau = loss(n, percent)
-    alone: set[int] = set()
-    for scheme, g2, g3 in schemes(n, percent):
-        groups: dict[tuple[int, int], list[int]] = {}
-        end = tau + 1
-        for pos, token, kind in tokens:
-            if pos >= end:
+    own = band(n, percent)
+    for b, size in zip((own, own + 1), sizes, strict=True):
+        top = pool_end(b, percent)
+        pool = [t for t in tokens if t[1] < top]
+        later = 0
+        for pos, token, kind in pool:
+            if kind != 1:
+                later += 1
+            elif pos - later > tau:
                 break
-            if kind == 1:
-                alone.add(token)
-                continue
-            held = groups.setdefault((kind, (token >> 8) % (g2 if kind == 2 else g3)), [])
-            if len(held) < kind - 1:
-                end += 1
-            held.append(token)
-        for (kind, _), held in groups.items():
-            for combo in combinations(sorted(held), kind):
-                yield xxhash.xxh3_64_intdigest(repr((scheme, combo)).encode()) - (1 << 63)
-    yield from alone
+            else:
+                yield xxhash.xxh3_64_intdigest(b"%d %d" % (b, token)) - (1 << 63)
+        frequent = [t for t in pool if t[2] != 1]
+        needed = tau + 1 - (size - len(frequent))
+        held: dict[tuple[int, int], list[int]] = {}
+        counts = group_counts(b, percent)
+        for _, token, kind in frequent:
+            if needed <= 0:
+                break
+            group = held.setdefault((kind, (token >> 8) % counts[kind - 2]), [])
+            needed -= len(group) >= kind - 1
+            group.append(token)
+        for (kind, _), group in held.items():
+            for combo in combinations(group, kind):
+                yield xxhash.xxh3_64_intdigest(b"%d " % b + repr(combo).encode()) - (1 << 63)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """For each of 128 parts of the hash range one byte of the smallest hash there; 0: none."""
+    out = np.zeros(SKETCH, np.uint8)
+    part = (s >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    out[part[first]] = s[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
 
 
-def _sets_schema() -> pa.Schema:
-    return pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+def similar(a: list[bytes], b: list[bytes], m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches of sets of sizes m and n differ in no more parts than sets that link can."""
+    if not len(a):
+        return np.zeros(0, bool)
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SKETCH) for v in (a, b))
+    return (x != y).sum(axis=1) <= np.minimum(SKETCH // 2, (100 - percent) * (m + n) // (100 + percent))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -113,48 +158,75 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Returns one row per input row: the id, ``n_shingles`` (set size), ``component_id`` (smallest id
     reachable by links, itself included) and ``class_id`` (smallest id with the same set). Null or
     empty texts have empty sets, link with nothing and are their own component. Rows with a null id
-    are returned with their set size and a null component, and take no part. Repeated ids count as
-    one document with several texts. Other columns are ignored. Empty input gives an empty result.
+    are returned with their set size and a null component, and take no part. A row that occurs
+    several times is returned as often; ids with different texts are not expected. Other columns are
+    ignored. Empty input gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
 
-    def sets(batches):
+    def describe(batches):
         def rows():
             for batch in batches:
                 for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
                     s = shingle_set(body, width)
                     n = len(s)
                     if n == 0:
-                        yield row, 0, None, None
+                        yield row, 0, None, None, None, None
                         continue
-                    # a set that small links with equal sets only, so it needs no prefix
-                    lone = row is None or loss(n, percent) == 0 and -(-percent * (n + 1) // 100) > n
-                    yield row, n, xxhash.xxh3_128_digest(s.tobytes()), None if lone else s[: prefix_length(n, percent)].view(np.int64)
+                    tops = np.array([pool_end(b + band(n, percent), percent) for b in (0, 1)], np.uint64)
+                    own, after = np.searchsorted(s, tops).tolist()
+                    yield row, n, xxhash.xxh3_128_digest(s.tobytes()), own, after, sketch(s)
 
-        return rows_out(_sets_schema())(rows())
+        return rows_out(pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("own", pa.int32()), ("after", pa.int32()), ("sketch", pa.binary())]))(rows())
 
-    every = store(docs.mapInArrow(sets, "row bigint, n bigint, key binary, prefix array<bigint>"))
+    def pools(batches):
+        def rows():
+            for batch in batches:
+                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
+                    s = shingle_set(body, width)
+                    n = len(s)
+                    # a set without room for a loss in either direction links with equal sets only
+                    if n and row is not None and (loss(n, percent) or -(-percent * (n + 1) // 100) <= n):
+                        top = max(pool_end(b + band(n, percent), percent) for b in (0, 1))
+                        yield row, xxhash.xxh3_128_digest(s.tobytes()), s[: int(np.searchsorted(s, np.uint64(top)))].view(np.int64)
+
+        return rows_out(pa.schema([("row", pa.int64()), ("key", pa.binary()), ("pool", pa.list_(pa.int64()))]), 1000)(rows())
+
+    every = store(docs.mapInArrow(describe, "row bigint, n bigint, key binary, own int, after int, sketch binary"))
     classes = store(every.where("key is not null and row is not null").groupBy("key").agg(F.min("row").alias("rep")))
-    reps = every.where("prefix is not null").join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep")).dropDuplicates(["key", "row"])
-    tokens = reps.select("rep", "key", "n", F.posexplode("prefix").alias("pos", "token"))
+    reps = docs.mapInArrow(pools, "row bigint, key binary, pool array<bigint>").join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep"))
+    tokens = reps.select("rep", F.posexplode("pool").alias("pos", "token"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     counted = counted.select("token", F.when(F.col("df") <= RARE, 1).when(F.col("df") <= FREQUENT, 2).otherwise(3).alias("kind"))
-    shared = tokens.join(counted, "token").groupBy("key").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.collect_list(F.struct("pos", "token", "kind")).alias("tokens"))
+    shared = tokens.join(counted, "token").groupBy("rep").agg(F.collect_set(F.struct("pos", "token", "kind")).alias("tokens"))
+    known = every.join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep")).select("rep", "n", "own", "after", "sketch").dropDuplicates(["rep"])
 
     def sign(batches):
         def rows():
             for batch in batches:
-                for rep, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    triples = sorted((t["pos"], t["token"], t["kind"]) for t in found)
-                    for sig in set(signatures(n, percent, triples)):
+                for rep, n, own, after, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    triples = sorted((t["pos"], t["token"] % (1 << 64), t["kind"]) for t in found)
+                    for sig in set(signatures(n, percent, (own, after), triples)):
                         yield sig, rep, n
 
         return rows_out(pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())]), 20_000)(rows())
 
-    signed = store(shared.select("rep", "n", "tokens").mapInArrow(sign, "sig bigint, rep bigint, n bigint"))
-    several = signed.groupBy("sig").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("sig")
-    open_sigs = store(signed.join(several, "sig").select("sig", "rep", "n", F.col("rep").alias("comp")))
-    forget(signed)
+    signed = shared.join(known, "rep").select("rep", "n", "own", "after", "tokens").mapInArrow(sign, "sig bigint, rep bigint, n bigint")
+    signed = store(signed.select("sig", "rep", "n", F.col("rep").alias("comp")))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The rows of signatures that have members in several components."""
+        apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+        return rows.join(apart, "sig")
+
+    def fits():
+        return F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)")
+
+    def alike(batches):
+        for batch in batches:
+            c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            keep = similar(c["sa"].to_pylist(), c["sb"].to_pylist(), c["m"].to_numpy(), c["n"].to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     def full(batches):
         def rows():
@@ -164,42 +236,36 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         return rows_out(pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))]), 500)(rows())
 
-    wanted = open_sigs.select(F.col("rep").alias("row")).distinct()
-    texts = store(docs.join(wanted, "row", "left_semi").mapInArrow(full, "rep bigint, tokens array<bigint>"))
-
     def verify(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link."""
-        a, b = (texts.select(F.col("rep").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        """Of distinct pairs (a, b), those that link: first by sketches, then by whole sets, which are read for what is left."""
+        a, b = (known.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("sketch").alias(s)) for r, n, s in (("a", "m", "sa"), ("b", "n", "sb")))
+        left = store(pairs.join(a, "a").join(b, "b").select("a", "b", "m", "n", "sa", "sb").mapInArrow(alike, "a bigint, b bigint"))
+        wanted = store(left.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        texts = store(docs.join(wanted, "row", "left_semi").mapInArrow(full, "rep bigint, tokens array<bigint>").dropDuplicates(["rep"]))
+        x, y = (texts.select(F.col("rep").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
         both = F.size(F.array_intersect("ta", "tb"))
-        return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-
-    def fits(m: str, n: str):
-        return F.expr(f"100 * least({m}, {n}) >= {percent} * greatest({m}, {n})")
+        return left.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
     found: DataFrame | None = None
+    open_sigs = store(still_open(signed))
     for step in range(ROUNDS):
         if open_sigs.isEmpty():
             break
         # one leader a signature, drawn anew in each round; members of its component need no comparison
-        leaders = open_sigs.groupBy("sig").agg(F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), F.col("rep").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("l")).select("sig", "l.a", "l.m", "l.c")
-        pairs = open_sigs.join(leaders, "sig").where("comp <> c").where(fits("n", "m")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        links = store(verify(pairs))
-        found = links if found is None else store(found.unionAll(links))
+        leaders = open_sigs.groupBy("sig").agg(F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), F.col("rep").alias("l"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("l")).select("sig", "l.l", "l.m", "l.c")
+        pairs = open_sigs.join(leaders, "sig").where("comp <> c").where(fits()).select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
+        links = verify(pairs)
+        found = store(links if found is None else found.unionAll(links))
         merged = components(found).withColumnsRenamed({"id": "rep", "component": "root"})
-        joined = open_sigs.drop("comp").join(merged, "rep", "left").select("sig", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-        apart = joined.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-        left = store(joined.join(apart, "sig"))
-        forget(open_sigs)
-        open_sigs = left
-        # stop once the rest is small: pairs within a signature that are still in different components
+        open_sigs = store(still_open(open_sigs.drop("comp").join(merged, "rep", "left").select("sig", "rep", "n", F.coalesce("root", "rep").alias("comp"))))
+        # stop once little is left: pairs within a signature that are still in different components
         sizes = open_sigs.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"), F.sum("k").alias("rows"))
         rest, rows = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
         if (rest or 0) <= 4 * (rows or 0):
             break
     if found is not None and not open_sigs.isEmpty():
         x, y = (open_sigs.select("sig", F.col("rep").alias(r), F.col("n").alias(n), F.col("comp").alias(c)) for r, n, c in (("a", "m", "ca"), ("b", "n", "cb")))
-        pairs = x.join(y, "sig").where("a < b and ca <> cb").where(fits("m", "n")).select("a", "b").distinct()
-        found = store(found.unionAll(verify(pairs)))
+        found = store(found.unionAll(verify(x.join(y, "sig").where("a < b and ca <> cb").where(fits()).select("a", "b").distinct())))
     out = every.join(classes, "key", "left").select("row", "n", "rep")
     if found is not None:
         out = out.join(components(found).withColumnsRenamed({"id": "rep", "component": "root"}), "rep", "left")
