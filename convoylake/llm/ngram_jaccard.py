@@ -6,16 +6,18 @@ such that two sets that link are in the same or in neighbouring bands; each set
 own band and the next, and a band fixes which tokens count: those with a hash below the band's share
 of the hash range (its pool, at least about twice tau).
 
-Tokens in few pools are class 1 and indexed alone; frequent ones come after all of class 1 and only
-as pairs (class 2) or triples (class 3) within a group. Removing e tokens from a group of p class-k
-tokens leaves a k-combination unless e >= p - k + 1. So a prefix - class 1 by hash, then the others
-by hash - that is extended until the sum of max(0, p - k + 1) reaches tau + 1 shares at least one
-signature with every partner, and text that many documents share proposes no pairs unless documents
-consist of little else.
+Tokens in few pools are rare and indexed alone: of a set with more than tau rare tokens in its pool, the
+first tau + 1 by hash, of another all of them. That finds every pair of which at least one set has enough
+rare tokens. Sets made of frequent tokens get their prefix extended to the whole set and are indexed by
+combinations: the hash range is cut into one cell more than two sets of the band that link can differ
+in tokens, and the k tokens of a cell make one signature, so such a pair has a cell in common. Text that
+many documents share thus proposes no pairs unless documents consist of little else. Tokens that no
+other document has count against every pair: a set with more than tau of them has no partner and is
+left out, and two sets with more than they can differ in are no pair.
 
 Equal sets are collapsed first and keep one representative. Each signature then proposes the pairs of
-one leader with its members; verified links are contracted to components, another leader is drawn,
-and what is left - pairs of members of different components - is compared exhaustively. A large group
+one leader (the member with most company in all its signatures) with its members; verified links are
+contracted to components, other leaders are drawn, and what is left - pairs of members of different components - is compared exhaustively. A large group
 of near copies so costs about its size, not its square, and no link between different texts is lost
 to the components. Proposed pairs are first compared by 128 one-byte minima of the hashes (a pair that
 links differs in more than half of them with a probability below 1e-25), then by their whole sets.
@@ -28,7 +30,6 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from convoylake.llm.common import column_bytes, components, mix, rows_out, store, table
 
-#: A token in at most so many pools is class 1; in more than FREQUENT of them class 3.
-RARE, FREQUENT = 6, 300
+#: A token in at most so many pools is rare.
+RARE = 6
 #: Star rounds before the exhaustive comparison of what is left, at most.
 ROUNDS = 4
 #: Bytes of a sketch.
@@ -99,40 +100,49 @@ def pool_end(b: int, percent: int) -> int:
 
 
 @cache
-def group_counts(b: int, percent: int) -> tuple[int, int]:
-    """Groups of class 2 and of class 3 in band ``b``: some 16 and 8 tokens of a prefix each."""
-    tau = loss(bounds(percent)[b], percent)
-    return max(1, tau // 16), max(1, tau // 8)
+def cell_count(b: int, percent: int) -> int:
+    """One more than the tokens that two sets indexed in band ``b`` can differ in and still link."""
+    return 2 * (bounds(percent)[b + 1] - 1) * (100 - percent) // (100 + percent) + 1
 
 
-def signatures(n: int, percent: int, sizes: tuple[int, int], tokens: list[tuple[int, int, int]]) -> Iterator[int]:
-    """Signed 64-bit signatures of a set of ``n``: from the sizes of its pools in its own and the next band, and its shared tokens (position by hash among all its tokens, hash, class) by position."""
+def rare_signatures(n: int, percent: int, sizes: tuple[int, int], tokens: list[tuple[int, int, bool]]) -> tuple[set[int], int, bool]:
+    """Signed 64-bit signatures of single rare tokens, the number of tokens known to be in no other set, and whether a pool held too few rare tokens.
+
+    From the sizes of the pools in the set's own and the next band, and its shared tokens (position by
+    hash among all its tokens, hash, rare) by position. What is below the next band's pool end counts
+    in every partner's pool, so tokens there that are not shared are its own.
+    """
     tau = loss(n, percent)
     own = band(n, percent)
+    alone = sizes[1] - sum(token < pool_end(own + 1, percent) for _, token, _ in tokens)
+    out: set[int] = set()
+    short = False
+    if alone > tau:
+        return out, alone, short
     for b, size in zip((own, own + 1), sizes, strict=True):
         top = pool_end(b, percent)
         pool = [t for t in tokens if t[1] < top]
-        later = 0
-        for pos, token, kind in pool:
-            if kind != 1:
-                later += 1
-            elif pos - later > tau:
-                break
-            else:
-                yield xxhash.xxh3_64_intdigest(b"%d %d" % (b, token)) - (1 << 63)
-        frequent = [t for t in pool if t[2] != 1]
-        needed = tau + 1 - (size - len(frequent))
-        held: dict[tuple[int, int], list[int]] = {}
-        counts = group_counts(b, percent)
-        for _, token, kind in frequent:
-            if needed <= 0:
-                break
-            group = held.setdefault((kind, (token >> 8) % counts[kind - 2]), [])
-            needed -= len(group) >= kind - 1
-            group.append(token)
-        for (kind, _), group in held.items():
-            for combo in combinations(group, kind):
-                yield xxhash.xxh3_64_intdigest(b"%d " % b + repr(combo).encode()) - (1 << 63)
+        frequent = sum(not rare for *_, rare in pool)
+        short |= size - frequent <= tau
+        passed = 0
+        for pos, token, rare in pool:
+            if not rare:
+                passed += 1
+            elif pos - passed <= tau:
+                out.add(xxhash.xxh3_64_intdigest(b"%d %d" % (b, token)) - (1 << 63))
+    return out, alone, short
+
+
+def cell_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of the token combinations in the cells of the hash range, in the set's own and the next band; an empty cell has one too."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
+    out = []
+    for b in (own := band(len(s), percent), own + 1):
+        cells = cell_count(b, percent)
+        step = (1 << 64) // cells
+        cuts = np.append(np.searchsorted(s, np.array([c * step for c in range(cells)], np.uint64)), len(s))
+        out.append(mix(mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.uint64(b)) + np.arange(cells, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(out).view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -197,22 +207,54 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reps = docs.mapInArrow(pools, "row bigint, key binary, pool array<bigint>").join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep"))
     tokens = reps.select("rep", F.posexplode("pool").alias("pos", "token"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counted = counted.select("token", F.when(F.col("df") <= RARE, 1).when(F.col("df") <= FREQUENT, 2).otherwise(3).alias("kind"))
-    shared = tokens.join(counted, "token").groupBy("rep").agg(F.collect_set(F.struct("pos", "token", "kind")).alias("tokens"))
+    counted = counted.select("token", (F.col("df") <= RARE).alias("rare"))
+    shared = tokens.join(counted, "token").groupBy("rep").agg(F.collect_set(F.struct("pos", "token", "rare")).alias("tokens"))
     known = every.join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep")).select("rep", "n", "own", "after", "sketch").dropDuplicates(["rep"])
 
     def sign(batches):
         def rows():
             for batch in batches:
                 for rep, n, own, after, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    triples = sorted((t["pos"], t["token"] % (1 << 64), t["kind"]) for t in found)
-                    for sig in set(signatures(n, percent, (own, after), triples)):
-                        yield sig, rep, n
+                    triples = sorted((t["pos"], t["token"] % (1 << 64), t["rare"]) for t in found)
+                    sigs, alone, short = rare_signatures(n, percent, (own, after), triples)
+                    for sig in sigs:
+                        yield sig, rep, n, alone
+                    if short:
+                        yield None, rep, n, alone
 
-        return rows_out(pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int64())]), 20_000)(rows())
+        return rows_out(sig_schema, 20_000)(rows())
 
-    signed = shared.join(known, "rep").select("rep", "n", "own", "after", "tokens").mapInArrow(sign, "sig bigint, rep bigint, n bigint")
-    signed = store(signed.select("sig", "rep", "n", F.col("rep").alias("comp")))
+    def sign_cells(batches):
+        def rows():
+            for batch in batches:
+                for rep, tokens, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    s = np.array(tokens, np.int64).view(np.uint64)
+                    for sig in set(cell_signatures(s, percent).tolist()):
+                        yield sig, rep, len(s), alone
+
+        return rows_out(sig_schema, 20_000)(rows())
+
+    def full(batches):
+        def rows():
+            for batch in batches:
+                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
+                    yield row, shingle_set(body, width).view(np.int64)
+
+        return rows_out(pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))]), 500)(rows())
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Whole sets of the wanted rows; their texts are read again, by a broadcast of the ids where Spark finds them few."""
+        return store(docs.join(wanted, "row", "left_semi").mapInArrow(full, "rep bigint, tokens array<bigint>").dropDuplicates(["rep"]))
+
+    sig_schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("alone", pa.int64())])
+    ddl = "sig bigint, rep bigint, n bigint, alone bigint"
+    signed = store(shared.join(known, "rep").select("rep", "n", "own", "after", "tokens").mapInArrow(sign, ddl))
+    frequent = sets_of(store(signed.where("sig is null").select(F.col("rep").alias("row"))))
+    single = frequent.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
+    single = single.groupBy("rep").agg(F.count("*").alias("alone"))
+    lost = F.size("tokens") - F.ceil(percent * F.size("tokens") / F.lit(100))
+    celled = frequent.join(single, "rep", "left").select("rep", "tokens", F.coalesce("alone", F.lit(0).cast("bigint")).alias("alone")).where(F.col("alone") <= lost)
+    signed = store(signed.where("sig is not null").unionByName(celled.mapInArrow(sign_cells, ddl)).withColumn("comp", F.col("rep")))
 
     def still_open(rows: DataFrame) -> DataFrame:
         """The rows of signatures that have members in several components."""
@@ -220,7 +262,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return rows.join(apart, "sig")
 
     def fits():
-        return F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)")
+        """Sizes that allow for a link, and no more tokens of their own than two sets that link can differ in."""
+        return F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n) and ({100 + percent}) * (own + alone) <= {100 - percent} * (m + n)")
 
     def alike(batches):
         for batch in batches:
@@ -228,44 +271,46 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             keep = similar(c["sa"].to_pylist(), c["sb"].to_pylist(), c["m"].to_numpy(), c["n"].to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(keep))
 
-    def full(batches):
-        def rows():
-            for batch in batches:
-                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
-                    yield row, shingle_set(body, width).view(np.int64)
-
-        return rows_out(pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))]), 500)(rows())
-
     def verify(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that link: first by sketches, then by whole sets, which are read for what is left."""
         a, b = (known.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("sketch").alias(s)) for r, n, s in (("a", "m", "sa"), ("b", "n", "sb")))
         left = store(pairs.join(a, "a").join(b, "b").select("a", "b", "m", "n", "sa", "sb").mapInArrow(alike, "a bigint, b bigint"))
         wanted = store(left.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-        texts = store(docs.join(wanted, "row", "left_semi").mapInArrow(full, "rep bigint, tokens array<bigint>").dropDuplicates(["rep"]))
+        texts = sets_of(wanted)
         x, y = (texts.select(F.col("rep").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
         both = F.size(F.array_intersect("ta", "tb"))
         return left.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
+    def left_over(rows: DataFrame) -> tuple[int, int]:
+        """Pairs within a signature that are in different components, and rows."""
+        sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"), F.sum("k").alias("rows"))
+        pairs, n = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
+        return int(pairs or 0), n or 0
+
     found: DataFrame | None = None
     open_sigs = store(still_open(signed))
+    before = None
     for step in range(ROUNDS):
-        if open_sigs.isEmpty():
-            break
+        rest, n_rows = left_over(open_sigs)
+        if rest <= 4 * n_rows or before is not None and rest > 0.8 * before:
+            break  # little is left to compare, or another leader would not help
+        before = rest
         # one leader a signature, drawn anew in each round; members of its component need no comparison
-        leaders = open_sigs.groupBy("sig").agg(F.min(F.struct(F.xxhash64("rep", F.lit(step)).alias("h"), F.col("rep").alias("l"), F.col("n").alias("m"), F.col("comp").alias("c"))).alias("l")).select("sig", "l.l", "l.m", "l.c")
+        if step:
+            drawn = open_sigs.withColumn("draw", F.xxhash64("rep", F.lit(step)))
+        else:
+            company = open_sigs.join(open_sigs.groupBy("sig").agg(F.count("*").alias("k")), "sig").groupBy("rep").agg(F.sum("k").alias("draw"))
+            drawn = open_sigs.join(company, "rep")
+        leaders = drawn.groupBy("sig").agg(F.max(F.struct("draw", F.col("rep").alias("l"), F.col("n").alias("m"), F.col("alone").alias("own"), F.col("comp").alias("c"))).alias("l")).select("sig", "l.l", "l.m", "l.own", "l.c")
         pairs = open_sigs.join(leaders, "sig").where("comp <> c").where(fits()).select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
         links = verify(pairs)
         found = store(links if found is None else found.unionAll(links))
         merged = components(found).withColumnsRenamed({"id": "rep", "component": "root"})
-        open_sigs = store(still_open(open_sigs.drop("comp").join(merged, "rep", "left").select("sig", "rep", "n", F.coalesce("root", "rep").alias("comp"))))
-        # stop once little is left: pairs within a signature that are still in different components
-        sizes = open_sigs.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"), F.sum("k").alias("rows"))
-        rest, rows = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
-        if (rest or 0) <= 4 * (rows or 0):
-            break
-    if found is not None and not open_sigs.isEmpty():
-        x, y = (open_sigs.select("sig", F.col("rep").alias(r), F.col("n").alias(n), F.col("comp").alias(c)) for r, n, c in (("a", "m", "ca"), ("b", "n", "cb")))
-        found = store(found.unionAll(verify(x.join(y, "sig").where("a < b and ca <> cb").where(fits()).select("a", "b").distinct())))
+        open_sigs = store(still_open(open_sigs.drop("comp").join(merged, "rep", "left").select("sig", "rep", "n", "alone", F.coalesce("root", "rep").alias("comp"))))
+    if not open_sigs.isEmpty():
+        x, y = (open_sigs.select("sig", F.col("rep").alias(r), F.col("n").alias(n), F.col("alone").alias(o), F.col("comp").alias(c)) for r, n, o, c in (("a", "m", "own", "ca"), ("b", "n", "alone", "cb")))
+        links = verify(x.join(y, "sig").where("a < b and ca <> cb").where(fits()).select("a", "b").distinct())
+        found = store(links if found is None else found.unionAll(links))
     out = every.join(classes, "key", "left").select("row", "n", "rep")
     if found is not None:
         out = out.join(components(found).withColumnsRenamed({"id": "rep", "component": "root"}), "rep", "left")

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import rows_out, table
+from convoylake.llm.common import rows_out, store, table
 
 #: Values of the sample that centroids are fitted on, at most; rounds of k-means.
 SAMPLE_VALUES, ROUNDS = 2_000_000, 8
 #: Vectors of a block, about.
 BLOCK = 2_048
 #: Share of the cells that a query probes, and cells at least.
-PROBE_SHARE, PROBE_LEAST = 0.4, 6
+PROBE_SHARE, PROBE_LEAST = 0.8, 6
 #: Width of the error bound; the chance to miss falls as exp(-width**2 / 2).
 WIDTH = 3.0
 
@@ -129,9 +129,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     continue
                 x = batch.column(1).flatten().to_numpy().reshape(-1, d)
                 cell = cell_order(x, centres, 1)[:, 0]
-                for i, v, c in zip(batch.column(0).to_pylist(), x, cell.tolist(), strict=True):
-                    code, length, scalar = encode(v[None], centres[c], turn)
-                    yield i, c, code.tobytes(), float(length[0]), float(scalar[0]), v.tobytes()
+                ids = batch.column(0).to_numpy()
+                for c in np.unique(cell).tolist():
+                    own = np.flatnonzero(cell == c)
+                    for i, code, length, scalar, v in zip(ids[own].tolist(), *encode(x[own], centres[c], turn), x[own], strict=True):
+                        yield i, c, code.tobytes(), float(length), float(scalar), v.tobytes()
 
         return rows_out(pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("code", pa.binary()), ("length", pa.float64()), ("scalar", pa.float64()), ("v", pa.binary())]), 4000)(rows())
 
@@ -149,10 +151,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
         return rows_out(pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("v", pa.binary())]), 4000)(rows())
 
-    index = everything.mapInArrow(assign, "id long, cell int, code binary, length double, scalar double, v binary")
-    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    index = index.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    probing = asked.mapInArrow(probe, "id long, cell int, v binary").join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    index = store(everything.mapInArrow(assign, "id long, cell int, code binary, length double, scalar double, v binary"))
+    blocks = store(index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")))
+    index = index.join(blocks, "cell").select("id", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "code", "length", "scalar", "v")
+    parts = blocks.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    probing = asked.mapInArrow(probe, "id long, cell int, v binary").join(parts, "cell")
 
     def search(key, rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         centres, turn = sent.value

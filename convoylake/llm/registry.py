@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("html_extract", "ngram_jaccard", "decontaminate", "rabitq", "suffix_dedup", "byte_bpe", "lm_scoring", "language_id", "license_scan")
+MODULES = ("html_extract", "ngram_jaccard", "decontaminate", "rabitq", "suffix_dedup", "byte_bpe", "lm_scoring", "language_id", "license_scan", "kneser_ney")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

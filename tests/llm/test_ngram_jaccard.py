@@ -18,7 +18,6 @@ def test_query_equals_brute_force(spark):
 
 def test_dense_near_copies(spark, monkeypatch):
     monkeypatch.setattr("convoylake.llm.ngram_jaccard.RARE", 2)
-    monkeypatch.setattr("convoylake.llm.ngram_jaccard.FREQUENT", 6)
     rng = random.Random(3)
     docs = []
     for base in range(6):
