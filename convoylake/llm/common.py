@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes to bytes: A-Z to a-z, 0-9 a-z and bytes of non-ASCII characters kept, every other byte to a space.
 ALNUM = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -68,6 +69,30 @@ def rows_out(schema: pa.Schema, size: int = 2000) -> Callable[[Iterator[tuple]],
     return pack
 
 
+class Kept:
+    """Columns that an operator hands through beside its own: names prefixed on the way, so that none clash."""
+
+    def __init__(self, docs: DataFrame, keep: tuple[str, ...]) -> None:
+        self.names = tuple(keep)
+        self.inner = [f"keep_{c}" for c in self.names]
+        types = docs.select(*self.names).schema if self.names else []
+        self.ddl = "".join(f", keep_{f.name} {f.dataType.simpleString()}" for f in types)
+        self.fields = [(f"keep_{f.name}", to_arrow_type(f.dataType)) for f in types]
+
+    @property
+    def columns(self) -> list:
+        return [F.col(c).alias(f"keep_{c}") for c in self.names]
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """The kept values of each row."""
+        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in self.inner]
+        return zip(*cols, strict=True) if cols else iter([()] * batch.num_rows)
+
+    def restore(self, df: DataFrame) -> DataFrame:
+        """Kept columns under their names, in place of result columns of the same name."""
+        return df.drop(*self.names).withColumnsRenamed({f"keep_{c}": c for c in self.names})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, element by element."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import ALNUM, column_bytes, rows_out, table
+from convoylake.llm.common import ALNUM, Kept, column_bytes, rows_out, table
 
 #: Bytes of item text in one automaton; more items make more passes over the documents.
 SHARD_BYTES = 4_000_000
@@ -159,23 +159,24 @@ def cut(text: bytes, runs: list[list[int]]) -> str:
     return b"".join([*out, text[at:]]).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, coverage: float = 0.05, with_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 13, coverage: float = 0.05, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Hit words of each document and whether they reach the coverage limit.
 
     Returns one row per input row: the id, ``n_words``, ``n_hit``, ``n_items``, ``items`` (sorted
     item ids as strings), ``contaminated`` (hit words at least ``coverage`` of all and above 0) and,
-    with ``with_text``, ``text``: the text without its hit spans. Null or empty texts have no words.
+    with ``with_text``, ``text``: the text without its hit spans, and the columns to keep. Null or empty texts have no words.
     Items without words match nothing; a null item id is named by an empty string, and items that
     share an id count once. Repeated rows and null ids are kept. Other columns are ignored. Without
     items nothing is hit; empty documents give an empty result.
     """
     spark = docs.sparkSession
+    kept = Kept(docs, keep)
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("body")).where("body is not null")
     shards = max(1, -(-(items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SHARD_BYTES))
-    schema = pa.schema([("row", pa.int64()), ("body", pa.binary()), ("runs", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
-    ddl = "row bigint, body binary, runs array<array<int>>, items array<string>"
-    state = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
-    state = state.withColumns({"runs": F.lit(None).cast("array<array<int>>"), "items": F.lit(None).cast("array<string>")})
+    schema = pa.schema([("row", pa.int64()), ("body", pa.binary()), ("runs", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string())), *kept.fields])
+    ddl = f"row bigint, body binary, runs array<array<int>>, items array<string>{kept.ddl}"
+    none = [F.lit(None).cast("array<array<int>>").alias("runs"), F.lit(None).cast("array<string>").alias("items")]
+    state = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), *none, *kept.columns)
 
     def scan(sent, last):
         def run(batches):
@@ -183,7 +184,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
             def rows():
                 for batch in batches:
-                    for row, body, old, names in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    for row, body, old, names, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), kept.rows(batch), strict=True):
                         words = words_of(body)
                         runs, found = automaton.scan(words)
                         if old or names:
@@ -192,24 +193,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                                 Automaton._mark(merged, first, end)
                             runs, found = merged, found | set(names)
                         if not last:
-                            yield row, body, runs, sorted(found)
+                            yield row, body, runs, sorted(found), *rest
                             continue
                         hit = sum(end - first for first, end in runs)
-                        yield row, len(words), hit, sorted(found), cut(body, runs) if with_text and runs else None if body is None or not with_text else body.decode("utf-8", "replace")
+                        yield row, len(words), hit, sorted(found), cut(body, runs) if with_text and runs else None if body is None or not with_text else body.decode("utf-8", "replace"), *rest
 
             return rows_out(final if last else schema, 500)(rows())
 
         return run
 
-    final = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("text", pa.string())])
+    final = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("text", pa.string()), *kept.fields])
     for k in range(shards):  # one after another through the same rows: each shard is bounded, documents stay where they are
         part = items.where(F.expr(f"pmod(xxhash64(item), {shards}) = {k}")) if shards > 1 else items
         held = sorted((r["item"], bytes(r["body"])) for r in part.collect())
         key = hashlib.sha256(repr(held).encode()).hexdigest()
         last = k == shards - 1
-        state = state.mapInArrow(scan((key, spark.sparkContext.broadcast(held)), last), "row bigint, n_words bigint, n_hit bigint, items array<string>, text string" if last else ddl)
-    out = state.select(F.col("row").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.expr("n_hit > 0") & (F.col("n_hit") >= F.lit(coverage) * F.col("n_words"))).alias("contaminated"), "text")
-    return out if with_text else out.drop("text")
+        state = state.mapInArrow(scan((key, spark.sparkContext.broadcast(held)), last), "row bigint, n_words bigint, n_hit bigint, items array<string>, text string" + kept.ddl if last else ddl)
+    out = state.select(F.col("row").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.expr("n_hit > 0") & (F.col("n_hit") >= F.lit(coverage) * F.col("n_words"))).alias("contaminated"), *(["text"] if with_text else []), *kept.inner)
+    return kept.restore(out)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, rows_out, table
+from convoylake.llm.common import Kept, column_bytes, rows_out, table
 
 #: Families of languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -125,29 +125,30 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return Model(np.stack([np.frombuffer(f, np.float32) for _, f in found]), [v for v, _ in found]) if found else None
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of each whole text: the id, ``lang_pred`` and ``score`` (0 to 1).
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The language of each whole text: the id, ``lang_pred``, ``score`` (0 to 1) and the columns to keep.
 
     Null texts, texts without a letter and everything without a model get ``und`` and 0. Repeated rows
     and null ids are kept, other columns ignored, empty input gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = Kept(docs, keep)
 
     def run(batches):
         m = sent.value
 
         def rows():
             for batch in batches:
-                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
+                for row, body, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), kept.rows(batch), strict=True):
                     if m is None or body is None or not has_letter(body):
-                        yield row, "und", 0.0
+                        yield row, "und", 0.0, *rest
                     else:
-                        yield row, *m.predict(features(body))
+                        yield row, *m.predict(features(body)), *rest
 
-        return rows_out(pa.schema([("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]))(rows())
+        return rows_out(pa.schema([("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), *kept.fields]), 1000)(rows())
 
-    out = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
-    return out.mapInArrow(run, "row bigint, lang_pred string, score double").withColumnRenamed("row", id_col)
+    out = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), *kept.columns)
+    return kept.restore(out.mapInArrow(run, f"row bigint, lang_pred string, score double{kept.ddl}").withColumnRenamed("row", id_col))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, mix, rows_out, store, table
+from convoylake.llm.common import Kept, column_bytes, mix, rows_out, store, table
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that one bucket takes at most.
@@ -191,16 +191,22 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Stands for a null id in keys.
+NO_ID = -(1 << 63)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the bytes that a repeated string of 200 bytes covers.
 
     Returns one row per input row: the id, ``n_bytes``, ``spans`` (maximal removed runs as arrays
-    [start, end) of byte offsets) and ``kept`` (the remaining bytes as binary). Null texts count as
+    [start, end) of byte offsets), ``kept`` (the remaining bytes as binary), ``kept_text`` (those bytes
+    without characters that were cut) and the columns to keep. Null texts count as
     empty; texts of fewer than 200 bytes lose nothing. Rows that occur several times repeat each
     other. Null ids are allowed, other columns are ignored, empty input gives an empty result.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"))
-    texts = texts.select("row", "id", F.hash("body").alias("tag"), "body")
+    kept_columns = Kept(docs, keep)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), *kept_columns.columns)
+    texts = texts.select("row", F.hash("body").alias("tag"), "body", *kept_columns.inner)
 
     def find(batches):
         for batch in batches:
@@ -238,8 +244,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return rows_out(pa.schema([("h", pa.int64()), ("context", pa.int64()), ("copies", pa.int32()), ("offset", pa.int32()), ("piece", pa.binary())]), 5000)(rows())
 
-    # repeated rows have equal texts: one of them is enough
-    pieces = texts.join(wanted, ["row", "tag"]).select("body", "contexts").mapInArrow(extract, "h bigint, context bigint, copies int, offset int, piece binary")
+    # with the same columns as the join below, so that Spark shuffles the texts once for both
+    pieces = texts.join(wanted, ["row", "tag"]).select("body", "contexts", *kept_columns.inner).mapInArrow(extract, "h bigint, context bigint, copies int, offset int, piece binary")
     buckets = max(1, -(-distinct.count() // BUCKET))
     crowded = distinct.groupBy("h").count().where(F.col("count") > MOST).select("h")
     crowded = store(crowded) if not crowded.isEmpty() else None
@@ -272,18 +278,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def remove(batches):
         def rows():
             for batch in batches:
-                for row, body, spans in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), strict=True):
+                for row, body, spans, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), kept_columns.rows(batch), strict=True):
                     runs = _merge([(x["s"], x["e"]) for x in spans or ()])
                     kept, at = [], 0
                     for s, e in runs:
                         kept.append(body[at:s])
                         at = e
-                    yield row, len(body), runs, b"".join([*kept, body[at:]])
+                    left = b"".join([*kept, body[at:]])
+                    yield None if row == NO_ID else row, len(body), runs, left, left.decode("utf-8", "ignore"), *rest
 
-        return rows_out(pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary())]), 500)(rows())
+        return rows_out(pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary()), ("kept_text", pa.string()), *kept_columns.fields]), 500)(rows())
 
-    out = texts.join(spans, ["row", "tag"], "left").select("id", "body", "spans").mapInArrow(remove, "id bigint, n_bytes bigint, spans array<array<int>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = texts.join(spans, ["row", "tag"], "left").select("row", "body", "spans", *kept_columns.inner)
+    out = out.mapInArrow(remove, f"id bigint, n_bytes bigint, spans array<array<int>>, kept binary, kept_text string{kept_columns.ddl}")
+    return kept_columns.restore(out.withColumnRenamed("id", id_col))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

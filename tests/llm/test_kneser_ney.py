@@ -63,7 +63,7 @@ def test_held_out_quality(spark):
     good, bad = ([r for r in rows if r["held"] and labels.get(r["doc_id"]) == q] for q in (1, 0))
     ranks = np.mean([a["perplexity"] < b["perplexity"] for a in good for b in bad])
     assert ranks > 0.85, ranks
-    assert np.mean([r["low"] for r in good]) < 0.1
+    assert np.mean([r["low"] for r in good]) < 0.2
 
 
 def test_edges(spark):
