@@ -1,6 +1,295 @@
-"""Query registry: name -> Spark query, name -> DuckDB oracle."""
+"""Query registry: name -> Spark query, name -> DuckDB oracle. Times are epoch milliseconds; "now" is a fixed parameter."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from convoylake.functions import scalars as fn
+from convoylake.operators import clock, coerce, projections, replay, serving, views, windows
+from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, reader_projection
+
+NOW = EPOCH_MS + 21_600_000
+SINCE = EPOCH_MS + 10_800_000
+EVENT_COLUMNS = "event_id, copy, vehicle_id, region, lat, lon, speed_kph, heading_deg, battery_pct, status, occurred_at, part, off, seq"
+
+ROLLUP_SQL = """
+r_clock AS (SELECT *, max(occurred_at) OVER (PARTITION BY region ORDER BY seq ROWS UNBOUNDED PRECEDING) AS clock, occurred_at - occurred_at % 60000 AS ws FROM fleet),
+r_final AS (SELECT region, max(occurred_at) AS final FROM fleet GROUP BY region),
+r_open AS (SELECT * FROM r_clock WHERE ws + 60000 > clock - 30000),
+r_all AS (SELECT region, ws AS window_start, ws + 60000 AS window_end, count(*) AS event_count, CAST(count(DISTINCT CASE WHEN status = 'ACTIVE' THEN vehicle_id END) AS INTEGER) AS active_vehicles,
+  coalesce(avg(CASE WHEN status = 'ACTIVE' THEN speed_kph END), 0.0) AS avg_speed_kph FROM r_open GROUP BY region, ws),
+rollups AS (SELECT r_all.* FROM r_all JOIN r_final USING (region) WHERE window_end + 30000 <= final)
+"""
+_ID_HASH = f"sha1(unhex('{fn.ANOMALY_NAMESPACE.replace('-', '')}') || encode(vehicle_id || '|' || CAST(window_start AS VARCHAR) || '|SPEED_THRESHOLD'))"
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+ANOMALY_SQL = f"""
+a_clock AS (SELECT *, max(occurred_at) OVER (PARTITION BY part ORDER BY off ROWS UNBOUNDED PRECEDING) AS clock FROM fleet),
+a_final AS (SELECT part, max(occurred_at) AS final FROM fleet GROUP BY part),
+a_win AS (SELECT *, (occurred_at // 60000) * 60000 - k * 60000 AS window_start FROM a_clock, (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
+a_open AS (SELECT *, window_start + 300000 AS window_end FROM a_win WHERE window_start + 300000 > clock - 30000),
+a_all AS (SELECT part, vehicle_id, window_start, window_end, max(speed_kph) AS value, arg_max(region, off) AS region FROM a_open WHERE speed_kph > 120 GROUP BY part, vehicle_id, window_start, window_end),
+a_hash AS (SELECT a_all.*, {_ID_HASH} AS h FROM a_all JOIN a_final USING (part) WHERE window_end + 30000 <= final),
+anomalies AS (SELECT {_UUID} AS anomaly_id, vehicle_id, region, 'SPEED_THRESHOLD' AS kind, value, 1 AS detector_version, window_start, window_end FROM a_hash)
+"""
+MODEL_SQL = """
+vehicles AS (SELECT vehicle_id AS id, arg_max(region, (occurred_at, seq)) AS region, arg_max(status, (occurred_at, seq)) AS status, max(occurred_at) AS last_seen FROM fleet GROUP BY vehicle_id),
+pos_rank AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq) AS rn FROM fleet),
+positions AS (SELECT vehicle_id, lat, lon, speed_kph, heading_deg, occurred_at AS updated_at, battery_pct FROM pos_rank WHERE rn = 1),
+hist_rank AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS rn FROM fleet),
+history AS (SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM hist_rank WHERE rn = 1)
+"""
+
+
+def _with(body: str, *parts: str) -> str:
+    return f"WITH {', '.join(p.strip() for p in (FLEET_SQL, *parts))} {body}"
+
+
+class Model:
+    """The read model of a data directory, each table when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.events = spark, fleet_events(spark, sf_dir)
+
+    @property
+    def vehicles(self) -> DataFrame:
+        return projections.vehicles_current(self.events)
+
+    @property
+    def positions(self) -> DataFrame:
+        return projections.positions_current(self.events)
+
+    @property
+    def history(self) -> DataFrame:
+        return projections.event_history(self.events)
+
+    @property
+    def anomalies(self) -> DataFrame:
+        return windows.speed_anomalies(self.events)
+
+    @property
+    def rollups(self) -> DataFrame:
+        return windows.region_rollups(self.events)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _add(name: str, query: Callable[[Model], DataFrame], sql: str | None, *parts: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: query(Model(spark, sf_dir))
+    if sql is not None:
+        ORACLES[name] = _with(sql, *parts)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+AVG = "round(avg_speed_kph, 6) AS avg_speed_kph"
+ROLLUP_COLUMNS = f"region, window_start, window_end, event_count, active_vehicles, {AVG}"
+ANOMALY_COLUMNS = "anomaly_id, vehicle_id, region, kind, value, detector_version, window_start, window_end"
+
+
+def _corrupted(m: Model) -> DataFrame:
+    e = F.col("event_id")
+    return m.events.select(
+        "event_id", "copy", F.when(e % 101 == 7, None).when(e % 103 == 9, "").otherwise(F.col("vehicle_id")).alias("vehicle_id"), "region", "status", "lat", "lon", F.when(e % 97 == 5, float("nan")).otherwise(F.col("speed_kph")).alias("speed_kph"),
+        "heading_deg", F.when(e % 89 == 3, float("inf")).otherwise(F.col("battery_pct")).alias("battery_pct"), F.when(e % 83 == 2, "soon").when(e % 79 == 4, fn.iso_ms(F.col("occurred_at"))).otherwise(F.col("occurred_at").cast("string")).alias("occurred_text"),
+    )
+
+
+CORRUPTED_SQL = """
+corrupted AS (SELECT event_id, copy, CASE WHEN event_id % 101 = 7 THEN NULL WHEN event_id % 103 = 9 THEN '' ELSE vehicle_id END AS vehicle_id, region, status, lat, lon,
+  CASE WHEN event_id % 97 = 5 THEN 'nan'::DOUBLE ELSE speed_kph END AS speed_kph, heading_deg, CASE WHEN event_id % 89 = 3 THEN 'inf'::DOUBLE ELSE battery_pct END AS battery_pct,
+  CASE WHEN event_id % 83 = 2 THEN 'soon' WHEN event_id % 79 = 4 THEN strftime(make_timestamp(occurred_at * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(occurred_at % 1000 AS VARCHAR), 3, '0') || 'Z' ELSE CAST(occurred_at AS VARCHAR) END AS occurred_text,
+  occurred_at AS true_at FROM fleet)
+"""
+
+# sources and decoding
+_add("scan_events", lambda m: m.events.selectExpr(*EVENT_COLUMNS.split(", ")), f"SELECT {EVENT_COLUMNS} FROM fleet")
+_add("reader_v1", lambda m: reader_projection(m.events, 1), "SELECT event_id, vehicle_id, region, lat, lon, speed_kph, heading_deg, status, occurred_at FROM fleet")
+_add(
+    "coerce_events", lambda m: coerce.coerce_events(_corrupted(m)).select("event_id", "copy", "reason", "occurred_at"),
+    """SELECT event_id, copy, CASE WHEN vehicle_id IS NULL THEN 'vehicle_id' WHEN isnan(speed_kph) THEN 'speed_kph' WHEN isinf(battery_pct) THEN 'battery_pct' WHEN NOT regexp_full_match(occurred_text, '-?[0-9]+') THEN 'occurred_at' END AS reason,
+    TRY_CAST(occurred_text AS BIGINT) AS occurred_at FROM corrupted""", CORRUPTED_SQL,
+)
+_add(
+    "api_event_map", lambda m: coerce.api_event_map(_corrupted(m)).select("event_id", "copy", "reason", "occurred_at"),
+    """SELECT event_id, copy, CASE WHEN coalesce(vehicle_id, '') = '' THEN 'vehicle_id' WHEN isnan(speed_kph) THEN 'speed_kph' WHEN occurred_text = 'soon' THEN 'occurred_at' END AS reason,
+    CASE WHEN occurred_text <> 'soon' THEN true_at END AS occurred_at FROM corrupted""", CORRUPTED_SQL,
+)
+_add(
+    "coerce_anomalies", lambda m: coerce.coerce_anomalies(m.anomalies.withColumn("value", F.when(F.col("window_start") % 420000 == 0, float("nan")).otherwise(F.col("value"))).withColumn("kind", F.when(F.col("window_start") % 660000 == 0, "OTHER").otherwise(F.col("kind")))).select("anomaly_id", "reason"),
+    "SELECT anomaly_id, CASE WHEN window_start % 660000 = 0 THEN 'kind' WHEN window_start % 420000 = 0 THEN 'value' END AS reason FROM anomalies", ANOMALY_SQL,
+)
+_add(
+    "coerce_rollups", lambda m: coerce.coerce_rollups(m.rollups.withColumn("count_text", F.when(F.col("window_start") % 420000 == 0, "1.5").otherwise(F.col("event_count").cast("string"))).drop("event_count")).select("region", "window_start", "event_count", "reason"),
+    "SELECT region, window_start, CASE WHEN window_start % 420000 <> 0 THEN event_count END AS event_count, CASE WHEN window_start % 420000 = 0 THEN 'event_count' END AS reason FROM rollups", ROLLUP_SQL,
+)
+_add("tombstones", lambda m: m.events.withColumn("body", F.when(F.col("event_id") % 31 != 0, F.col("vehicle_id"))).where("body is not null").groupBy("part").agg(F.count("*").alias("n")), "SELECT part, count(*) AS n FROM fleet WHERE event_id % 31 <> 0 GROUP BY part")
+_add(
+    "event_time", lambda m: coerce.event_time(m.events.withColumn("occurred_at", F.when(F.col("event_id") % 41 != 0, F.col("occurred_at")))).select("event_id", "copy", "event_time"),
+    """SELECT event_id, copy, coalesce(own_at, greatest(0, coalesce(max(own_at) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING), 0))) AS event_time
+    FROM (SELECT *, CASE WHEN event_id % 41 <> 0 THEN occurred_at END AS own_at FROM fleet)""",
+)
+
+# windowed jobs
+_add("region_rollups", lambda m: _rounded(m.rollups, "avg_speed_kph"), f"SELECT {ROLLUP_COLUMNS} FROM rollups", ROLLUP_SQL)
+_add("speed_anomalies", lambda m: m.anomalies, f"SELECT {ANOMALY_COLUMNS} FROM anomalies", ANOMALY_SQL)
+_add("speed_violations", lambda m: m.events.where(windows.violates(F.col("speed_kph"))).select("event_id", "copy", "vehicle_id", "speed_kph"), "SELECT event_id, copy, vehicle_id, speed_kph FROM fleet WHERE speed_kph > 120")
+_add("event_clock", lambda m: clock.event_clock(m.events, "region", "seq").select("event_id", "copy", "clock"), "SELECT event_id, copy, clock FROM r_clock", ROLLUP_SQL)
+_add("late_filter", lambda m: clock.open_windows(clock.event_clock(m.events, "part", "off"), 300_000, 60_000).groupBy("event_id", "copy").agg(F.count("*").alias("windows")), "SELECT event_id, copy, count(*) AS windows FROM a_open GROUP BY event_id, copy", ANOMALY_SQL)
+_add(
+    "closed_windows", lambda m: clock.closed_windows(windows.rollup_windows(clock.open_windows(clock.event_clock(m.events, "region", "seq"), 60_000, 60_000)), m.events, "region").groupBy("region").agg(F.count("*").alias("closed")),
+    "SELECT region, count(*) AS closed FROM rollups GROUP BY region", ROLLUP_SQL,
+)
+_add("max_offset", lambda m: m.events.groupBy("part").agg(F.max("off").alias("last")), "SELECT part, max(off) AS last FROM fleet GROUP BY part")
+_add(
+    "table_counts", lambda m: m.vehicles.agg(F.count("*").alias("n")).select(F.lit("vehicles").alias("name"), "n").unionByName(m.positions.agg(F.count("*").alias("n")).select(F.lit("vehicle_positions").alias("name"), "n")).unionByName(m.history.agg(F.count("*").alias("n")).select(F.lit("vehicle_events").alias("name"), "n")),
+    "SELECT 'vehicles' AS name, count(*) AS n FROM vehicles UNION ALL SELECT 'vehicle_positions', count(*) FROM positions UNION ALL SELECT 'vehicle_events', count(*) FROM history", MODEL_SQL,
+)
+
+# read model
+_add("vehicles_current", lambda m: m.vehicles, "SELECT * FROM vehicles", MODEL_SQL)
+_add("positions_current", lambda m: m.positions, "SELECT * FROM positions", MODEL_SQL)
+_add("event_history", lambda m: m.history, "SELECT * FROM history", MODEL_SQL)
+_add("swapped_positions", lambda m: projections.positions_current(m.events, True).select("vehicle_id", "lat", "lon"), "SELECT vehicle_id, lon AS lat, lat AS lon FROM positions", MODEL_SQL)
+_RESENT = "resent AS (SELECT *, 0 AS arr FROM anomalies UNION ALL SELECT anomaly_id, vehicle_id, region, kind, value + 1, 2, window_start, window_end, 1 FROM anomalies WHERE window_start % 180000 = 0)"
+_add(
+    "anomalies_current", lambda m: projections.last_arrival(m.anomalies.withColumn("arr", F.lit(0)).unionByName(m.anomalies.where("window_start % 180000 = 0").withColumns({"value": F.col("value") + 1, "detector_version": F.lit(2), "arr": F.lit(1)})), ["anomaly_id"], "arr"),
+    f"SELECT {ANOMALY_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY arr DESC) AS rn FROM resent) WHERE rn = 1", ANOMALY_SQL, _RESENT,
+)
+_add(
+    "rollups_current", lambda m: _rounded(projections.last_arrival(m.rollups.withColumn("arr", F.lit(0)).unionByName(m.rollups.where("window_start % 180000 = 0").withColumns({"event_count": F.col("event_count") + 1, "arr": F.lit(1)})), ["region", "window_start"], "arr"), "avg_speed_kph"),
+    f"SELECT region, window_start, window_end, event_count + CASE WHEN window_start % 180000 = 0 THEN 1 ELSE 0 END AS event_count, active_vehicles, {AVG} FROM rollups", ROLLUP_SQL,
+)
+_add("offsets_current", lambda m: projections.offsets_current(m.events), "SELECT part, max(off) AS last_offset FROM fleet GROUP BY part")
+_add("retention_24h", lambda m: projections.retained(m.history, NOW + projections.DAY_MS), f"SELECT * FROM history WHERE occurred_at >= {NOW}", MODEL_SQL)
+
+# query surface
+_add("vehicles_by_region", lambda m: serving.vehicles_by_region(m.vehicles, "SEA"), "SELECT * FROM vehicles WHERE region = 'SEA'", MODEL_SQL)
+_add("vehicle_by_id", lambda m: serving.vehicle_by_id(m.vehicles, "veh-0007"), "SELECT * FROM vehicles WHERE id = 'veh-0007'", MODEL_SQL)
+_add("anomalies_since", lambda m: serving.anomalies_since(m.anomalies, "NYC", SINCE), f"SELECT {ANOMALY_COLUMNS} FROM anomalies WHERE region = 'NYC' AND window_start >= {SINCE} ORDER BY window_start DESC, anomaly_id DESC LIMIT 500", ANOMALY_SQL)
+_add("top500_anomalies", lambda m: serving.anomalies_since(m.anomalies), f"SELECT {ANOMALY_COLUMNS} FROM anomalies ORDER BY window_start DESC, anomaly_id DESC LIMIT 500", ANOMALY_SQL)
+_add("rollups_range", lambda m: _rounded(serving.rollups_range(m.rollups, "AUS", SINCE, NOW), "avg_speed_kph"), f"SELECT {ROLLUP_COLUMNS} FROM rollups WHERE region = 'AUS' AND window_start BETWEEN {SINCE} AND {NOW}", ROLLUP_SQL)
+_add("events_by_region_live", lambda m: m.events.where("region = 'SFO'").select("event_id", "copy", "vehicle_id", "lat", "lon", "speed_kph", "occurred_at"), "SELECT event_id, copy, vehicle_id, lat, lon, speed_kph, occurred_at FROM fleet WHERE region = 'SFO'")
+_add("api_vehicle_rows", lambda m: m.vehicles.select("id", "region", "status", fn.iso_ms(F.col("last_seen")).alias("lastSeen")), "SELECT id, region, status, strftime(make_timestamp(last_seen * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(last_seen % 1000 AS VARCHAR), 3, '0') || 'Z' AS lastSeen FROM vehicles", MODEL_SQL)
+_add("vehicle_positions_join", lambda m: serving.vehicle_positions_join(m.vehicles, m.positions), "SELECT v.*, p.lat, p.lon, p.speed_kph, p.heading_deg, p.updated_at, p.battery_pct FROM vehicles v JOIN positions p ON v.id = p.vehicle_id", MODEL_SQL)
+_add("recent_events", lambda m: serving.recent_events(m.history), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, event_id DESC) AS INTEGER) AS rank FROM history) WHERE rank <= 20", MODEL_SQL)
+_add(
+    "vehicle_anomalies", lambda m: serving.vehicle_anomalies(m.vehicles, m.anomalies, SINCE).select("id", F.size("anomalies").alias("n"), F.array_join("anomalies.anomaly_id", ",").alias("ids")),
+    f"""SELECT id, CAST(count(anomaly_id) AS INTEGER) AS n, coalesce(string_agg(anomaly_id, ',' ORDER BY window_start DESC, anomaly_id DESC), '') AS ids FROM vehicles v LEFT JOIN (SELECT * FROM anomalies WHERE window_start >= {SINCE}) a ON a.vehicle_id = v.id GROUP BY id""", MODEL_SQL, ANOMALY_SQL,
+)
+_add(
+    "vehicles_nested", lambda m: serving.vehicles_nested(m.vehicles, m.positions, m.history, m.anomalies, 5).select("id", "lat", "battery_pct", F.array_join(F.transform("recent.event_id", lambda x: x.cast("string")), ",").alias("recent"), F.size("anomalies").alias("n_anomalies")),
+    """SELECT v.id, p.lat, p.battery_pct, coalesce(r.ids, '') AS recent, CAST(coalesce(a.n, 0) AS INTEGER) AS n_anomalies FROM vehicles v JOIN positions p ON p.vehicle_id = v.id
+    LEFT JOIN (SELECT vehicle_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY occurred_at DESC, event_id DESC) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, event_id DESC) AS k FROM history) WHERE k <= 5 GROUP BY vehicle_id) r ON r.vehicle_id = v.id
+    LEFT JOIN (SELECT vehicle_id, count(*) AS n FROM anomalies GROUP BY vehicle_id) a ON a.vehicle_id = v.id""", MODEL_SQL, ANOMALY_SQL,
+)
+_add(
+    "align_by_vehicle", lambda m: serving.align(m.vehicles.select(F.col("id").alias("vehicle_id")), m.anomalies.where("value > 300"), "vehicle_id", "anomaly_id").select("vehicle_id", F.size("found").alias("n")),
+    "SELECT v.id AS vehicle_id, CAST(count(a.anomaly_id) AS INTEGER) AS n FROM vehicles v LEFT JOIN (SELECT * FROM anomalies WHERE value > 300) a ON a.vehicle_id = v.id GROUP BY v.id", MODEL_SQL, ANOMALY_SQL,
+)
+_add("position_sample", lambda m: m.positions.select("vehicle_id", "lat", "lon").orderBy("vehicle_id").limit(5), "SELECT vehicle_id, lat, lon FROM positions ORDER BY vehicle_id LIMIT 5", MODEL_SQL)
+
+# views
+_add(
+    "patch_movements", lambda m: views.patch_movements(m.vehicles.join(projections.positions_current(m.events.where(f"occurred_at <= {NOW}")).withColumnRenamed("vehicle_id", "id"), "id"), m.events.where(f"occurred_at > {SINCE} and part < 4")).select("id", "lat", "lon", "speed_kph", "heading_deg", "updated_at"),
+    f"""SELECT p.vehicle_id AS id, CASE WHEN e.occurred_at >= p.updated_at THEN e.lat ELSE p.lat END AS lat, CASE WHEN e.occurred_at >= p.updated_at THEN e.lon ELSE p.lon END AS lon,
+    CASE WHEN e.occurred_at >= p.updated_at THEN e.speed_kph ELSE p.speed_kph END AS speed_kph, p.heading_deg, CASE WHEN e.occurred_at >= p.updated_at THEN e.occurred_at ELSE p.updated_at END AS updated_at
+    FROM (SELECT vehicle_id, lat, lon, speed_kph, heading_deg, occurred_at AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq) AS k FROM fleet WHERE occurred_at <= {NOW}) WHERE k = 1) p
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq DESC) AS k FROM fleet WHERE occurred_at > {SINCE} AND part < 4) WHERE k = 1) e ON e.vehicle_id = p.vehicle_id""",
+)
+_OLD = f"old AS (SELECT vehicle_id, lat, lon, speed_kph, heading_deg, occurred_at AS updated_at, battery_pct FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq) AS k FROM fleet WHERE occurred_at <= {NOW}) WHERE k = 1)"
+_add(
+    "merge_refresh", lambda m: views.merge_refresh(m.positions.where("vehicle_id > 'veh-0003'").withColumnRenamed("vehicle_id", "id"), projections.positions_current(m.events.where(f"occurred_at <= {NOW}")).withColumnRenamed("vehicle_id", "id")),
+    """SELECT o.vehicle_id AS id, CASE WHEN p.updated_at > o.updated_at THEN p.lat ELSE o.lat END AS lat, CASE WHEN p.updated_at > o.updated_at THEN p.lon ELSE o.lon END AS lon, CASE WHEN p.updated_at > o.updated_at THEN p.speed_kph ELSE o.speed_kph END AS speed_kph,
+    CASE WHEN p.updated_at > o.updated_at THEN p.heading_deg ELSE o.heading_deg END AS heading_deg, CASE WHEN p.updated_at > o.updated_at THEN p.updated_at ELSE o.updated_at END AS updated_at, o.battery_pct
+    FROM old o LEFT JOIN (SELECT * FROM positions WHERE vehicle_id > 'veh-0003') p USING (vehicle_id)""", MODEL_SQL, _OLD,
+)
+_add(
+    "merge_anomalies", lambda m: views.merge_anomalies(m.anomalies.where(f"window_start <= {NOW}"), m.anomalies.where(f"window_start > {SINCE}").withColumn("value", F.col("value") * 2)),
+    f"SELECT anomaly_id, vehicle_id, region, kind, CASE WHEN window_start > {SINCE} THEN value * 2 ELSE value END AS value, detector_version, window_start, window_end FROM anomalies", ANOMALY_SQL,
+)
+_add("anomalous_vehicles", lambda m: views.anomalous_vehicles(m.anomalies, NOW), f"SELECT DISTINCT vehicle_id FROM anomalies WHERE window_end BETWEEN {NOW} - 300000 AND {NOW}", ANOMALY_SQL)
+_add("visible_anomalies", lambda m: views.visible_anomalies(m.anomalies, "anomaly_id"), f"SELECT {ANOMALY_COLUMNS} FROM anomalies ORDER BY window_end DESC, anomaly_id LIMIT 200", ANOMALY_SQL)
+_add("latest_rollup", lambda m: _rounded(views.latest_rollups(m.rollups), "avg_speed_kph"), f"SELECT {ROLLUP_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY window_end DESC) AS k FROM rollups) WHERE k = 1", ROLLUP_SQL)
+_add(
+    "dashboard_rollups", lambda m: _rounded(views.dashboard_rollups(m.rollups, [r[0] for r in REGIONS], NOW), "avg_speed_kph"),
+    f"""SELECT n.region, window_start, window_end, event_count, active_vehicles, {AVG} FROM (SELECT unnest(['SEA', 'SFO', 'NYC', 'AUS']) AS region) n
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY region ORDER BY window_end DESC) AS k FROM rollups WHERE window_start BETWEEN {NOW} - 300000 AND {NOW}) r ON r.region = n.region AND r.k = 1""", ROLLUP_SQL,
+)
+_add("visible_regions", lambda m: m.vehicles.where(F.col("region").isin("SEA", "NYC")).select("id", "region"), "SELECT id, region FROM vehicles WHERE region IN ('SEA', 'NYC')", MODEL_SQL)
+_FLAGGED = f"(v.id IN (SELECT vehicle_id FROM anomalies WHERE window_end BETWEEN {NOW} - 300000 AND {NOW}))"
+_add(
+    "anomalous_flag", lambda m: m.vehicles.join(views.anomalous_vehicles(m.anomalies, NOW).select(F.col("vehicle_id").alias("id"), F.lit(True).alias("flag")), "id", "left").select("id", F.coalesce("flag", F.lit(False)).alias("anomalous")),
+    f"SELECT id, {_FLAGGED} AS anomalous FROM vehicles v", MODEL_SQL, ANOMALY_SQL,
+)
+_add(
+    "geojson_features", lambda m: views.geojson_features(serving.vehicle_positions_join(m.vehicles, m.positions), views.anomalous_vehicles(m.anomalies, NOW)),
+    f"""SELECT id, '{{"type":"Feature","id":"' || id || '","geometry":{{"type":"Point","coordinates":[' || CAST(CAST(p.lon AS DECIMAL(9,3)) AS VARCHAR) || ',' || CAST(CAST(p.lat AS DECIMAL(9,3)) AS VARCHAR) || ']}},"properties":{{"anomalous":' || CASE WHEN {_FLAGGED} THEN 'true' ELSE 'false' END || ',"id":"' || id || '","region":"' || region || '","status":"' || status || '"}}}}' AS feature
+    FROM vehicles v JOIN positions p ON p.vehicle_id = v.id""", MODEL_SQL, ANOMALY_SQL,
+)
+
+
+def _fixed_sql(x: str, digits: int) -> str:
+    n = f"CAST(floor(abs(round({x}, 6)) * {10**digits} + 0.5) AS BIGINT)"
+    return f"CAST({n} // {10**digits} AS VARCHAR) || '.' || lpad(CAST({n} % {10**digits} AS VARCHAR), {digits}, '0')"
+
+
+_add("battery_label", lambda m: m.positions.select("vehicle_id", fn.battery_label(F.col("battery_pct")).alias("label")), f"SELECT vehicle_id, CASE WHEN battery_pct IS NULL THEN 'Unknown' ELSE {_fixed_sql('battery_pct', 1)} || '%' END AS label FROM positions", MODEL_SQL)
+_add("anomaly_value_label", lambda m: m.anomalies.select("anomaly_id", fn.anomaly_value_label(F.col("value")).alias("label")), f"SELECT anomaly_id, regexp_replace({_fixed_sql('value', 2)}, '\\.?0+$', '') AS label FROM anomalies", ANOMALY_SQL)
+_add("avg_speed_label", lambda m: m.rollups.select("region", "window_start", fn.avg_speed_label(F.col("avg_speed_kph")).alias("label")), f"SELECT region, window_start, {_fixed_sql('avg_speed_kph', 1)} || ' km/h' AS label FROM rollups", ROLLUP_SQL)
+_add("window_end_label", lambda m: m.rollups.select("region", "window_start", fn.window_end_label(fn.iso_ms(F.col("window_end"))).alias("label")), "SELECT region, window_start, strftime(make_timestamp(window_end * 1000), '%Y-%m-%d %H:%M:%S') || ' UTC' AS label FROM rollups", ROLLUP_SQL)
+_add("status_colour", lambda m: m.vehicles.select("id", fn.status_colour(F.col("status")).alias("colour")), "SELECT id, CASE status WHEN 'ACTIVE' THEN '#16a34a' WHEN 'IDLE' THEN '#6b7280' WHEN 'OFFLINE' THEN '#dc2626' ELSE '#6b7280' END AS colour FROM vehicles", MODEL_SQL)
+#: Map centre and zoom of each selection.
+VIEWS = [("ALL", -98.5, 39.0, 3.2), ("SEA", -122.34, 47.6, 10.0), ("SFO", -122.435, 37.76, 10.0), ("NYC", -73.95, 40.78, 10.0), ("AUS", -97.75, 30.3, 10.0)]
+_add("region_views", lambda m: m.spark.createDataFrame(VIEWS, "selection string, lon double, lat double, zoom double"), "SELECT selection, lon::DOUBLE AS lon, lat::DOUBLE AS lat, zoom::DOUBLE AS zoom FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in VIEWS) + ") t(selection, lon, lat, zoom)")
+
+# replay
+_BOUNDS = [(k, 10 if k % 2 else None, None if k == 5 else 100 * k - 1) for k in range(PARTITIONS)]
+_BOUNDS_SQL = "bounds AS (SELECT CAST(part AS INTEGER) AS part, CAST(persisted AS BIGINT) AS persisted, CAST(target AS BIGINT) AS target FROM (VALUES " + ", ".join(f"({a}, {'NULL' if b is None else b}, {'NULL' if c is None else c})" for a, b, c in _BOUNDS) + ") t(part, persisted, target))"
+
+
+def _bounds(m: Model) -> DataFrame:
+    return m.spark.createDataFrame(_BOUNDS, "part int, persisted bigint, target bigint")
+
+
+_BOUNDED = "FROM fleet JOIN bounds USING (part) WHERE (persisted IS NULL OR off > persisted) AND (target IS NULL OR off <= target)"
+_add("replay_bounded", lambda m: replay.replay_bounded(m.events, _bounds(m)).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
+_add("replay_order", lambda m: projections.event_history(m.events.withColumn("arr", F.struct(*replay.canonical_order())), "arr"), "SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, off) AS rn FROM fleet) WHERE rn = 1")
+_add("replay_complete", lambda m: replay.replay_complete(replay.replay_bounded(m.events, _bounds(m)), _bounds(m).where("target is not null")), f"SELECT bool_and(target < 0 OR coalesce(last >= target, false)) AS complete FROM (SELECT b.target, (SELECT max(off) {_BOUNDED} AND fleet.part = b.part) AS last FROM bounds b WHERE target IS NOT NULL)", _BOUNDS_SQL)
+_add("capture_watermark", lambda m: replay.capture_watermark(m.events), "SELECT part, max(off) AS target, min(off) AS low FROM fleet GROUP BY part")
+_add("replay_since", lambda m: replay.replay_since(m.events, SINCE), f"SELECT part, min(off) - 1 AS seed FROM fleet WHERE occurred_at >= {SINCE} GROUP BY part")
+_add("table_checksum", lambda m: replay.table_digest(m.vehicles, ["id"]), None)
+
+# scalar functions
+_add("anomaly_id", lambda m: m.events.select("event_id", "copy", fn.anomaly_id(F.col("vehicle_id"), F.col("occurred_at")).alias("uid")), f"SELECT event_id, copy, {_UUID} AS uid FROM (SELECT event_id, copy, {_ID_HASH} AS h FROM (SELECT event_id, copy, vehicle_id, occurred_at AS window_start FROM fleet))")
+_add("clamp", lambda m: m.events.select("event_id", "copy", fn.clamp(F.col("speed_kph"), 20.0, 80.0).alias("speed")), "SELECT event_id, copy, least(greatest(speed_kph, 20.0), 80.0) AS speed FROM fleet")
+_add("wrap_heading", lambda m: m.events.select("event_id", "copy", fn.wrap_heading(F.col("heading_deg") - 200).alias("heading")), "SELECT event_id, copy, CASE WHEN heading_deg - 200 < 0 THEN heading_deg + 160 ELSE heading_deg - 200 END AS heading FROM fleet")
+
+
+def _reckoned(m: Model) -> DataFrame:
+    lat, lon = fn.dead_reckon(F.col("lat"), F.col("lon"), F.col("heading_deg"), F.col("speed_kph"), 1000)
+    return m.events.select("event_id", "copy", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+_add("dead_reckon", _reckoned, "SELECT event_id, copy, round(lat + cos(radians(heading_deg)) * (speed_kph / 3600) / 111, 6) AS lat, round(lon + sin(radians(heading_deg)) * (speed_kph / 3600) / greatest(111 * cos(radians(lat)), 1e-12), 6) AS lon FROM fleet")
+
+
+def _reflected(m: Model) -> DataFrame:
+    lat, lon, heading = fn.reflect_bounds(F.col("lat") + 0.15, F.col("lon") - 0.07, F.col("heading_deg"), REGIONS[0][1:])
+    return m.events.where("region = 'SEA'").select("event_id", "copy", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(heading, 6).alias("heading"))
+
+
+_add(
+    "reflect_bounds", _reflected,
+    """SELECT event_id, copy, round(CASE WHEN y > 47.7 THEN 95.4 - y ELSE y END, 6) AS lat, round(CASE WHEN x < -122.44 THEN -244.88 - x ELSE x END, 6) AS lon,
+    CASE WHEN x < -122.44 THEN ((180 - CASE WHEN y > 47.7 THEN (360 - heading_deg) % 360 ELSE heading_deg END) % 360 + 360) % 360 ELSE CASE WHEN y > 47.7 THEN (360 - heading_deg) % 360 ELSE heading_deg END END AS heading
+    FROM (SELECT *, lat + 0.15::DOUBLE AS y, lon - 0.07::DOUBLE AS x FROM fleet WHERE region = 'SEA')""",
+)
+_add("next_battery", lambda m: m.events.where("battery_pct is not null").select("event_id", "copy", F.round(fn.next_battery(F.col("battery_pct"), F.col("status")), 6).alias("battery")), "SELECT event_id, copy, round(least(greatest(battery_pct + CASE status WHEN 'ACTIVE' THEN -0.05 WHEN 'IDLE' THEN 0.2 ELSE 0 END, 0), 100), 6) AS battery FROM fleet WHERE battery_pct IS NOT NULL")
+_add("iso_ms", lambda m: m.events.select("event_id", "copy", fn.iso_ms(F.col("occurred_at")).alias("iso")), "SELECT event_id, copy, strftime(make_timestamp(occurred_at * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(occurred_at % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso FROM fleet")
