@@ -9,7 +9,7 @@ is shuffled.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import regex
@@ -20,7 +20,7 @@ from convoylake.llm.common import ALNUM, column_bytes, rows_out, table
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices (as normalised words) and their labels; found with up to one edit in eight letters.
+#: Short notices (as normalised words) and their labels; found with up to one edit in eight letters, four at most.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -33,12 +33,12 @@ NOTICES = {
     "subject to the terms of the mozilla public license": "mpl",
     "all rights reserved": "all-rights-reserved",
 }
-EDIT_SHARE = 8
+EDIT_SHARE, MOST_EDITS = 8, 4
 
 
 @cache
 def _compiled(notice: str) -> tuple[regex.Pattern, list[bytes], int]:
-    errors = len(notice) // EDIT_SHARE
+    errors = min(MOST_EDITS, len(notice) // EDIT_SHARE)
     cuts = [len(notice) * k // (errors + 1) for k in range(errors + 2)]
     seeds = [notice[a:b].encode() for a, b in zip(cuts, cuts[1:])]
     return regex.compile(b"(?:" + regex.escape(notice).encode() + b"){e<=%d}" % errors, regex.BESTMATCH), seeds, errors
@@ -52,36 +52,50 @@ def places(text: bytes, part: bytes) -> list[int]:
     return out
 
 
+@lru_cache(100_000)
+def _verified(stretch: bytes, notice: str) -> tuple[int, int, int] | None:
+    """The best match of the notice in a stretch of its length and twice the edits: start, end, edits."""
+    m = _compiled(notice)[0].search(stretch)
+    return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+
+
 def fuzzy(text: bytes, notice: str) -> list[tuple[int, int, int]]:
-    """Spans (start, end, edits) of the notice in normalised text; overlapping candidate stretches are searched as one."""
-    pattern, seeds, errors = _compiled(notice)
-    stretches: list[list[int]] = []
+    """Spans (start, end, edits) of the notice in normalised text; a span inside one already found is not looked for."""
+    _, seeds, errors = _compiled(notice)
+    starts: set[int] = set()
     cut = 0
-    around = []
     for seed in seeds:
-        around += [(max(0, p - cut - errors), p - cut + len(notice) + errors) for p in places(text, seed)]
+        starts.update(p - cut for p in places(text, seed))
         cut += len(seed)
-    for a, b in sorted(around):
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = max(stretches[-1][1], b)
-        else:
-            stretches.append([a, b])
-    return [(m.start() + a, m.end() + a, sum(m.fuzzy_counts)) for a, b in stretches for m in pattern.finditer(text[a:b])]
+    out: list[tuple[int, int, int]] = []
+    done = 0
+    for p in sorted(starts):
+        if p + errors < done:
+            continue
+        at = max(0, p - errors, done)
+        if (found := _verified(text[at : p + len(notice) + errors], notice)) is not None:
+            out.append((at + found[0], at + found[1], found[2]))
+            done = at + found[1]
+    return out
+
+
+def _word_numbers(text: bytes, positions: list[int]) -> dict[int, int]:
+    """Spaces before each position."""
+    out, n, last = {}, 0, 0
+    for p in sorted(set(positions)):
+        n += text.count(b" ", last, p)
+        out[p], last = n, p
+    return out
 
 
 def scan_text(body: bytes | None) -> tuple:
     """Number of words, phrase places (first word, label), notice spans (first word, end, label, edits, letters)."""
     words = (body or b"").translate(ALNUM).split()
     text = b" " + b" ".join(words) + b" "
-    base = []
-    for phrase, label in PHRASES.items():
-        for at in places(text, b" " + phrase.encode() + b" "):
-            base.append((text.count(b" ", 0, at), label))
-    found = []
-    for notice, label in NOTICES.items():
-        for a, b, edits in fuzzy(text, notice):
-            found.append((max(0, text.count(b" ", 0, a + 1) - 1), text.count(b" ", 0, b - 1), label, edits, len(notice)))
-    return len(words), sorted(base), sorted(found)
+    base = [(at, label) for phrase, label in PHRASES.items() for at in places(text, b" " + phrase.encode() + b" ")]
+    found = [(a + 1, b - 1, label, edits, len(notice)) for notice, label in NOTICES.items() for a, b, edits in fuzzy(text, notice)]
+    number = _word_numbers(text, [at for at, _ in base] + [p for a, b, *_ in found for p in (a, b)])
+    return len(words), sorted((number[at], label) for at, label in base), sorted((max(0, number[a] - 1), number[b], *rest) for a, b, *rest in found)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ def test_base_equals_brute_force(spark):
 
 
 def test_edits_and_edges(spark):
-    rows = [(1, None), (2, ""), (3, "MIT license mit licensee, MIT-License"), (None, "Relesed undr the MIT Licence."), (5, "permission is heraby granted, free of charge to any persn obtaining a copy of this softwear"), (6, "it is released and permitted"), (6, "it is released and permitted")]
+    rows = [(1, None), (2, ""), (3, "MIT license mit licensee, MIT-License"), (None, "Relesed undr the MIT Licence."), (5, "permission is heraby granted, free of charge to any persn obtaining a copy of this softwarre"), (6, "it is released and permitted"), (6, "it is released and permitted")]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
     got = {r["doc_id"]: r for r in m.license_scan(df).collect()}
     assert [p["word"] for p in got[3]["base"]] == [0, 4]
