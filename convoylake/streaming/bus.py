@@ -1,0 +1,65 @@
+"""Live feeds: a streaming query's rows fanned out to subscribers of this process."""
+
+from __future__ import annotations
+
+import queue
+import threading
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+
+_END = object()
+
+
+class Subscription:
+    """A subscriber's own first-in first-out queue; ends when closed."""
+
+    def __init__(self, bus: Bus, topic: str, region: str | None) -> None:
+        self._bus, self._topic, self._region = bus, topic, region
+        self._rows: queue.SimpleQueue = queue.SimpleQueue()
+
+    def push(self, row: dict) -> None:
+        if self._region is None or row.get("region") == self._region:
+            self._rows.put(row)
+
+    def __iter__(self) -> Iterator[dict]:
+        while (row := self._rows.get()) is not _END:
+            yield row
+
+    def close(self) -> None:
+        self._bus.leave(self._topic, self)
+        self._rows = queue.SimpleQueue()
+        self._rows.put(_END)
+
+
+class Bus:
+    """Subscribers by topic; what is published to nobody is dropped."""
+
+    def __init__(self) -> None:
+        self._lock, self._topics = threading.Lock(), {}
+
+    def subscribe(self, topic: str, region: str | None = None) -> Subscription:
+        new = Subscription(self, topic, region)
+        with self._lock:
+            self._topics.setdefault(topic, set()).add(new)
+        return new
+
+    def leave(self, topic: str, old: Subscription) -> None:
+        with self._lock:
+            self._topics.get(topic, set()).discard(old)
+
+    def publish(self, topic: str, row: dict) -> None:
+        with self._lock:
+            members = tuple(self._topics.get(topic, ()))
+        for member in members:
+            member.push(row)
+
+
+def feed(stream: DataFrame, bus: Bus, topic: str, checkpoint: str):
+    """Publishes a stream's rows as they come, a partition at a time; the checkpoint is not meant to be used again."""
+
+    def send(batch: DataFrame, _: int) -> None:
+        for row in batch.toLocalIterator():
+            bus.publish(topic, row.asDict())
+
+    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
