@@ -1,8 +1,8 @@
 """Cross-entropy difference scoring with a target and a background n-gram model over one vocabulary.
 
 Both models are bigram models interpolated with unigrams, over the words of all documents; the target
-model counts the documents marked as target, the background model counts all. No count is pruned.
-Documents are dealt into blocks. A block sends the hashes of its distinct words and word pairs, with its
+model counts the documents named as target, the background model counts all. No count is pruned.
+Documents and the names of targets are dealt into blocks by id. A block sends the hashes of its distinct words and word pairs, with its
 counts, to shards by hash (so a frequent word is one entry a block, whatever its count); a shard sums
 them and answers each block with the counts it asked for; the block then scores its documents. Texts are
 shuffled once, for both passes.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.llm.common import ALNUM, mix, table
@@ -48,53 +48,69 @@ def _cuts(distinct: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(distinct, np.array([s * step for s in range(shards)], np.uint64)), [len(distinct)]])
 
 
-def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def planes(a: np.ndarray) -> bytes:
+    """An array byte by byte, all lowest bytes first, so that the zeros of small numbers are together and compress."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cross-entropy difference of each document, in nats a word: ``score`` = target minus background, lower is closer to the target.
 
-    Returns one row per input row: the id, ``n_tokens``, ``target_entropy``, ``background_entropy``,
-    ``score``. Null texts and texts without words have no tokens and null entropies and score. With no
-    target documents the target model is uniform over the vocabulary. Repeated rows count as often as
-    they occur, null ids are kept, other columns are ignored, empty input gives an empty result.
+    ``targets`` has the ids of the target documents. Returns one row per input row: the id,
+    ``n_tokens``, ``target_entropy``, ``background_entropy``, ``score``. Null texts and texts without
+    words have no tokens and null entropies and score. With no target documents the target model is
+    uniform over the vocabulary. Repeated rows count as often as they occur, rows with a null id are
+    kept and are no targets, other columns are ignored, empty input gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), F.coalesce(target, F.lit(False)).alias("target"))
+    docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
     total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
-    dealt = docs.select(F.col("row").cast("string").alias("row"), "body", "target", F.pmod(F.xxhash64("row", "body"), F.lit(n)).alias("block"))
-
-    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+    block = F.pmod(F.when(F.col("row").isNull(), F.xxhash64("body")).otherwise(F.xxhash64("row")), F.lit(n)).alias("block")
+    dealt = docs.select(F.col("row").cast("string").alias("row"), "body", block)
+    named = targets.select(F.col(id_col).cast("bigint").alias("row")).where("row is not null").distinct().select(F.col("row").cast("string").alias("row"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("block"))
+
+    def ask(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        columns = ["shard", "block", "kind", "codes", "t", "b"]
+        if not len(rows):
+            return pd.DataFrame([], columns=columns)
         starts, words, pairs, vocab, both = block_codes(rows["body"].tolist())
-        marked = np.repeat(rows["target"].to_numpy(bool), np.diff(starts))
+        marked = np.repeat(rows["row"].isin(set(names["row"])).to_numpy(bool), np.diff(starts))
         out = []
         for kind, tokens, distinct in ((0, words, vocab), (1, pairs, both)):
             t, b = _sorted_counts(tokens, distinct, marked)
             cuts = _cuts(distinct, n)
-            out += [(s, int(rows["block"].iat[0]), kind, distinct[x:y].tobytes(), t[x:y].tobytes(), b[x:y].tobytes()) for s, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-        return pd.DataFrame(out, columns=["shard", "block", "kind", "codes", "t", "b"])
+            out += [(s, int(rows["block"].iat[0]), kind, planes(np.diff(distinct[x:y], prepend=np.uint64(0))), planes(t[x:y]), planes(b[x:y])) for s, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+        return pd.DataFrame(out, columns=columns)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, part in rows.groupby("kind"):
-            codes = [np.frombuffer(c, np.uint64) for c in part["codes"]]
+            codes = [np.cumsum(from_planes(c), dtype=np.uint64) for c in part["codes"]]
             distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.uint32) for x in part[c]]), minlength=len(distinct)) for c in "tb"]
+            sums = [np.bincount(at, weights=np.concatenate([from_planes(x, np.uint32) for x in part[c]]), minlength=len(distinct)).astype(np.uint64) for c in "tb"]
             ends = np.cumsum([0, *map(len, codes)])
             for block, x, y in zip(part["block"], ends, ends[1:]):
-                mine = [s[at[x:y]].astype(np.float32).tobytes() for s in sums]
+                mine = [planes(s[at[x:y]]) for s in sums]
                 out.append((block, rows["shard"].iat[0], kind, *mine, len(distinct), float(sums[0].sum()), float(sums[1].sum())))
         return pd.DataFrame(out, columns=["block", "shard", "kind", "t", "b", "size", "nt", "nb"])
 
     def score(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         starts, words, pairs, vocab, both = block_codes(rows["body"].tolist())
         counts = counts.sort_values("shard")
-        of = {(k, c): np.frombuffer(b"".join(counts[counts["kind"] == k][c]), np.float32).astype(np.float64) for k in (0, 1) for c in "tb"}
+        of = {(k, c): np.concatenate([np.zeros(0), *map(from_planes, counts[counts["kind"] == k][c])]) for k in (0, 1) for c in "tb"}
         single = counts[counts["kind"] == 0]
         size = single["size"].sum()
         w, p = np.searchsorted(vocab, words), np.searchsorted(both, pairs)
         first = np.zeros(len(words), bool)
         first[starts[:-1][starts[:-1] < len(words)]] = True
         entropies = []
-        for c, total in (("t", single["nt"].sum()), ("b", single["nb"].sum())):
-            one = (of[0, c][w] + ADDED) / (total + ADDED * max(1, size))
+        for c, all_words in (("t", single["nt"].sum()), ("b", single["nb"].sum())):
+            one = (of[0, c][w] + ADDED) / (all_words + ADDED * max(1, size))
             before = np.concatenate([[0.0], of[0, c][w][:-1]])[: len(w)]
             before[first] = 0
             weight = np.where(before > 0, PAIR_WEIGHT, 0.0)
@@ -104,7 +120,7 @@ def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", tex
             entropies.append(np.where(length > 0, (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(length, 1), np.nan))
         return pd.DataFrame({"row": rows["row"], "n_tokens": np.diff(starts), "t": entropies[0], "b": entropies[1]})
 
-    asked = dealt.groupBy("block").applyInPandas(ask, "shard int, block long, kind int, codes binary, t binary, b binary")
+    asked = dealt.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(ask, "shard int, block long, kind int, codes binary, t binary, b binary")
     answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, kind int, t binary, b binary, size long, nt double, nb double")
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row string, n_tokens long, t double, b double")
     t, b = F.nanvl("t", F.lit(None)), F.nanvl("b", F.lit(None))
@@ -113,9 +129,7 @@ def score_documents(docs: DataFrame, target: Column, id_col: str = "doc_id", tex
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against a target model of those labelled as of good quality and not toxic."""
-    labels = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id", F.lit(True).alias("good")).dropDuplicates(["doc_id"])
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return score_documents(docs, F.col("good"))
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"))
 
 
 QUERIES = {"op7_lm_scoring": op7_lm_scoring}
