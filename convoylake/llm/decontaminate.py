@@ -219,4 +219,16 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}
-ORACLES = {}
+_SPLIT = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES = {
+    "op3_decontaminate": f"""
+WITH d AS (SELECT doc_id, coalesce({_SPLIT.format("text")}, []) AS ws FROM documents),
+i AS (SELECT item_id, coalesce({_SPLIT.format("text")}, []) AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(13, len(ws)) AS m, list_slice(ws, k, k + least(13, len(ws)) - 1) AS win FROM (SELECT *, unnest(range(1, greatest(2, len(ws) - 11))) AS k FROM i WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT m FROM wins),
+found AS (SELECT doc_id, k, w.m, item_id FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM d, sizes WHERE len(ws) >= m) x JOIN wins w ON w.m = x.m AND w.win = list_slice(ws, k, k + x.m - 1)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN names ON names.doc_id = d.doc_id"""
+}
