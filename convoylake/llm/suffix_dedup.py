@@ -88,6 +88,15 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     return h[at].view(np.int64), context.view(np.int64), lo, hi - lo, at - lo
 
 
+def runs(h: np.ndarray, context: np.ndarray, lo: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal contexts of one anchor that overlap or touch, as in a line that repeats itself, as one row: with their number and the distance of the first and the last start."""
+    by = np.lexsort((lo, context, h))
+    h, context, lo, size, offset = (x[by] for x in (h, context, lo, size, offset))
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (lo[1:] - lo[:-1] > size[1:])]))
+    after = np.append(first[1:], len(h))
+    return h[first], context[first], lo[first], size[first], offset[first], after - first, lo[after - 1] - lo[first]
+
+
 class Level:
     """Contexts with suffix arrays around their anchors: orders of the text to the right and of the reversed text to the left, by anchor."""
 
@@ -212,9 +221,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for row, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "body"), strict=True):
                 if len(body) >= LENGTH:
-                    h, context, lo, size, offset = anchors(body)
+                    h, context, lo, size, offset, times, extent = runs(*anchors(body))
                     n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), pa.array(np.full(n, row)), pa.array(np.full(n, tag, np.int32)), pa.array(lo.astype(np.int32)), pa.array((size * 1024 + offset).astype(np.int32))], names=["h", "context", "row", "tag", "lo", "shape"])
+                    columns = [h, context, np.full(n, row), np.full(n, tag, np.int32), *(x.astype(np.int32) for x in (lo, size * 1024 + offset, times, extent))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "context", "row", "tag", "lo", "shape", "times", "extent"])
 
     def find_packed(batches):
         held, n = [], 0
@@ -227,12 +237,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    found = texts.select("row", "tag", "body").mapInArrow(find_packed, "h bigint, context bigint, row bigint, tag int, lo int, shape int")
-    often = found.groupBy("h").agg(F.count("*").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("several"))
+    found = texts.select("row", "tag", "body").mapInArrow(find_packed, "h bigint, context bigint, row bigint, tag int, lo int, shape int, times int, extent int")
+    often = found.groupBy("h").agg(F.sum("times").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("several"))
     again = found.join(often, "h")
-    again = store(again.select(F.when(F.col("several"), F.col("h")).alias("h"), F.when(F.col("several"), F.col("context")).alias("context"), "row", "tag", "lo", "shape"))
+    again = store(again.select(F.when(F.col("several"), F.col("h")).alias("h"), F.when(F.col("several"), F.col("context")).alias("context"), "row", "tag", "lo", "shape", "times", "extent"))
     open_ = again.where("h is not null")
-    distinct = store(open_.groupBy("h", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "tag", "lo", "shape")).alias("at")).select("h", "context", "copies", "at.*"))
+    distinct = store(open_.groupBy("h", "context").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "tag", "lo", "shape")).alias("at")).select("h", "context", "copies", "at.*"))
     wanted = distinct.groupBy("row", "tag").agg(F.collect_list(F.struct("h", "context", "copies", "lo", "shape")).alias("contexts"))
 
     def extract(batches):
@@ -271,21 +281,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         single = pieces.join(crowded, "h", "left_semi").dropDuplicates(["h", "context"]).mapInArrow(windows, "w binary, h bigint, context bigint, copies int, s int")
         twice = single.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
         results = results.unionByName(single.join(twice, "w").groupBy("h", "context").agg(F.min("s").cast("long").alias("first"), (F.max("s") + LENGTH).cast("long").alias("end")))
-    spans = again.where("h is null").select("row", "tag", F.col("lo").alias("s"), (F.col("lo") + F.expr("shape div 1024")).cast("int").alias("e"))
-    spans = spans.unionByName(open_.join(results, ["h", "context"]).select("row", "tag", (F.col("lo") + F.col("first")).cast("int").alias("s"), (F.col("lo") + F.col("end")).cast("int").alias("e")))
+    spans = again.where("h is null").select("row", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("extent") + F.expr("shape div 1024")).cast("int").alias("e"))
+    spans = spans.unionByName(open_.join(results, ["h", "context"]).select("row", "tag", (F.col("lo") + F.col("first")).cast("int").alias("s"), (F.col("lo") + F.col("extent") + F.col("end")).cast("int").alias("e")))
     spans = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def remove(batches):
         def rows():
             for batch in batches:
                 for row, body, spans, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), kept_columns.rows(batch), strict=True):
-                    runs = _merge([(x["s"], x["e"]) for x in spans or ()])
+                    gone = _merge([(x["s"], x["e"]) for x in spans or ()])
                     kept, at = [], 0
-                    for s, e in runs:
+                    for s, e in gone:
                         kept.append(body[at:s])
                         at = e
                     left = b"".join([*kept, body[at:]])
-                    yield None if row == NO_ID else row, len(body), runs, left, left.decode("utf-8", "ignore"), *rest
+                    yield None if row == NO_ID else row, len(body), gone, left, left.decode("utf-8", "ignore"), *rest
 
         return rows_out(pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary()), ("kept_text", pa.string()), *kept_columns.fields]), 500)(rows())
 
