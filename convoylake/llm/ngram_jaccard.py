@@ -214,8 +214,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def sign(batches):
         def rows():
             for batch in batches:
-                for rep, n, own, after, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    triples = sorted((t["pos"], t["token"] % (1 << 64), t["rare"]) for t in found)
+                found = batch.column(4)
+                pos, token, rare = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
+                token = token.view(np.uint64)
+                ends = np.cumsum(found.value_lengths().to_numpy()).tolist()
+                # Python objects are made for one row at a time
+                for rep, n, own, after, first, end in zip(*(c.to_pylist() for c in batch.columns[:4]), [0, *ends], ends):
+                    by = np.argsort(pos[first:end]) + first
+                    triples = list(zip(pos[by].tolist(), token[by].tolist(), rare[by].tolist(), strict=True))
                     sigs, alone, short = rare_signatures(n, percent, (own, after), triples)
                     for sig in sigs:
                         yield sig, rep, n, alone
@@ -227,8 +233,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def sign_cells(batches):
         def rows():
             for batch in batches:
-                for rep, tokens, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    s = np.array(tokens, np.int64).view(np.uint64)
+                flat = batch.column(1).flatten().to_numpy().view(np.uint64)
+                ends = np.cumsum(batch.column(1).value_lengths().to_numpy()).tolist()
+                for rep, alone, first, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), [0, *ends], ends):
+                    s = flat[first:end]
                     for sig in set(cell_signatures(s, percent).tolist()):
                         yield sig, rep, len(s), alone
 
