@@ -92,10 +92,10 @@ def band(n: int, percent: int) -> int:
 
 @cache
 def pool_end(b: int, percent: int) -> int:
-    """Hashes below this count in band ``b``: all for small sets, else a share that holds tau tokens and half as many more but for chances below 1e-9."""
+    """Hashes below this count in band ``b``: all for small sets, else a share that holds tau tokens and a quarter more but for chances of about 1e-8; sets with fewer are indexed by cells."""
     low = bounds(percent)[max(0, b - 1)]
     lost = (100 - percent) / 100
-    share = 1.6 * lost + 4.5 * (lost / low) ** 0.5 + 10 / low
+    share = 1.25 * lost + 4 * (lost / low) ** 0.5 + 6 / low
     return (1 << 64) - 1 if share >= 1 else int(share * (1 << 64))
 
 
