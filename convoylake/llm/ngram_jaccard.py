@@ -49,8 +49,8 @@ _WORDS: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the cache is emptied at 500,000 words."""
-    if len(_WORDS) > 500_000:
+    """64-bit hashes of words; the cache is emptied at 50,000 words."""
+    if len(_WORDS) > 50_000:
         _WORDS.clear()
     for w in words:
         if w not in _WORDS:
