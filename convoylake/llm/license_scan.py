@@ -2,8 +2,9 @@
 
 Each notice is split into ``errors + 1`` seeds; a text within that many edits of the notice holds one of
 the seeds unchanged (pigeonhole), so only places where a seed stands in the normalised text are looked
-at: the regex library's bounded-error matching verifies the stretch around it and gives span and number
-of edits. Phrases are searched exactly beside that. Everything happens where the document is; nothing
+at. The fewest edits of the notice in the stretch around one come from a bit-parallel edit distance, whose
+cost does not depend on the number of edits; where they are within the bound, the regex library's
+bounded-error matching, with that number as its bound, gives the span. Phrases are searched exactly beside that. Everything happens where the document is; nothing
 is shuffled.
 """
 
@@ -20,7 +21,7 @@ from convoylake.llm.common import ALNUM, column_bytes, rows_out, table
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices (as normalised words) and their labels; found with up to one edit in eight letters, four at most.
+#: Short notices (as normalised words) and their labels; found with up to one edit in eight letters.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -33,15 +34,49 @@ NOTICES = {
     "subject to the terms of the mozilla public license": "mpl",
     "all rights reserved": "all-rights-reserved",
 }
-EDIT_SHARE, MOST_EDITS = 8, 4
+EDIT_SHARE = 8
 
 
 @cache
 def _compiled(notice: str) -> tuple[regex.Pattern, list[bytes], int]:
-    errors = min(MOST_EDITS, len(notice) // EDIT_SHARE)
+    errors = len(notice) // EDIT_SHARE
     cuts = [len(notice) * k // (errors + 1) for k in range(errors + 2)]
     seeds = [notice[a:b].encode() for a, b in zip(cuts, cuts[1:])]
-    return regex.compile(b"(?:" + regex.escape(notice).encode() + b"){e<=%d}" % errors, regex.BESTMATCH), seeds, errors
+    return _pattern(notice, errors), seeds, errors
+
+
+@cache
+def _pattern(notice: str, errors: int) -> regex.Pattern:
+    return regex.compile(b"(?:" + regex.escape(notice).encode() + b"){e<=%d}" % errors, regex.BESTMATCH)
+
+
+@cache
+def _letters(notice: str) -> list[int]:
+    """For each byte the set of its positions in the notice, as bits."""
+    out = [0] * 256
+    for k, b in enumerate(notice.encode()):
+        out[b] |= 1 << k
+    return out
+
+
+def fewest_edits(stretch: bytes, notice: str) -> int:
+    """The least edit distance between the notice and any substring of a stretch (Myers, bit by bit in one integer)."""
+    letters, size = _letters(notice), len(notice)
+    ones, last = (1 << size) - 1, 1 << size - 1
+    up, down = ones, 0
+    best = now = size
+    for b in stretch:
+        equal = letters[b]
+        across = ((equal & up) + up) ^ up | equal
+        more, less = (down | ~(across | up)) & ones, up & across
+        if more & last:
+            now += 1
+        elif less & last:
+            now -= 1
+            best = min(best, now)
+        more, less, equal = more << 1, less << 1, equal | down
+        up, down = (less | ~(equal | more)) & ones, more & equal & ones
+    return best
 
 
 def places(text: bytes, part: bytes) -> list[int]:
@@ -55,7 +90,8 @@ def places(text: bytes, part: bytes) -> list[int]:
 @lru_cache(100_000)
 def _verified(stretch: bytes, notice: str) -> tuple[int, int, int] | None:
     """The best match of the notice in a stretch of its length and twice the edits: start, end, edits."""
-    m = _compiled(notice)[0].search(stretch)
+    edits = fewest_edits(stretch, notice)
+    m = _pattern(notice, edits).search(stretch) if edits <= _compiled(notice)[2] else None
     return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
 
 

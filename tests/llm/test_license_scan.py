@@ -52,3 +52,40 @@ def test_pigeonhole_loses_nothing():
             s[k : k + 1] = rng.choice([[], [rng.choice("abc ")], [s[k], rng.choice("xyz")]])
         text = ("x y " + "".join(s) + " z w").encode()
         assert bool(m.fuzzy(text, notice)) == bool(pattern.search(text))
+
+
+def test_fewest_edits_equals_the_table():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        notice, text = ("".join(rng.choice("ab ") for _ in range(n)) for n in (rng.randrange(1, 12), rng.randrange(20)))
+        row = list(range(len(notice) + 1))
+        best = row[-1]
+        for c in text:
+            left = row
+            row = [0]
+            for k, d in enumerate(notice):
+                row.append(min(left[k] + (c != d), left[k + 1] + 1, row[k] + 1))
+            best = min(best, row[-1])
+        assert m.fewest_edits(text.encode(), notice) == best
+
+
+def test_one_edit_in_eight_letters_is_found():
+    def spans(text):
+        return [(first, end, label, edits) for first, end, label, edits, _ in m.scan_text(text.encode())[2]]
+
+    # the text of the first version of test_edits_and_edges: four edits and more
+    assert spans("permission is heraby granted, free of charge to any persn obtaining a copy of this softwear")[0][:3] == (0, 16, "mit")
+    assert spans("Permision is herby grantd, free of chrge to any persn obtainin a copi of this softwar.") == [(0, 16, "mit", 8)]
+    assert spans("so: redistributon and uze in sorce and binery forms, with or wthout modificaton, are permited") == [(1, 15, "bsd", 7)]
+    assert spans("subjct to the tirms of the mozila publc license")[0][2:] == ("mpl", 4) and spans("subjct to the tirms of the mozila publc licens")[0][2:] == ("mpl", 5)
+    assert [v for *_, v, _ in spans("Permision is hereby granted to any person obtaining a copy of this software")] == []  # 16 edits, the bound is 11
+    assert spans("Permission is hereby granted to any person obtaining a copy of the software") == []
+    assert spans("Permission is hereby granted free to any person obtaining a copy of this software") == [(0, 14, "mit", 10)]
+    for notice in m.NOTICES:
+        errors = len(notice) // 8
+        bad = list(notice)
+        for k in range(errors):
+            bad[4 + 8 * k - (bad[4 + 8 * k] == " ")] = "#"
+        assert [e for *_, e in m.fuzzy(b" x " + "".join(bad).encode() + b" y ", notice)] == [errors], notice
