@@ -3,10 +3,12 @@
 Pages of one host are merged into a style tree: a node for each path of block elements, with the number
 of pages that have it, the child sequences it occurs with (its presentation styles) and the texts that
 stand in it. A node's importance is its composite entropy: presentation that differs between pages and
-content that few pages share are important, what all pages of the site repeat is not. Branches of low
-importance are removed from each page, besides branches that their markup declares to be navigation,
-adverts, forms, comments and the like. Text inside ``article`` or ``main`` is declared main text: such
-a page keeps that text, whatever other pages repeat.
+content that few pages share are important, what all pages of the site repeat is not; the texts of a
+node are its leaves and are judged one by one too. Branches and texts of low importance are removed from
+each page, inside ``article`` and ``main`` as elsewhere, besides branches that their tag or role declares
+to be navigation, forms and the like, and branches with a class that says so and little of the page's
+text. ``article`` and ``main`` are a prior: a page keeps its text there alone unless the text elsewhere
+that is left outweighs it, and keeps what its site repeats there if nothing else is left of it.
 
 The tree is aggregated with partial sums by (host, path, feature), so a host with very many pages is no
 single group; only the removed paths of each host come back to the pages.
@@ -29,6 +31,10 @@ from convoylake.llm.common import rows_out, store, table
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.3
 #: Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
+#: Letters elsewhere that a letter in article or main outweighs.
+MAIN_PRIOR = 2
+#: A branch with a noise class and more of the page's text than this is no noise.
+LARGE_SHARE = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -42,6 +48,8 @@ _NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs"
     " footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar copyright disclaimer".split()
 )
+#: Words that beside a noise word in one class token leave it one.
+_NEUTRAL = frozenset("bar block bottom box btn button container content global id inner item items left link links list main page panel right section site slot top unit widget wrap wrapper zone".split())
 _REMARKS = frozenset("comment comments disqus reply replies".split())
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("ul ol dl table div section article main body html".split())
@@ -55,29 +63,37 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _marks(rest: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, role, and whether the element is hidden."""
+def _marks(rest: str) -> tuple[set[str], set[str], str, bool]:
+    """Words of class and id, the noise words among them whose whole token says so, role, and whether the element is hidden."""
     words: set[str] = set()
+    noise: set[str] = set()
     role, hidden = "", False
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words.update(re.findall(r"[a-z]+", value))
+            for token in value.split():
+                parts = set(re.findall(r"[a-z]+", token))
+                words |= parts
+                if parts <= _NOISE_WORDS | _NEUTRAL:
+                    noise |= parts & _NOISE_WORDS
         elif name == "role":
             role = value
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return words, role, hidden
+    return words, noise, role, hidden
 
 
 class Page:
     """Blocks of a page: ``blocks`` holds (path, kind, text), kind 2 for declared main text, 1 for undeclared; noise is left out. ``styles`` has the child sequences of the elements by path."""
 
     def __init__(self, html: str) -> None:
-        self.blocks: list[tuple[str, int, str]] = []
         self.styles: list[tuple[str, str]] = []
-        # an element: tag, path, main, noise, tags of its children
-        self.stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+        self.found: list[tuple[str, int, str, tuple[int, ...]]] = []
+        # letters in each branch with a noise class, and whether it is of remarks
+        self.letters: list[int] = []
+        self.remarks: list[bool] = []
+        # an element: tag, path, main, noise, branches with a noise class that it is in, tags of its children
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...], list[str]]] = [("", "", False, False, (), [])]
         self.text: list[str] = []
         at = 0
         while (m := _TAG.search(html, at)) is not None:
@@ -90,18 +106,27 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
+        self.blocks = self._judged()
+
+    def _judged(self) -> list[tuple[str, int, str]]:
+        """The blocks outside the branches with a noise class; such a branch stays if it holds much of the text and is not of remarks."""
+        total = sum(len(text) for _, _, text, _ in self.found)
+        large = [n > LARGE_SHARE * total and not remarks for n, remarks in zip(self.letters, self.remarks, strict=True)]
+        return [(path, kind, text) for path, kind, text, branches in self.found if all(large[b] for b in branches)]
 
     def _flush(self) -> None:
         if self.text:
             raw = "".join(self.text)
             self.text = []
-            _, path, main, noise, _ = self.stack[-1]
+            _, path, main, noise, branches, _ = self.stack[-1]
             if not noise and (text := " ".join((entities.unescape(raw) if "&" in raw else raw).split())):
-                self.blocks.append((path, 2 if main else 1, text))
+                self.found.append((path, 2 if main else 1, text, branches))
+                for b in branches:
+                    self.letters[b] += len(text)
 
     def _pop(self) -> None:
-        _, path, main, noise, children = self.stack.pop()
-        if not main and not noise:
+        _, path, _, noise, branches, children = self.stack.pop()
+        if not noise and not branches:
             self.styles.append((path, ">".join(dict.fromkeys(children))))
 
     def _tag(self, html: str, at: int, closing: bool, tag: str, rest: str) -> int:
@@ -127,26 +152,28 @@ class Page:
             elif tag == "br":
                 self.text.append(" ")
             return at
-        words, role, hidden = _marks(rest) if rest and not rest.isspace() else (set(), "", False)
+        words, marked, role, hidden = _marks(rest) if rest and not rest.isspace() else (set(), set(), "", False)
         if tag in _INLINE:
-            if not hidden and not words & _NOISE_WORDS:
+            if not hidden and not marked:
                 return at
             self._flush()
         else:
             self._flush()
             self._close_implied(tag)
-        _, path, main, noise, children = self.stack[-1]
+        _, path, main, noise, branches, children = self.stack[-1]
         children.append(tag)
         if tag in ("html", "body"):
             pass
         elif (tag in ("article", "main") or role == "main") and not words & _REMARKS and not hidden:
             # an article inside comments or a list of related ones stays what surrounds it
-            main, noise = True, noise and main
+            main, noise, branches = True, noise and main, branches if main else ()
         elif hidden or tag in _NOISE_TAGS or role in _NOISE_ROLES or tag == "header" and not main:
             noise = True
-        elif words & (_NOISE_WORDS - {"header"} if main else _NOISE_WORDS):
-            noise = True
-        self.stack.append((tag, f"{path}/{tag}" + "".join(f".{w}" for w in sorted(words)), main, noise, []))
+        elif not noise and (marked - {"header"} if main else marked):
+            branches += (len(self.letters),)
+            self.letters.append(0)
+            self.remarks.append(bool(marked & _REMARKS))
+        self.stack.append((tag, f"{path}/{tag}" + "".join(f".{w}" for w in sorted(words)), main, noise, branches, []))
         return at
 
     @staticmethod
@@ -172,14 +199,26 @@ class Page:
                 return
 
 
-def kept_text(blocks: list[tuple[str, int, str]], removed: set[str]) -> str:
-    """Declared main text if there is any, else the blocks outside the removed branches; joined by an empty line."""
-    best = max((kind for _, kind, _ in blocks), default=0)
-    return "\n\n".join(text for path, kind, text in blocks if kind == best and (kind == 2 or not any(path == r or path.startswith(r + "/") for r in removed)))
+def leaf(path: str, text: str) -> int:
+    """A text at its node, as a signed number."""
+    return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
+
+
+def kept_text(blocks: list[tuple[str, int, str]], removed: set[str], leaves: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks outside the removed branches and texts, joined by an empty line: those declared to be main text, or all if the others outweigh them."""
+
+    def stays(path: str, text: str) -> bool:
+        return not (leaves and leaf(path, text) in leaves) and not (removed and any(path == r or path.startswith(r + "/") for r in removed))
+
+    left = [b for b in blocks if stays(b[0], b[2])]
+    main, other = (sum(len(text) for _, kind, text in left if kind == k) for k in (2, 1))
+    if other > MAIN_PRIOR * sum(len(text) for _, kind, text in blocks if kind == 2):
+        return "\n\n".join(text for _, _, text in left)
+    return "\n\n".join(text for _, kind, text in (left if main else blocks) if kind == 2)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Nodes of each host's style tree: host, path, pages and importance, from page_id, host and html."""
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes of each host's style tree (host, path, pages, importance) and the texts that it repeats (host, path, feature, k: pages that have it), from page_id, host and html."""
 
     def features(batches):
         def rows():
@@ -187,9 +226,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     page = Page(html or "")
                     seen = {(path, 0, xxhash.xxh3_64_intdigest(style) - (1 << 63)) for path, style in page.styles if path}
-                    for path, kind, text in page.blocks:
-                        if kind == 1 and path:
-                            seen.add((path, 1, xxhash.xxh3_64_intdigest(text) - (1 << 63)))
+                    seen |= {(path, 1, leaf(path, text)) for path, _, text in page.blocks}
                     for path, part, feature in seen:
                         yield host, path, part, feature
                     for path in {p for p, _, _ in seen}:
@@ -198,7 +235,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return rows_out(pa.schema([("host", pa.string()), ("path", pa.string()), ("part", pa.int32()), ("feature", pa.int64())]), 10_000)(rows())
 
     found = pages.select("host", "html").mapInArrow(features, "host string, path string, part int, feature bigint")
-    counts = found.groupBy("host", "path", "part", "feature").agg(F.count("*").alias("k"))
+    counts = store(found.groupBy("host", "path", "part", "feature").agg(F.count("*").alias("k")))
     # sums from which entropies to the base of the number of pages follow
     sums = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("part") == 2, F.col("k"))).alias("pages"),
@@ -211,7 +248,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     presentation = F.coalesce((F.log("styles") - F.col("styles_log") / F.col("styles")) / base, F.lit(0.0))
     content = F.coalesce(1 - F.col("texts_log") / F.col("texts") / base, F.lit(1.0))  # a text on k of m pages has the entropy log k / log m
     importance = F.when(F.col("pages") > 1, CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * F.least(presentation, F.lit(1.0))).otherwise(1.0)
-    return sums.select("host", "path", "pages", importance.alias("importance"))
+    return sums.select("host", "path", "pages", importance.alias("importance")), counts.where((F.col("part") == 1) & (F.col("k") >= LEAST_PAGES)).select("host", "path", "feature", "k")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -229,20 +266,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     pages = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     sited = pages.mapInArrow(hosts, "id bigint, url string, html string, host string")
-    low = style_tree(sited).where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    removed = store(low.groupBy("host").agg(F.collect_set("path").alias("removed")))
+    nodes, texts = style_tree(sited)
+    nodes = store(nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("path") != "")))
+    low = nodes.where(F.col("importance") < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("removed"))
+    # a text is a leaf of content importance 1 - log k / log pages; on less than half of its node's pages it stays
+    common = texts.join(nodes, ["host", "path"]).where((F.col("k") * 2 >= F.col("pages")) & (1 - F.log("k") / F.log("pages") < LEAST_IMPORTANCE))
+    removed = store(low.join(common.groupBy("host").agg(F.collect_set("feature").alias("leaves")), "host", "full"))
 
     def cut(batches):
         def rows():
             for batch in batches:
-                for i, url, html, paths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    text = kept_text(Page(html or "").blocks, set(paths or ()))
+                for i, url, html, paths, leaves in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    text = kept_text(Page(html or "").blocks, set(paths or ()), set(leaves or ()))
                     yield i, url, text, len(text)
 
         return rows_out(pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())]), 500)(rows())
 
     # Spark broadcasts the removed paths if they are few, else it joins by host and splits crowded hosts
-    out = sited.join(removed, "host", "left").select("id", "url", "html", "removed").mapInArrow(cut, "id bigint, url string, text string, n_chars bigint")
+    out = sited.join(removed, "host", "left").select("id", "url", "html", "removed", "leaves").mapInArrow(cut, "id bigint, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -44,3 +44,26 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(got[100 + k] == ["Same words"] for k in range(8))
     assert got[200] == ["alone"] and got[201] == [""] and got[202] == [""] and got[None] == ["q"] and got[203] == ["q", "q"]
     assert m.extract(df.limit(0)).count() == 0
+
+
+def test_class_words():
+    def kept(html):
+        return m.kept_text(m.Page(html).blocks, set())
+
+    assert kept("<body><div class='page with-sidebar'><p>All the text of this page</p><div class='sidebar'>no</div></div></body>") == "All the text of this page"
+    assert kept("<div class=banner><p>Much the larger part of the page</p><div class=promo>no</div></div><p>and the rest</p>") == "Much the larger part of the page\n\nand the rest"
+    assert kept("<p>Short text</p><div class='comments'>Much longer remarks of readers on it</div>") == "Short text"
+    # one teaser does not stand for a page whose body is elsewhere; a short line elsewhere does not join the main text
+    assert kept("<div><p>The body of the page, told at some length.</p></div><article>Teaser</article>") == "The body of the page, told at some length.\n\nTeaser"
+    assert kept("<article>The body of the page, told at some length.</article><div>By line</div>") == "The body of the page, told at some length."
+
+
+def test_style_tree_reaches_into_main_text(spark):
+    rows = [(k, f"http://d.example/{k}", f"<article><p>Story number {k} is told.</p><p>It goes on for {k} lines.</p><div class=extra><p>Become a member</p></div><p>Read our terms.</p></article>") for k in range(12)]
+    rows += [(100 + k, "http://e.example/", "<main><p>The same page</p></main>") for k in range(6)]
+    rows += [(200 + k, "http://f.example/", f"<main><p>Story {k}.</p><p>Twice told</p></main>" if k < 3 else f"<main><p>Story {k}.</p></main>") for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in m.extract(df).collect()}
+    assert all(got[k] == f"Story number {k} is told.\n\nIt goes on for {k} lines." for k in range(12))
+    assert all(got[100 + k] == "The same page" for k in range(6))
+    assert all(got[200 + k] == (f"Story {k}.\n\nTwice told" if k < 3 else f"Story {k}.") for k in range(9))
