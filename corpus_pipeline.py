@@ -39,9 +39,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark items do not contaminate."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS)
-    return found.where("not contaminated").select(*COLUMNS)
+    """Documents that benchmark items do not contaminate, without the spans of items that stand in them."""
+    others = tuple(c for c in COLUMNS if c not in ("doc_id", "text"))
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_text=True, keep=others)
+    length = F.when(F.col("n_hit") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return found.where("not contaminated").select(*[length.alias(c) if c == "n_chars" else c for c in COLUMNS])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_stages_return_the_columns_of_documents(spark):
         out = stage(spark, df, SMALL)
         assert out.dtypes == df.dtypes
         assert {r["text"] for r in out.collect()} >= {"the sea and the king"}
+
+
+def test_contamination_removes_items_under_the_limit(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) >= 13)
+    far = " ".join(f"q{k}x" for k in range(40 * len(item.split())))
+    rows = [(1, f"{far} {item} {far}", "en", "s", 2 * len(far) + len(item) + 2), (2, item, "en", "s", len(item)), (3, far, "en", "s", 7), (4, None, None, "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in p.contamination(spark, df, SMALL).collect()}
+    assert set(got) == {1, 3, 4} and got[3] == (far, 7) and got[4] == (None, None)
+    left = got[1][0]
+    assert left.split()[: len(far.split())] == far.split() and item not in left and item.split()[3] not in left.split()
+    assert got[1][1] == len(left) < rows[0][4]
