@@ -29,9 +29,13 @@ def numbered(df: DataFrame, key: str, order: str, name: str, width: int = BUCKET
     return df.withColumn("_inside", inside).join(sums, [key, "_bucket"]).withColumn(name, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_bucket", "_inside", "_before")
 
 
-def event_clock(df: DataFrame, key: str, order: str, time: str = "occurred_at", width: int = BUCKET) -> DataFrame:
-    """Adds ``clock``: the largest event time so far in the key's arrival order, the row's own included."""
-    df, sums = _bucketed(df, key, order, F.max(time), F.max("_total"), width)
+def event_clock(df: DataFrame, key: str, order: str, time: str = "occurred_at", width: int = BUCKET, final: str | None = None) -> DataFrame:
+    """Adds ``clock``: the largest event time so far in the key's arrival order, the row's own included; and, as ``final`` if named, the key's last clock."""
+    df = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = [] if final is None else [F.max("_total").over(Window.partitionBy(key)).alias(final)]
+    # a small row a bucket, so the prefix over a key is short and Spark can broadcast it
+    sums = df.groupBy(key, "_bucket").agg(F.max(time).alias("_total")).select(key, "_bucket", F.max("_total").over(earlier).alias("_before"), *last)
     inside = F.max(time).over(Window.partitionBy(key, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_inside", inside).join(sums, [key, "_bucket"]).withColumn("clock", F.greatest("_inside", "_before")).drop("_bucket", "_inside", "_before")
 
@@ -44,7 +48,8 @@ def hopping_starts(time: str, size_ms: int, hop_ms: int) -> Column:
 
 def open_windows(df: DataFrame, size_ms: int, hop_ms: int, grace_ms: int = GRACE_MS) -> DataFrame:
     """A row for each event and window that still takes it: window end after the clock less the grace; needs ``clock``."""
-    out = df.withColumn("window_start", F.explode(hopping_starts("occurred_at", size_ms, hop_ms))).withColumn("window_end", F.col("window_start") + size_ms)
+    starts = hopping_starts("occurred_at", size_ms, hop_ms)
+    out = df.withColumn("window_start", F.explode(starts) if size_ms > hop_ms else starts[0]).withColumn("window_end", F.col("window_start") + size_ms)
     return out.where(F.col("window_end") > F.col("clock") - grace_ms)
 
 

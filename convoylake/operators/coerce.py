@@ -35,6 +35,18 @@ def coerce_rollups(raw: DataFrame) -> DataFrame:
     return raw.withColumn("reason", _first([(F.col("region").isNull(), "region"), (~F.col("count_text").rlike(r"^-?\d+$"), "event_count"), (_number("avg_speed_kph"), "avg_speed_kph")])).withColumn("event_count", F.expr("try_cast(case when count_text rlike '^-?[0-9]+$' then count_text end as bigint)"))
 
 
+INT32 = (-(1 << 31), (1 << 31) - 1)
+
+
+def api_row_checks(rows: DataFrame, enums: dict[str, tuple[str, ...]], ints: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> DataFrame:
+    """Rows on their way out of the read model: values of their enums, whole numbers of 32 bits, dates that exist."""
+    checks = [(~F.col(c).isin(*values), c) for c, values in enums.items()]
+    checks += [(~F.col(c).between(*INT32), c) for c in ints]
+    # the range of instants that an ISO date can show
+    checks += [(F.abs(F.col(c)) > 8_640_000_000_000_000, c) for c in dates]
+    return rows.withColumn("reason", _first(checks))
+
+
 def api_event_map(raw: DataFrame) -> DataFrame:
     """Live events: non-empty texts; times as whole numbers of milliseconds or ISO-8601 texts."""
     whole = F.col("occurred_text").rlike(r"^-?\d+$")

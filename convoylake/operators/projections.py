@@ -21,6 +21,14 @@ def positions_current(events: DataFrame, swap_coordinates: bool = False) -> Data
     return events.groupBy("vehicle_id").agg(F.max_by(payload, F.struct("occurred_at", -F.col("seq"))).alias("b")).select("vehicle_id", "b.*")
 
 
+def vehicle_states(events: DataFrame) -> DataFrame:
+    """Vehicles with their positions in one fold: what ``vehicles_current`` and ``positions_current`` give, joined by vehicle."""
+    seen = F.max_by(F.struct("region", "status"), F.struct("occurred_at", "seq"))
+    place = F.max_by(F.struct("lat", "lon", "speed_kph", "heading_deg", F.col("occurred_at").alias("updated_at"), "battery_pct"), F.struct("occurred_at", -F.col("seq")))
+    rows = events.groupBy(F.col("vehicle_id").alias("id")).agg(seen.alias("v"), F.max("occurred_at").alias("last_seen"), place.alias("p"))
+    return rows.select("id", "v.*", "last_seen", "p.*")
+
+
 def event_history(events: DataFrame, arrival: str = "seq", swap_coordinates: bool = False) -> DataFrame:
     """The first arrival of each event id."""
     lat, lon = ("lon", "lat") if swap_coordinates else ("lat", "lon")

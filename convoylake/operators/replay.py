@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOPIC_PARTITIONS = {"vehicle-events": 6, "anomalies": 6, "rollups-1m": 3}
-#: Rows of a table digest's block.
-BLOCKS = 64
 
 
 def replay_bounded(events: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -34,17 +33,51 @@ def replay_since(events: DataFrame, since_ms: int) -> DataFrame:
     return events.where(F.col("occurred_at") >= since_ms).groupBy("part").agg((F.min("off") - 1).alias("seed"))
 
 
-def table_digest(table: DataFrame, key: list[str]) -> DataFrame:
-    """Row count and SHA-256 of a table in key order, independent of its partitioning.
+def table_digest(table: DataFrame, columns: list[Column]) -> DataFrame:
+    """Row count and digest of a table's rows as texts, whatever their order and partitioning.
 
-    Rows are digested in blocks by a hash of their key, each block in key order, and the digest of the
-    table is that of its blocks' digests in order: no task holds the whole table.
+    A row's text is its values with their lengths; the digest is the sums of both halves (60 bits each)
+    of the rows' MD5, so it adds up with partial sums and no task holds more than a row. Equal tables
+    have equal digests, a row more or less or otherwise changes it.
     """
-    text = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
-    rows = table.select(F.pmod(F.xxhash64(*key), F.lit(BLOCKS)).alias("block"), F.struct(*key).alias("k"), F.sha2(F.concat(F.length(text).cast("string"), F.lit(":"), text), 256).alias("d"))
-    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]), ""), 256).alias("d"))
-    digest = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), ""), 256)
-    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), digest.alias("sha256"))
+    texts = [F.coalesce(c.cast("string"), F.lit("~")) for c in columns]
+    h = F.md5(F.concat_ws("|", *[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]).cast("binary"))
+    halves = [F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+    sums = [F.coalesce(F.sum(x), F.lit(0).cast("decimal(30,0)")).cast("string") for x in halves]
+    return table.agg(F.count("*").alias("rows"), F.concat(sums[0], F.lit("-"), sums[1]).alias("digest"))
+
+
+def unexpected(found: DataFrame, expected: DataFrame, different: bool = False) -> DataFrame:
+    """The tables (name, digest) whose digests are not as expected: not equal, or with ``different`` not different."""
+    both = found.select("name", F.col("digest").alias("found")).join(expected.select("name", F.col("digest").alias("expected")), "name", "full")
+    same = F.col("found").eqNullSafe(F.col("expected"))
+    return both.where(same if different else ~same)
+
+
+def watermark_of(captured: DataFrame, topic: str, captured_at: str) -> dict:
+    """A watermark file's content for one topic from ``capture_watermark`` (a row a partition); partitions without events are empty."""
+    rows = {r["part"]: r for r in captured.collect()}
+    n = range(TOPIC_PARTITIONS[topic])
+    return {
+        "version": 1, "captured_at": captured_at,
+        "topics": {topic: {str(k): rows[k]["target"] if k in rows else -1 for k in n}},
+        "low_offsets": {topic: {str(k): rows[k]["low"] if k in rows else 0 for k in n}},
+    }
+
+
+def write_watermark(spark: SparkSession, mark: dict, path: str) -> None:
+    """The watermark as one JSON line in a folder of whatever file system Spark writes to."""
+    spark.createDataFrame([(json.dumps(mark),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_watermark(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def starting_offsets(reached: DataFrame, topic: str) -> str:
+    """Where a replay goes on, as the Kafka source's ``startingOffsets``: after the last offset of each partition (part, last_offset), from the earliest where there is none."""
+    last = {r["part"]: r["last_offset"] for r in reached.collect()}  # a row a partition
+    return json.dumps({topic: {str(k): last[k] + 1 if k in last else -2 for k in range(TOPIC_PARTITIONS[topic])}})
 
 
 def validate_watermark(mark: dict) -> list[str]:

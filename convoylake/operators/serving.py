@@ -55,10 +55,10 @@ def vehicle_anomalies(vehicles: DataFrame, anomalies: DataFrame, since_ms: int |
     return vehicles.join(lists, "id", "left").withColumn("anomalies", F.coalesce("anomalies", empty))
 
 
-def vehicles_nested(vehicles: DataFrame, positions: DataFrame, history: DataFrame, anomalies: DataFrame, k: int = RECENT, since_ms: int | None = None) -> DataFrame:
-    """Each vehicle with its position, its k newest events and its anomalies."""
+def vehicles_nested(states: DataFrame, history: DataFrame, anomalies: DataFrame, k: int = RECENT, since_ms: int | None = None) -> DataFrame:
+    """Each vehicle (with its position, as ``projections.vehicle_states`` or ``vehicle_positions_join`` give them) with its k newest events and its anomalies."""
     recent = recent_events(history, k).groupBy(F.col("vehicle_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("occurred_at", "event_id", "speed_kph")), asc=False).alias("recent"))
-    out = vehicle_positions_join(vehicles, positions).join(recent, "id", "left")
+    out = states.join(recent, "id", "left")
     out = out.withColumn("recent", F.coalesce("recent", F.expr("cast(array() as array<struct<occurred_at:bigint,event_id:bigint,speed_kph:double>>)")))
     return vehicle_anomalies(out, anomalies, since_ms)
 

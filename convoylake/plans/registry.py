@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.functions import scalars as fn
 from convoylake.operators import clock, coerce, projections, replay, serving, views, windows
-from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, reader_projection
+from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, fleet_rows, per_region, reader_projection
 
 NOW = EPOCH_MS + 21_600_000
 SINCE = EPOCH_MS + 10_800_000
@@ -48,10 +48,14 @@ def _with(body: str, *parts: str) -> str:
 
 
 class Model:
-    """The read model of a data directory, each table when first asked for."""
+    """The read model of a data directory, each table when first asked for. ``events`` is the log without offsets, ``log`` with them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.events = spark, fleet_events(spark, sf_dir)
+        self.spark, self.sf_dir, self.events = spark, sf_dir, fleet_rows(spark, sf_dir)
+
+    @property
+    def log(self) -> DataFrame:
+        return fleet_events(self.spark, self.sf_dir)
 
     @property
     def vehicles(self) -> DataFrame:
@@ -61,6 +65,10 @@ class Model:
     def positions(self) -> DataFrame:
         return projections.positions_current(self.events)
 
+    @property
+    def states(self) -> DataFrame:
+        return projections.vehicle_states(self.events)
+
     @property
     def history(self) -> DataFrame:
         return projections.event_history(self.events)
@@ -109,7 +117,7 @@ corrupted AS (SELECT event_id, copy, CASE WHEN event_id % 101 = 7 THEN NULL WHEN
 """
 
 # sources and decoding
-_add("scan_events", lambda m: m.events.selectExpr(*EVENT_COLUMNS.split(", ")), f"SELECT {EVENT_COLUMNS} FROM fleet")
+_add("scan_events", lambda m: m.log.selectExpr(*EVENT_COLUMNS.split(", ")), f"SELECT {EVENT_COLUMNS} FROM fleet")
 _add("reader_v1", lambda m: reader_projection(m.events, 1), "SELECT event_id, vehicle_id, region, lat, lon, speed_kph, heading_deg, status, occurred_at FROM fleet")
 _add(
     "coerce_events", lambda m: coerce.coerce_events(_corrupted(m)).select("event_id", "copy", "reason", "occurred_at"),
@@ -141,12 +149,12 @@ _add("region_rollups", lambda m: _rounded(m.rollups, "avg_speed_kph"), f"SELECT
 _add("speed_anomalies", lambda m: m.anomalies, f"SELECT {ANOMALY_COLUMNS} FROM anomalies", ANOMALY_SQL)
 _add("speed_violations", lambda m: m.events.where(windows.violates(F.col("speed_kph"))).select("event_id", "copy", "vehicle_id", "speed_kph"), "SELECT event_id, copy, vehicle_id, speed_kph FROM fleet WHERE speed_kph > 120")
 _add("event_clock", lambda m: clock.event_clock(m.events, "region", "seq").select("event_id", "copy", "clock"), "SELECT event_id, copy, clock FROM r_clock", ROLLUP_SQL)
-_add("late_filter", lambda m: clock.open_windows(clock.event_clock(m.events, "part", "off"), 300_000, 60_000).groupBy("event_id", "copy").agg(F.count("*").alias("windows")), "SELECT event_id, copy, count(*) AS windows FROM a_open GROUP BY event_id, copy", ANOMALY_SQL)
+_add("late_filter", lambda m: clock.open_windows(clock.event_clock(m.events, "part", "seq"), 300_000, 60_000).groupBy("event_id", "copy").agg(F.count("*").alias("windows")), "SELECT event_id, copy, count(*) AS windows FROM a_open GROUP BY event_id, copy", ANOMALY_SQL)
 _add(
     "closed_windows", lambda m: clock.closed_windows(windows.rollup_windows(clock.open_windows(clock.event_clock(m.events, "region", "seq"), 60_000, 60_000)), m.events, "region").groupBy("region").agg(F.count("*").alias("closed")),
     "SELECT region, count(*) AS closed FROM rollups GROUP BY region", ROLLUP_SQL,
 )
-_add("max_offset", lambda m: m.events.groupBy("part").agg(F.max("off").alias("last")), "SELECT part, max(off) AS last FROM fleet GROUP BY part")
+_add("max_offset", lambda m: m.log.groupBy("part").agg(F.max("off").alias("last")), "SELECT part, max(off) AS last FROM fleet GROUP BY part")
 _add(
     "table_counts", lambda m: m.vehicles.agg(F.count("*").alias("n")).select(F.lit("vehicles").alias("name"), "n").unionByName(m.positions.agg(F.count("*").alias("n")).select(F.lit("vehicle_positions").alias("name"), "n")).unionByName(m.history.agg(F.count("*").alias("n")).select(F.lit("vehicle_events").alias("name"), "n")),
     "SELECT 'vehicles' AS name, count(*) AS n FROM vehicles UNION ALL SELECT 'vehicle_positions', count(*) FROM positions UNION ALL SELECT 'vehicle_events', count(*) FROM history", MODEL_SQL,
@@ -166,7 +174,7 @@ _add(
     "rollups_current", lambda m: _rounded(projections.last_arrival(m.rollups.withColumn("arr", F.lit(0)).unionByName(m.rollups.where("window_start % 180000 = 0").withColumns({"event_count": F.col("event_count") + 1, "arr": F.lit(1)})), ["region", "window_start"], "arr"), "avg_speed_kph"),
     f"SELECT region, window_start, window_end, event_count + CASE WHEN window_start % 180000 = 0 THEN 1 ELSE 0 END AS event_count, active_vehicles, {AVG} FROM rollups", ROLLUP_SQL,
 )
-_add("offsets_current", lambda m: projections.offsets_current(m.events), "SELECT part, max(off) AS last_offset FROM fleet GROUP BY part")
+_add("offsets_current", lambda m: projections.offsets_current(m.log), "SELECT part, max(off) AS last_offset FROM fleet GROUP BY part")
 _add("retention_24h", lambda m: projections.retained(m.history, NOW + projections.DAY_MS), f"SELECT * FROM history WHERE occurred_at >= {NOW}", MODEL_SQL)
 
 # query surface
@@ -184,7 +192,7 @@ _add(
     f"""SELECT id, CAST(count(anomaly_id) AS INTEGER) AS n, coalesce(string_agg(anomaly_id, ',' ORDER BY window_start DESC, anomaly_id DESC), '') AS ids FROM vehicles v LEFT JOIN (SELECT * FROM anomalies WHERE window_start >= {SINCE}) a ON a.vehicle_id = v.id GROUP BY id""", MODEL_SQL, ANOMALY_SQL,
 )
 _add(
-    "vehicles_nested", lambda m: serving.vehicles_nested(m.vehicles, m.positions, m.history, m.anomalies, 5).select("id", "lat", "battery_pct", F.array_join(F.transform("recent.event_id", lambda x: x.cast("string")), ",").alias("recent"), F.size("anomalies").alias("n_anomalies")),
+    "vehicles_nested", lambda m: serving.vehicles_nested(m.states, m.history, m.anomalies, 5).select("id", "lat", "battery_pct", F.array_join(F.transform("recent.event_id", lambda x: x.cast("string")), ",").alias("recent"), F.size("anomalies").alias("n_anomalies")),
     """SELECT v.id, p.lat, p.battery_pct, coalesce(r.ids, '') AS recent, CAST(coalesce(a.n, 0) AS INTEGER) AS n_anomalies FROM vehicles v JOIN positions p ON p.vehicle_id = v.id
     LEFT JOIN (SELECT vehicle_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY occurred_at DESC, event_id DESC) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, event_id DESC) AS k FROM history) WHERE k <= 5 GROUP BY vehicle_id) r ON r.vehicle_id = v.id
     LEFT JOIN (SELECT vehicle_id, count(*) AS n FROM anomalies GROUP BY vehicle_id) a ON a.vehicle_id = v.id""", MODEL_SQL, ANOMALY_SQL,
@@ -197,11 +205,11 @@ _add("position_sample", lambda m: m.positions.select("vehicle_id", "lat", "lon")
 
 # views
 _add(
-    "patch_movements", lambda m: views.patch_movements(m.vehicles.join(projections.positions_current(m.events.where(f"occurred_at <= {NOW}")).withColumnRenamed("vehicle_id", "id"), "id"), m.events.where(f"occurred_at > {SINCE} and part < 4")).select("id", "lat", "lon", "speed_kph", "heading_deg", "updated_at"),
+    "patch_movements", lambda m: views.patch_movements(m.vehicles.join(projections.positions_current(m.events.where(f"occurred_at <= {NOW}")).withColumnRenamed("vehicle_id", "id"), "id"), m.events.where(f"occurred_at > {SINCE}")).select("id", "lat", "lon", "speed_kph", "heading_deg", "updated_at"),
     f"""SELECT p.vehicle_id AS id, CASE WHEN e.occurred_at >= p.updated_at THEN e.lat ELSE p.lat END AS lat, CASE WHEN e.occurred_at >= p.updated_at THEN e.lon ELSE p.lon END AS lon,
     CASE WHEN e.occurred_at >= p.updated_at THEN e.speed_kph ELSE p.speed_kph END AS speed_kph, p.heading_deg, CASE WHEN e.occurred_at >= p.updated_at THEN e.occurred_at ELSE p.updated_at END AS updated_at
     FROM (SELECT vehicle_id, lat, lon, speed_kph, heading_deg, occurred_at AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq) AS k FROM fleet WHERE occurred_at <= {NOW}) WHERE k = 1) p
-    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq DESC) AS k FROM fleet WHERE occurred_at > {SINCE} AND part < 4) WHERE k = 1) e ON e.vehicle_id = p.vehicle_id""",
+    LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq DESC) AS k FROM fleet WHERE occurred_at > {SINCE}) WHERE k = 1) e ON e.vehicle_id = p.vehicle_id""",
 )
 _OLD = f"old AS (SELECT vehicle_id, lat, lon, speed_kph, heading_deg, occurred_at AS updated_at, battery_pct FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, seq) AS k FROM fleet WHERE occurred_at <= {NOW}) WHERE k = 1)"
 _add(
@@ -229,7 +237,7 @@ _add(
     f"SELECT id, {_FLAGGED} AS anomalous FROM vehicles v", MODEL_SQL, ANOMALY_SQL,
 )
 _add(
-    "geojson_features", lambda m: views.geojson_features(serving.vehicle_positions_join(m.vehicles, m.positions), views.anomalous_vehicles(m.anomalies, NOW)),
+    "geojson_features", lambda m: views.geojson_features(m.states, views.anomalous_vehicles(m.anomalies, NOW)),
     f"""SELECT id, '{{"type":"Feature","id":"' || id || '","geometry":{{"type":"Point","coordinates":[' || CAST(CAST(p.lon AS DECIMAL(9,3)) AS VARCHAR) || ',' || CAST(CAST(p.lat AS DECIMAL(9,3)) AS VARCHAR) || ']}},"properties":{{"anomalous":' || CASE WHEN {_FLAGGED} THEN 'true' ELSE 'false' END || ',"id":"' || id || '","region":"' || region || '","status":"' || status || '"}}}}' AS feature
     FROM vehicles v JOIN positions p ON p.vehicle_id = v.id""", MODEL_SQL, ANOMALY_SQL,
 )
@@ -250,21 +258,57 @@ VIEWS = [("ALL", -98.5, 39.0, 3.2), ("SEA", -122.34, 47.6, 10.0), ("SFO", -122.4
 _add("region_views", lambda m: m.spark.createDataFrame(VIEWS, "selection string, lon double, lat double, zoom double"), "SELECT selection, lon::DOUBLE AS lon, lat::DOUBLE AS lat, zoom::DOUBLE AS zoom FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in VIEWS) + ") t(selection, lon, lat, zoom)")
 
 # replay
-_BOUNDS = [(k, 10 if k % 2 else None, None if k == 5 else 100 * k - 1) for k in range(PARTITIONS)]
-_BOUNDS_SQL = "bounds AS (SELECT CAST(part AS INTEGER) AS part, CAST(persisted AS BIGINT) AS persisted, CAST(target AS BIGINT) AS target FROM (VALUES " + ", ".join(f"({a}, {'NULL' if b is None else b}, {'NULL' if c is None else c})" for a, b, c in _BOUNDS) + ") t(part, persisted, target))"
-
-
 def _bounds(m: Model) -> DataFrame:
-    return m.spark.createDataFrame(_BOUNDS, "part int, persisted bigint, target bigint")
+    """From each log partition's last offset: odd partitions were read up to a quarter of it, the target is three quarters; the last partition has no target."""
+    last = m.log.groupBy("part").agg(F.max("off").alias("last"))
+    return last.select("part", F.when(F.col("part") % 2 == 1, F.expr("last div 4")).alias("persisted"), F.when(F.col("part") != PARTITIONS - 1, F.expr("last * 3 div 4")).alias("target"))
 
 
+_BOUNDS_SQL = f"bounds AS (SELECT part, CASE WHEN part % 2 = 1 THEN max(off) // 4 END AS persisted, CASE WHEN part <> {PARTITIONS - 1} THEN max(off) * 3 // 4 END AS target FROM fleet GROUP BY part)"
 _BOUNDED = "FROM fleet JOIN bounds USING (part) WHERE (persisted IS NULL OR off > persisted) AND (target IS NULL OR off <= target)"
-_add("replay_bounded", lambda m: replay.replay_bounded(m.events, _bounds(m)).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
-_add("replay_order", lambda m: projections.event_history(m.events.withColumn("arr", F.struct(*replay.canonical_order())), "arr"), "SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, off) AS rn FROM fleet) WHERE rn = 1")
-_add("replay_complete", lambda m: replay.replay_complete(replay.replay_bounded(m.events, _bounds(m)), _bounds(m).where("target is not null")), f"SELECT bool_and(target < 0 OR coalesce(last >= target, false)) AS complete FROM (SELECT b.target, (SELECT max(off) {_BOUNDED} AND fleet.part = b.part) AS last FROM bounds b WHERE target IS NOT NULL)", _BOUNDS_SQL)
-_add("capture_watermark", lambda m: replay.capture_watermark(m.events), "SELECT part, max(off) AS target, min(off) AS low FROM fleet GROUP BY part")
-_add("replay_since", lambda m: replay.replay_since(m.events, SINCE), f"SELECT part, min(off) - 1 AS seed FROM fleet WHERE occurred_at >= {SINCE} GROUP BY part")
-_add("table_checksum", lambda m: replay.table_digest(m.vehicles, ["id"]), None)
+_add("replay_bounded", lambda m: replay.replay_bounded(m.log, _bounds(m)).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
+_add("replay_order", lambda m: projections.event_history(m.log.withColumn("arr", F.struct(*replay.canonical_order())), "arr"), "SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, off) AS rn FROM fleet) WHERE rn = 1")
+_add("replay_complete", lambda m: replay.replay_complete(replay.replay_bounded(m.log, _bounds(m)), _bounds(m).where("target is not null")), f"SELECT bool_and(target < 0 OR coalesce(last >= target, false)) AS complete FROM (SELECT b.target, (SELECT max(off) {_BOUNDED} AND fleet.part = b.part) AS last FROM bounds b WHERE target IS NOT NULL)", _BOUNDS_SQL)
+_add("capture_watermark", lambda m: replay.capture_watermark(m.log), "SELECT part, max(off) AS target, min(off) AS low FROM fleet GROUP BY part")
+_add("replay_since", lambda m: replay.replay_since(m.log, SINCE), f"SELECT part, min(off) - 1 AS seed FROM fleet WHERE occurred_at >= {SINCE} GROUP BY part")
+
+
+def _micro(c: str) -> Column:
+    """A decimal number as a whole number of millionths, for a text that every engine writes alike."""
+    return F.floor(F.round(F.col(c), 6) * 1_000_000 + 0.5).cast("bigint")
+
+
+#: Name of each table in digests -> columns in order; numbers that are not whole are given in millionths.
+_DIGESTED = {
+    "vehicles": ("vehicles", ("id", "region", "status", "last_seen"), ()),
+    "vehicle_positions": ("positions", ("vehicle_id", "updated_at"), ("lat", "lon", "speed_kph", "heading_deg", "battery_pct")),
+    "vehicle_events": ("history", ("event_id", "vehicle_id", "occurred_at"), ("lat", "lon", "speed_kph")),
+    "anomalies": ("anomalies", ("anomaly_id", "vehicle_id", "region", "kind", "detector_version", "window_start", "window_end"), ("value",)),
+    "region_rollups": ("rollups", ("region", "window_start", "window_end", "event_count", "active_vehicles"), ("avg_speed_kph",)),
+}
+
+
+def _digests(m: Model) -> DataFrame:
+    out = None
+    for name, (table, whole, broken) in _DIGESTED.items():
+        one = replay.table_digest(getattr(m, table), [*map(F.col, whole), *map(_micro, broken)]).select(F.lit(name).alias("name"), "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _digest_sql(name: str, table: str, whole: tuple[str, ...], broken: tuple[str, ...]) -> str:
+    texts = [*whole, *(f"CAST(floor(round({c}, 6) * 1000000 + 0.5) AS BIGINT)" for c in broken)]
+    texts = [f"coalesce(CAST({t} AS VARCHAR), '~')" for t in texts]
+    row = " || '|' || ".join(f"length({t}) || ':' || {t}" for t in texts)
+    sums = " || '-' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr(h, {at}, 15) AS BIGINT)), 0) AS VARCHAR)" for at in (1, 17))
+    return f"SELECT '{name}' AS name, count(*) AS rows, {sums} AS digest FROM (SELECT md5({row}) AS h FROM {table})"
+
+
+_add("table_checksum", _digests, " UNION ALL ".join(_digest_sql(n, *v) for n, v in _DIGESTED.items()), MODEL_SQL, ROLLUP_SQL, ANOMALY_SQL)
+_add(
+    "api_row_checks", lambda m: coerce.api_row_checks(m.rollups.withColumns({"region": F.when(F.col("window_start") % 420000 == 0, "XXX").otherwise(F.col("region")), "event_count": F.when(F.col("window_start") % 660000 == 0, F.lit(1 << 31)).otherwise(F.col("event_count"))}), {"region": tuple(r[0] for r in REGIONS)}, ("event_count",), ("window_end",)).groupBy("window_start", "reason").agg(F.count("*").alias("n")),
+    "SELECT window_start, reason, count(*) AS n FROM (SELECT window_start, CASE WHEN window_start % 420000 = 0 THEN 'region' WHEN window_start % 660000 = 0 THEN 'event_count' END AS reason FROM rollups) GROUP BY window_start, reason", ROLLUP_SQL,
+)
 
 # scalar functions
 _add("anomaly_id", lambda m: m.events.select("event_id", "copy", fn.anomaly_id(F.col("vehicle_id"), F.col("occurred_at")).alias("uid")), f"SELECT event_id, copy, {_UUID} AS uid FROM (SELECT event_id, copy, {_ID_HASH} AS h FROM (SELECT event_id, copy, vehicle_id, occurred_at AS window_start FROM fleet))")
@@ -281,15 +325,17 @@ _add("dead_reckon", _reckoned, "SELECT event_id, copy, round(lat + cos(radians(h
 
 
 def _reflected(m: Model) -> DataFrame:
-    lat, lon, heading = fn.reflect_bounds(F.col("lat") + 0.15, F.col("lon") - 0.07, F.col("heading_deg"), REGIONS[0][1:])
-    return m.events.where("region = 'SEA'").select("event_id", "copy", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(heading, 6).alias("heading"))
+    boxes = [per_region(*(r[k] for r in REGIONS), key=F.array_position(F.array(*[F.lit(r[0]) for r in REGIONS]), F.col("region")) - 1) for k in range(1, 5)]
+    lat, lon, heading = fn.reflect_bounds(F.col("lat") + 0.05, F.col("lon") - 0.07, F.col("heading_deg"), boxes)
+    return m.events.select("event_id", "copy", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), F.round(heading, 6).alias("heading"))
 
 
+_BOXES_SQL = "(VALUES " + ", ".join(f"('{r[0]}', {', '.join(f'{x}::DOUBLE' for x in r[1:])})" for r in REGIONS) + ") b(region, south, north, west, east)"
 _add(
     "reflect_bounds", _reflected,
-    """SELECT event_id, copy, round(CASE WHEN y > 47.7 THEN 95.4 - y ELSE y END, 6) AS lat, round(CASE WHEN x < -122.44 THEN -244.88 - x ELSE x END, 6) AS lon,
-    CASE WHEN x < -122.44 THEN ((180 - CASE WHEN y > 47.7 THEN (360 - heading_deg) % 360 ELSE heading_deg END) % 360 + 360) % 360 ELSE CASE WHEN y > 47.7 THEN (360 - heading_deg) % 360 ELSE heading_deg END END AS heading
-    FROM (SELECT *, lat + 0.15::DOUBLE AS y, lon - 0.07::DOUBLE AS x FROM fleet WHERE region = 'SEA')""",
+    f"""SELECT event_id, copy, round(CASE WHEN y > north THEN 2 * north - y WHEN y < south THEN 2 * south - y ELSE y END, 6) AS lat, round(CASE WHEN x > east THEN 2 * east - x WHEN x < west THEN 2 * west - x ELSE x END, 6) AS lon,
+    CASE WHEN x > east OR x < west THEN ((180 - h) % 360 + 360) % 360 ELSE h END AS heading
+    FROM (SELECT *, CASE WHEN y > north OR y < south THEN (360 - heading_deg) % 360 ELSE heading_deg END AS h FROM (SELECT event_id, copy, heading_deg, lat + 0.05::DOUBLE AS y, lon - 0.07::DOUBLE AS x, south, north, west, east FROM fleet JOIN {_BOXES_SQL} ON b.region = fleet.region))""",
 )
 _add("next_battery", lambda m: m.events.where("battery_pct is not null").select("event_id", "copy", F.round(fn.next_battery(F.col("battery_pct"), F.col("status")), 6).alias("battery")), "SELECT event_id, copy, round(least(greatest(battery_pct + CASE status WHEN 'ACTIVE' THEN -0.05 WHEN 'IDLE' THEN 0.2 ELSE 0 END, 0), 100), 6) AS battery FROM fleet WHERE battery_pct IS NOT NULL")
 _add("iso_ms", lambda m: m.events.select("event_id", "copy", fn.iso_ms(F.col("occurred_at")).alias("iso")), "SELECT event_id, copy, strftime(make_timestamp(occurred_at * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(occurred_at % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso FROM fleet")

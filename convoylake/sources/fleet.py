@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_V1 = "event_id string, vehicle_id string, region string, lat double, lon double, speed_kph double, heading_deg double, status string, occurred_at bigint"
@@ -35,31 +35,35 @@ fleet AS (
 """
 
 
-def per_region(*values: float):
-    """One value for each region, in their order, by ``user_id``."""
-    pick = F.col("user_id") % 4
+def per_region(*values: float, key: Column | None = None) -> Column:
+    """One value for each region, in their order, by ``user_id`` or a key from 0 to 3."""
+    pick = F.col("user_id") % 4 if key is None else key
     out = F.lit(values[3])
     for k in (2, 1, 0):
         out = F.when(pick == k, F.lit(values[k])).otherwise(out)
     return out
 
 
-def fleet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vehicle events with their place in the log (``part``, ``off``) and in live arrival order (``seq``)."""
-    from convoylake.operators.clock import numbered
-
+def fleet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicle events with their log partition (``part``) and their place in live arrival order (``seq``): one scan, no shuffle."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("copy", F.explode(F.when(F.col("event_id") % 100 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     e = F.col("event_id")
     base = F.expr(f"{EPOCH_MS} + (unix_micros(cast(ts as timestamp)) - {EPOCH_MS}000) div 60000")
     late = F.when(e % 50 == 7, (120 + e % 481) * 1000).when((e % 50).isin(11, 36), (e % 25) * 1000).otherwise(0)
-    rows = events.select(
+    return events.select(
         "event_id", "copy", F.concat(F.lit("veh-"), F.lpad((F.col("user_id") + 1).cast("string"), 4, "0")).alias("vehicle_id"), per_region(*(r[0] for r in REGIONS)).alias("region"),
         (per_region(*(r[1] for r in REGIONS)) + (e % 100).cast("double") / 1000).alias("lat"), (per_region(*(r[3] for r in REGIONS)) + (e % 97).cast("double") / 1000).alias("lon"),
         F.col("value").alias("speed_kph"), ((e * 37) % 360).cast("double").alias("heading_deg"), F.when(e % 3 != 0, F.get_json_object("props", "$.k").cast("double")).alias("battery_pct"),
         F.when(F.col("event_type") == "signup", "IDLE").when(F.col("event_type") == "error", "OFFLINE").otherwise("ACTIVE").alias("status"),
         (base - late).alias("occurred_at"), (F.col("user_id") % PARTITIONS).cast("int").alias("part"), (e * 2 + F.col("copy")).alias("seq"),
     )
-    return numbered(rows, "part", "seq", "off")
+
+
+def fleet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fleet_rows`` with ``off``, their offset in the log partition. Within a partition offsets and ``seq`` order alike, so only what shows or compares offsets needs it."""
+    from convoylake.operators.clock import numbered
+
+    return numbered(fleet_rows(spark, sf_dir), "part", "seq", "off")
 
 
 def reader_projection(df: DataFrame, version: int) -> DataFrame:

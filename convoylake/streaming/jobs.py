@@ -7,6 +7,7 @@ processor keyed by the clock key, with the clock and the open windows as state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from convoylake.functions.scalars import anomaly_id
 from convoylake.operators.clock import GRACE_MS, MINUTE_MS
 from convoylake.operators.windows import violates
+from convoylake.sources.fleet import EVENT_V2
 
 #: Without this, rows are late by the watermark before last when batches follow each other at once.
 ONE_WATERMARK = ("spark.sql.streaming.statefulOperator.allowMultiple", "false")
@@ -28,10 +30,66 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, starting: str = "latest") -> DataFrame:
-    """A topic; needs Spark's Kafka connector on the class path."""
+    """A topic's raw records; needs the package ``spark-sql-kafka-0-10`` of the Spark version on the class path. ``starting`` may be ``replay.starting_offsets``."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).load()
 
 
+def unframed(records: DataFrame) -> DataFrame:
+    """Records with the registry's frame taken off ``value``: a zero byte, the ``schema_id`` in four bytes, then the Avro ``body``. Other values have a null id and body."""
+    framed = (F.octet_length("value") > 5) & (F.hex(F.substring("value", 1, 1)) == "00")
+    schema_id = F.conv(F.hex(F.substring("value", 2, 4)), 16, 10).cast("bigint")
+    return records.withColumns({"schema_id": F.when(framed, schema_id), "body": F.when(framed, F.expr("substring(value, 6)"))})
+
+
+def avro_schema(name: str, ddl: str, nullable: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]] | None = None) -> str:
+    """An Avro record schema of a Spark schema's columns; nullable ones are a union with null, null by default."""
+    kinds = {"string": "string", "double": "double", "bigint": "long", "int": "int"}
+    fields = []
+    for part in ddl.split(","):
+        field, kind = part.split()
+        of = {"type": "enum", "name": field.title().replace("_", ""), "symbols": list(enums[field])} if enums and field in enums else kinds[kind]
+        fields.append({"name": field, "type": ["null", of], "default": None} if field in nullable else {"name": field, "type": of})
+    return json.dumps({"type": "record", "name": name, "fields": fields})
+
+
+def decoded(records: DataFrame, writers: dict[int, str], topic_columns: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
+    """Vehicle events of raw records by the writer schema that each names (id -> Avro schema), with ``part`` and ``off``; needs the package ``spark-avro``. Values of unknown schemas fail, null values (tombstones) are left out."""
+    from pyspark.sql.avro.functions import from_avro
+
+    rows = unframed(records.where("value is not null"))
+    names = [f.split()[0] for f in EVENT_V2.split(", ")]
+    event = F.raise_error(F.concat(F.lit("no writer schema "), F.coalesce(F.col("schema_id").cast("string"), F.lit("in frame"))))
+    event = event.cast(f"struct<{', '.join(f'{n}:{k}' for n, k in (f.split() for f in EVENT_V2.split(', ')))}>")
+    for number, schema in writers.items():
+        v = from_avro("body", schema, {"mode": "FAILFAST"})
+        has = {f["name"] for f in json.loads(schema)["fields"]}
+        one = F.struct(*[(v[n] if n in has else F.lit(None).cast("double")).alias(n) for n in names])
+        event = F.when(F.col("schema_id") == number, one).otherwise(event)
+    part, off = topic_columns
+    return rows.select(event.alias("e"), F.col(part).alias("part"), F.col(off).alias("off")).select("e.*", "part", "off")
+
+
+def keyed(rows: DataFrame, key: str) -> DataFrame:
+    """Records for a topic sink: the key column's text and the row as JSON."""
+    return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def topic_sink(stream: DataFrame, key: str, topic: str, servers: str, checkpoint: str):
+    """A running query that sends a job's rows to a topic, keyed (anomalies by vehicle, rollups by region), at least once; needs the Kafka package."""
+    return keyed(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+
+
+def folder_sink(stream: DataFrame, path: str, checkpoint: str):
+    """A running query that appends a job's rows to a folder of Parquet files by region, each once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("region").trigger(availableNow=True).start()
+
+
+def live(stream: DataFrame, region: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """A live feed: the stream's rows of one region (of all for None), with the columns that the feed shows. Start it at the latest offsets and with a checkpoint of its own; it is not resumed."""
+    rows = stream if region is None else stream.where(F.col("region") == region)
+    return rows.select(*columns) if columns else rows
+
+
 def _timed(events: DataFrame) -> DataFrame:
     events.sparkSession.conf.set(*ONE_WATERMARK)
     return events.where("occurred_at is not null").withColumn("ts", F.timestamp_millis("occurred_at")).withWatermark("ts", f"{GRACE_MS} milliseconds")

@@ -1,84 +1,54 @@
-"""Projection of a stream into snapshot tables, each batch committed once.
+"""Projection of topics into the read model: arrivals are appended, tables are folds of them.
 
-A snapshot version is a folder of Parquet tables; the manifest names the current one with its batch and
-offsets and is replaced by one rename, so a batch is either visible as a whole or not at all, and a
-batch that is delivered again is skipped. Single writer; the root is a folder on a file system that
-Python can rename on.
+Each micro-batch of a topic becomes one folder of its arrivals, named by the batch, so a batch that is
+delivered again replaces itself and nothing is counted twice; no earlier batch is rewritten. A table of
+the read model is the batch fold of its topic's arrivals (``operators.projections``). All files are
+written and read by Spark.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = {"vehicles": "id", "positions": "vehicle_id", "history": "event_id"}
+from convoylake.operators import projections
 
+#: Table -> the topic that it is folded from and the fold.
+TABLES = {
+    "vehicles": ("vehicle-events", projections.vehicles_current),
+    "vehicle_positions": ("vehicle-events", projections.positions_current),
+    "vehicle_events": ("vehicle-events", projections.event_history),
+    "anomalies": ("anomalies", lambda rows: projections.last_arrival(rows, ["anomaly_id"], "seq")),
+    "region_rollups": ("rollups-1m", lambda rows: projections.last_arrival(rows, ["region", "window_start"], "seq")),
+}
 
-def _write_json(path: Path, value: object) -> None:
-    temporary = path.with_suffix(".tmp")
-    temporary.write_text(json.dumps(value, indent=2) + "\n")
-    os.replace(temporary, path)
 
+class ReadModel:
+    """Arrivals of the topics under a folder, and the tables that they make. Rows carry ``part``, ``off`` and ``seq``, their order of arrival."""
 
-class Snapshots:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    def manifest(self) -> dict:
-        path = self.root / "manifest.json"
-        return json.loads(path.read_text()) if path.exists() else {"batch": -1, "offsets": {}}
-
-    def table(self, name: str) -> DataFrame | None:
-        m = self.manifest()
-        return self.spark.read.parquet(str(self.root / f"v{m['batch']}" / name)) if m["batch"] >= 0 else None
-
-    def reset(self) -> None:
-        """Forget all batches; files of old versions stay until they are removed."""
-        _write_json(self.root / "manifest.json", {"batch": -1, "offsets": {}})
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def apply(self, batch: DataFrame, batch_id: int) -> bool:
-        """Fold a batch of events into the tables; False if it was applied before or is empty."""
-        m = self.manifest()
-        if batch_id <= m["batch"] or batch.isEmpty():
-            return False
-        for name, fold in (("vehicles", self._vehicles), ("positions", self._positions), ("history", self._history)):
-            fold(batch, self.table(name)).write.mode("overwrite").parquet(str(self.root / f"v{batch_id}" / name))
-        seen = {str(r["part"]): r["last"] for r in batch.groupBy("part").agg(F.max("off").alias("last")).collect()}  # a row a partition
-        offsets = {k: max(seen.get(k, -1), m["offsets"].get(k, -1)) for k in seen.keys() | m["offsets"].keys()}
-        _write_json(self.root / "manifest.json", {"batch": batch_id, "offsets": offsets})
-        return True
+    def append(self, topic: str, batch: DataFrame, batch_id: int) -> None:
+        """Takes a batch in; the same batch again has no effect."""
+        batch.write.mode("overwrite").parquet(f"{self.root}/{topic}/batch={batch_id}")
 
-    @staticmethod
-    def _vehicles(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        rows = batch.select(F.col("vehicle_id").alias("id"), "region", "status", "occurred_at", "seq")
-        if old is not None:  # stored rows came before any row of the batch
-            rows = rows.unionByName(old.select("id", "region", "status", F.col("last_seen").alias("occurred_at"), F.lit(-1).cast("bigint").alias("seq")))
-        best = F.max_by(F.struct("region", "status"), F.struct("occurred_at", "seq"))
-        return rows.groupBy("id").agg(best.alias("b"), F.max("occurred_at").alias("last_seen")).select("id", "b.region", "b.status", "last_seen")
+    def arrivals(self, topic: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{topic}")
 
-    @staticmethod
-    def _positions(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        columns = ["vehicle_id", "lat", "lon", "speed_kph", "heading_deg", "updated_at", "battery_pct"]
-        rows = batch.withColumnRenamed("occurred_at", "updated_at").select(*columns, "seq")
-        if old is not None:
-            rows = rows.unionByName(old.select(*columns, F.lit(-1).cast("bigint").alias("seq")))
-        return rows.groupBy("vehicle_id").agg(F.max_by(F.struct(*columns[1:]), F.struct("updated_at", -F.col("seq"))).alias("b")).select("vehicle_id", "b.*")
+    def table(self, name: str, as_of_ms: int | None = None) -> DataFrame:
+        """A table as its topic's arrivals make it; history without what is more than a day older than ``as_of``, where that is given."""
+        topic, fold = TABLES[name]
+        out = fold(self.arrivals(topic).drop("batch", *([] if topic == "vehicle-events" else ["part", "off"])))
+        return projections.retained(out, as_of_ms) if name == "vehicle_events" and as_of_ms is not None else out
 
-    @staticmethod
-    def _history(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        columns = ["event_id", "vehicle_id", "lat", "lon", "speed_kph", "occurred_at"]
-        rows = batch.select(*columns, "seq")
-        if old is not None:
-            rows = rows.unionByName(old.select(*columns, F.lit(-1).cast("bigint").alias("seq")))
-        return rows.groupBy("event_id").agg(F.min_by(F.struct(*columns[1:]), "seq").alias("b")).select("event_id", "b.*")
+    def offsets(self, topic: str) -> DataFrame:
+        """The last offset of each partition that was taken in; a batch that comes late does not lower it."""
+        return projections.offsets_current(self.arrivals(topic))
 
 
-def project(events: DataFrame, root: str, checkpoint: str):
-    """A running query that folds a stream of events into snapshots."""
-    snapshots = Snapshots(events.sparkSession, root)
-    return events.writeStream.foreachBatch(lambda df, i: snapshots.apply(df, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def project(stream: DataFrame, topic: str, root: str, checkpoint: str, **trigger):
+    """A running query that takes a topic's records into the read model."""
+    model = ReadModel(stream.sparkSession, root)
+    out = stream.writeStream.foreachBatch(lambda df, i: model.append(topic, df, i)).option("checkpointLocation", checkpoint)
+    return out.trigger(**(trigger or {"availableNow": True})).start()

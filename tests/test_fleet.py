@@ -1,5 +1,6 @@
 """Scripted scenarios of the windowed jobs, the read model and the views."""
 
+import json
 import random
 import uuid
 
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 from convoylake.functions import scalars as fn
 from convoylake.operators import clock, projections, replay, serving, views, windows
 from convoylake.sources.fleet import fully_compatible
-from convoylake.sources.simulator import Settings, drive
 
 BASE = 60_000_000
 S, M = 1000, 60_000
@@ -147,12 +147,22 @@ def test_schema_versions():
     assert fully_compatible(old, old | {"b": {"type": "double"}}) and fully_compatible(old, {"a": {"type": "int"}})
 
 
-def test_simulator():
-    s = Settings(vehicles=40, ticks=300, dupes=True, late=True, teleport=True, spikes=True)
-    runs = [drive(k, s) for k in range(40)]
-    assert runs[3] == drive(3, s) and runs[3] != drive(3, Settings(vehicles=40, ticks=300, seed=1))
-    rows = [r for run in runs for r in run]
-    late = sum(b[9] < a[9] for run in runs for a, b in zip(run, run[1:], strict=False)) / len(rows)
-    assert 0.01 < late < 0.03 and 0.003 < len(rows) / 12_000 - 1 < 0.02
-    assert all(0 <= r[5] <= 500 and 0 <= r[6] < 360 and 0 <= r[7] <= 100 for r in rows)
-    assert all(r[5] == 0 for r in rows if r[8] != "ACTIVE" and r[5] < 150) and any(r[5] >= 150 for r in rows)
+def test_digests_compare(spark):
+    df = spark.range(500).selectExpr("id", "cast(null as string) n", "id % 7 v")
+    columns = [F.col(c) for c in df.columns]
+    a = replay.table_digest(df.repartition(7), columns).select(F.lit("t").alias("name"), "*")
+    b = replay.table_digest(df.coalesce(1).orderBy(F.desc("id")), columns).select(F.lit("t").alias("name"), "*")
+    c = replay.table_digest(df.where("id <> 3"), columns).select(F.lit("t").alias("name"), "*")
+    assert a.first()["rows"] == 500 and a.collect() == b.collect()
+    assert replay.unexpected(a, b).count() == 0 and replay.unexpected(a, c).count() == 1
+    assert replay.unexpected(a, b, different=True).count() == 1 and replay.unexpected(a, c, different=True).count() == 0
+    assert replay.table_digest(df.limit(0), columns).first()["digest"] == "0-0"
+
+
+def test_watermark_files_and_resuming(spark, tmp_path):
+    log = spark.createDataFrame([(0, 4), (0, 9), (2, 7)], "part int, off long")
+    mark = replay.watermark_of(replay.capture_watermark(log), "vehicle-events", "2026-01-01T00:00:00Z")
+    replay.write_watermark(spark, mark, str(tmp_path / "mark"))
+    assert replay.read_watermark(spark, str(tmp_path / "mark")) == mark
+    assert mark["topics"]["vehicle-events"] == {"0": 9, "1": -1, "2": 7, "3": -1, "4": -1, "5": -1}
+    assert json.loads(replay.starting_offsets(projections.offsets_current(log), "vehicle-events")) == {"vehicle-events": {"0": 10, "1": -2, "2": 8, "3": -2, "4": -2, "5": -2}}
