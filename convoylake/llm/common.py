@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+
+#: Bytes of text that a worker turns into Python objects at a time.
+SLICE_BYTES = 4_000_000
 
 #: Bytes to bytes: A-Z to a-z, 0-9 a-z and bytes of non-ASCII characters kept, every other byte to a space.
 ALNUM = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -69,24 +72,34 @@ def rows_out(schema: pa.Schema, size: int = 2000) -> Callable[[Iterator[tuple]],
     return pack
 
 
+def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column ``name`` has at most about ``limit`` bytes in each; a longer value is a slice of its own."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(name))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+
+
 class Kept:
-    """Columns that an operator hands through beside its own: names prefixed on the way, so that none clash."""
+    """Columns that an operator hands through beside its own, as the Arrow arrays that they came in: names prefixed on the way, so that none clash."""
 
     def __init__(self, docs: DataFrame, keep: tuple[str, ...]) -> None:
         self.names = tuple(keep)
         self.inner = [f"keep_{c}" for c in self.names]
-        types = docs.select(*self.names).schema if self.names else []
-        self.ddl = "".join(f", keep_{f.name} {f.dataType.simpleString()}" for f in types)
-        self.fields = [(f"keep_{f.name}", to_arrow_type(f.dataType)) for f in types]
+        self.ddl = "".join(f", `keep_{f.name}` {f.dataType.simpleString()}" for f in (docs.select(*self.names).schema if self.names else []))
 
     @property
     def columns(self) -> list:
         return [F.col(c).alias(f"keep_{c}") for c in self.names]
 
-    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple]:
-        """The kept values of each row."""
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in self.inner]
-        return zip(*cols, strict=True) if cols else iter([()] * batch.num_rows)
+    def beside(self, batch: pa.RecordBatch, **own: pa.Array) -> pa.RecordBatch:
+        """The operator's own columns of a slice and the kept ones of the same rows."""
+        kept = {c: batch.column(batch.schema.get_field_index(c)) for c in self.inner}
+        return pa.RecordBatch.from_pydict(own | kept)
 
     def restore(self, df: DataFrame) -> DataFrame:
         """Kept columns under their names, in place of result columns of the same name."""

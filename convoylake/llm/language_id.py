@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import Kept, column_bytes, rows_out, table
+from convoylake.llm.common import Kept, column_bytes, rows_out, slices, table
 
 #: Families of languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -23,8 +23,8 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc"),
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"),
 }
-#: Labelled rows of a language to learn from, at most (in expectation; languages beyond 200 are not expected).
-SAMPLE = 400
+#: Labelled rows of a language to learn from, at most (in expectation), and languages to learn: those with most labelled rows.
+SAMPLE, LANGUAGES = 400, 200
 #: Hashed features of 1, 2 and 3 bytes.
 WIDTH = 1 << 13
 #: Letters and bytes of other alphabets keep their value, all else becomes a space.
@@ -104,9 +104,9 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from at most about ``sample`` rows a language with a label and letters; None without such rows."""
+    """A model from at most about ``sample`` rows a language with a label and letters; None without such rows. Of more than ``LANGUAGES`` languages those with most labelled rows are learned."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("body"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])
@@ -114,7 +114,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def describe(batches):
         def out():
-            for batch in batches:
+            for batch in slices(batches, "body"):
                 for lang, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
                     if has_letter(body):
                         yield lang, features(body).tobytes()
@@ -129,25 +129,22 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """The language of each whole text: the id, ``lang_pred``, ``score`` (0 to 1) and the columns to keep.
 
     Null texts, texts without a letter and everything without a model get ``und`` and 0. Repeated rows
-    and null ids are kept, other columns ignored, empty input gives an empty result.
+    and null ids are kept, very long texts are read whole, other columns ignored, empty input gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = Kept(docs, keep)
+    # a text that is kept goes to the workers once
+    body = f"keep_{text_col}" if text_col in keep else "body"
 
     def run(batches):
         m = sent.value
+        for part in slices(batches, body):
+            found = [("und", 0.0) if m is None or text is None or not has_letter(text) else m.predict(features(text)) for text in column_bytes(part, body)]
+            langs, scores = zip(*found, strict=True)
+            yield kept.beside(part, row=part.column(0), lang_pred=pa.array(langs, pa.string()), score=pa.array(scores, pa.float64()))
 
-        def rows():
-            for batch in batches:
-                for row, body, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), kept.rows(batch), strict=True):
-                    if m is None or body is None or not has_letter(body):
-                        yield row, "und", 0.0, *rest
-                    else:
-                        yield row, *m.predict(features(body)), *rest
-
-        return rows_out(pa.schema([("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), *kept.fields]), 1000)(rows())
-
-    out = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), *kept.columns)
+    own = [] if text_col in keep else [F.col(text_col).cast("binary").alias("body")]
+    out = docs.select(F.col(id_col).cast("bigint").alias("row"), *own, *kept.columns)
     return kept.restore(out.mapInArrow(run, f"row bigint, lang_pred string, score double{kept.ddl}").withColumnRenamed("row", id_col))
 
 

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("html_extract", "ngram_jaccard", "decontaminate", "rabitq", "suffix_dedup", "byte_bpe", "lm_scoring", "language_id", "license_scan", "kneser_ney")
+from convoylake.llm import byte_bpe, decontaminate, html_extract, kneser_ney, language_id, license_scan, lm_scoring, ngram_jaccard, rabitq, suffix_dedup
+
+# imported here, so that a missing library shows as this package's import error and not as a query's
+MODULES = (html_extract, ngram_jaccard, decontaminate, rabitq, suffix_dedup, byte_bpe, lm_scoring, language_id, license_scan, kneser_ney)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict = {}
-    for name in MODULES:
-        found |= import_module(f"convoylake.llm.{name}").QUERIES
+    for module in MODULES:
+        found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict = {}
-    for name in MODULES:
-        found |= getattr(import_module(f"convoylake.llm.{name}"), "ORACLES", {})
+    for module in MODULES:
+        found |= module.ORACLES
     return found
