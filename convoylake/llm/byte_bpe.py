@@ -3,14 +3,15 @@
 Long texts are cut into chunks that overlap; the chunks are pre-tokenised in parallel, each from its own
 first character. A pre-token depends only on what follows its start, so as soon as a boundary of one
 chunk is also a boundary of the next, both agree from there on: the pieces are stitched at the first
-such boundary in the overlap and then encoded, each by itself. Where an overlap has none, the text is
-encoded as a whole. Short texts are one chunk. Decoding concatenates the tokens' bytes.
+such boundary in the overlap and then encoded, each by itself. Where an overlap has none, chunks and
+overlaps get wider, and in the end the text is encoded as a whole. Short texts are one chunk. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,20 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, rows_out, store, table
+from convoylake.llm.common import column_bytes, rows_out, slices, store, table
 
 #: Characters of a chunk and of the overlap with the next.
 CHUNK, OVERLAP = 32_768, 1_024
-#: Pieces whose ids a worker keeps.
-CACHE = 400_000
-_LOADED: dict[str, Encoder] = {}
+#: Chunks and overlaps grow by this factor where a text has no common boundary in some overlap, up to chunks of so many characters.
+WIDER, LONGEST = 8, 4_000_000
+#: Pre-tokens at the end of a chunk that what follows it can change: the last one can go on, and a
+#: contraction cut after its apostrophe shows as two; one more is left out for safety.
+UNSURE = 3
+#: Pre-tokens whose ids a worker keeps (about 200 bytes each), and the characters of the longest that it keeps.
+CACHE, CACHED_LENGTH = 60_000, 32
+#: Bytes of text or ids that a worker takes from a batch at a time.
+PART_BYTES = 1_000_000
+_LOADED: dict[tuple[str, str], Encoder] = {}
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -57,12 +65,11 @@ class Encoder(dict):
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = ids
@@ -71,14 +78,23 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
+    @cached_property
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id; only decoding needs them."""
+        out = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for piece, rank in self.ranks.items():
+            out[rank] = piece
+        return out
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path, pattern)
-    return _LOADED[path]
+    if (path, pattern) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, pattern] = Encoder(path, pattern)
+    return _LOADED[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -95,15 +111,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "body", PART_BYTES):
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     yield row, enc.encode(text)
 
-        return rows_out(plain, 500)(rows())
+        return rows_out(plain, 200)(rows())
 
     def split(batches):
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "body", PART_BYTES):
                 for uid, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for k, s in enumerate(range(0, len(text), chunk)):
                         yield uid, row, k, text[s : s + chunk + overlap], s + chunk >= len(text)
@@ -114,10 +130,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "piece", PART_BYTES):
                 for uid, k, piece, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     ends = [m.end() for m in enc.pattern.finditer(piece)]
-                    sure = ends if last else ends[:-3]  # what comes after the chunk can change its last pre-tokens
+                    sure = ends if last else ends[:-UNSURE]
                     s = k * chunk
                     yield uid, k, [s, *(s + e for e in sure if e <= overlap)], [s + e for e in sure if e >= chunk], last
 
@@ -127,7 +143,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         enc = encoder(path, pattern)
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "piece", PART_BYTES):
                 for uid, row, k, piece, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     out, s = [], k * chunk
                     for m in enc.pattern.finditer(piece, start - s):
@@ -150,9 +166,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     joined = parts.select("uid", "row", "k", "piece", "start", "stop").mapInArrow(finish, "uid bigint, row bigint, k int, ids binary")
     joined = joined.groupBy("uid", "row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = joined.select("row", F.aggregate(F.col("parts.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
-    unsynced = pieces.join(apart.where("apart").select("uid"), "uid", "left_semi").groupBy("uid", "row").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("parts"))
-    again = unsynced.select("row", F.array_join(F.transform("parts.piece", lambda x: F.substring(x, 1, chunk)), "").alias("body")).mapInArrow(whole, "row bigint, ids binary")
-    out = short.unionByName(joined).unionByName(again)
+    out = short.unionByName(joined)
+    if not seams.where("start is null").isEmpty():
+        unsynced = pieces.join(apart.where("apart").select("uid"), "uid", "left_semi").groupBy("uid", "row").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("parts"))
+        unsynced = unsynced.select("row", F.array_join(F.transform("parts.piece", lambda x: F.substring(x, 1, chunk)), "").alias("body"))
+        if WIDER * chunk <= LONGEST:  # wider overlaps first; a run of one kind of characters as long as those is one pre-token
+            again = encode(unsynced, path, pattern, "row", "body", WIDER * chunk, WIDER * overlap).select("row", "ids")
+        else:
+            again = unsynced.mapInArrow(whole, "row bigint, ids binary")
+        out = out.unionByName(again)
     return out.select(F.col("row").alias(id_col), "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"))
 
 
@@ -162,7 +184,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = encoder(path, pattern)
-        for batch in batches:
+        for batch in slices(batches, "ids", PART_BYTES):
             texts = [None if ids is None else enc.decode(ids) for ids in column_bytes(batch, "ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*kept, "decoded"])
 

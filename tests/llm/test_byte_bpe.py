@@ -43,3 +43,19 @@ def test_small_chunks_are_stitched(spark):
     want = sorted((str(i), (t or "").encode(), np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in rows)
     assert sorted((str(r["doc_id"]), bytes(r["decoded"]), bytes(r["ids"])) for r in got) == want
     assert m.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_each_pattern_has_its_encoder():
+    assert m.encoder(PATH, P.PATTERN).encode("ab cd") != m.encoder(PATH, r"[a-z]|\s").encode("ab cd")
+    assert m.encoder(PATH, P.PATTERN).encode("ab cd") == np.array(library().encode_ordinary("ab cd"), "<u4").tobytes()
+
+
+def test_what_follows_changes_few_pre_tokens():
+    """Boundaries of a cut text, but for the last ``UNSURE``, are boundaries of the whole one."""
+    rng, pattern = random.Random(8), m.encoder(PATH, P.PATTERN).pattern
+    for _ in range(60):
+        text = odd(rng)
+        whole = {x.end() for x in pattern.finditer(text)}
+        for cut in range(len(text)):
+            assert {x.end() for x in pattern.finditer(text[:cut])} - whole <= {cut, cut - 1}
+            assert set([x.end() for x in pattern.finditer(text[:cut])][: -m.UNSURE]) <= whole
