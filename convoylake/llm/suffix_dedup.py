@@ -9,7 +9,9 @@ equal contexts, all their windows repeat. The distinct contexts of what is left
 anchor, and each bucket takes them in batches into an index family: a batch gets suffix arrays around
 the anchors (to the right, and to the left of reversed text) with common-prefix lengths, is
 merge-scanned against each existing level for windows that agree, and levels of one size merge, so
-their sizes grow geometrically.
+their sizes grow geometrically. Documents that come in batches are kept the same way one storey higher
+(``RepeatIndex``): a level is a stored table of anchors, a new batch is scanned by itself and joined by
+anchor with each level, and levels of one size merge.
 
 Shuffled are anchors (about one in 70 bytes), the distinct contexts and, once, the texts. An anchor
 with more than ``MOST`` distinct contexts is not put into one bucket; its windows are counted one by
@@ -18,8 +20,6 @@ one instead, with partial sums, so no group has to fit a task.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import Kept, column_bytes, mix, rows_out, store, table
+from convoylake.llm.common import Kept, column_bytes, mix, rows_out, slices, store, table
 
 LENGTH, GRAM = 200, 64
 #: Distinct contexts of an anchor that one bucket takes at most.
@@ -200,62 +200,134 @@ def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-#: Stands for a null id in keys.
+#: Stands for a null id where an id tells copies of one text apart.
 NO_ID = -(1 << 63)
+_KEY = ("k1", "k2")
+_OCCURRENCE = ("h", "context", "lo", "shape", "times", "extent")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Documents without the bytes that a repeated string of 200 bytes covers.
+class Batch:
+    """Texts and the anchors in them, as stored; several batches merge into one level."""
 
-    Returns one row per input row: the id, ``n_bytes``, ``spans`` (maximal removed runs as arrays
-    [start, end) of byte offsets), ``kept`` (the remaining bytes as binary), ``kept_text`` (those bytes
-    without characters that were cut) and the columns to keep. Null texts count as
-    empty; texts of fewer than 200 bytes lose nothing. Rows that occur several times repeat each
-    other. Null ids are allowed, other columns are ignored, empty input gives an empty result.
-    """
-    kept_columns = Kept(docs, keep)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("row"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("body"), *kept_columns.columns)
-    texts = texts.select("row", F.hash("body").alias("tag"), "body", *kept_columns.inner)
+    def __init__(self, texts: DataFrame, anchored: DataFrame, size: int) -> None:
+        self.texts, self.anchored, self.size = texts, anchored, size
+
+    def occurrences(self) -> DataFrame:
+        """One row for each run of equal contexts: anchor, context, key and id of a row with the text, place, shape, number, extent."""
+        return self.anchored.select(*_KEY, "id", "copies", F.inline(F.arrays_zip(*_OCCURRENCE))).withColumn("times", F.col("times") * F.col("copies")).drop("copies")
+
+
+def _anchored(texts: DataFrame) -> DataFrame:
+    """Of each text of at least LENGTH bytes (equal ones that a worker meets together are one row): key, least id, copies and, as arrays, its anchors."""
 
     def find(batches):
-        for batch in batches:
-            for row, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "body"), strict=True):
+        for part in slices(batches, "body"):
+            seen: dict[tuple[int, int], list] = {}
+            for k1, k2, row, body in zip(*(part.column(k).to_pylist() for k in range(3)), column_bytes(part, "body"), strict=True):
                 if len(body) >= LENGTH:
-                    h, context, lo, size, offset, times, extent = runs(*anchors(body))
-                    n = len(h)
-                    columns = [h, context, np.full(n, row), np.full(n, tag, np.int32), *(x.astype(np.int32) for x in (lo, size * 1024 + offset, times, extent))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "context", "row", "tag", "lo", "shape", "times", "extent"])
-
-    def find_packed(batches):
-        held, n = [], 0
-        for batch in find(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n > 20_000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    found = texts.select("row", "tag", "body").mapInArrow(find_packed, "h bigint, context bigint, row bigint, tag int, lo int, shape int, times int, extent int")
-    often = found.groupBy("h").agg(F.sum("times").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("several"))
-    again = found.join(often, "h")
-    again = store(again.select(F.when(F.col("several"), F.col("h")).alias("h"), F.when(F.col("several"), F.col("context")).alias("context"), "row", "tag", "lo", "shape", "times", "extent"))
+                    one = seen.setdefault((k1, k2), [row, 0, body])
+                    one[0], one[1] = min(one[0], row), one[1] + 1
+            if not seen:
+                continue
+            found = [runs(*anchors(body)) for _, _, body in seen.values()]
+            ends = pa.array(np.cumsum([0, *(len(h) for h, *_ in found)]).astype(np.int32))
+            h, context, lo, size, offset, times, extent = (np.concatenate(c) for c in zip(*found, strict=True))
+            columns = {"k1": [k for k, _ in seen], "k2": [k for _, k in seen], "id": [x[0] for x in seen.values()], "copies": [x[1] for x in seen.values()]}
+            arrays = {"h": h, "context": context} | {n: x.astype(np.int32) for n, x in (("lo", lo), ("shape", size * 1024 + offset), ("times", times), ("extent", extent))}
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in columns.items()} | {n: pa.ListArray.from_arrays(ends, pa.array(x)) for n, x in arrays.items()})
+
+    ddl = "k1 bigint, k2 bigint, id bigint, copies bigint, h array<bigint>, context array<bigint>, lo array<int>, shape array<int>, times array<int>, extent array<int>"
+    return texts.select("k1", "k2", "id", "body").mapInArrow(find, ddl)
+
+
+class RepeatIndex:
+    """A family of levels of texts: each batch is scanned by itself and against every level for windows that repeat, and levels of like size merge."""
+
+    def __init__(self, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> None:
+        self.id_col, self.text_col, self.keep = id_col, text_col, keep
+        self.levels: list[Batch] = []
+        self.spans: DataFrame | None = None
+        self.kept: Kept | None = None
+
+    def add(self, docs: DataFrame) -> RepeatIndex:
+        """Takes a batch of documents in; later batches have the same columns to keep."""
+        self.kept = Kept(docs, self.keep)
+        body = F.coalesce(F.col(self.text_col).cast("binary"), F.lit(b""))
+        texts = docs.select(F.coalesce(F.col(self.id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(self.id_col).isNull().alias("no_id"), F.col(self.text_col).isNull().alias("no_text"), body.alias("body"), *self.kept.columns)
+        # a text is known by 128 bits of it, never by its id
+        texts = texts.select(F.xxhash64("body").alias("k1"), F.xxhash64(F.lit("key"), "body").alias("k2"), *texts.columns)
+        anchored = store(_anchored(texts))
+        batch = Batch(texts, anchored, anchored.count())
+        if self.spans is not None:
+            self.spans = store(self.spans)
+        for level in (None, *self.levels):
+            found = _scan(batch, level)
+            self.spans = found if self.spans is None else self.spans.unionByName(found)
+        self.levels.append(batch)
+        while len(self.levels) > 1 and self.levels[-2].size <= self.levels[-1].size:
+            x, y = self.levels.pop(), self.levels.pop()
+            self.levels.append(Batch(y.texts.unionByName(x.texts), store(y.anchored.unionByName(x.anchored)), x.size + y.size))
+        return self
+
+    def remove(self, as_text: bool = False) -> DataFrame:
+        """The documents of all batches without the bytes that repeat; see ``remove_repeats``."""
+        kept_columns = self.kept
+        texts = self.levels[0].texts
+        for level in self.levels[1:]:
+            texts = texts.unionByName(level.texts)
+        spans = self.spans.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+        # by key and id, as in the scan: copies under many ids are then no crowded key, and Spark can use one shuffle of the texts for both
+        named = texts.select(*_KEY, "id").distinct().join(spans, list(_KEY))
+
+        def remove(batches):
+            for part in slices(batches, "body"):
+                n, gone, left = [], [], []
+                for body, found, no_text in zip(column_bytes(part, "body"), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    runs_ = _merge([(x["s"], x["e"]) for x in found or ()])
+                    pieces, at = [], 0
+                    for s, e in runs_:
+                        pieces.append(body[at:s])
+                        at = e
+                    rest = b"".join([*pieces, body[at:]]) if runs_ else body
+                    n.append(len(body))
+                    gone.append(runs_)
+                    left.append(None if as_text and no_text else rest.decode("utf-8", "ignore") if as_text else rest)
+                own = {"id": part.column(3), "n_bytes": pa.array(n, pa.int64()), "spans": pa.array(gone, pa.list_(pa.list_(pa.int32()))), "kept": pa.array(left, pa.string() if as_text else pa.binary())}
+                yield kept_columns.beside(part, **own)
+
+        out = texts.join(named, [*_KEY, "id"], "left").select("body", "spans", "no_text", F.when(~F.col("no_id"), F.col("id")).alias("id"), *kept_columns.inner)
+        out = out.mapInArrow(remove, f"id bigint, n_bytes bigint, spans array<array<int>>, kept {'string' if as_text else 'binary'}{kept_columns.ddl}")
+        return kept_columns.restore(out.withColumnRenamed("id", self.id_col))
+
+
+def _scan(batch: Batch, level: Batch | None) -> DataFrame:
+    """Spans (k1, k2, s, e) that windows repeat which are in the batch twice, or in the batch and in the level."""
+    occurrences, texts = batch.occurrences(), batch.texts
+    if level is not None:
+        mine = occurrences.select("h").distinct()
+        occurrences = occurrences.unionByName(level.occurrences().join(mine, "h", "left_semi"))
+        texts = texts.unionByName(level.texts)
+    often = occurrences.groupBy("h").agg(F.sum("times").alias("n"), F.min("context").alias("x"), F.max("context").alias("y")).where("n > 1").select("h", F.expr("x <> y").alias("several"))
+    again = occurrences.join(often, "h")
+    again = store(again.select(F.when(F.col("several"), F.col("h")).alias("h"), F.when(F.col("several"), F.col("context")).alias("context"), *_KEY, "id", "lo", "shape", "times", "extent"))
     open_ = again.where("h is not null")
-    distinct = store(open_.groupBy("h", "context").agg(F.sum("times").alias("copies"), F.min(F.struct("row", "tag", "lo", "shape")).alias("at")).select("h", "context", "copies", "at.*"))
-    wanted = distinct.groupBy("row", "tag").agg(F.collect_list(F.struct("h", "context", "copies", "lo", "shape")).alias("contexts"))
+    distinct = store(open_.groupBy("h", "context").agg(F.sum("times").alias("copies"), F.min(F.struct(*_KEY, "id", "lo", "shape")).alias("at")).select("h", "context", "copies", "at.*"))
+    wanted = distinct.groupBy(*_KEY, "id").agg(F.collect_list(F.struct("h", "context", "copies", "lo", "shape")).alias("contexts"))
 
     def extract(batches):
         def rows():
-            for batch in batches:
-                for body, contexts in zip(column_bytes(batch, "body"), batch.column(1).to_pylist(), strict=True):
-                    for c in contexts:
+            for part in slices(batches, "body"):
+                for body, contexts in zip(column_bytes(part, "body"), part.column(1), strict=True):
+                    for c in contexts.as_py():
                         yield c["h"], c["context"], min(c["copies"], 2), c["shape"] % 1024, body[c["lo"] : c["lo"] + c["shape"] // 1024]
 
         return rows_out(pa.schema([("h", pa.int64()), ("context", pa.int64()), ("copies", pa.int32()), ("offset", pa.int32()), ("piece", pa.binary())]), 5000)(rows())
 
-    # with the same columns as the join below, so that Spark shuffles the texts once for both
-    pieces = texts.join(wanted, ["row", "tag"]).select("body", "contexts", *kept_columns.inner).mapInArrow(extract, "h bigint, context bigint, copies int, offset int, piece binary")
+    # with all columns of the texts, so that Spark can use their shuffle again where the spans meet them
+    pieces = texts.join(wanted, [*_KEY, "id"]).select("body", "contexts", *[c for c in texts.columns if c.startswith(("no_", "keep_"))]).mapInArrow(extract, "h bigint, context bigint, copies int, offset int, piece binary")
+    repeated_rows = texts.groupBy(*_KEY, "id").count().where("count > 1")
+    if not repeated_rows.isEmpty():  # a row that occurs many times gives its pieces as often
+        pieces = pieces.dropDuplicates(["h", "context"])
     buckets = max(1, -(-distinct.count() // BUCKET))
     crowded = distinct.groupBy("h").count().where(F.col("count") > MOST).select("h")
     crowded = store(crowded) if not crowded.isEmpty() else None
@@ -271,8 +343,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def windows(batches):
             def rows():
-                for batch in batches:
-                    for h, context, copies, offset, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part in batches:
+                    for h, context, copies, offset, piece in zip(*(c.to_pylist() for c in part.columns), strict=True):
                         for s in range(len(piece) - LENGTH + 1):
                             yield xxhash.xxh3_128_digest(b"%d %d " % (h, offset - s) + piece[s : s + LENGTH]), h, context, copies, s
 
@@ -281,27 +353,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         single = pieces.join(crowded, "h", "left_semi").dropDuplicates(["h", "context"]).mapInArrow(windows, "w binary, h bigint, context bigint, copies int, s int")
         twice = single.groupBy("w").agg(F.sum("copies").alias("n")).where("n > 1").select("w")
         results = results.unionByName(single.join(twice, "w").groupBy("h", "context").agg(F.min("s").cast("long").alias("first"), (F.max("s") + LENGTH).cast("long").alias("end")))
-    spans = again.where("h is null").select("row", "tag", F.col("lo").alias("s"), (F.col("lo") + F.col("extent") + F.expr("shape div 1024")).cast("int").alias("e"))
-    spans = spans.unionByName(open_.join(results, ["h", "context"]).select("row", "tag", (F.col("lo") + F.col("first")).cast("int").alias("s"), (F.col("lo") + F.col("extent") + F.col("end")).cast("int").alias("e")))
-    spans = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = again.where("h is null").select(*_KEY, F.col("lo").alias("s"), (F.col("lo") + F.col("extent") + F.expr("shape div 1024")).cast("int").alias("e"))
+    return spans.unionByName(open_.join(results, ["h", "context"]).select(*_KEY, (F.col("lo") + F.col("first")).cast("int").alias("s"), (F.col("lo") + F.col("extent") + F.col("end")).cast("int").alias("e")))
 
-    def remove(batches):
-        def rows():
-            for batch in batches:
-                for row, body, spans, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), kept_columns.rows(batch), strict=True):
-                    gone = _merge([(x["s"], x["e"]) for x in spans or ()])
-                    kept, at = [], 0
-                    for s, e in gone:
-                        kept.append(body[at:s])
-                        at = e
-                    left = b"".join([*kept, body[at:]])
-                    yield None if row == NO_ID else row, len(body), gone, left, left.decode("utf-8", "ignore"), *rest
 
-        return rows_out(pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary()), ("kept_text", pa.string()), *kept_columns.fields]), 500)(rows())
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """Documents without the bytes that a repeated string of 200 bytes covers.
 
-    out = texts.join(spans, ["row", "tag"], "left").select("row", "body", "spans", *kept_columns.inner)
-    out = out.mapInArrow(remove, f"id bigint, n_bytes bigint, spans array<array<int>>, kept binary, kept_text string{kept_columns.ddl}")
-    return kept_columns.restore(out.withColumnRenamed("id", id_col))
+    Returns one row per input row: the id, ``n_bytes``, ``spans`` (maximal removed runs as arrays
+    [start, end) of byte offsets), ``kept`` (the remaining bytes as binary; with ``as_text`` as string,
+    without characters that were cut, null for a null text) and the columns to keep. Null texts count as
+    empty; texts of fewer than 200 bytes lose nothing. Rows that occur several times repeat each
+    other. Null ids and ids with several texts are allowed, other columns are ignored, empty input gives
+    an empty result. Documents that come in batches are taken by ``RepeatIndex``, with the same result.
+    """
+    return RepeatIndex(id_col, text_col, keep).add(docs).remove(as_text)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,4 +376,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_suffix_dedup": op5_suffix_dedup}
-ORACLES = {}
+ORACLES = {
+    "op5_suffix_dedup": r"""
+WITH n AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+size AS (SELECT *, length(h) // 2 AS n FROM n),
+w AS (SELECT r, p, md5(list_aggregate(list_slice(cuts, p // 100 + 1, p // 100 + 4), 'string_agg', '')[2 * (p % 100) + 1 : 2 * (p % 100) + 400]) AS k
+  FROM (SELECT r, cuts, unnest(range(0, n - 199)) AS p FROM (SELECT r, n, list_transform(range(0, n, 100), lambda c: h[2 * c + 1 : 2 * c + 200]) AS cuts FROM size WHERE n >= 200))),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM w JOIN again USING (k)),
+runs AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS run FROM hit) GROUP BY r, run),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS prev FROM runs),
+kept AS (SELECT g.r, CAST(sum(e - s) AS BIGINT) AS gone, count(*) AS spans, string_agg(h[2 * prev + 1 : 2 * s], '' ORDER BY s) || any_value(h)[2 * max(e) + 1 :] AS left_hex FROM gaps g JOIN size USING (r) GROUP BY g.r)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(left_hex, h))) AS kept_sha256 FROM size LEFT JOIN kept USING (r)"""
+}

@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated strings of 200 bytes cover; documents that lose all of them go."""
-    found = suffix_dedup.remove_repeats(docs, keep=COLUMNS)
-    out = found.where("kept_text <> '' or n_bytes = 0").withColumn("text", F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    found = suffix_dedup.remove_repeats(docs, keep=tuple(c for c in COLUMNS if c not in ("doc_id", "text")), as_text=True)
+    out = found.where("kept is null or kept <> '' or n_bytes = 0").withColumnRenamed("kept", "text")
     return out.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else c for c in COLUMNS])
 
 

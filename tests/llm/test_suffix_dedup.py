@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -8,15 +9,30 @@ from convoylake.llm import suffix_dedup as m
 SMALL = "/root/testdata/sf0.01"
 
 
-def test_operator_equals_brute_force(spark):
-    df = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 6000")
-    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
+def test_query_equals_brute_force(spark):
+    docs = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want = repeats(docs)
-    got = {r["doc_id"]: (r["spans"], bytes(r["kept"])) for r in m.remove_repeats(df).collect()}
-    assert {i: s for i, (s, _) in got.items()} == want
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in m.op5_suffix_dedup(spark, SMALL).collect()}
+    assert len(got) == len(docs)
     for i, b in docs:
         left = b"".join(b[s:e] for s, e in zip([0, *(e for _, e in want[i])], [*(s for s, _ in want[i]), len(b)], strict=True))
-        assert got[i][1] == left
+        assert got[i] == (len(b), len(b) - len(left), len(want[i]), hashlib.sha256(left).hexdigest())
+
+
+def test_texts_are_known_by_their_bytes(spark):
+    """Rows without an id, or with one id, are told apart by their texts; batches give what all rows at once give."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnop "
+    texts = ["".join(rng.choice(letters) for _ in range(256)) for _ in range(60)]
+    rows = [(None, t) for t in texts] + [(1, texts[0]), (1, texts[3] + "x"), (1, "q" * 300), (2, texts[5][:220] + "y" * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(rows[k][0]), str(s)) for k, s in repeats([(k, t.encode()) for k, (_, t) in enumerate(rows)]).items())
+    assert sorted((str(r["doc_id"]), str(r["spans"])) for r in m.remove_repeats(df).collect()) == want
+    index = m.RepeatIndex()
+    for part in (rows[:20], rows[20:50], rows[50:62], rows[62:]):
+        index.add(spark.createDataFrame(part, "doc_id long, text string"))
+    assert len(index.levels) < 4
+    assert sorted((str(r["doc_id"]), str(r["spans"])) for r in index.remove().collect()) == want
 
 
 def messy(rng, n):
