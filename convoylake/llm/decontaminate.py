@@ -1,29 +1,34 @@
 """Benchmark decontamination with a generalised suffix automaton of normalised test items.
 
-The items' words form one automaton (split into shards of bounded size when the items are many); each
-task streams the documents' words through it and tracks the length of the longest match that ends at
-each word. A match of ``window`` words or more marks its last ``window`` words as hit; items of fewer
-words mark when they match as a whole. Only the items, a size-checked shard at a time, are sent to the
-executors; documents are never shuffled.
+The items' words form a generalised suffix automaton (one for each shard of bounded size when the items are
+many, built in a task and kept as flat arrays); each task streams the documents' words through it and
+tracks the length of the longest match that ends at each word. A match of ``window`` words or more marks
+its last ``window`` words as hit; items of fewer words mark when they match as a whole. Only automata are
+sent to the executors, up to ``SENT_BYTES`` of them at a time; where the items have more, the documents go
+through one group of them after another, with their hits so far stored between. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
-from itertools import repeat
+import uuid
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import ALNUM, Kept, column_bytes, rows_out, table
+from convoylake.llm.common import ALNUM, Kept, column_bytes, slices, store, table
 
-#: Bytes of item text in one automaton; more items make more passes over the documents.
-SHARD_BYTES = 4_000_000
+#: Bytes of item text in one automaton, and of automata that workers hold at a time.
+SHARD_BYTES, SENT_BYTES = 1_000_000, 64_000_000
+#: States whose transitions a worker keeps as dictionaries.
+CACHED_STATES = 20_000
 _WORD = re.compile(rb"[^ ]+")
-_BUILT: dict[tuple, Automaton] = {}
+_LOADED: dict[str, list[Flat]] = {}
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -97,6 +102,50 @@ class Automaton:
             v = self.link[v]
         return v
 
+    def flat(self) -> Flat:
+        return Flat(self)
+
+
+class Flat:
+    """An automaton as arrays: transitions by state, links, lengths, and the items of the states that end a window."""
+
+    def __init__(self, built: Automaton) -> None:
+        self.window, self.shortest = built.window, built.shortest
+        self.words = b"\n".join(built.ids)
+        sizes = np.fromiter(map(len, built.to), np.int32, len(built.to))
+        self.first = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+        self.edge_word = np.fromiter(chain.from_iterable(built.to), np.int32, int(sizes.sum()))
+        self.edge_to = np.fromiter(chain.from_iterable(d.values() for d in built.to), np.int32, int(sizes.sum()))
+        self.link, self.length, self.up = (np.array(x, np.int32) for x in (built.link, built.length, built.up))
+        self.names = sorted({n for s in built.long.values() for n in s} | {n for d in built.short.values() for s in d.values() for n in s})
+        number = {n: k for k, n in enumerate(self.names)}
+        states = sorted(built.long)
+        self.long_state = np.array(states, np.int32)
+        self.long_first = np.cumsum([0, *(len(built.long[v]) for v in states)], dtype=np.int32)
+        self.long_item = np.array([number[n] for v in states for n in built.long[v]], np.int32)
+        self.short = built.short
+        self.ids: dict[bytes, int] = {}
+        self.cache: dict[int, dict[int, int]] = {}
+
+    def ready(self) -> Flat:
+        """With the dictionary of words, which is not sent."""
+        self.ids = {w: k for k, w in enumerate(self.words.split(b"\n"))} if self.words else {}
+        return self
+
+    def _next(self, v: int) -> dict[int, int]:
+        if (found := self.cache.get(v)) is None:
+            if len(self.cache) >= CACHED_STATES:
+                self.cache.clear()
+            a, b = self.first[v], self.first[v + 1]
+            found = self.cache[v] = dict(zip(self.edge_word[a:b].tolist(), self.edge_to[a:b].tolist(), strict=True))
+        return found
+
+    def _items(self, v: int) -> set[str]:
+        while self.length[self.link[v]] >= self.window:
+            v = int(self.link[v])
+        at = int(np.searchsorted(self.long_state, v))
+        return {self.names[k] for k in self.long_item[self.long_first[at] : self.long_first[at + 1]].tolist()}
+
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Hit runs [first word, end) in order, and the items whose windows occur."""
         runs: list[list[int]] = []
@@ -108,28 +157,28 @@ class Automaton:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], seq >= 0, [False]])))
         begins, ends = edge[::2], edge[1::2]
         enough = ends - begins >= self.shortest
-        to, link, length, window = self.to, self.link, self.length, self.window
+        step, link, length, window = self._next, self.link, self.length, self.window
         for begin, end in zip(begins[enough].tolist(), ends[enough].tolist(), strict=True):
             v = n = 0
             for k, w in enumerate(seq[begin:end].tolist(), begin):
-                while v and w not in to[v]:
-                    v = link[v]
-                    n = length[v]
-                if w in to[v]:
-                    v = to[v][w]
+                while (to := step(v).get(w)) is None and v:
+                    v = int(link[v])
+                    n = int(length[v])
+                if to is not None:
+                    v = to
                     n += 1
                 if n >= window:
-                    items |= self.long[self._holding(v, window)]
+                    items |= self._items(v)
                     self._mark(runs, k + 1 - window, k + 1)
                 elif not self.short:
                     continue
-                u = v if v in self.short else self.up[v]
+                u = v if v in self.short else int(self.up[v])
                 while u > 0:
                     for m, names in self.short[u].items():
                         if m <= n:
                             items |= names
                             self._mark(runs, k + 1 - m, k + 1)
-                    u = self.up[u]
+                    u = int(self.up[u])
         return runs, items
 
     @staticmethod
@@ -142,11 +191,11 @@ class Automaton:
             runs.append([first, end])
 
 
-def _automaton(key: str, items: list[tuple[str, bytes]], window: int) -> Automaton:
-    if (key, window) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key, window] = Automaton(items, window)
-    return _BUILT[key, window]
+def _automata(key: str, blobs: list[bytes]) -> list[Flat]:
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = [pickle.loads(b).ready() for b in blobs]
+    return _LOADED[key]
 
 
 def cut(text: bytes, runs: list[list[int]]) -> str:
@@ -166,49 +215,67 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     item ids as strings), ``contaminated`` (hit words at least ``coverage`` of all and above 0) and,
     with ``with_text``, ``text``: the text without its hit spans, and the columns to keep. Null or empty texts have no words.
     Items without words match nothing; a null item id is named by an empty string, and items that
-    share an id count once. Repeated rows and null ids are kept. Other columns are ignored. Without
+    share an id count once. Repeated rows and null ids are kept, very long texts are read whole. Other columns are ignored. Without
     items nothing is hit; empty documents give an empty result.
     """
     spark = docs.sparkSession
     kept = Kept(docs, keep)
     items = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col("text").cast("binary").alias("body")).where("body is not null")
     shards = max(1, -(-(items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // SHARD_BYTES))
-    schema = pa.schema([("row", pa.int64()), ("body", pa.binary()), ("runs", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string())), *kept.fields])
-    ddl = f"row bigint, body binary, runs array<array<int>>, items array<string>{kept.ddl}"
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        blob = pickle.dumps(Automaton(sorted(zip(rows["item"], map(bytes, rows["body"]))), window).flat())
+        return pd.DataFrame({"blob": [blob], "size": [len(blob)]})
+
+    built = store(items.groupBy(F.expr(f"pmod(xxhash64(item), {shards})").alias("shard")).applyInPandas(build, "blob binary, size long").withColumn("shard", F.monotonically_increasing_id()))
+    groups: list[list[int]] = [[]]
+    size = 0
+    for r in built.select("shard", "size").orderBy("shard").collect():
+        if groups[-1] and size + r["size"] > SENT_BYTES:
+            groups.append([])
+            size = 0
+        groups[-1].append(r["shard"])
+        size += r["size"]
     none = [F.lit(None).cast("array<array<int>>").alias("runs"), F.lit(None).cast("array<string>").alias("items")]
     state = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), *none, *kept.columns)
 
-    def scan(sent, last):
+    def scan(key, sent, last):
         def run(batches):
-            automaton = _automaton(sent[0], sent[1].value, window)
-
-            def rows():
-                for batch in batches:
-                    for row, body, old, names, rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), batch.column(2).to_pylist(), batch.column(3).to_pylist(), kept.rows(batch), strict=True):
-                        words = words_of(body)
-                        runs, found = automaton.scan(words)
-                        if old or names:
+            automata = _automata(key, sent.value)
+            for part in slices(batches, "body"):
+                n, hit, runs_out, items_out, texts = [], [], [], [], []
+                for body, old, names in zip(column_bytes(part, "body"), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    words = words_of(body)
+                    runs, found = old or [], set(names or ())
+                    for automaton in automata:
+                        more, of = automaton.scan(words)
+                        if more:
                             merged: list[list[int]] = []
-                            for first, end in sorted([*old, *runs]):
-                                Automaton._mark(merged, first, end)
-                            runs, found = merged, found | set(names)
-                        if not last:
-                            yield row, body, runs, sorted(found), *rest
-                            continue
-                        hit = sum(end - first for first, end in runs)
-                        yield row, len(words), hit, sorted(found), cut(body, runs) if with_text and runs else None if body is None or not with_text else body.decode("utf-8", "replace"), *rest
-
-            return rows_out(final if last else schema, 500)(rows())
+                            for first, end in sorted([*runs, *more]):
+                                Flat._mark(merged, first, end)
+                            runs, found = merged, found | of
+                    n.append(len(words))
+                    hit.append(sum(end - first for first, end in runs))
+                    runs_out.append(runs)
+                    items_out.append(sorted(found))
+                    if with_text and last:
+                        texts.append(None if body is None else cut(body, runs) if runs else body.decode("utf-8", "replace"))
+                own = {"row": part.column(0)}
+                if last:
+                    own |= {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array(hit, pa.int64())} | ({"text": pa.array(texts, pa.string())} if with_text else {})
+                else:
+                    own |= {"body": part.column(1), "runs": pa.array(runs_out, pa.list_(pa.list_(pa.int32())))}
+                yield kept.beside(part, **own, items=pa.array(items_out, pa.list_(pa.string())))
 
         return run
 
-    final = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("text", pa.string()), *kept.fields])
-    for k in range(shards):  # one after another through the same rows: each shard is bounded, documents stay where they are
-        part = items.where(F.expr(f"pmod(xxhash64(item), {shards}) = {k}")) if shards > 1 else items
-        held = sorted((r["item"], bytes(r["body"])) for r in part.collect())
-        key = hashlib.sha256(repr(held).encode()).hexdigest()
-        last = k == shards - 1
-        state = state.mapInArrow(scan((key, spark.sparkContext.broadcast(held)), last), "row bigint, n_words bigint, n_hit bigint, items array<string>, text string" + kept.ddl if last else ddl)
+    for k, group in enumerate(groups):
+        blobs = [bytes(r["blob"]) for r in built.where(F.col("shard").isin(group)).orderBy("shard").select("blob").collect()] if group else []
+        last = k == len(groups) - 1
+        ddl = "n_words bigint, n_hit bigint" + (", text string" if with_text else "") if last else "body binary, runs array<array<int>>"
+        state = state.mapInArrow(scan(uuid.uuid4().hex, spark.sparkContext.broadcast(blobs), last), f"row bigint, {ddl}, items array<string>{kept.ddl}")
+        if not last:
+            state = store(state)
     out = state.select(F.col("row").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", (F.expr("n_hit > 0") & (F.col("n_hit") >= F.lit(coverage) * F.col("n_words"))).alias("contaminated"), *(["text"] if with_text else []), *kept.inner)
     return kept.restore(out)
 

@@ -22,7 +22,7 @@ def test_automaton_on_few_words():
         items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 9)))) for k in range(rng.randrange(1, 6))]
         text = " ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 60)))
         window = rng.choice([2, 3, 4, 5])
-        runs, found = m.Automaton([(str(k), t.encode()) for k, t in items], window).scan(m.words_of(text.encode()))
+        runs, found = m.Automaton([(str(k), t.encode()) for k, t in items], window).flat().ready().scan(m.words_of(text.encode()))
         assert (sum(b - a for a, b in runs), sorted(found)) == contamination([(0, text)], items, window)[0][1:]
 
 
@@ -34,5 +34,8 @@ def test_edges_and_shards(spark, monkeypatch):
     assert got == {(1, 0, 0, (), None), (2, 0, 0, (), ""), (None, 5, 3, ("1", "3"), "x  y"), (4, 6, 6, ("1", "3"), "")}
     monkeypatch.setattr(m, "SHARD_BYTES", 3)
     assert sorted(map(str, m.decontaminate(docs, items, with_text=True).collect())) == one
+    monkeypatch.setattr(m, "SENT_BYTES", 1)
+    assert sorted(map(str, m.decontaminate(docs, items, with_text=True).collect())) == one
+    assert sorted(str(r.asDict()) for r in m.decontaminate(docs, items, keep=("n_words",)).select("doc_id", "n_hit", "items").collect()) == sorted(str({k: r[k] for k in ("doc_id", "n_hit", "items")}) for r in m.decontaminate(docs, items).collect())
     assert m.decontaminate(docs.limit(0), items).count() == 0
     assert {r["n_hit"] for r in m.decontaminate(docs, items.limit(0)).collect()} == {0}
