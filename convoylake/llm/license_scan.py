@@ -1,6 +1,6 @@
 """Fuzzy search for short license notices.
 
-Each notice is split into ``errors + 1`` seeds; a text within that many edits of the notice holds one of
+Each notice is split into ``errors + 1`` seeds, which one Aho-Corasick pass finds for all notices; a text within that many edits of the notice holds one of
 the seeds unchanged (pigeonhole), so only places where a seed stands in the normalised text are looked
 at. The fewest edits of the notice in the stretch around one come from a bit-parallel edit distance, whose
 cost does not depend on the number of edits; where they are within the bound, the regex library's
@@ -10,39 +10,72 @@ is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import ALNUM, column_bytes, rows_out, table
+from convoylake.llm.common import ALNUM, column_bytes, rows_out, slices, table
 
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices (as normalised words) and their labels; found with up to one edit in eight letters.
+#: Short notices in the wording of public licenses (as normalised words) and their labels.
 NOTICES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "licensed under the apache license version 2 0": "apache",
+    "you may not use this file except in compliance with the license": "apache",
     "licensed under the gnu general public license": "gpl",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under cc by sa": "cc-by-sa",
-    "licensed under a creative commons attribution": "cc-by",
+    "under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "under the terms of the gnu lesser general public license": "lgpl",
+    "under the terms of the gnu affero general public license": "agpl",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license": "gfdl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": "bsd-3",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "subject to the terms of the mozilla public license": "mpl",
+    "made available under the terms of the eclipse public license": "epl",
+    "licensed under the european union public licence": "eupl",
+    "distributed under the boost software license": "boost",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "under the terms of the artistic license": "artistic",
+    "no rights reserved creative commons zero": "cc0",
+    "licensed under a creative commons attribution": "cc-by",
+    "creative commons attribution 4 0 international license": "cc-by",
+    "licensed under cc by sa": "cc-by-sa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "licensed under cc by nc": "cc-by-nc",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "licensed under cc by nd": "cc-by-nd",
+    "licensed under the open database license": "odbl",
+    "licensed under the sil open font license": "ofl",
     "all rights reserved": "all-rights-reserved",
 }
-EDIT_SHARE = 8
+#: A notice may differ by one edit in so many letters; letters of all notices that workers are sent at most.
+EDIT_SHARE, NOTICE_LETTERS = 8, 1_000_000
 
 
 @cache
-def _compiled(notice: str) -> tuple[regex.Pattern, list[bytes], int]:
-    errors = len(notice) // EDIT_SHARE
-    cuts = [len(notice) * k // (errors + 1) for k in range(errors + 2)]
-    seeds = [notice[a:b].encode() for a, b in zip(cuts, cuts[1:])]
-    return _pattern(notice, errors), seeds, errors
+def _errors(notice: str) -> int:
+    return len(notice) // EDIT_SHARE
+
+
+@cache
+def _seeds(notices: tuple[str, ...]) -> ahocorasick.Automaton:
+    """The seeds of all notices, each with the notices that it is cut from and where."""
+    out = ahocorasick.Automaton()
+    for notice in notices:
+        cuts = [len(notice) * k // (_errors(notice) + 1) for k in range(_errors(notice) + 2)]
+        for a, b in zip(cuts, cuts[1:]):
+            seed = notice[a:b]
+            out.add_word(seed, [*out.get(seed, []), (notice, a, len(seed))])
+    out.make_automaton()
+    return out
 
 
 @cache
@@ -91,28 +124,26 @@ def places(text: bytes, part: bytes) -> list[int]:
 def _verified(stretch: bytes, notice: str) -> tuple[int, int, int] | None:
     """The best match of the notice in a stretch of its length and twice the edits: start, end, edits."""
     edits = fewest_edits(stretch, notice)
-    m = _pattern(notice, edits).search(stretch) if edits <= _compiled(notice)[2] else None
+    m = _pattern(notice, edits).search(stretch) if edits <= _errors(notice) else None
     return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
 
 
-def fuzzy(text: bytes, notice: str) -> list[tuple[int, int, int]]:
-    """Spans (start, end, edits) of the notice in normalised text; a span inside one already found is not looked for."""
-    _, seeds, errors = _compiled(notice)
-    starts: set[int] = set()
-    cut = 0
-    for seed in seeds:
-        starts.update(p - cut for p in places(text, seed))
-        cut += len(seed)
-    out: list[tuple[int, int, int]] = []
-    done = 0
-    for p in sorted(starts):
-        if p + errors < done:
-            continue
-        at = max(0, p - errors, done)
-        if (found := _verified(text[at : p + len(notice) + errors], notice)) is not None:
-            out.append((at + found[0], at + found[1], found[2]))
-            done = at + found[1]
-    return out
+def fuzzy(text: bytes, notices: tuple[str, ...]) -> Iterator[tuple[int, int, str, int]]:
+    """Spans (start, end, notice, edits) of the notices in normalised text; a span of a notice inside one already found is not looked for."""
+    starts: dict[str, set[int]] = {}
+    if notices:
+        for end, cut_from in _seeds(notices).iter(text.decode("latin-1")):
+            for notice, cut, size in cut_from:
+                starts.setdefault(notice, set()).add(end + 1 - size - cut)
+    for notice, found in starts.items():
+        errors, done = _errors(notice), 0
+        for p in sorted(found):
+            if p + errors < done:
+                continue
+            at = max(0, p - errors, done)
+            if (best := _verified(text[at : p + len(notice) + errors], notice)) is not None:
+                yield at + best[0], at + best[1], notice, best[2]
+                done = at + best[1]
 
 
 def _word_numbers(text: bytes, positions: list[int]) -> dict[int, int]:
@@ -124,25 +155,28 @@ def _word_numbers(text: bytes, positions: list[int]) -> dict[int, int]:
     return out
 
 
-def scan_text(body: bytes | None) -> tuple:
+def scan_text(body: bytes | None, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> tuple:
     """Number of words, phrase places (first word, label), notice spans (first word, end, label, edits, letters)."""
     words = (body or b"").translate(ALNUM).split()
     text = b" " + b" ".join(words) + b" "
-    base = [(at, label) for phrase, label in PHRASES.items() for at in places(text, b" " + phrase.encode() + b" ")]
-    found = [(a + 1, b - 1, label, edits, len(notice)) for notice, label in NOTICES.items() for a, b, edits in fuzzy(text, notice)]
+    base = [(at, label) for phrase, label in phrases.items() for at in places(text, b" " + phrase.encode() + b" ")]
+    found = [(a + 1, b - 1, notices[notice], edits, len(notice)) for a, b, notice, edits in fuzzy(text, tuple(notices))]
     number = _word_numbers(text, [at for at, _ in base] + [p for a, b, *_ in found for p in (a, b)])
     return len(words), sorted((number[at], label) for at, label in base), sorted((max(0, number[a] - 1), number[b], *rest) for a, b, *rest in found)
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """License phrases and notices of each document.
 
-    Returns one row per input row: the id, ``n_words``, ``base`` (array of phrase places: first word,
+    ``phrases`` and ``notices`` map normalised words (lower-case letters and digits of ASCII,
+    single spaces) to labels; notices have at most ``NOTICE_LETTERS`` letters in all. Returns one row per input row: the id, ``n_words``, ``base`` (array of phrase places: first word,
     label), ``notices`` (array of fuzzy spans: first word, end word, label, edits) and ``score``: 1 with
     a phrase, else 1 - edits / letters of the best notice, else 0. Null texts count as empty and have
     no words. Repeated rows and null ids are kept, other columns ignored, empty input gives an empty
     result.
     """
+    if sum(map(len, notices)) > NOTICE_LETTERS or any(not x.isascii() or not x for x in (*phrases, *notices)):
+        raise ValueError(f"notices and phrases are non-empty ASCII, notices of {NOTICE_LETTERS} letters in all at most")
     schema = pa.schema([
         ("id", pa.int64()), ("n_words", pa.int64()), ("base", pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))),
         ("notices", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("edits", pa.int32())]))), ("score", pa.float64()),
@@ -150,9 +184,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches):
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "body"):
                 for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
-                    n, base, found = scan_text(body)
+                    n, base, found = scan_text(body, phrases, notices)
                     score = 1.0 if base else max((1 - e / size for *_, e, size in found), default=0.0)
                     yield row, n, [{"word": w, "label": v} for w, v in base], [{"first": a, "end": b, "label": v, "edits": e} for a, b, v, e, _ in found], score
 

@@ -1,3 +1,4 @@
+import pytest
 from brute import words
 
 from convoylake.llm import license_scan as m
@@ -44,14 +45,15 @@ def test_pigeonhole_loses_nothing():
 
     rng = random.Random(2)
     notice = "licensed under the apache license version 2 0"
-    pattern, _, errors = m._compiled(notice)
+    errors = m._errors(notice)
+    pattern = m._pattern(notice, errors)
     for _ in range(60):
         s = list(notice)
         for _ in range(rng.randrange(errors + 3)):
             k = rng.randrange(len(s))
             s[k : k + 1] = rng.choice([[], [rng.choice("abc ")], [s[k], rng.choice("xyz")]])
         text = ("x y " + "".join(s) + " z w").encode()
-        assert bool(m.fuzzy(text, notice)) == bool(pattern.search(text))
+        assert bool(list(m.fuzzy(text, (notice,)))) == bool(pattern.search(text))
 
 
 def test_fewest_edits_equals_the_table():
@@ -88,4 +90,13 @@ def test_one_edit_in_eight_letters_is_found():
         bad = list(notice)
         for k in range(errors):
             bad[4 + 8 * k - (bad[4 + 8 * k] == " ")] = "#"
-        assert [e for *_, e in m.fuzzy(b" x " + "".join(bad).encode() + b" y ", notice)] == [errors], notice
+        assert [e for *_, e in m.fuzzy(b" x " + "".join(bad).encode() + b" y ", (notice,))] == [errors], notice
+
+
+def test_own_tables(spark):
+    df = spark.createDataFrame([(1, "Use of this is subjekt to the Foo licence; MIT license"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in m.license_scan(df, phrases={"foo licence": "foo"}, notices={"subject to the foo licence": "foo"}).collect()}
+    assert [p["label"] for p in got[1]["base"]] == ["foo"] and [(x["label"], x["edits"]) for x in got[1]["notices"]] == [("foo", 1)]
+    assert m.license_scan(df, notices={}).where("doc_id = 1").first()["notices"] == []
+    with pytest.raises(ValueError):
+        m.license_scan(df, notices={"x" * 2_000_000: "x"})
