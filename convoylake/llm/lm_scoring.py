@@ -1,11 +1,15 @@
-"""Cross-entropy difference scoring with a target and a background n-gram model over one vocabulary.
-
-Both models are bigram models interpolated with unigrams, over the words of all documents; the target
-model counts the documents named as target, the background model counts all. No count is pruned.
-Documents and the names of targets are dealt into blocks by id. A block sends the hashes of its distinct words and word pairs, with its
-counts, to shards by hash (so a frequent word is one entry a block, whatever its count); a shard sums
-them and answers each block with the counts it asked for; the block then scores its documents. Texts are
-shuffled once, for both passes.
+"""Cross-entropy difference scoring with matched target and background n-gram models over one vocabulary.
+
+Both models are bigram models interpolated with unigrams and of one make; the vocabulary is the words of all
+documents. The target model counts the documents named as target, the background model counts all. A
+document's own counts are left out of both models when it is scored, so a target is judged as any other
+document, and only what else the corpus holds counts. The background's counts enter on the scale of the target's
+number of words, so both are smoothed alike whatever their sizes. No count is pruned.
+
+Documents and the names of targets are dealt into blocks by id (``word_blocks``). A block sends its distinct
+word and pair codes with its counts to the shards of the code range; a shard sums them and answers each
+block with the counts it asked for; the block then scores its documents. Totals are summed apart and come
+as one row a block. Texts are shuffled once, for both passes.
 """
 
 from __future__ import annotations
@@ -15,114 +19,74 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import ALNUM, mix, table
-from convoylake.llm.ngram_jaccard import word_hashes
+from convoylake.llm.common import table
+from convoylake.llm.word_blocks import BLOCK_BYTES, Blocks, Tokens, from_planes, packed_codes, planes, slices_of, unpacked_codes
 
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 6_000_000
 #: Weight of the pair model, and what is added to every word's count.
 PAIR_WEIGHT, ADDED = 0.6, 0.1
 
 
-def block_codes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: first token of each text (and the end), each token's word code, each token's pair code (with the word before, or the start), distinct word codes, distinct pair codes."""
-    hashes, starts = [], [0]
-    for text in texts:
-        hashes.append(word_hashes((text or b"").translate(ALNUM).split()))
-        starts.append(starts[-1] + len(hashes[-1]))
-    words = mix(np.concatenate([*hashes, np.zeros(0, np.uint64)]) + np.uint64(1))
-    before = np.concatenate([np.zeros(1, np.uint64), words[:-1]])[: len(words)]
-    before[[s for s in starts[:-1] if s < len(words)]] = 0
-    pairs = mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
-    return np.array(starts), words, pairs, np.unique(words), np.unique(pairs)
-
-
-def _sorted_counts(tokens: np.ndarray, distinct: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(distinct, tokens)
-    return np.bincount(at[target], minlength=len(distinct)).astype(np.uint32), np.bincount(at, minlength=len(distinct)).astype(np.uint32)
-
-
-def _cuts(distinct: np.ndarray, shards: int) -> np.ndarray:
-    """Where the shards' parts of sorted codes begin and end."""
-    step = (1 << 64) // shards
-    return np.concatenate([np.searchsorted(distinct, np.array([s * step for s in range(shards)], np.uint64)), [len(distinct)]])
-
-
-def planes(a: np.ndarray) -> bytes:
-    """An array byte by byte, all lowest bytes first, so that the zeros of small numbers are together and compress."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Cross-entropy difference of each document, in nats a word: ``score`` = target minus background, lower is closer to the target.
 
     ``targets`` has the ids of the target documents. Returns one row per input row: the id,
     ``n_tokens``, ``target_entropy``, ``background_entropy``, ``score``. Null texts and texts without
     words have no tokens and null entropies and score. With no target documents the target model is
-    uniform over the vocabulary. Repeated rows count as often as they occur, rows with a null id are
-    kept and are no targets, other columns are ignored, empty input gives an empty result.
+    uniform over the vocabulary and the background is not scaled. Repeated rows count as often as they
+    occur, and each leaves out one of them; rows of one id are dealt to one block. Rows with a null id are kept
+    and are no targets, very long texts are read whole, other columns are ignored, empty input gives an empty
+    result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
-    total = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    block = F.pmod(F.when(F.col("row").isNull(), F.xxhash64("body")).otherwise(F.xxhash64("row")), F.lit(n)).alias("block")
-    dealt = docs.select(F.col("row").cast("string").alias("row"), "body", block)
-    named = targets.select(F.col(id_col).cast("bigint").alias("row")).where("row is not null").distinct().select(F.col("row").cast("string").alias("row"), F.pmod(F.xxhash64("row"), F.lit(n)).alias("block"))
+    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    n, named = blocks.n, blocks.named(targets)
 
     def ask(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "block", "kind", "codes", "t", "b"]
-        if not len(rows):
-            return pd.DataFrame([], columns=columns)
-        starts, words, pairs, vocab, both = block_codes(rows["body"].tolist())
-        marked = np.repeat(rows["row"].isin(set(names["row"])).to_numpy(bool), np.diff(starts))
         out = []
-        for kind, tokens, distinct in ((0, words, vocab), (1, pairs, both)):
-            t, b = _sorted_counts(tokens, distinct, marked)
-            cuts = _cuts(distinct, n)
-            out += [(s, int(rows["block"].iat[0]), kind, planes(np.diff(distinct[x:y], prepend=np.uint64(0))), planes(t[x:y]), planes(b[x:y])) for s, (x, y) in enumerate(zip(cuts, cuts[1:]))]
-        return pd.DataFrame(out, columns=columns)
+        if len(rows):
+            x = Tokens(rows["body"].tolist())
+            target = rows["row"].isin(set(names["row"])).to_numpy(bool)[x.doc]
+            for kind, numbers, distinct in ((0, x.word, x.vocab), (1, x.pair, x.pairs)):
+                t, b = (np.bincount(v, minlength=len(distinct)).astype(np.uint32) for v in (numbers[target], numbers))
+                out += [(s, int(rows["block"].iat[0]), kind, packed_codes(distinct[i:j]), planes(t[i:j]), planes(b[i:j])) for s, i, j in slices_of(distinct, n)]
+        return pd.DataFrame(out, columns=["shard", "block", "kind", "codes", "t", "b"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, shard = [], rows["shard"].iat[0]
         for kind, part in rows.groupby("kind"):
-            codes = [np.cumsum(from_planes(c), dtype=np.uint64) for c in part["codes"]]
-            distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
-            sums = [np.bincount(at, weights=np.concatenate([from_planes(x, np.uint32) for x in part[c]]), minlength=len(distinct)).astype(np.uint64) for c in "tb"]
+            codes = [unpacked_codes(c) for c in part["codes"]]
+            at, distinct = pd.factorize(np.concatenate(codes))
+            sums = [np.bincount(at, weights=np.concatenate([from_planes(v, np.uint32) for v in part[c]]), minlength=len(distinct)).astype(np.uint64) for c in "tb"]
             ends = np.cumsum([0, *map(len, codes)])
-            for block, x, y in zip(part["block"], ends, ends[1:]):
-                mine = [planes(s[at[x:y]]) for s in sums]
-                out.append((block, rows["shard"].iat[0], kind, *mine, len(distinct), float(sums[0].sum()), float(sums[1].sum())))
+            out += [(block, shard, kind, planes(sums[0][at[i:j]]), planes(sums[1][at[i:j]]), 0, 0.0, 0.0) for block, i, j in zip(part["block"], ends, ends[1:])]
+            if kind == 0:
+                out.append((-1, shard, 2, None, None, int((distinct > 0).sum()), float(sums[0].sum()), float(sums[1].sum())))
         return pd.DataFrame(out, columns=["block", "shard", "kind", "t", "b", "size", "nt", "nb"])
 
-    def score(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        starts, words, pairs, vocab, both = block_codes(rows["body"].tolist())
-        counts = counts.sort_values("shard")
-        of = {(k, c): np.concatenate([np.zeros(0), *map(from_planes, counts[counts["kind"] == k][c])]) for k in (0, 1) for c in "tb"}
-        single = counts[counts["kind"] == 0]
-        size = single["size"].sum()
-        w, p = np.searchsorted(vocab, words), np.searchsorted(both, pairs)
-        first = np.zeros(len(words), bool)
-        first[starts[:-1][starts[:-1] < len(words)]] = True
+    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=["row", "n_tokens", "t", "b"])
+        x = Tokens(rows["body"].tolist())
+        target = rows["row"].isin(set(told["name"][told["kind"] == 3])).to_numpy(bool)
+        told = told.sort_values("shard")
+        total = told[told["kind"] == 2].iloc[0]
+        of = {(k, c): np.concatenate([np.zeros(0), *map(from_planes, told[told["kind"] == k][c])]) for k in (0, 1) for c in "tb"}
+        own_word, own_pair = x.own(x.word), x.own(x.pair)
+        own_before = np.where(x.first, 0, np.concatenate([np.zeros(1, np.int64), own_word[:-1]])[: len(own_word)])
         entropies = []
-        for c, all_words in (("t", single["nt"].sum()), ("b", single["nb"].sum())):
-            one = (of[0, c][w] + ADDED) / (all_words + ADDED * max(1, size))
-            before = np.concatenate([[0.0], of[0, c][w][:-1]])[: len(w)]
-            before[first] = 0
+        for c, words, counted, scale in (("t", total["nt"], target[x.doc], 1.0), ("b", total["nb"], np.ones(len(x.doc), bool), total["nt"] / total["nb"] if total["nt"] else 1.0)):
+            one = ((of[0, c][x.word] - own_word * counted) * scale + ADDED) / ((words - x.length[x.doc] * counted) * scale + ADDED * total["size"])
+            before = np.where(x.first, 0, of[0, c][x.before] - own_before * counted)
             weight = np.where(before > 0, PAIR_WEIGHT, 0.0)
-            prob = weight * of[1, c][p] / np.maximum(before, 1) + (1 - weight) * one
-            sums = np.concatenate([[0.0], np.cumsum(-np.log(prob))])
-            length = np.diff(starts)
-            entropies.append(np.where(length > 0, (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(length, 1), np.nan))
-        return pd.DataFrame({"row": rows["row"], "n_tokens": np.diff(starts), "t": entropies[0], "b": entropies[1]})
-
-    asked = dealt.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(ask, "shard int, block long, kind int, codes binary, t binary, b binary")
-    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard int, kind int, t binary, b binary, size long, nt double, nb double")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row string, n_tokens long, t double, b double")
+            prob = weight * (of[1, c][x.pair] - own_pair * counted) / np.maximum(before, 1) + (1 - weight) * one
+            entropies.append(np.where(x.length > 0, x.sums(-np.log(prob)) / np.maximum(x.length, 1), np.nan))
+        return pd.DataFrame({"row": rows["row"], "n_tokens": x.length, "t": entropies[0], "b": entropies[1]})
+
+    asked = blocks.dealt.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(ask, "shard long, block long, kind int, codes binary, t binary, b binary")
+    answers = asked.groupBy("shard").applyInPandas(answer, "block long, shard long, kind int, t binary, b binary, size long, nt double, nb double")
+    totals = answers.where("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0).cast(k)).alias(c) for c, k in (("size", "bigint"), ("nt", "double"), ("nb", "double"))])
+    told = answers.where("block >= 0").unionByName(blocks.everywhere(totals).withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    told = told.unionByName(named.select("block", F.lit(3).alias("kind"), F.col("row").alias("name")), allowMissingColumns=True)
+    out = blocks.dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, "row string, n_tokens long, t double, b double")
     t, b = F.nanvl("t", F.lit(None)), F.nanvl("b", F.lit(None))
     return out.select(F.col("row").cast("bigint").alias(id_col), "n_tokens", t.alias("target_entropy"), b.alias("background_entropy"), (t - b).alias("score"))
 
