@@ -1,210 +1,186 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over symbols: letters, digits, spaces and classes of punctuation and of other alphabets'
-bytes, 64 in all, in n-grams of four. Four-gram counts of all trusted text are summed by shards of their
-code; continuation counts, discounts and the probabilities of each order are joins and sums of those
-counts. A table has at most 64**4 rows whatever the corpus, so the joined probabilities have a proven
-bound (16.8 million rows of 8 bytes) and are sent to the tasks that score the documents; no text is
-shuffled. A document is of low quality when its perplexity exceeds a quantile of the trusted documents'
-perplexities in its language.
+The model is over words as they are written, runs of marks among them, and pairs of those, of all trusted
+documents without pruning. Its counts are summed in
+shards of the code range and joined back to the documents' own words and pairs, block by block
+(``word_blocks``), so what is gathered grows with the input and no table of the model is ever in one place:
+
+1. Blocks send their distinct pairs with trusted counts; a shard answers each block with the sum over all
+   blocks and the number of blocks that have the pair in trusted text.
+2. From those a block knows its part of each word's statistics - what a pair adds to its context and to its
+   word, each shared between the blocks that have the pair - and sends it to the words' shards, which answer
+   with the sums: of a context its tokens and the pairs seen once, twice and more often, of a word the
+   number of different words before it.
+3. A block scores its documents. Discounts and totals come as one row a block.
+
+A trusted document's own counts are left out when it is scored, so trusted documents are judged as any
+other, and all of them enter the model and the thresholds. A document is of low quality when its
+perplexity exceeds a quantile of the trusted documents' perplexities in its language; the quantile of a
+language with few of them leans on the one of all languages.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, rows_out, store, table
+from convoylake.llm.common import store, table
+from convoylake.llm.word_blocks import BLOCK_BYTES, Blocks, Tokens, from_planes, packed_codes, planes, slices_of, unpacked_codes, words_and_marks
 
-SYMBOLS, ORDER = 64, 4
 #: Share of the trusted documents of a language that may be called low.
 QUANTILE = 0.995
+#: Trusted documents of a language that weigh as much as the quantile of all languages.
+LEAN = 200
+_WORD_STATISTICS = ("tokens", "once", "twice", "often", "before")
 
 
-def _symbol(b: int) -> int:
-    if 65 <= b <= 90:
-        return b - 64
-    if 97 <= b <= 122:
-        return b - 96
-    if 48 <= b <= 57:
-        return 27
-    if b <= 32 or b == 127:
-        return 28
-    if b < 128:
-        return {44: 29, 46: 30, 39: 31, 45: 32, 33: 33, 63: 34, 58: 35, 59: 36, 40: 37, 41: 38, 34: 39}.get(b, 40 + b % 4)
-    return 44 + b % 20 if b < 192 else 44 + b % 19
-
-
-#: 0 stands before the text.
-SYMBOL = np.array([_symbol(b) for b in range(256)], np.uint8)
-
-
-def codes(text: bytes) -> np.ndarray:
-    """Four-gram code at each symbol, the symbols before it in the high bits; runs of white space are one symbol."""
-    s = SYMBOL[np.frombuffer(b" ".join(text.split()), np.uint8)].astype(np.uint32)
-    out = s.copy()
-    for k in range(1, ORDER):
-        out[k:] |= s[:-k] << np.uint32(6 * k)
-    return out
-
-
-def four_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of all four-grams: code, n."""
-
-    def count(batches):
-        total: np.ndarray | None = None
-
-        def packed(total):
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["code", "n"])
-
-        held, size = [], 0
-        for batch in batches:
-            for body in column_bytes(batch, "body"):
-                if body:
-                    held.append(codes(body))
-                    size += len(held[-1])
-                if size > 4_000_000:
-                    total = (0 if total is None else total) + np.bincount(np.concatenate(held), minlength=SYMBOLS**ORDER).astype(np.uint32)
-                    held, size = [], 0
-        if held:
-            total = (0 if total is None else total) + np.bincount(np.concatenate(held), minlength=SYMBOLS**ORDER).astype(np.uint32)
-        if total is not None:
-            yield packed(total)
-
-    return docs.select(F.col(text_col).cast("binary").alias("body")).mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Discounts of counts 1, 2 and 3 or more, from the counts of counts."""
-    row = counts.agg(*[F.coalesce(F.sum((F.col("n") == k).cast("bigint")), F.lit(0)).alias(f"n{k}") for k in range(1, 5)]).first()
-    n = [0, *(int(v) for v in row)]
+def discounts(of: list[float]) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and 3 or more, from how many things have the counts 1 to 4."""
+    n = [0, *of]
     y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k) if n[k] else 0.5 * k for k in (1, 2, 3))
+    return np.array([0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k) if n[k] else 0.5 * k for k in (1, 2, 3))])
 
 
-def train(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Model rows (size, code, p, rest) of each order: the interpolated probability of an n-gram's last symbol and, for contexts, the weight that lower orders get.
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The id, ``n_words`` and ``perplexity`` (a word; null without words) of each document under the model of the trusted ones, itself left out.
 
-    ``size`` is the number of symbols in ``code``; ``p`` belongs to n-grams, ``rest`` to contexts.
+    Totals over the vocabulary and discounts are those of the whole model. Rows of one id are dealt to one
+    block; null ids are not trusted.
     """
-    top = store(four_grams(docs, text_col))
-    levels = {ORDER: top}
-    for size in range(ORDER - 1, 0, -1):  # continuation counts: the distinct symbols before an n-gram
-        levels[size] = levels[size + 1].groupBy((F.col("code") % SYMBOLS**size).cast("int").alias("code")).agg(F.count("*").alias("n"))
-    lower: DataFrame | None = None
-    out: DataFrame | None = None
-    for size in range(1, ORDER + 1):
-        counts = levels[size]
-        d = discounts(counts)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        counts = counts.select("code", "n", cut.alias("d"), F.floor(F.col("code") / SYMBOLS).cast("int").alias("context"), (F.col("code") % SYMBOLS ** (size - 1)).cast("int").alias("shorter"))
-        contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("lost"))
-        joined = counts.join(contexts, "context")
-        rest = F.col("lost") / F.col("total")
-        if lower is None:
-            probs = joined.select("code", ((F.col("n") - F.col("d")) / F.col("total") + rest / SYMBOLS).alias("p"))
-        else:
-            probs = joined.join(lower.select(F.col("code").alias("shorter"), F.col("p").alias("q")), "shorter").select("code", ((F.col("n") - F.col("d")) / F.col("total") + rest * F.col("q")).alias("p"))
-        lower = store(probs)
-        part = lower.select(F.lit(size).alias("size"), "code", "p", F.lit(None).cast("double").alias("rest"))
-        part = part.unionByName(contexts.select(F.lit(size - 1).alias("size"), F.col("context").alias("code"), F.lit(None).cast("double").alias("p"), rest.alias("rest")))
-        out = part if out is None else out.unionByName(part)
-    return store(out)
-
-
-class Tables:
-    """The model as arrays: natural logarithms for four-grams that were seen, and what the shorter orders give for the others."""
-
-    def __init__(self, rows) -> None:
-        size, code, p, rest = (np.asarray(rows[c]) for c in ("size", "code", "p", "rest"))
-        seen = ~np.isnan(p)
-        q = np.full(1, 1 / SYMBOLS)
-        for k in range(1, ORDER):
-            weight = np.ones(SYMBOLS ** (k - 1))
-            w = ~seen & (size == k - 1)
-            weight[code[w]] = rest[w]
-            shorter = np.tile(q, SYMBOLS) if k > 1 else np.full(SYMBOLS, 1 / SYMBOLS)
-            q = np.repeat(weight, SYMBOLS) * shorter
-            s = seen & (size == k)
-            q[code[s]] = p[s]
-        w = ~seen & (size == ORDER - 1)
-        weight = np.ones(SYMBOLS ** (ORDER - 1))
-        weight[code[w]] = rest[w]
-        self.lower, self.weight = np.log(q).astype(np.float32), np.log(weight).astype(np.float32)
-        top = seen & (size == ORDER)
-        order = np.argsort(code[top])
-        self.codes, self.logs = code[top][order].astype(np.int32), np.log(p[top][order]).astype(np.float32)
-        self.index: np.ndarray | None = None
-
-    def score(self, text: bytes) -> tuple[int, float]:
-        """Symbols and the sum of their log-probabilities."""
-        if self.index is None:  # position of each seen four-gram, 0 elsewhere
-            self.index = np.zeros(SYMBOLS**ORDER, np.int32)
-            self.index[self.codes] = np.arange(1, len(self.codes) + 1)
-        c = codes(text)
-        at = self.index[c]
-        known = at > 0
-        other = c[~known]
-        return len(c), float(self.logs[at[known] - 1].sum(dtype=np.float64) + (self.weight[other >> np.uint32(6)] + self.lower[other & np.uint32(SYMBOLS ** (ORDER - 1) - 1)]).sum(dtype=np.float64))
-
-
-def perplexities(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
-    """The id, the columns to keep, ``n_symbols`` and ``perplexity`` (null without symbols)."""
-    rows = model.toPandas()  # at most 64**4 four-grams and fewer shorter ones
-    sent = docs.sparkSession.sparkContext.broadcast(Tables(rows))
-    kept = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"), *[F.col(c).cast("string").alias(f"keep_{c}") for c in keep])
-
-    def run(batches):
-        tables = sent.value
-
-        def out():
-            for batch in batches:
-                for row, body, *rest in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), *(batch.column(2 + k).to_pylist() for k in range(len(keep))), strict=True):
-                    n, total = tables.score(body or b"")
-                    yield row, n, float(np.exp(-total / n)) if n else None, *rest
-
-        return rows_out(pa.schema([("row", pa.int64()), ("n_symbols", pa.int64()), ("perplexity", pa.float64()), *((f"keep_{c}", pa.string()) for c in keep)]))(out())
-
-    out = kept.mapInArrow(run, "row bigint, n_symbols bigint, perplexity double" + "".join(f", keep_{c} string" for c in keep))
-    return out.withColumnsRenamed({"row": id_col} | {f"keep_{c}": c for c in keep})
-
-
-def classify(docs: DataFrame, trusted: DataFrame, calibrate: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+    blocks = Blocks(docs, id_col, text_col, block_bytes)
+    n, named = blocks.n, blocks.named(trusted)
+
+    def ask(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            x = Tokens(rows["body"].tolist(), words_and_marks)
+            kept = rows["row"].isin(set(names["row"])).to_numpy(bool)[x.doc]
+            t = np.bincount(x.pair[kept], minlength=len(x.pairs)).astype(np.uint32)
+            out = [(s, int(rows["block"].iat[0]), packed_codes(x.pairs[i:j]), planes(t[i:j])) for s, i, j in slices_of(x.pairs, n)]
+        return pd.DataFrame(out, columns=["shard", "block", "codes", "t"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, own = [unpacked_codes(c) for c in rows["codes"]], [from_planes(t, np.uint32) for t in rows["t"]]
+        at, distinct = pd.factorize(np.concatenate(codes))
+        t = np.concatenate(own)
+        sums = np.bincount(at, weights=t, minlength=len(distinct)).astype(np.uint64)
+        holders = np.bincount(at[t > 0], minlength=len(distinct)).astype(np.uint32)
+        ends, shard = np.cumsum([0, *map(len, codes)]), rows["shard"].iat[0]
+        out = [(block, shard, 1, planes(sums[at[i:j]]), planes(holders[at[i:j]]), planes(t[i:j]), 0, 0, 0, 0) for block, i, j in zip(rows["block"], ends, ends[1:])]
+        out.append((-1, shard, 0, None, None, None, *((sums == k).sum() for k in range(1, 5))))
+        return pd.DataFrame(out, columns=["block", "shard", "kind", "sums", "holders", "own", "n1", "n2", "n3", "n4"])
+
+    def pair_counts(told: pd.DataFrame) -> list[np.ndarray]:
+        told = told[told["kind"] == 1].sort_values("shard")
+        return [np.concatenate([np.zeros(0, k), *(from_planes(v, k) for v in told[c])]) for c, k in (("sums", np.uint64), ("holders", np.uint32), ("own", np.uint32))]
+
+    def share(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            x = Tokens(rows["body"].tolist(), words_and_marks)
+            sums, holders, own = pair_counts(told)
+            context, word = np.zeros(len(x.pairs), np.int64), np.zeros(len(x.pairs), np.int64)
+            context[x.pair], word[x.pair] = x.before, x.word
+            part = np.where(own > 0, 1 / np.maximum(holders, 1), 0.0)
+            of = [np.bincount(context, weights=own, minlength=len(x.vocab))]
+            of += [np.bincount(context, weights=part * c, minlength=len(x.vocab)) for c in (sums == 1, sums == 2, sums > 2)]
+            of.append(np.bincount(word, weights=part, minlength=len(x.vocab)))
+            out = [(s, int(rows["block"].iat[0]), packed_codes(x.vocab[i:j]), *(planes(v[i:j]) for v in of)) for s, i, j in slices_of(x.vocab, n)]
+        return pd.DataFrame(out, columns=["shard", "block", "codes", *_WORD_STATISTICS])
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = [unpacked_codes(c) for c in rows["codes"]]
+        at, distinct = pd.factorize(np.concatenate(codes))
+        # whole numbers, up to the rounding of the shares
+        of = [np.rint(np.bincount(at, weights=np.concatenate([from_planes(v, np.float64) for v in rows[c]]), minlength=len(distinct))).astype(np.uint64) for c in _WORD_STATISTICS]
+        ends, shard = np.cumsum([0, *map(len, codes)]), rows["shard"].iat[0]
+        out = [(block, shard, 2, *(planes(v[at[i:j]]) for v in of), 0, 0, 0, 0, 0, 0, 0) for block, i, j in zip(rows["block"], ends, ends[1:])]
+        before = of[-1]
+        out.append((-1, shard, 0, *[None] * 5, (distinct > 0).sum(), (before > 0).sum(), before.sum(), *((before == k).sum() for k in range(1, 5))))
+        return pd.DataFrame(out, columns=["block", "shard", "kind", *_WORD_STATISTICS, "size", "types", "mass", "c1", "c2", "c3", "c4"])
+
+    def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=["row", "n_words", "perplexity"])
+        x = Tokens(rows["body"].tolist(), words_and_marks)
+        kept = rows["row"].isin(set(told["name"][told["kind"] == 3])).to_numpy(bool)
+        pairs, words = (told[told["kind"] == k].iloc[0] for k in (4, 5))
+        d, dc = discounts([pairs[f"n{k}"] for k in range(1, 5)]), discounts([words[f"c{k}"] for k in range(1, 5)])
+        sums = pair_counts(told)[0].astype(np.int64)
+        told = told[told["kind"] == 2].sort_values("shard")
+        tokens, once, twice, often, before = (np.concatenate([np.zeros(0, np.uint64), *map(from_planes, told[c])]).astype(np.float64) for c in _WORD_STATISTICS)
+        # each token's pair without what its document gives to the model, and what the document gives to context and word
+        own = x.own(x.pair) * kept[x.doc]
+        c = sums[x.pair] - own
+        each = 1 / x.own(x.pair)  # so that a document's distinct pairs count once
+        lost = d[1] * once + d[2] * twice + d[3] * often
+        lost_now = lost[x.before] + _by(x, x.before, (d[np.minimum(c, 3)] - d[np.minimum(c + own, 3)]) * each)
+        tokens_now = tokens[x.before] - x.own(x.before) * kept[x.doc]
+        before_now = before[x.word] - _by(x, x.word, ((own > 0) & (c == 0)) * each)
+        mass = max(words["mass"], 1)
+        given = dc[1] * words["c1"] + dc[2] * words["c2"] + dc[3] * (words["types"] - words["c1"] - words["c2"])
+        rest = given / mass if words["mass"] else 1.0
+        whole = np.rint(before_now)
+        single = np.maximum(whole - dc[np.clip(whole, 0, 3).astype(np.int64)], 0) / mass + rest / (words["size"] + 1)
+        seen = tokens_now > 0
+        full = np.maximum(tokens_now, 1)
+        prob = np.where(seen, np.maximum(c - d[np.minimum(c, 3)], 0) / full + np.maximum(lost_now, 0) / full * single, single)
+        return pd.DataFrame({"row": rows["row"], "n_words": x.length, "perplexity": np.where(x.length > 0, np.exp(x.sums(-np.log(prob)) / np.maximum(x.length, 1)), np.nan)})
+
+    asked = blocks.dealt.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(ask, "shard long, block long, codes binary, t binary")
+    counted = asked.groupBy("shard").applyInPandas(count, "block long, shard long, kind int, sums binary, holders binary, own binary, n1 long, n2 long, n3 long, n4 long")
+    to_blocks = counted.where("block >= 0")
+    statistics = ", ".join(f"{c} binary" for c in _WORD_STATISTICS)
+    shared = blocks.dealt.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInPandas(share, f"shard long, block long, codes binary, {statistics}")
+    summed = shared.groupBy("shard").applyInPandas(total, f"block long, shard long, kind int, {statistics}, size long, types long, mass long, c1 long, c2 long, c3 long, c4 long")
+    told = to_blocks.unionByName(summed.where("block >= 0"), allowMissingColumns=True)
+    for kind, rows, columns in ((4, counted, ("n1", "n2", "n3", "n4")), (5, summed, ("size", "types", "mass", "c1", "c2", "c3", "c4"))):
+        one = rows.where("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns])
+        told = told.unionByName(blocks.everywhere(one).withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+    told = told.unionByName(named.select("block", F.lit(3).alias("kind"), F.col("row").alias("name")), allowMissingColumns=True)
+    out = blocks.dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, "row string, n_words long, perplexity double")
+    return out.select(F.col("row").cast("bigint").alias(id_col), "n_words", F.nanvl("perplexity", F.lit(None)).alias("perplexity"))
+
+
+def _by(x: Tokens, numbers: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each token the sum of the values over the tokens of its document with the same number."""
+    if not len(numbers):
+        return np.zeros(0)
+    at, _ = pd.factorize(x.doc * (int(numbers.max()) + 1) + numbers)
+    return np.bincount(at, weights=values)[at]
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Perplexity of each document and whether it is of low quality.
 
-    ``trusted`` has the ids of the rows that the model is learned from, ``calibrate`` of those whose
-    perplexities give the thresholds (best other trusted rows; the same ones by default). Returns one row
-    per input row: the id, ``lang``, ``n_symbols``, ``perplexity``, ``threshold`` (of the document's
-    language; of all such rows where a language has none) and ``low``. Null or empty texts have no
-    symbols, a null perplexity and are low. If nothing is trusted, perplexities are those of a uniform
-    model, thresholds are null and only texts without symbols are low. A null language is ``und``.
-    Repeated rows and null ids are kept (a null id is not trusted), other columns ignored, empty input
-    gives an empty result.
+    ``trusted`` has the ids of the rows that the model is learned from and that give the thresholds.
+    Returns one row per input row: the id, ``lang``, ``n_words``, ``perplexity``, ``threshold`` (of the
+    document's language; of all trusted rows where a language has none) and ``low``. Null texts and texts
+    without words have a null perplexity and are low. If nothing is trusted, perplexities are those of a
+    uniform model over the words of all documents and one more, thresholds are null and only texts without words
+    are low. A null language is ``und``. Rows of one id have the language of its least row by name; repeated
+    rows and null ids (which have no language here and are not trusted) are kept, very long texts are read
+    whole, other columns ignored, empty input gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-
-    def ids(of: DataFrame) -> DataFrame:
-        return of.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
-
-    # texts meet the trusted ids by a merge join at every size; scoring moves no text
-    model = train(docs.join(ids(trusted).hint("merge"), "id", "left_semi").select("text"))
-    scored = store(perplexities(docs, model, "id", "text", "lang"))
-    good = scored.where("perplexity is not null").join(ids(trusted if calibrate is None else calibrate), "id", "left_semi")
-    limits = store(good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own")))
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    langs = ids.where("id is not null").groupBy("id").agg(F.min("lang").alias("lang"))
+    named = trusted.select(F.col(id_col).cast("bigint").alias("id")).where("id is not null").distinct()
+    found = perplexities(docs, trusted, id_col, text_col, block_bytes).withColumnRenamed(id_col, "id")
+    scored = store(found.join(langs, "id", "left").withColumn("lang", F.coalesce("lang", F.lit("und"))))
+    good = scored.where("perplexity is not null").join(named, "id", "left_semi")
     overall = good.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
-    out = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
+    own = good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("k"))
+    leaning = (F.col("own") * F.col("k") + F.lit(overall).cast("double") * LEAN) / (F.col("k") + LEAN)
+    out = scored.join(own.select("lang", leaning.alias("own")), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
     low = F.coalesce(F.col("perplexity") > F.col("threshold"), F.col("perplexity").isNull())
-    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_symbols", "perplexity", "threshold", low.alias("low"))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_words", "perplexity", "threshold", low.alias("low"))
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under a model of half of those labelled as of good quality; a quarter gives the thresholds, a quarter is held out."""
-    good = table(spark, sf_dir, "labels").where("quality = 1")
-    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    return classify(table(spark, sf_dir, "documents"), good.where(part.isin(0, 3)), good.where(part == 1))
+    """All documents under a model of those labelled as of good quality."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 QUERIES = {"op10_kneser_ney": op10_kneser_ney}
