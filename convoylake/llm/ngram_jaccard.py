@@ -1,48 +1,56 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-Tokens are hashed word shingles. A set x that links with y lacks at most ``tau(x)`` of its tokens in
-y, so it is enough to index a part of each set with more than tau tokens. Sizes are cut into bands
-such that two sets that link are in the same or in neighbouring bands; each set is indexed under its
-own band and the next, and a band fixes which tokens count: those with a hash below the band's share
-of the hash range (its pool, at least about twice tau).
-
-Tokens in few pools are rare and indexed alone: of a set with more than tau rare tokens in its pool, the
-first tau + 1 by hash, of another all of them. That finds every pair of which at least one set has enough
-rare tokens. Sets made of frequent tokens get their prefix extended to the whole set and are indexed by
-combinations: the hash range is cut into one cell more than two sets of the band that link can differ
-in tokens, and the k tokens of a cell make one signature, so such a pair has a cell in common. Text that
-many documents share thus proposes no pairs unless documents consist of little else. Tokens that no
-other document has count against every pair: a set with more than tau of them has no partner and is
-left out, and two sets with more than they can differ in are no pair.
-
-Equal sets are collapsed first and keep one representative. Each signature then proposes the pairs of
-one leader (the member with most company in all its signatures) with its members; verified links are
-contracted to components, other leaders are drawn, and what is left - pairs of members of different components - is compared exhaustively. A large group
-of near copies so costs about its size, not its square, and no link between different texts is lost
-to the components. Proposed pairs are first compared by 128 one-byte minima of the hashes (a pair that
-links differs in more than half of them with a probability below 1e-25), then by their whole sets.
-
-Hashes have 64 bits; results are exact up to collisions of those and chance events as rare.
+Tokens are hashed word shingles. A set of n tokens that links with another lacks at most ``loss(n)`` of
+its tokens there. Tokens that are in no other set ("own" tokens) use that loss up, so what has to be
+indexed is a prefix of the other tokens in a common order that tells of one loss more than is left:
+
+* Rare tokens come first and count singly: each tells of one loss.
+* Frequent tokens follow in groups by a hash; a group's tokens are indexed by combinations of ``COMBINED``,
+  and c of them tell of c - COMBINED + 1 losses. The prefix is extended until its sum exceeds the loss
+  that is left. There are so few groups for a size that the whole set always suffices.
+
+Of two sets that link, the one whose prefix ends first has a rare token or a combination of it in the
+other's prefix. Groups depend on the size: sizes are cut into bands such that sets that link are in one
+band or in neighbours, and each set is indexed for its own band and the next. A set so has a few
+signatures for each token that it may lack, whatever the frequencies.
+
+Most sets have no partner at all. They are found first, in a pool of tokens with small hashes (about a
+quarter of a set): a set with more own tokens in the pool than it may lack is out. Only the others' texts are
+read again and indexed, chosen by a bitmap of a fixed size.
+
+Equal sets are one node. Among the nodes of a signature one leader (the one with fewest own tokens) is compared
+with all others; links are contracted to components, and the leader is settled there. Further rounds draw the
+leaders of more and more of the components, the smallest first, until no signature has nodes of several
+components. A large group of near copies so costs about its size, and no link between different texts is
+lost to the components. A pair is compared only if sizes, own tokens and parities allow for a link: of each
+set the parity of its tokens in 512 parts of the hash range is kept, and two sets differ in as many tokens as
+parities at least. What is left is compared by 128 one-byte minima of the hashes (a pair that links fails there
+with a probability below 1e-30), then by the whole sets. Hashes have 64 bits; results are exact up to collisions of those and chance events as rare.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import column_bytes, components, mix, rows_out, store, table
-
-#: A token in at most so many pools is rare.
-RARE = 6
-#: Star rounds before the exhaustive comparison of what is left, at most.
-ROUNDS = 4
+from convoylake.llm.common import column_bytes, components, forget, mix, rows_out, slices, store, table
+
+#: A token in at most so many sets is rare. Singly it costs a row a set, in combinations about three, so a corpus
+#: without rare tokens costs at most about three times one without frequent tokens.
+RARE = 8
+#: Frequent tokens that make one signature.
+COMBINED = 2
+#: Components of a signature that get a leader grow by this factor from round to round.
+MORE_LEADERS = 16
+#: Bits of the bitmap that chooses texts to read again (a fixed 8 MB).
+BITMAP = 1 << 26
 #: Bytes of a sketch.
 SKETCH = 128
 _WORDS: dict[bytes, int] = {}
@@ -71,10 +79,14 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def needed(n: int, percent: int) -> int:
+    """Tokens that a set of ``n`` shares with a partner at least."""
+    return -(-percent * n // 100)
+
+
 def loss(n: int, percent: int) -> int:
     """Tokens that a set of ``n`` may lack in a partner."""
-    return n - -(-percent * n // 100)
-
+    return n - needed(n, percent)
 
 
 @cache
@@ -91,58 +103,53 @@ def band(n: int, percent: int) -> int:
 
 
 @cache
-def pool_end(b: int, percent: int) -> int:
-    """Hashes below this count in band ``b``: all for small sets, else a share that holds tau tokens and a quarter more but for chances of about 1e-8; sets with fewer are indexed by cells."""
-    low = bounds(percent)[max(0, b - 1)]
-    lost = (100 - percent) / 100
-    share = 1.25 * lost + 4 * (lost / low) ** 0.5 + 6 / low
-    return (1 << 64) - 1 if share >= 1 else int(share * (1 << 64))
+def grouping(b: int, percent: int, combined: int) -> tuple[int, int]:
+    """Tokens in a combination and number of groups for the sets indexed in band ``b``; the smallest of them still tells of one loss more than it may have."""
+    least = needed(bounds(percent)[max(0, b - 1)], percent)
+    k = min(combined, least)
+    return k, max(1, (least - 1) // (k - 1)) if k > 1 else 1
 
 
-@cache
-def cell_count(b: int, percent: int) -> int:
-    """One more than the tokens that two sets indexed in band ``b`` can differ in and still link."""
-    return 2 * (bounds(percent)[b + 1] - 1) * (100 - percent) // (100 + percent) + 1
+def pool_end(n: int, percent: int) -> int:
+    """Hashes below this are the pool of a set of ``n`` tokens: all of a small set, else a share that holds a quarter more tokens than it may lack, but for rare chances. It falls with n."""
+    lost = (100 - percent) / 100
+    share = 1.25 * lost + 4 * (lost / n) ** 0.5 + 6 / n
+    return (1 << 64) - 1 if share >= 1 else int(share * (1 << 64))
 
 
-def rare_signatures(n: int, percent: int, sizes: tuple[int, int], tokens: list[tuple[int, int, bool]]) -> tuple[set[int], int, bool]:
-    """Signed 64-bit signatures of single rare tokens, the number of tokens known to be in no other set, and whether a pool held too few rare tokens.
-
-    From the sizes of the pools in the set's own and the next band, and its shared tokens (position by
-    hash among all its tokens, hash, rare) by position. What is below the next band's pool end counts
-    in every partner's pool, so tokens there that are not shared are its own.
-    """
-    tau = loss(n, percent)
-    own = band(n, percent)
-    alone = sizes[1] - sum(token < pool_end(own + 1, percent) for _, token, _ in tokens)
-    out: set[int] = set()
-    short = False
-    if alone > tau:
-        return out, alone, short
-    for b, size in zip((own, own + 1), sizes, strict=True):
-        top = pool_end(b, percent)
-        pool = [t for t in tokens if t[1] < top]
-        frequent = sum(not rare for *_, rare in pool)
-        short |= size - frequent <= tau
-        passed = 0
-        for pos, token, rare in pool:
-            if not rare:
-                passed += 1
-            elif pos - passed <= tau:
-                out.add(xxhash.xxh3_64_intdigest(b"%d %d" % (b, token)) - (1 << 63))
-    return out, alone, short
-
-
-def cell_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the token combinations in the cells of the hash range, in the set's own and the next band; an empty cell has one too."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    out = []
-    for b in (own := band(len(s), percent), own + 1):
-        cells = cell_count(b, percent)
-        step = (1 << 64) // cells
-        cuts = np.append(np.searchsorted(s, np.array([c * step for c in range(cells)], np.uint64)), len(s))
-        out.append(mix(mix(sums[cuts[1:]] - sums[cuts[:-1]] + np.uint64(b)) + np.arange(cells, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(out).view(np.int64)
+def signatures(n: int, tokens: np.ndarray, rare: np.ndarray, percent: int, combined: int = COMBINED) -> dict[int, bool]:
+    """Signed 64-bit signatures of a set of ``n`` tokens by those that it shares with other sets, and whether each is for the next band (where it has to meet sets of that band only)."""
+    left = loss(n, percent) - (n - len(tokens)) + 1
+    if left <= 0:
+        return {}
+    single = np.sort(tokens[rare])[:left]
+    out = dict.fromkeys(mix(single + np.uint64(0x632BE59BD9B4E019)).view(np.int64).tolist(), False)
+    left -= len(single)
+    if left <= 0:
+        return out
+    frequent = np.sort(tokens[~rare])
+    for b in (own := band(n, percent), own + 1):
+        k, groups = grouping(b, percent, combined)
+        if k == 1:
+            out |= dict.fromkeys(mix(frequent[:left] + np.uint64(b + 1)).view(np.int64).tolist(), b > own)
+            continue
+        group = mix(frequent ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)
+        by = np.argsort(group, kind="stable")
+        ordered, at = frequent[by].tolist(), np.flatnonzero(np.diff(group[by], prepend=np.uint64(groups), append=np.uint64(groups)))
+        told = 0
+        for first, end in zip(at.tolist(), at[1:].tolist()):
+            end = min(end, first + left - told + k - 1)
+            if end - first >= k:
+                told += end - first - k + 1
+                out |= {xxhash.xxh3_64_intdigest(b"%d %d" % (b, k) + b"".join(t.to_bytes(8, "big") for t in c)) - (1 << 63): b > own for c in combinations(ordered[first:end], k)}
+                if told >= left:
+                    break
+    return out
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of each of 512 parts of the hash range whether it holds an odd number of tokens, as eight 64-bit numbers."""
+    return np.packbits(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1).view(np.int64)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -155,11 +162,13 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def similar(a: list[bytes], b: list[bytes], m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches of sets of sizes m and n differ in no more parts than sets that link can."""
+    """Whether sketches of sets of sizes m and n differ in no more parts than sets that link can: a part differs for each token at most, and twelve standard deviations above the mean at most."""
     if not len(a):
         return np.zeros(0, bool)
     x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SKETCH) for v in (a, b))
-    return (x != y).sum(axis=1) <= np.minimum(SKETCH // 2, (100 - percent) * (m + n) // (100 + percent))
+    lost = (100 - percent) / 100
+    most = SKETCH * lost + 12 * (SKETCH * lost * (1 - lost)) ** 0.5 + 6
+    return (x != y).sum(axis=1) <= np.minimum(most, (100 - percent) * (m + n) // (100 + percent))
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -169,163 +178,158 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reachable by links, itself included) and ``class_id`` (smallest id with the same set). Null or
     empty texts have empty sets, link with nothing and are their own component. Rows with a null id
     are returned with their set size and a null component, and take no part. A row that occurs
-    several times is returned as often; ids with different texts are not expected. Other columns are
-    ignored. Empty input gives an empty result.
+    several times is returned as often; rows of one id with different texts have their own
+    components each. Very long texts are read whole. Other columns are ignored. Empty input gives an
+    empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
 
     def describe(batches):
         def rows():
-            for batch in batches:
+            for batch in slices(batches, "body"):
                 for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
                     s = shingle_set(body, width)
                     n = len(s)
                     if n == 0:
-                        yield row, 0, None, None, None, None
+                        yield row, 0, None, None, None
+                        continue
+                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    # a set without room for a loss in either direction links with equal sets only
+                    if row is None or not (loss(n, percent) or needed(n + 1, percent) <= n):
+                        yield row, n, node, None, None
                         continue
-                    tops = np.array([pool_end(b + band(n, percent), percent) for b in (0, 1)], np.uint64)
-                    own, after = np.searchsorted(s, tops).tolist()
-                    yield row, n, xxhash.xxh3_128_digest(s.tobytes()), own, after, sketch(s)
+                    own, sure = np.searchsorted(s, np.array([pool_end(n, percent), pool_end(100 * n // percent, percent)], np.uint64)).tolist()
+                    yield row, n, node, sure, s[:own].view(np.int64)
+
+        return rows_out(pa.schema([("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sure", pa.int32()), ("pool", pa.list_(pa.int64()))]), 1000)(rows())
+
+    every = store(docs.mapInArrow(describe, "row bigint, n bigint, node bigint, sure int, pool array<bigint>"))
+    classes = store(every.where("node is not null and row is not null").groupBy("node").agg(F.min("row").alias("rep")))
+    pools = every.where("pool is not null").select("node", "n", "sure", "pool").dropDuplicates(["node"])
+    twice = pools.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    # what a partner of any size would have in its pool too comes first
+    sure = pools.select("node", F.explode(F.slice("pool", F.lit(1), F.col("sure"))).alias("token"))
+    met = sure.join(twice, "token").groupBy("node").agg(F.count("*").alias("met"))
+    few = pools.select("node", (F.col("sure") - F.expr(f"n - ceil({percent} * n / 100)")).alias("least"))
+    chosen = store(few.join(met, "node", "left").where(F.coalesce("met", F.lit(0)) >= F.col("least")).select("node"))
+    wanted = store(classes.join(chosen, "node").select("rep"))
+    texts = _texts_again(docs, wanted, width)
+    sets = store(texts.join(chosen, "node", "left_semi").dropDuplicates(["node"]))
+    found = _links(sets, percent)
+    told = classes.select("node", "rep", F.col("rep").alias("root"))
+    if found is not None:
+        labels = components(found).withColumnRenamed("id", "node")
+        least = labels.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+        roots = labels.join(least, "component").select("node", "least")
+        told = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("least", "rep").alias("root"))
+    told, slim = store(told), store(every.select("row", "n", "node"))
+    for done in (every, classes, chosen, wanted, sets, *([found] if found is not None else [])):
+        forget(done)  # the result needs neither pools nor sets any more
+    out = slim.join(told, "node", "left")
+    known = F.col("row").isNotNull()
+    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("root", "row")).alias("component_id"), F.when(known, F.coalesce("rep", "row")).alias("class_id"))
+
+
+def _texts_again(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Node, whole set and sketch of the wanted rows and of a few others: rows are chosen by a bitmap of their hashed ids, without a shuffle of texts."""
+    bits = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(BITMAP)).cast("int").alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 31)")).alias("word")).collect()  # BITMAP / 32 rows at most
+    bitmap = np.zeros(BITMAP // 32, np.uint32)
+    for at, word in words:
+        bitmap[at] = word
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-        return rows_out(pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("own", pa.int32()), ("after", pa.int32()), ("sketch", pa.binary())]))(rows())
+    def full(batches):
+        chosen = sent.value
 
-    def pools(batches):
-        def rows():
+        def picked():
             for batch in batches:
-                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
-                    s = shingle_set(body, width)
-                    n = len(s)
-                    # a set without room for a loss in either direction links with equal sets only
-                    if n and row is not None and (loss(n, percent) or -(-percent * (n + 1) // 100) <= n):
-                        top = max(pool_end(b + band(n, percent), percent) for b in (0, 1))
-                        yield row, xxhash.xxh3_128_digest(s.tobytes()), s[: int(np.searchsorted(s, np.uint64(top)))].view(np.int64)
+                bit = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32)
+                yield batch.filter(pa.array((chosen[bit >> np.uint32(5)] >> (bit & np.uint32(31)) & np.uint32(1)).astype(bool)))
 
-        return rows_out(pa.schema([("row", pa.int64()), ("key", pa.binary()), ("pool", pa.list_(pa.int64()))]), 1000)(rows())
+        def rows():
+            for batch in slices(picked(), "body"):
+                for body in column_bytes(batch, "body"):
+                    if len(s := shingle_set(body, width)):
+                        yield xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63), s.view(np.int64), sketch(s), parities(s)
 
-    every = store(docs.mapInArrow(describe, "row bigint, n bigint, key binary, own int, after int, sketch binary"))
-    classes = store(every.where("key is not null and row is not null").groupBy("key").agg(F.min("row").alias("rep")))
-    reps = docs.mapInArrow(pools, "row bigint, key binary, pool array<bigint>").join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep"))
-    tokens = reps.select("rep", F.posexplode("pool").alias("pos", "token"))
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counted = counted.select("token", (F.col("df") <= RARE).alias("rare"))
-    shared = tokens.join(counted, "token").groupBy("rep").agg(F.collect_set(F.struct("pos", "token", "rare")).alias("tokens"))
-    known = every.join(classes.withColumnRenamed("key", "k"), F.expr("key = k and row = rep")).select("rep", "n", "own", "after", "sketch").dropDuplicates(["rep"])
+        return rows_out(pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sketch", pa.binary()), ("odd", pa.list_(pa.int64()))]), 500)(rows())
 
-    def sign(batches):
-        def rows():
-            for batch in batches:
-                found = batch.column(4)
-                pos, token, rare = (c.to_numpy(zero_copy_only=False) for c in found.flatten().flatten())
-                token = token.view(np.uint64)
-                ends = np.cumsum(found.value_lengths().to_numpy()).tolist()
-                # Python objects are made for one row at a time
-                for rep, n, own, after, first, end in zip(*(c.to_pylist() for c in batch.columns[:4]), [0, *ends], ends):
-                    by = np.argsort(pos[first:end]) + first
-                    triples = list(zip(pos[by].tolist(), token[by].tolist(), rare[by].tolist(), strict=True))
-                    sigs, alone, short = rare_signatures(n, percent, (own, after), triples)
-                    for sig in sigs:
-                        yield sig, rep, n, alone
-                    if short:
-                        yield None, rep, n, alone
-
-        return rows_out(sig_schema, 20_000)(rows())
-
-    def sign_cells(batches):
-        def rows():
-            for batch in batches:
-                flat = batch.column(1).flatten().to_numpy().view(np.uint64)
-                ends = np.cumsum(batch.column(1).value_lengths().to_numpy()).tolist()
-                for rep, alone, first, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), [0, *ends], ends):
-                    s = flat[first:end]
-                    for sig in set(cell_signatures(s, percent).tolist()):
-                        yield sig, rep, len(s), alone
+    rows = docs.where("row is not null").select(F.pmod(F.xxhash64("row"), F.lit(BITMAP)).cast("int").alias("bit"), "body")
+    return rows.mapInArrow(full, "node bigint, tokens array<bigint>, sketch binary, odd array<bigint>")
 
-        return rows_out(sig_schema, 20_000)(rows())
 
-    def full(batches):
+def _links(sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between nodes of (node, tokens, sketch, odd) that join all nodes of a component; None without any."""
+    sized = sets.withColumn("n", F.size("tokens"))
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", (F.col("df") <= RARE).alias("rare"))
+    shared = tokens.join(counted, "token").groupBy("node").agg(F.collect_list("token").alias("token"), F.collect_list("rare").alias("rare"))
+    shared = shared.join(sized.select("node", "n"), "node").select("node", "n", "token", "rare")
+
+    def sign(batches):
         def rows():
             for batch in batches:
-                for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
-                    yield row, shingle_set(body, width).view(np.int64)
-
-        return rows_out(pa.schema([("rep", pa.int64()), ("tokens", pa.list_(pa.int64()))]), 500)(rows())
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Whole sets of the wanted rows; their texts are read again, by a broadcast of the ids where Spark finds them few."""
-        return store(docs.join(wanted, "row", "left_semi").mapInArrow(full, "rep bigint, tokens array<bigint>").dropDuplicates(["rep"]))
+                token, rare = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
+                ends = np.cumsum(batch.column(2).value_lengths().to_numpy()).tolist()
+                for node, n, first, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends):
+                    for sig, after in signatures(n, token[first:end].view(np.uint64), rare[first:end], percent).items():
+                        yield sig, node, n, n - (end - first), after
 
-    sig_schema = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("alone", pa.int64())])
-    ddl = "sig bigint, rep bigint, n bigint, alone bigint"
-    signed = store(shared.join(known, "rep").select("rep", "n", "own", "after", "tokens").mapInArrow(sign, ddl))
-    frequent = sets_of(store(signed.where("sig is null").select(F.col("rep").alias("row"))))
-    single = frequent.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("rep")).where("df = 1")
-    single = single.groupBy("rep").agg(F.count("*").alias("alone"))
-    lost = F.size("tokens") - F.ceil(percent * F.size("tokens") / F.lit(100))
-    celled = frequent.join(single, "rep", "left").select("rep", "tokens", F.coalesce("alone", F.lit(0).cast("bigint")).alias("alone")).where(F.col("alone") <= lost)
-    signed = store(signed.where("sig is not null").unionByName(celled.mapInArrow(sign_cells, ddl)).withColumn("comp", F.col("rep")))
+        return rows_out(pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("after", pa.bool_())]), 20_000)(rows())
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """The rows of signatures that have members in several components."""
-        apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+        """The rows of signatures that have nodes of several components, one of this band among them."""
+        apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("after").alias("after")).where("low <> high and not after").select("sig")
         return rows.join(apart, "sig")
 
-    def fits():
-        """Sizes that allow for a link, and no more tokens of their own than two sets that link can differ in."""
-        return F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n) and ({100 + percent}) * (own + alone) <= {100 - percent} * (m + n)")
-
     def alike(batches):
-        for batch in batches:
+        for batch in slices(batches, "sa"):
             c = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
             keep = similar(c["sa"].to_pylist(), c["sb"].to_pylist(), c["m"].to_numpy(), c["n"].to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(keep))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b), those that link: first by sketches, then by whole sets, which are read for what is left."""
-        a, b = (known.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("sketch").alias(s)) for r, n, s in (("a", "m", "sa"), ("b", "n", "sb")))
+        """Of distinct pairs (a, b) those that link: by sketches, then by whole sets."""
+        a, b = (sized.select(F.col("node").alias(r), F.col("n").alias(n), F.col("sketch").alias(s)) for r, n, s in (("a", "m", "sa"), ("b", "n", "sb")))
         left = store(pairs.join(a, "a").join(b, "b").select("a", "b", "m", "n", "sa", "sb").mapInArrow(alike, "a bigint, b bigint"))
-        wanted = store(left.select(F.explode(F.array("a", "b")).alias("row")).distinct())
-        texts = sets_of(wanted)
-        x, y = (texts.select(F.col("rep").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+        x, y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
         both = F.size(F.array_intersect("ta", "tb"))
         return left.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
-    def left_over(rows: DataFrame) -> tuple[int, int]:
-        """Pairs within a signature that are in different components, and rows."""
-        sizes = rows.groupBy("sig", "comp").agg(F.count("*").alias("k")).groupBy("sig").agg(F.expr("(sum(k) * sum(k) - sum(k * k)) / 2").alias("pairs"), F.sum("k").alias("rows"))
-        pairs, n = sizes.agg(F.sum("pairs"), F.sum("rows")).first()
-        return int(pairs or 0), n or 0
-
+    # tokens of its own, and shared tokens that one has more than the other, are no part of an intersection
+    differ = " + ".join(f"bit_count(odd[{k}] ^ parity[{k}])" for k in range(8))
+    fits = F.expr(
+        f"comp <> c and not (after and l.after) and 100 * least(l.n, n) >= {percent} * greatest(l.n, n)"
+        f" and {100 + percent} * greatest(l.own + own + abs((l.n - l.own) - (n - own)), {differ}) <= {100 - percent} * (l.n + n)"
+    )
+    signed = store(shared.mapInArrow(sign, "sig bigint, node bigint, n int, own int, after boolean").withColumn("comp", F.col("node")))
     found: DataFrame | None = None
     open_sigs = store(still_open(signed))
-    before = None
-    for step in range(ROUNDS):
-        rest, n_rows = left_over(open_sigs)
-        if rest <= 4 * n_rows or before is not None and rest > 0.8 * before:
-            break  # little is left to compare, or another leader would not help
-        before = rest
-        # one leader a signature, drawn anew in each round; members of its component need no comparison
-        if step:
-            drawn = open_sigs.withColumn("draw", F.xxhash64("rep", F.lit(step)))
-        else:
-            company = open_sigs.join(open_sigs.groupBy("sig").agg(F.count("*").alias("k")), "sig").groupBy("rep").agg(F.sum("k").alias("draw"))
-            drawn = open_sigs.join(company, "rep")
-        leaders = drawn.groupBy("sig").agg(F.max(F.struct("draw", F.col("rep").alias("l"), F.col("n").alias("m"), F.col("alone").alias("own"), F.col("comp").alias("c"))).alias("l")).select("sig", "l.l", "l.m", "l.own", "l.c")
-        pairs = open_sigs.join(leaders, "sig").where("comp <> c").where(fits()).select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
-        links = verify(pairs)
-        found = store(links if found is None else found.unionAll(links))
-        merged = components(found).withColumnsRenamed({"id": "rep", "component": "root"})
-        open_sigs = store(still_open(open_sigs.drop("comp").join(merged, "rep", "left").select("sig", "rep", "n", "alone", F.coalesce("root", "rep").alias("comp"))))
-    if not open_sigs.isEmpty():
-        x, y = (open_sigs.select("sig", F.col("rep").alias(r), F.col("n").alias(n), F.col("alone").alias(o), F.col("comp").alias(c)) for r, n, o, c in (("a", "m", "own", "ca"), ("b", "n", "alone", "cb")))
-        links = verify(x.join(y, "sig").where("a < b and ca <> cb").where(fits()).select("a", "b").distinct())
-        found = store(links if found is None else found.unionAll(links))
-    out = every.join(classes, "key", "left").select("row", "n", "rep")
-    if found is not None:
-        out = out.join(components(found).withColumnsRenamed({"id": "rep", "component": "root"}), "rep", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("bigint"))
-    alone = F.when(F.col("row").isNotNull(), F.coalesce("rep", "row"))
-    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("row").isNotNull(), F.coalesce("root", alone)).alias("component_id"), alone.alias("class_id"))
+    forget(signed)
+    odds = sets.select("node", "odd")
+    leaders_each = 1
+    while not open_sigs.isEmpty():
+        heads = open_sigs.groupBy("sig", "comp").agg(F.count("*").alias("size"), F.min(F.struct("after", "own", "node", "n")).alias("l"))
+        order = Window.partitionBy("sig").orderBy("size", "l.after", "l.own", "l.node")
+        heads = heads.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders_each)
+        leaders = store(heads.select("sig", "l", F.col("comp").alias("c")).join(odds.select(F.col("node").alias("led"), F.col("odd").alias("parity")), F.expr("led = l.node")).drop("led"))
+        pairs = open_sigs.join(odds, "node").join(leaders, "sig").where(fits).select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
+        links = store(verify(pairs))
+        rest = open_sigs.join(leaders.select("sig", "l.node"), ["sig", "node"], "left_anti")
+        if not links.isEmpty():
+            more = links if found is None else store(found.unionAll(links))
+            if found is not None:
+                forget(found)
+            found = more
+            merged = components(found).withColumnsRenamed({"id": "node", "component": "root"})
+            rest = rest.join(merged, "node", "left").select("sig", "node", "n", "own", "after", F.coalesce("root", "comp").alias("comp"))
+        after = store(still_open(rest))
+        forget(open_sigs)
+        forget(leaders)
+        open_sigs = after
+        leaders_each *= MORE_LEADERS
+    return found
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,5 +337,16 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
-
-ORACLES = {}
+ORACLES = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, k, k + 2), ' ') AS token FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS k FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT token FROM s GROUP BY token HAVING count(*) > 1),
+shared AS (SELECT s.* FROM s JOIN common USING (token)),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM shared x JOIN shared y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 90 * (p.n + q.n - m)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, x.b FROM reach r JOIN ways x ON x.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(least_id, d.doc_id)) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reach GROUP BY a) r ON r.a = d.doc_id"""
+}
