@@ -27,8 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of documents that share 80 % of their five-word shingles, the one with the smallest id."""
     found = ngram_jaccard.similarity_components(docs, width=5, percent=80)
     gone = found.where("component_id <> doc_id").select("doc_id")
-    # an id that occurs several times is one component; its first row stays
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # rows of one id with one text are one document; looked for among the ids, as texts cost a shuffle
+    twice = docs.groupBy("doc_id").count().where("count > 1")
+    return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

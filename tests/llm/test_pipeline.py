@@ -40,6 +40,17 @@ def test_stages_return_the_columns_of_documents(spark):
         assert {r["text"] for r in out.collect()} >= {"the sea and the king"}
 
 
+def test_stages_take_empty_tables_extra_columns_and_long_texts(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n int, node long, row string, body string, spans string"
+    long = " ".join(f"w{k % 9973}x{k}" for k in range(60_000))
+    rows = [(1, long, "en", "s", len(long), 1, 2, "r", "b", "q"), (2, "the sea and the king", "en", "s", 20, None, None, None, None, None)]
+    for df in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        for _, stage in p.STAGES[:-1]:
+            out = stage(spark, df, SMALL)
+            assert out.columns == list(p.COLUMNS) and {r["doc_id"]: r["text"] for r in out.collect()} == {r["doc_id"]: r["text"] for r in df.collect()}
+        assert p.tokens(spark, df, SMALL).count() == df.count()
+
+
 def test_contamination_removes_items_under_the_limit(spark):
     item = next(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) >= 13)
     far = " ".join(f"q{k}x" for k in range(40 * len(item.split())))
