@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.llm.common import store, table
-from convoylake.llm.word_blocks import BLOCK_BYTES, Blocks, Tokens, from_planes, packed_codes, planes, slices_of, unpacked_codes, words_and_marks
+from convoylake.llm.word_blocks import Blocks, Tokens, from_planes, packed_codes, planes, slices_of, unpacked_codes, words_and_marks
 
 #: Share of the trusted documents of a language that may be called low.
 QUANTILE = 0.995
 #: Trusted documents of a language that weigh as much as the quantile of all languages.
 LEAN = 200
+#: Bytes of text in a block, about: scoring holds some twenty numbers a token.
+BLOCK_BYTES = 4_000_000
 _WORD_STATISTICS = ("tokens", "once", "twice", "often", "before")
 
 
