@@ -59,6 +59,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[k : ends[k]]] for k in range(n) if alive[k]]
 
 
+def merge_pairs(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """Tokens of one pre-token cut into its smallest parts, by ranks of pairs: the lowest rank, leftmost first, until none is left."""
+    n = len(parts)
+    parts, after, before = list(parts), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (r := ranks.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, k, a, b = heapq.heappop(heap)
+        if parts[k] != a or after[k] == n or parts[after[k]] != b:
+            continue  # a part of the pair was merged meanwhile
+        parts[after[k]] = ""
+        parts[k] = a + b
+        after[k] = end = after[after[k]]
+        if end < n:
+            before[end] = k
+            if (r := ranks.get((parts[k], parts[end]))) is not None:
+                heapq.heappush(heap, (r, k, parts[k], parts[end]))
+        if (p := before[k]) >= 0 and (r := ranks.get((parts[p], parts[k]))) is not None:
+            heapq.heappush(heap, (r, p, parts[p], parts[k]))
+    return [part for part in parts if part]
+
+
 class Encoder(dict):
     """Pre-token to little-endian ids, filled as pre-tokens come."""
 
