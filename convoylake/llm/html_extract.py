@@ -6,9 +6,9 @@ stand in it. A node's importance is its composite entropy: presentation that dif
 content that few pages share are important, what all pages of the site repeat is not; the texts of a
 node are its leaves and are judged one by one too. Branches and texts of low importance are removed from
 each page, inside ``article`` and ``main`` as elsewhere, besides branches that their tag or role declares
-to be navigation, forms and the like, and branches with a class that says so and little of the page's
-text. ``article`` and ``main`` are a prior: a page keeps its text there alone unless the text elsewhere
-that is left outweighs it, and keeps what its site repeats there if nothing else is left of it.
+to be navigation, forms and the like. A class that declares a branch to be noise lowers its rank, however
+long it is: a page gives its text in ``article`` and ``main`` alone if it has any, else the text outside
+branches with such a class, and those branches only if nothing else is left.
 
 The tree is aggregated with partial sums by (host, path, feature), so a host with very many pages is no
 single group; only the removed paths of each host come back to the pages.
@@ -31,10 +31,8 @@ from convoylake.llm.common import rows_out, store, table
 LEAST_PAGES, LEAST_IMPORTANCE = 4, 0.3
 #: Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
-#: Letters elsewhere that a letter in article or main outweighs.
-MAIN_PRIOR = 2
-#: A branch with a noise class and more of the page's text than this is no noise.
-LARGE_SHARE = 0.5
+#: Kinds of text: declared main text, undeclared text, text in a branch with a noise class.
+MAIN, PLAIN, NOISE = 2, 1, 0
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -84,16 +82,13 @@ def _marks(rest: str) -> tuple[set[str], set[str], str, bool]:
 
 
 class Page:
-    """Blocks of a page: ``blocks`` holds (path, kind, text), kind 2 for declared main text, 1 for undeclared; noise is left out. ``styles`` has the child sequences of the elements by path."""
+    """Blocks of a page: ``blocks`` holds (path, kind, text); declared noise is left out. ``styles`` has the child sequences of the elements by path."""
 
     def __init__(self, html: str) -> None:
         self.styles: list[tuple[str, str]] = []
-        self.found: list[tuple[str, int, str, tuple[int, ...]]] = []
-        # letters in each branch with a noise class, and whether it is of remarks
-        self.letters: list[int] = []
-        self.remarks: list[bool] = []
-        # an element: tag, path, main, noise, branches with a noise class that it is in, tags of its children
-        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...], list[str]]] = [("", "", False, False, (), [])]
+        self.blocks: list[tuple[str, int, str]] = []
+        # an element: tag, path, main, noise, whether it is in a branch with a noise class, tags of its children
+        self.stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
         self.text: list[str] = []
         at = 0
         while (m := _TAG.search(html, at)) is not None:
@@ -106,27 +101,18 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
-        self.blocks = self._judged()
-
-    def _judged(self) -> list[tuple[str, int, str]]:
-        """The blocks outside the branches with a noise class; such a branch stays if it holds much of the text and is not of remarks."""
-        total = sum(len(text) for _, _, text, _ in self.found)
-        large = [n > LARGE_SHARE * total and not remarks for n, remarks in zip(self.letters, self.remarks, strict=True)]
-        return [(path, kind, text) for path, kind, text, branches in self.found if all(large[b] for b in branches)]
 
     def _flush(self) -> None:
         if self.text:
             raw = "".join(self.text)
             self.text = []
-            _, path, main, noise, branches, _ = self.stack[-1]
+            _, path, main, noise, marked, _ = self.stack[-1]
             if not noise and (text := " ".join((entities.unescape(raw) if "&" in raw else raw).split())):
-                self.found.append((path, 2 if main else 1, text, branches))
-                for b in branches:
-                    self.letters[b] += len(text)
+                self.blocks.append((path, NOISE if marked else MAIN if main else PLAIN, text))
 
     def _pop(self) -> None:
-        _, path, _, noise, branches, children = self.stack.pop()
-        if not noise and not branches:
+        _, path, _, noise, _, children = self.stack.pop()
+        if not noise:
             self.styles.append((path, ">".join(dict.fromkeys(children))))
 
     def _tag(self, html: str, at: int, closing: bool, tag: str, rest: str) -> int:
@@ -160,20 +146,18 @@ class Page:
         else:
             self._flush()
             self._close_implied(tag)
-        _, path, main, noise, branches, children = self.stack[-1]
+        _, path, main, noise, within, children = self.stack[-1]
         children.append(tag)
         if tag in ("html", "body"):
             pass
         elif (tag in ("article", "main") or role == "main") and not words & _REMARKS and not hidden:
             # an article inside comments or a list of related ones stays what surrounds it
-            main, noise, branches = True, noise and main, branches if main else ()
-        elif hidden or tag in _NOISE_TAGS or role in _NOISE_ROLES or tag == "header" and not main:
+            main, noise, within = True, noise and main, within and main
+        elif hidden or tag in _NOISE_TAGS or role in _NOISE_ROLES or tag == "header" and not main or marked & _REMARKS:
             noise = True
-        elif not noise and (marked - {"header"} if main else marked):
-            branches += (len(self.letters),)
-            self.letters.append(0)
-            self.remarks.append(bool(marked & _REMARKS))
-        self.stack.append((tag, f"{path}/{tag}" + "".join(f".{w}" for w in sorted(words)), main, noise, branches, []))
+        elif marked - {"header"} if main else marked:
+            within = True
+        self.stack.append((tag, f"{path}/{tag}" + "".join(f".{w}" for w in sorted(words)), main, noise, within, []))
         return at
 
     @staticmethod
@@ -205,16 +189,20 @@ def leaf(path: str, text: str) -> int:
 
 
 def kept_text(blocks: list[tuple[str, int, str]], removed: set[str], leaves: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks outside the removed branches and texts, joined by an empty line: those declared to be main text, or all if the others outweigh them."""
+    """The blocks outside the removed branches and texts, joined by an empty line, of the best kind that the page has.
+
+    Declared main text that the site repeats as a whole is kept if nothing else is declared.
+    """
 
     def stays(path: str, text: str) -> bool:
         return not (leaves and leaf(path, text) in leaves) and not (removed and any(path == r or path.startswith(r + "/") for r in removed))
 
     left = [b for b in blocks if stays(b[0], b[2])]
-    main, other = (sum(len(text) for _, kind, text in left if kind == k) for k in (2, 1))
-    if other > MAIN_PRIOR * sum(len(text) for _, kind, text in blocks if kind == 2):
-        return "\n\n".join(text for _, _, text in left)
-    return "\n\n".join(text for _, kind, text in (left if main else blocks) if kind == 2)
+    if any(kind == MAIN for _, kind, _ in blocks):
+        kept = [b for b in left if b[1] == MAIN] or [b for b in blocks if b[1] == MAIN]
+    else:
+        kept = [b for b in left if b[1] == PLAIN] or left
+    return "\n\n".join(text for _, _, text in kept)
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,8 +23,8 @@ FAMILIES = {
     "romance": ("fr", "es", "it", "pt", "ca", "ro", "gl", "oc"),
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk"),
 }
-#: Labelled rows of a language to learn from, at most (in expectation), and languages to learn: those with most labelled rows.
-SAMPLE, LANGUAGES = 400, 200
+#: Labelled rows of a language to learn from, at most (in expectation), and languages beyond which labels are refused rather than left out.
+SAMPLE, LANGUAGES = 400, 5_000
 #: Hashed features of 1, 2 and 3 bytes.
 WIDTH = 1 << 13
 #: Letters and bytes of other alphabets keep their value, all else becomes a space.
@@ -103,10 +103,12 @@ class Model:
         return lang, min(1.0, p * q)
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """A model from at most about ``sample`` rows a language with a label and letters; None without such rows. Of more than ``LANGUAGES`` languages those with most labelled rows are learned."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
+    """A model of every language, from at most about ``sample`` of its rows with a label and letters; None without such rows. Raises ValueError for more than ``languages`` labels."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("body"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages among the labels")
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / n))])

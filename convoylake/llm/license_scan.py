@@ -4,7 +4,8 @@ Each notice is split into ``errors + 1`` seeds, which one Aho-Corasick pass find
 the seeds unchanged (pigeonhole), so only places where a seed stands in the normalised text are looked
 at. The fewest edits of the notice in the stretch around one come from a bit-parallel edit distance, whose
 cost does not depend on the number of edits; where they are within the bound, the regex library's
-bounded-error matching, with that number as its bound, gives the span. Phrases are searched exactly beside that. Everything happens where the document is; nothing
+bounded-error matching, with that number as its bound, gives the span. A span must have the words that tell
+its license from others, and of overlapping spans of different licenses the closest stays. Phrases are searched exactly beside that. Everything happens where the document is; nothing
 is shuffled.
 """
 
@@ -56,6 +57,10 @@ NOTICES = {
     "licensed under the sil open font license": "ofl",
     "all rights reserved": "all-rights-reserved",
 }
+#: Words that tell one license from another where notices are alike: a match must have those of its notice.
+TELLING = frozenset("mit apache lesser affero mozilla eclipse european boost artistic zero sharealike noncommercial sa nc nd database sil".split())
+#: A telling word of so many letters may differ by one edit in eight letters, rounded up; a shorter one by none.
+TELLING_LETTERS = 5
 #: A notice may differ by one edit in so many letters; letters of all notices that workers are sent at most.
 EDIT_SHARE, NOTICE_LETTERS = 8, 1_000_000
 
@@ -146,6 +151,38 @@ def fuzzy(text: bytes, notices: tuple[str, ...]) -> Iterator[tuple[int, int, str
                 done = at + best[1]
 
 
+@cache
+def _telling(notice: str) -> tuple[str, ...]:
+    return tuple(w for w in notice.split() if w in TELLING)
+
+
+def _tells(span: bytes, notice: str) -> bool:
+    """Whether a match, with the spaces around it, has the telling words of its notice."""
+    return all(f" {w} ".encode() in span or len(w) >= TELLING_LETTERS and fewest_edits(span, f" {w} ") <= -(-len(w) // EDIT_SHARE) for w in _telling(notice))
+
+
+def resolved(text: bytes, spans: list[tuple[int, int, str, int]], labels: dict[str, str]) -> list[tuple[int, int, str, int]]:
+    """Of spans (start, end, notice, edits) with all telling words those that no better one of another label overlaps.
+
+    Better has fewer edits for its length, then more telling words, then is longer.
+    """
+    groups: list[list[tuple[int, int, str, int]]] = []  # of spans that overlap one after another
+    end = 0
+    for span in sorted(s for s in spans if _tells(text[max(0, s[0] - 1) : s[1] + 1], s[2])):
+        if not groups or span[0] >= end:
+            groups.append([])
+        groups[-1].append(span)
+        end = max(end, span[1])
+    out = []
+    for group in groups:
+        kept: list[tuple[int, int, str, int]] = []
+        for span in sorted(group, key=lambda s: (s[3] / len(s[2]), -len(_telling(s[2])), -len(s[2]), s)):
+            if all(span[1] <= a or b <= span[0] or labels[other] == labels[span[2]] for a, b, other, _ in kept):
+                kept.append(span)
+        out += kept
+    return out
+
+
 def _word_numbers(text: bytes, positions: list[int]) -> dict[int, int]:
     """Spaces before each position."""
     out, n, last = {}, 0, 0
@@ -160,7 +197,7 @@ def scan_text(body: bytes | None, phrases: dict[str, str] = PHRASES, notices: di
     words = (body or b"").translate(ALNUM).split()
     text = b" " + b" ".join(words) + b" "
     base = [(at, label) for phrase, label in phrases.items() for at in places(text, b" " + phrase.encode() + b" ")]
-    found = [(a + 1, b - 1, notices[notice], edits, len(notice)) for a, b, notice, edits in fuzzy(text, tuple(notices))]
+    found = [(a + 1, b - 1, notices[notice], edits, len(notice)) for a, b, notice, edits in resolved(text, list(fuzzy(text, tuple(notices))), notices)]
     number = _word_numbers(text, [at for at, _ in base] + [p for a, b, *_ in found for p in (a, b)])
     return len(words), sorted((number[at], label) for at, label in base), sorted((max(0, number[a] - 1), number[b], *rest) for a, b, *rest in found)
 

@@ -30,6 +30,7 @@ with a probability below 1e-30), then by the whole sets. Hashes have 64 bits; re
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 from functools import cache
 from itertools import combinations
@@ -171,7 +172,7 @@ def similar(a: list[bytes], b: list[bytes], m: np.ndarray, n: np.ndarray, percen
     return (x != y).sum(axis=1) <= np.minimum(most, (100 - percent) * (m + n) // (100 + percent))
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, keyed: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100.
 
     Returns one row per input row: the id, ``n_shingles`` (set size), ``component_id`` (smallest id
@@ -179,7 +180,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty texts have empty sets, link with nothing and are their own component. Rows with a null id
     are returned with their set size and a null component, and take no part. A row that occurs
     several times is returned as often; rows of one id with different texts have their own
-    components each. Very long texts are read whole. Other columns are ignored. Empty input gives an
+    components each, which ``keyed`` tells apart: it adds ``text_key`` (the MD5 of the text's bytes, null
+    for a null text) and ``component`` (a number of the component, null where the set is empty or the id
+    null). Very long texts are read whole. Other columns are ignored. Empty input gives an
     empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).cast("binary").alias("body"))
@@ -188,22 +191,23 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         def rows():
             for batch in slices(batches, "body"):
                 for row, body in zip(batch.column(0).to_pylist(), column_bytes(batch, "body"), strict=True):
-                    s = shingle_set(body, width)
-                    n = len(s)
-                    if n == 0:
-                        yield row, 0, None, None, None
-                        continue
-                    node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                    # a set without room for a loss in either direction links with equal sets only
-                    if row is None or not (loss(n, percent) or needed(n + 1, percent) <= n):
-                        yield row, n, node, None, None
-                        continue
-                    own, sure = np.searchsorted(s, np.array([pool_end(n, percent), pool_end(100 * n // percent, percent)], np.uint64)).tolist()
-                    yield row, n, node, sure, s[:own].view(np.int64)
-
-        return rows_out(pa.schema([("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sure", pa.int32()), ("pool", pa.list_(pa.int64()))]), 1000)(rows())
-
-    every = store(docs.mapInArrow(describe, "row bigint, n bigint, node bigint, sure int, pool array<bigint>"))
+                    yield *described(row, body), hashlib.md5(body).digest() if keyed and body is not None else None
+
+        def described(row, body):
+            s = shingle_set(body, width)
+            n = len(s)
+            if n == 0:
+                return row, 0, None, None, None
+            node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+            # a set without room for a loss in either direction links with equal sets only
+            if row is None or not (loss(n, percent) or needed(n + 1, percent) <= n):
+                return row, n, node, None, None
+            own, sure = np.searchsorted(s, np.array([pool_end(n, percent), pool_end(100 * n // percent, percent)], np.uint64)).tolist()
+            return row, n, node, sure, s[:own].view(np.int64)
+
+        return rows_out(pa.schema([("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sure", pa.int32()), ("pool", pa.list_(pa.int64())), ("key", pa.binary())]), 1000)(rows())
+
+    every = store(docs.mapInArrow(describe, "row bigint, n bigint, node bigint, sure int, pool array<bigint>, key binary"))
     classes = store(every.where("node is not null and row is not null").groupBy("node").agg(F.min("row").alias("rep")))
     pools = every.where("pool is not null").select("node", "n", "sure", "pool").dropDuplicates(["node"])
     twice = pools.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
@@ -216,18 +220,20 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = _texts_again(docs, wanted, width)
     sets = store(texts.join(chosen, "node", "left_semi").dropDuplicates(["node"]))
     found = _links(sets, percent)
-    told = classes.select("node", "rep", F.col("rep").alias("root"))
+    told = classes.select("node", "rep", F.col("rep").alias("root"), F.col("node").alias("component"))
     if found is not None:
         labels = components(found).withColumnRenamed("id", "node")
         least = labels.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least"))
-        roots = labels.join(least, "component").select("node", "least")
-        told = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("least", "rep").alias("root"))
-    told, slim = store(told), store(every.select("row", "n", "node"))
+        roots = labels.join(least, "component").select("node", "least", "component")
+        told = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("least", "rep").alias("root"), F.coalesce("component", "node").alias("component"))
+    told, slim = store(told), store(every.select("row", "n", "node", "key"))
     for done in (every, classes, chosen, wanted, sets, *([found] if found is not None else [])):
         forget(done)  # the result needs neither pools nor sets any more
     out = slim.join(told, "node", "left")
     known = F.col("row").isNotNull()
-    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("root", "row")).alias("component_id"), F.when(known, F.coalesce("rep", "row")).alias("class_id"))
+    more = [F.col("key").alias("text_key"), F.when(known, F.col("component")).alias("component")] if keyed else []
+    component, same = (F.when(known, F.coalesce(c, "row")) for c in ("root", "rep"))
+    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), same.alias("class_id"), *more)
 
 
 def _texts_again(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -333,7 +339,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents"))
+    return similarity_components(table(spark, sf_dir, "documents")).drop("class_id")
 
 
 QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}

@@ -51,10 +51,11 @@ def test_class_words():
         return m.kept_text(m.Page(html).blocks, set())
 
     assert kept("<body><div class='page with-sidebar'><p>All the text of this page</p><div class='sidebar'>no</div></div></body>") == "All the text of this page"
-    assert kept("<div class=banner><p>Much the larger part of the page</p><div class=promo>no</div></div><p>and the rest</p>") == "Much the larger part of the page\n\nand the rest"
+    assert kept("<div class=banner><p>Much the larger part of the page</p></div><p>and the rest</p>") == "and the rest"
+    assert kept("<div class='banner wide'><p>All that the page has</p></div><nav>no</nav>") == "All that the page has"
     assert kept("<p>Short text</p><div class='comments'>Much longer remarks of readers on it</div>") == "Short text"
-    # one teaser does not stand for a page whose body is elsewhere; a short line elsewhere does not join the main text
-    assert kept("<div><p>The body of the page, told at some length.</p></div><article>Teaser</article>") == "The body of the page, told at some length.\n\nTeaser"
+    # declared main text stands alone, whatever its length
+    assert kept("<div><p>The body of the page, told at some length.</p></div><article>Teaser</article>") == "Teaser"
     assert kept("<article>The body of the page, told at some length.</article><div>By line</div>") == "The body of the page, told at some length."
 
 
@@ -67,3 +68,16 @@ def test_style_tree_reaches_into_main_text(spark):
     assert all(got[k] == f"Story number {k} is told.\n\nIt goes on for {k} lines." for k in range(12))
     assert all(got[100 + k] == "The same page" for k in range(6))
     assert all(got[200 + k] == (f"Story {k}.\n\nTwice told" if k < 3 else f"Story {k}.") for k in range(9))
+
+
+def test_noise_longer_than_the_article(spark):
+    """A sidebar, notice, footer or advert goes however long it is, with and without a declared main text, in the long pages too."""
+    rows, body = [], "The story of this page in fifty letters, and no more."
+    for k, noise in enumerate(("sidebar", "cookie-notice", "footer", "advert", "widget box")):
+        for n in (20, 5_000):
+            long = f"<div class='{noise}'>" + "".join(f"<p>Line {j} of {k}, other words each time {j * 7919 % 10007}.</p>" for j in range(n)) + "</div>"
+            for j, page in enumerate((f"<article><p>{body}</p></article>{long}", f"{long}<main><p>{body}</p></main>", f"<div><p>{body}</p></div>{long}", f"{long}<p>{body}</p>")):
+                rows.append((100 * k + 10 * (n > 20) + j, f"http://g{len(rows)}.example/", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = [(r["page_id"], r["text"]) for r in m.extract(df).collect()]
+    assert len(got) == 40 and [x for x in got if x[1] != body] == []

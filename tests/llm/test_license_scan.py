@@ -100,3 +100,19 @@ def test_own_tables(spark):
     assert m.license_scan(df, notices={}).where("doc_id = 1").first()["notices"] == []
     with pytest.raises(ValueError):
         m.license_scan(df, notices={"x" * 2_000_000: "x"})
+
+
+def test_labels_tell_licenses_apart():
+    def labels(text):
+        return {v for _, _, v, *_ in m.scan_text(text.encode())[2]}
+
+    for notice, label in m.NOTICES.items():
+        assert labels(notice) == {label}, notice
+    assert labels("Licensed under CC BY-NC 4.0.") == {"cc-by-nc"} and labels("Licensed under CC BY-ND 4.0.") == {"cc-by-nd"}
+    assert labels("Released under the BSD license") == set() and labels("distributed under the zebra software license") == set()
+    assert labels("under the terms of the GNU General Public License as published by the Free Software Foundation") == {"gpl"}
+    assert labels("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation") == {"lgpl"}
+    assert labels("under the terms of the GNU Affero General Public License") == {"agpl"} and labels("under the terms of the gnu lesser general publik license") == {"lgpl"}
+    assert labels("subject to the terms of the eclipse public license") == set() and labels("licensed under a creative commons attribution sharealike 4.0") == {"cc-by-sa"}
+    both = "Licensed under the Apache License, Version 2.0. Also released under the MIT license."
+    assert labels(both) == {"apache", "mit"} and labels(f"{both} " * 2000) == {"apache", "mit"}

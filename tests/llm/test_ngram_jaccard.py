@@ -37,3 +37,13 @@ def test_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in similarity_components(df).collect())
     assert got == [(0, 1, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (6, 1, 6), (7, 1, 7), (8, 1, 8)]
     assert similarity_components(df.limit(0)).count() == 0
+
+
+def test_keys_tell_components_of_one_id_apart(spark):
+    rows = [(1, "a b c d"), (5, "a b c d"), (5, "q r s t"), (7, "q r s t"), (7, None), (None, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similarity_components(df, keyed=True).collect()
+    by = {(r["doc_id"], r["text_key"] and bytes(r["text_key"])): r["component"] for r in got}
+    a, q = (bytes.fromhex(__import__("hashlib").md5(t.encode()).hexdigest()) for t in ("a b c d", "q r s t"))
+    assert by[1, a] == by[5, a] != by[5, q] == by[7, q] and by[7, None] is None and by[None, a] is None
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (5, 1), (5, 5), (7, 5), (7, 7), (None, None)}

@@ -61,3 +61,15 @@ def test_contamination_removes_items_under_the_limit(spark):
     left = got[1][0]
     assert left.split()[: len(far.split())] == far.split() and item not in left and item.split()[3] not in left.split()
     assert got[1][1] == len(left) < rows[0][4]
+
+
+def test_texts_of_one_id_are_judged_by_themselves(spark):
+    a, b = "one two three four five six seven", "a king and a queen by the sea"
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (8, None), (8, ""), (None, a), (None, a), (9, "x"), (9, "x")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in p.near_duplicates(spark, df, SMALL).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (8, None), (8, ""), (None, a), (9, "x")], key=str)
+    # of two near copies under one id one stays
+    near = [(3, " ".join(f"w{k}" for k in range(60))), (3, " ".join(f"w{k}" for k in range(59)))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
+    assert p.near_duplicates(spark, df, SMALL).count() == 1
