@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.llm import byte_bpe, decontaminate, language_id, ngram_jaccard, suffix_dedup
-from convoylake.llm.common import store, table
+from convoylake.llm.common import forget, store, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,11 +24,20 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 80 % of their five-word shingles, the one with the smallest id."""
-    found = ngram_jaccard.similarity_components(docs, width=5, percent=80)
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    # rows of one id with one text are one document; looked for among the ids, as texts cost a shuffle
+    """Of each component of documents that share 80 % of their five-word shingles, the one with the smallest id.
+
+    A document is an id and a text: rows of one id with different texts are judged each by itself (of such rows
+    of one component the one with the smaller digest stays), repeated rows are one. Rows without an id or
+    without words stay.
+    """
+    found = store(ngram_jaccard.similarity_components(docs, width=5, percent=80, keyed=True).where("component is not null"))
+    named = found.where("component_id = doc_id")
+    several = named.groupBy("component").agg(F.min("text_key").alias("first"), F.max("text_key").alias("last")).where("first <> last")
+    second = named.join(several, "component").where("text_key <> first")
+    gone = found.where("component_id <> doc_id").select("doc_id", "text_key").unionAll(second.select("doc_id", "text_key"))
+    keyed = docs.select(*COLUMNS, F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"))
+    out = keyed.join(gone, ["doc_id", "text_key"], "left_anti").select(*COLUMNS)
+    # looked for among the ids, as texts cost a shuffle
     twice = docs.groupBy("doc_id").count().where("count > 1")
     return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
@@ -69,6 +78,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        kept = store(stage(spark, docs, sf_dir))
+        if k:
+            forget(docs)  # what the stage before has written
+        docs = kept
     return docs
