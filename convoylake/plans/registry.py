@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.functions import scalars as fn
-from convoylake.operators import clock, coerce, projections, replay, serving, views, windows
+from convoylake.operators import clock, coerce, projections, replay, retention, serving, views, windows
 from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, fleet_rows, per_region, reader_projection
+from convoylake.sources.stored import new_folder
+from convoylake.streaming import folds, progress
 
 NOW = EPOCH_MS + 21_600_000
 SINCE = EPOCH_MS + 10_800_000
@@ -175,7 +177,33 @@ _add(
     f"SELECT region, window_start, window_end, event_count + CASE WHEN window_start % 180000 = 0 THEN 1 ELSE 0 END AS event_count, active_vehicles, {AVG} FROM rollups", ROLLUP_SQL,
 )
 _add("offsets_current", lambda m: projections.offsets_current(m.log), "SELECT part, max(off) AS last_offset FROM fleet GROUP BY part")
-_add("retention_24h", lambda m: projections.retained(m.history, NOW + projections.DAY_MS), f"SELECT * FROM history WHERE occurred_at >= {NOW}", MODEL_SQL)
+
+
+def _expired(m: Model) -> tuple[DataFrame, DataFrame]:
+    """History in hourly partitions after the retention job, and the number of rows that it deleted."""
+    path = new_folder(m.spark, "history")
+    history = m.history
+    retention.write_history(history, path)
+    n = retention.expire(m.spark, path, NOW + projections.DAY_MS)
+    schema = ", ".join(f"{c} {kind}" for c, kind in history.dtypes)
+    return retention.read_history(m.spark, path, schema), m.spark.range(1).select(F.lit(n).cast("bigint").alias("deleted"))
+
+
+_add("retention_24h", lambda m: _expired(m)[0], f"SELECT * FROM history WHERE occurred_at >= {NOW}", MODEL_SQL)
+_add("retention_deleted", lambda m: _expired(m)[1], f"SELECT count(*) AS deleted FROM history WHERE occurred_at < {NOW}", MODEL_SQL)
+
+
+def _folded(m: Model, kind: type, *args: str):
+    """A state kept up by four batches of the log, not in its order, one of them twice."""
+    state = kind(m.spark, new_folder(m.spark, "state"), *args)
+    for k in (2, 0, 3, 0, 1):
+        state.fold(m.events.where(F.expr(f"seq div 1000 % 4 = {k}")))
+    return state
+
+
+_add("vehicles_incremental", lambda m: _folded(m, folds.Vehicles).vehicles(), "SELECT * FROM vehicles", MODEL_SQL)
+_add("positions_incremental", lambda m: _folded(m, folds.Vehicles).positions(), "SELECT * FROM positions", MODEL_SQL)
+_add("history_incremental", lambda m: _folded(m, folds.History, "bigint").events(), "SELECT * FROM history", MODEL_SQL)
 
 # query surface
 _add("vehicles_by_region", lambda m: serving.vehicles_by_region(m.vehicles, "SEA"), "SELECT * FROM vehicles WHERE region = 'SEA'", MODEL_SQL)
@@ -269,6 +297,20 @@ _BOUNDED = "FROM fleet JOIN bounds USING (part) WHERE (persisted IS NULL OR off
 _add("replay_bounded", lambda m: replay.replay_bounded(m.log, _bounds(m)).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
 _add("replay_order", lambda m: projections.event_history(m.log.withColumn("arr", F.struct(*replay.canonical_order())), "arr"), "SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, off) AS rn FROM fleet) WHERE rn = 1")
 _add("replay_complete", lambda m: replay.replay_complete(replay.replay_bounded(m.log, _bounds(m)), _bounds(m).where("target is not null")), f"SELECT bool_and(target < 0 OR coalesce(last >= target, false)) AS complete FROM (SELECT b.target, (SELECT max(off) {_BOUNDED} AND fleet.part = b.part) AS last FROM bounds b WHERE target IS NOT NULL)", _BOUNDS_SQL)
+
+
+def _gapped(m: Model) -> tuple[DataFrame, DataFrame]:
+    """The log with a transaction marker after every 50 records of a partition, and where each partition ends: after its last marker."""
+    log = m.log.withColumn("off", F.expr("off + off div 50"))
+    return log, log.groupBy("part").agg((F.max("off") + 2).alias("next_offset"))
+
+
+_add(
+    "progress_past_gaps", lambda m: progress.batch_progress(*_gapped(m), 51),
+    """SELECT b.part AS part, b.batch AS batch, least((b.batch + 1) * 51, n) AS next_offset, count(off) AS records, max(max(off)) OVER (PARTITION BY b.part ORDER BY b.batch) AS last
+    FROM (SELECT part, n, unnest(range(0, (n - 1) // 51 + 1)) AS batch FROM (SELECT part, max(off + off // 50) + 2 AS n FROM fleet GROUP BY part)) b
+    LEFT JOIN (SELECT part, off + off // 50 AS off FROM fleet) f ON f.part = b.part AND f.off // 51 = b.batch GROUP BY b.part, b.batch, b.n""",
+)
 _add("capture_watermark", lambda m: replay.capture_watermark(m.log), "SELECT part, max(off) AS target, min(off) AS low FROM fleet GROUP BY part")
 _add("replay_since", lambda m: replay.replay_since(m.log, SINCE), f"SELECT part, min(off) - 1 AS seed FROM fleet WHERE occurred_at >= {SINCE} GROUP BY part")
 
