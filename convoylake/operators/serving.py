@@ -47,6 +47,19 @@ def recent_events(history: DataFrame, k: int = RECENT) -> DataFrame:
     return history.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k)
 
 
+def requested_events(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """Many requests (request_id, vehicle_id, k, since) for newest events, answered in one plan: each request's events with their ``rank``.
+
+    A null k is the usual one, 0 gives no row, a null since is no bound; a negative k fails the query. Requests
+    that ask for the same have their answers each, of one scan of the history.
+    """
+    k = F.coalesce("k", F.lit(RECENT))
+    asked = requests.select("request_id", "vehicle_id", F.when(k < 0, F.raise_error(F.lit("k must not be negative")).cast("int")).otherwise(k).alias("k"), "since")
+    newest = Window.partitionBy("request_id").orderBy(F.desc("occurred_at"), F.desc("event_id"))
+    rows = history.join(asked.where("k > 0"), "vehicle_id").where("since is null or occurred_at >= since")
+    return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= F.col("k")).drop("k", "since")
+
+
 def vehicle_anomalies(vehicles: DataFrame, anomalies: DataFrame, since_ms: int | None = None) -> DataFrame:
     """All anomalies of each vehicle, newest first, as a list; empty for a vehicle without any."""
     rows = anomalies if since_ms is None else anomalies.where(F.col("window_start") >= since_ms)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.functions import scalars as fn
-from convoylake.operators import clock, coerce, projections, replay, retention, serving, views, windows
+from convoylake.operators import clock, coerce, merkle, projections, replay, retention, serving, views, windows
+from convoylake.sources import log as stored_log
 from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, fleet_rows, per_region, reader_projection
 from convoylake.sources.stored import new_folder
-from convoylake.streaming import folds, progress
+from convoylake.streaming import exact, folds, progress
 
 NOW = EPOCH_MS + 21_600_000
 SINCE = EPOCH_MS + 10_800_000
@@ -157,10 +158,17 @@ _add(
     "SELECT region, count(*) AS closed FROM rollups GROUP BY region", ROLLUP_SQL,
 )
 _add("max_offset", lambda m: m.log.groupBy("part").agg(F.max("off").alias("last")), "SELECT part, max(off) AS last FROM fleet GROUP BY part")
-_add(
-    "table_counts", lambda m: m.vehicles.agg(F.count("*").alias("n")).select(F.lit("vehicles").alias("name"), "n").unionByName(m.positions.agg(F.count("*").alias("n")).select(F.lit("vehicle_positions").alias("name"), "n")).unionByName(m.history.agg(F.count("*").alias("n")).select(F.lit("vehicle_events").alias("name"), "n")),
-    "SELECT 'vehicles' AS name, count(*) AS n FROM vehicles UNION ALL SELECT 'vehicle_positions', count(*) FROM positions UNION ALL SELECT 'vehicle_events', count(*) FROM history", MODEL_SQL,
-)
+
+
+def _counts(m: Model) -> DataFrame:
+    """Rows of the five tables; vehicles and positions are one fold."""
+    both = m.states.agg(F.count("*").alias("n")).select(F.explode(F.array(F.lit("vehicles"), F.lit("vehicle_positions"))).alias("name"), "n")
+    for name, rows in (("vehicle_events", m.events.select(F.countDistinct("event_id").alias("n"))), ("anomalies", m.anomalies.agg(F.count("*").alias("n"))), ("region_rollups", m.rollups.agg(F.count("*").alias("n")))):
+        both = both.unionByName(rows.select(F.lit(name).alias("name"), "n"))
+    return both
+
+
+_add("table_counts", _counts, " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {t}" for n, t in (("vehicles", "vehicles"), ("vehicle_positions", "positions"), ("vehicle_events", "history"), ("anomalies", "anomalies"), ("region_rollups", "rollups"))), MODEL_SQL, ROLLUP_SQL, ANOMALY_SQL)
 
 # read model
 _add("vehicles_current", lambda m: m.vehicles, "SELECT * FROM vehicles", MODEL_SQL)
@@ -205,6 +213,22 @@ _add("vehicles_incremental", lambda m: _folded(m, folds.Vehicles).vehicles(), "S
 _add("positions_incremental", lambda m: _folded(m, folds.Vehicles).positions(), "SELECT * FROM positions", MODEL_SQL)
 _add("history_incremental", lambda m: _folded(m, folds.History, "bigint").events(), "SELECT * FROM history", MODEL_SQL)
 
+
+def _exact(m: Model, kind: type) -> DataFrame:
+    """A windowed job's results after the log in batches, cut at four places of its order of arrival, one batch delivered twice."""
+    job = kind(m.spark, new_folder(m.spark, "job"))
+    cuts = [-1, 1500, 1600, 9000, 60_000, 1 << 60]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        batch = m.events.where((F.col("seq") > a) & (F.col("seq") <= b))
+        job.fold(batch, k)
+        if k == 2:
+            job.fold(batch, k)
+    return job.results()
+
+
+_add("rollups_exact", lambda m: _rounded(_exact(m, exact.Rollups), "avg_speed_kph"), f"SELECT {ROLLUP_COLUMNS} FROM rollups", ROLLUP_SQL)
+_add("anomalies_exact", lambda m: _exact(m, exact.Anomalies), f"SELECT {ANOMALY_COLUMNS} FROM anomalies", ANOMALY_SQL)
+
 # query surface
 _add("vehicles_by_region", lambda m: serving.vehicles_by_region(m.vehicles, "SEA"), "SELECT * FROM vehicles WHERE region = 'SEA'", MODEL_SQL)
 _add("vehicle_by_id", lambda m: serving.vehicle_by_id(m.vehicles, "veh-0007"), "SELECT * FROM vehicles WHERE id = 'veh-0007'", MODEL_SQL)
@@ -215,6 +239,24 @@ _add("events_by_region_live", lambda m: m.events.where("region = 'SFO'").select(
 _add("api_vehicle_rows", lambda m: m.vehicles.select("id", "region", "status", fn.iso_ms(F.col("last_seen")).alias("lastSeen")), "SELECT id, region, status, strftime(make_timestamp(last_seen * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(last_seen % 1000 AS VARCHAR), 3, '0') || 'Z' AS lastSeen FROM vehicles", MODEL_SQL)
 _add("vehicle_positions_join", lambda m: serving.vehicle_positions_join(m.vehicles, m.positions), "SELECT v.*, p.lat, p.lon, p.speed_kph, p.heading_deg, p.updated_at, p.battery_pct FROM vehicles v JOIN positions p ON v.id = p.vehicle_id", MODEL_SQL)
 _add("recent_events", lambda m: serving.recent_events(m.history), "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vehicle_id ORDER BY occurred_at DESC, event_id DESC) AS INTEGER) AS rank FROM history) WHERE rank <= 20", MODEL_SQL)
+
+
+def _requests(m: Model) -> DataFrame:
+    """Three requests a vehicle: the usual number, one of 0 to 6, and one with a bound in time."""
+    number = F.substring("id", 5, 9).cast("int")
+    one = m.vehicles.select("id", number.alias("n"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("j"))
+    k, since = F.when(F.col("j") > 0, F.col("n") % 7), F.when(F.col("j") == 2, F.lit(SINCE) + F.col("n") * 1000)
+    return one.select((F.col("n") * 3 + F.col("j")).alias("request_id"), F.col("id").alias("vehicle_id"), k.alias("k"), since.cast("bigint").alias("since"))
+
+
+_add(
+    "requested_events", lambda m: serving.requested_events(_requests(m), m.history).select("request_id", "vehicle_id", "event_id", "occurred_at", "rank"),
+    f"""SELECT request_id, vehicle_id, event_id, occurred_at, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT r.*, h.event_id, h.occurred_at, row_number() OVER (PARTITION BY request_id ORDER BY occurred_at DESC, event_id DESC) AS rank
+      FROM (SELECT n * 3 + j AS request_id, id AS vehicle_id, CASE WHEN j > 0 THEN n % 7 ELSE 20 END AS k, CASE WHEN j = 2 THEN {SINCE} + n * 1000 END AS since
+        FROM (SELECT id, CAST(substr(id, 5) AS INTEGER) AS n, unnest([0, 1, 2]) AS j FROM vehicles)) r
+      JOIN history h ON h.vehicle_id = r.vehicle_id AND (since IS NULL OR h.occurred_at >= since)) WHERE rank <= k""", MODEL_SQL,
+)
 _add(
     "vehicle_anomalies", lambda m: serving.vehicle_anomalies(m.vehicles, m.anomalies, SINCE).select("id", F.size("anomalies").alias("n"), F.array_join("anomalies.anomaly_id", ",").alias("ids")),
     f"""SELECT id, CAST(count(anomaly_id) AS INTEGER) AS n, coalesce(string_agg(anomaly_id, ',' ORDER BY window_start DESC, anomaly_id DESC), '') AS ids FROM vehicles v LEFT JOIN (SELECT * FROM anomalies WHERE window_start >= {SINCE}) a ON a.vehicle_id = v.id GROUP BY id""", MODEL_SQL, ANOMALY_SQL,
@@ -286,15 +328,33 @@ VIEWS = [("ALL", -98.5, 39.0, 3.2), ("SEA", -122.34, 47.6, 10.0), ("SFO", -122.4
 _add("region_views", lambda m: m.spark.createDataFrame(VIEWS, "selection string, lon double, lat double, zoom double"), "SELECT selection, lon::DOUBLE AS lon, lat::DOUBLE AS lat, zoom::DOUBLE AS zoom FROM (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in VIEWS) + ") t(selection, lon, lat, zoom)")
 
 # replay
+_BOUND = ("part", "case when part % 2 = 1 then last div 4 end as persisted", f"case when part <> {PARTITIONS - 1} then last * 3 div 4 end as target")
+
+
 def _bounds(m: Model) -> DataFrame:
     """From each log partition's last offset: odd partitions were read up to a quarter of it, the target is three quarters; the last partition has no target."""
-    last = m.log.groupBy("part").agg(F.max("off").alias("last"))
-    return last.select("part", F.when(F.col("part") % 2 == 1, F.expr("last div 4")).alias("persisted"), F.when(F.col("part") != PARTITIONS - 1, F.expr("last * 3 div 4")).alias("target"))
+    return m.log.groupBy("part").agg(F.max("off").alias("last")).selectExpr(*_BOUND)
 
 
 _BOUNDS_SQL = f"bounds AS (SELECT part, CASE WHEN part % 2 = 1 THEN max(off) // 4 END AS persisted, CASE WHEN part <> {PARTITIONS - 1} THEN max(off) * 3 // 4 END AS target FROM fleet GROUP BY part)"
 _BOUNDED = "FROM fleet JOIN bounds USING (part) WHERE (persisted IS NULL OR off > persisted) AND (target IS NULL OR off <= target)"
 _add("replay_bounded", lambda m: replay.replay_bounded(m.log, _bounds(m)).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
+
+
+def _stored(m: Model) -> str:
+    path = new_folder(m.spark, "log")
+    stored_log.write_log(m.events, path)
+    return path
+
+
+def _stored_replay(m: Model) -> DataFrame:
+    path = _stored(m)
+    last = stored_log.ends(m.spark, path)
+    return stored_log.replay(m.spark, path, last.selectExpr(*_BOUND))
+
+
+_add("stored_log", lambda m: stored_log.read_log(m.spark, _stored(m)).selectExpr(*EVENT_COLUMNS.split(", ")), f"SELECT {EVENT_COLUMNS} FROM fleet")
+_add("stored_replay", lambda m: _stored_replay(m).select("event_id", "copy", "part", "off"), f"SELECT event_id, copy, part, off {_BOUNDED}", _BOUNDS_SQL)
 _add("replay_order", lambda m: projections.event_history(m.log.withColumn("arr", F.struct(*replay.canonical_order())), "arr"), "SELECT event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY part, off) AS rn FROM fleet) WHERE rn = 1")
 _add("replay_complete", lambda m: replay.replay_complete(replay.replay_bounded(m.log, _bounds(m)), _bounds(m).where("target is not null")), f"SELECT bool_and(target < 0 OR coalesce(last >= target, false)) AS complete FROM (SELECT b.target, (SELECT max(off) {_BOUNDED} AND fleet.part = b.part) AS last FROM bounds b WHERE target IS NOT NULL)", _BOUNDS_SQL)
 
@@ -347,6 +407,59 @@ def _digest_sql(name: str, table: str, whole: tuple[str, ...], broken: tuple[str
 
 
 _add("table_checksum", _digests, " UNION ALL ".join(_digest_sql(n, *v) for n, v in _DIGESTED.items()), MODEL_SQL, ROLLUP_SQL, ANOMALY_SQL)
+
+
+#: Columns of each table's primary key, and the depth of the trees.
+_KEYS, _DEPTH = {"vehicles": ("id",), "vehicle_positions": ("vehicle_id",), "vehicle_events": ("event_id",), "anomalies": ("anomaly_id",), "region_rollups": ("region", "window_start")}, 2
+
+
+def _tree(name: str, df: DataFrame) -> DataFrame:
+    _, whole, broken = _DIGESTED[name]
+    rest = [c for c in whole if c not in _KEYS[name]]
+    return merkle.tree(df, [*map(F.col, _KEYS[name])], [*map(F.col, rest), *map(_micro, broken)], _DEPTH)
+
+
+def _framed_sql(columns: list[str]) -> str:
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+def _tree_sql(name: str, view: str) -> str:
+    """Common table expressions: leaves (l), nodes (k) and the root (t) of a table, their names followed by the view's."""
+    _, whole, broken = _DIGESTED[name]
+    rest = [*(c for c in whole if c not in _KEYS[name]), *(f"CAST(floor(round({c}, 6) * 1000000 + 0.5) AS BIGINT)" for c in broken)]
+    key = _framed_sql(list(_KEYS[name]))
+    return f"""
+l_{view} AS (SELECT substr(md5(key), 1, 2) AS prefix, count(*) AS rows, sha256(string_agg(digest, '' ORDER BY key, digest)) AS digest FROM (SELECT {key} AS key, sha256({key} || {_framed_sql(rest)}) AS digest FROM {view}) GROUP BY 1),
+k_{view} AS (SELECT substr(prefix, 1, 1) AS prefix, sum(rows) AS rows, sha256(string_agg(prefix || digest, '' ORDER BY prefix)) AS digest FROM l_{view} GROUP BY 1),
+t_{view} AS (SELECT coalesce(sum(rows), 0)::BIGINT AS rows, sha256(coalesce(string_agg(prefix || digest, '' ORDER BY prefix), '')) AS root FROM k_{view})"""
+
+
+def _roots(m: Model) -> DataFrame:
+    out = None
+    for name, (table, _, _) in _DIGESTED.items():
+        one = merkle.root(_tree(name, getattr(m, table))).select(F.lit(name).alias("name"), "rows", "root")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_add("table_merkle", _roots, " UNION ALL ".join(f"SELECT '{n}' AS name, rows, root FROM t_{v[0]}" for n, v in _DIGESTED.items()), MODEL_SQL, ROLLUP_SQL, ANOMALY_SQL, *(_tree_sql(n, v[0]) for n, v in _DIGESTED.items()))
+
+
+def _changed(m: Model) -> DataFrame:
+    """Where history and a copy of it with faster, missing and added events differ."""
+    e = F.col("event_id")
+    copy = m.history.where(e % 997 != 3).withColumn("speed_kph", F.when(e % 991 == 5, F.col("speed_kph") + 1).otherwise(F.col("speed_kph")))
+    copy = copy.unionByName(m.history.where(e % 983 == 7).withColumn("event_id", -e))
+    return merkle.differing(_tree("vehicle_events", m.history), _tree("vehicle_events", copy), _DEPTH)
+
+
+_add(
+    "merkle_ranges", _changed,
+    "SELECT coalesce(a.prefix, b.prefix) AS prefix, coalesce(a.rows, 0) AS found_rows, coalesce(b.rows, 0) AS expected_rows FROM l_history a FULL JOIN l_copied b ON a.prefix = b.prefix WHERE a.digest IS DISTINCT FROM b.digest",
+    MODEL_SQL,
+    "copied AS (SELECT event_id, vehicle_id, lat, lon, CASE WHEN event_id % 991 = 5 THEN speed_kph + 1 ELSE speed_kph END AS speed_kph, occurred_at FROM history WHERE event_id % 997 <> 3 UNION ALL SELECT -event_id, vehicle_id, lat, lon, speed_kph, occurred_at FROM history WHERE event_id % 983 = 7)",
+    _tree_sql("vehicle_events", "history"), _tree_sql("vehicle_events", "copied"),
+)
 _add(
     "api_row_checks", lambda m: coerce.api_row_checks(m.rollups.withColumns({"region": F.when(F.col("window_start") % 420000 == 0, "XXX").otherwise(F.col("region")), "event_count": F.when(F.col("window_start") % 660000 == 0, F.lit(1 << 31)).otherwise(F.col("event_count"))}), {"region": tuple(r[0] for r in REGIONS)}, ("event_count",), ("window_end",)).groupBy("window_start", "reason").agg(F.count("*").alias("n")),
     "SELECT window_start, reason, count(*) AS n FROM (SELECT window_start, CASE WHEN window_start % 420000 = 0 THEN 'region' WHEN window_start % 660000 = 0 THEN 'event_count' END AS reason FROM rollups) GROUP BY window_start, reason", ROLLUP_SQL,

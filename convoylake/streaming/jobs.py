@@ -1,22 +1,18 @@
 """The windowed jobs on Structured Streaming.
 
 ``rollup_stream`` and ``anomaly_stream`` use Spark's watermark: one clock for all partitions, and lateness
-decided by micro-batch. ``exact_windows`` keeps the stored-log meaning record by record: a stateful
-processor keyed by the clock key, with the clock and the open windows as state.
+decided by micro-batch. ``convoylake.streaming.exact`` has the jobs with the stored-log meaning.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from convoylake.functions.scalars import anomaly_id
-from convoylake.operators.clock import GRACE_MS, MINUTE_MS
+from convoylake.operators.clock import GRACE_MS
 from convoylake.operators.windows import violates
 from convoylake.sources.fleet import EVENT_V2
 
@@ -114,48 +110,3 @@ def anomaly_stream(events: DataFrame) -> DataFrame:
     out = _timed(events).groupBy("vehicle_id", F.window("ts", "5 minutes", "1 minute")).agg(F.count_if(v).alias("violations"), F.max(F.when(v, F.col("speed_kph"))).alias("value"), F.max(F.when(v, F.struct("off", "region"))).getField("region").alias("region"))
     out = out.where("violations >= 1").select(*_bounds("vehicle_id", "region", "value"))
     return out.withColumn("anomaly_id", anomaly_id(F.col("vehicle_id"), F.col("window_start")))
-
-
-class ExactWindows(StatefulProcessor):
-    """Windows of one clock key: each record moves the clock, then counts in the windows that are still open; closed windows are emitted once."""
-
-    def __init__(self, size_ms: int, hop_ms: int, grace_ms: int = GRACE_MS) -> None:
-        self.size, self.hop, self.grace = size_ms, hop_ms, grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("clock", "at bigint")
-        self.open = handle.getMapState("open", "entity string, start bigint", "n bigint, violations bigint, value double, region string, speed double, active bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = self.clock.get()[0] if self.clock.exists() else None
-        for part in rows:
-            for r in part.sort_values("seq").itertuples():
-                now = r.occurred_at if now is None else max(now, r.occurred_at)
-                last = r.occurred_at // self.hop * self.hop
-                for start in range(last, last - self.size, -self.hop):
-                    if start + self.size > now - self.grace:
-                        self._fold((r.entity, start), r)
-        if now is not None:
-            self.clock.update((now,))
-            done = [(k, v) for k, v in self.open.iterator() if k[1] + self.size + self.grace <= now]
-            for k, _ in done:
-                self.open.removeKey(k)
-            yield pd.DataFrame([(k[0], k[1], k[1] + self.size, v[0], v[1], v[2], v[3], v[4] / v[5] if v[5] else 0.0) for k, v in done], columns=["entity", "window_start", "window_end", "event_count", "violations", "value", "region", "avg_speed_kph"])
-
-    def _fold(self, k: tuple, r) -> None:
-        n, violations, value, region, speed, active = self.open.getValue(k) if self.open.containsKey(k) else (0, 0, None, None, 0.0, 0)
-        if r.speed_kph > 120:
-            violations, value, region = violations + 1, max(value or 0.0, r.speed_kph), r.region
-        if r.status == "ACTIVE":
-            speed, active = speed + r.speed_kph, active + 1
-        self.open.updateValue(k, (n + 1, violations, value, region, speed, active))
-
-    def close(self) -> None:
-        pass
-
-
-def exact_windows(events: DataFrame, clock_key: str, entity: str, size_ms: int, hop_ms: int = MINUTE_MS) -> DataFrame:
-    """Closed windows with per-record lateness; needs the RocksDB state store. Distinct vehicles are not counted here."""
-    rows = events.select(F.col(clock_key).alias("key"), F.col(entity).alias("entity"), "region", "status", "speed_kph", "occurred_at", "seq")
-    out = "entity string, window_start bigint, window_end bigint, event_count bigint, violations bigint, value double, region string, avg_speed_kph double"
-    return rows.groupBy("key").transformWithStateInPandas(ExactWindows(size_ms, hop_ms), out, "Append", "None")

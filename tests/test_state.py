@@ -4,13 +4,16 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from test_fleet import BASE, SCHEMA, S, events
 
-from convoylake.operators import projections, retention
+from convoylake.operators import merkle, projections, retention, serving
+from convoylake.sources import log
 from convoylake.streaming import jobs
 from convoylake.streaming.folds import History, Vehicles, fold_stream
+from convoylake.streaming.projector import ReadModel, project
 from convoylake.streaming.progress import Progress, batch_progress, completed, positions, reached, resume_offsets
 
 HISTORY = "event_id bigint, vehicle_id string, occurred_at bigint"
@@ -213,3 +216,109 @@ def test_stream_of_folds(spark, tmp_path):
     fold_stream(jobs.file_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "out"), str(tmp_path / "c"), "bigint").awaitTermination(180)
     history = History(spark, str(tmp_path / "out"), "bigint")
     assert rows_of(history.events()) == rows_of(projections.event_history(whole)) and history.state().count() == 120
+
+
+# read model: records without an order of their own, runs, versions, reset
+
+
+def test_topics_without_seq_runs_and_versions(spark, tmp_path):
+    whole = arrivals(spark).withColumns({"part": F.lit(0), "off": F.col("seq")})
+    model = ReadModel(spark, str(tmp_path / "model"))
+    assert all(model.table(n).isEmpty() for n in ("vehicles", "vehicle_positions", "vehicle_events", "anomalies", "region_rollups"))
+    assert model.offsets("anomalies").isEmpty()
+    raw = whole.drop("seq")  # as ``jobs.decoded`` gives them
+    old, new = raw.where("off < 50").drop("battery_pct"), raw.where("off >= 50")
+    for first, second in ((old, new), (new, old)):  # versions in either order, two runs that both begin with batch 0
+        model.append("vehicle-events", first, 0, "a")
+        model.append("vehicle-events", second, 0, "b")
+        want = whole.withColumn("battery_pct", F.when(F.col("off") >= 50, F.col("battery_pct")))
+        for name, fold in (("vehicles", projections.vehicles_current), ("vehicle_positions", projections.positions_current), ("vehicle_events", projections.event_history)):
+            assert rows_of(model.table(name)) == rows_of(fold(want).select(*model.table(name).columns))
+    model = ReadModel(spark, str(tmp_path / "old"))
+    model.append("vehicle-events", old, 0)
+    assert [r[0] for r in model.table("vehicle_positions").select("battery_pct").distinct().collect()] == [None]
+
+
+def test_a_new_run_replaces_nothing(spark, tmp_path):
+    whole = arrivals(spark)
+    for k, rows in enumerate((whole.where("seq < 60"), whole.where("seq >= 60"))):
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        project(jobs.file_stream(spark, str(tmp_path / f"in{k}"), SCHEMA), "vehicle-events", str(tmp_path / "out"), str(tmp_path / f"c{k}")).awaitTermination(120)
+    assert ReadModel(spark, str(tmp_path / "out")).arrivals("vehicle-events").count() == 120
+
+
+def test_reset_empties_and_seeds(spark, tmp_path):
+    root = str(tmp_path / "model")
+    model = ReadModel(spark, root)
+    model.append("vehicle-events", arrivals(spark), 0)
+    seeds = {"vehicle-events": spark.createDataFrame([(0, 41), (1, -1)], "part int, seed bigint")}
+    for wrong in (lambda: model.reset("yes", seeds), lambda: model.reset(root, {"other": seeds["vehicle-events"]})):
+        with pytest.raises(ValueError):
+            wrong()
+    (tmp_path / "model" / "precious").mkdir()
+    with pytest.raises(ValueError):
+        model.reset(root, seeds)
+    assert model.table("vehicle_events").count() == 120  # nothing was removed
+    (tmp_path / "model" / "precious").rmdir()
+    model.reset(root, seeds)
+    assert all(model.table(n).isEmpty() for n in ("vehicles", "vehicle_events", "anomalies"))
+    assert sorted(map(tuple, model.offsets("vehicle-events").collect())) == [(0, 41), (1, -1)]
+    start = json.loads(resume_offsets(model.offsets("vehicle-events").withColumnRenamed("last_offset", "last")))["vehicle-events"]
+    assert start["0"] == 42 and start["1"] == 0 and start["2"] == -2
+    model.append("vehicle-events", arrivals(spark).withColumn("off", F.col("seq")).where("off > 41"), 0)
+    assert model.table("vehicle_events").count() == 78 and model.offsets("vehicle-events").where("part = 0").first()["last_offset"] == 119
+    model.reset(root)
+    assert model.offsets("vehicle-events").isEmpty()
+
+
+# stored log, digests
+
+
+def test_bounds_reach_the_scan_of_a_stored_log(spark, tmp_path):
+    rows = arrivals(spark, 400).withColumn("part", F.pmod(F.col("seq"), F.lit(3)).cast("int")).drop("off")
+    log.write_log(rows, str(tmp_path / "log"), files=6)
+    bounds = spark.createDataFrame([(0, 10, 40), (1, None, 5), (2, 100, None)], "part int, persisted bigint, target bigint")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    got = log.replay(spark, str(tmp_path / "log"), bounds)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :].splitlines()[0]
+    assert "GreaterThan(off,10)" in pushed and "EqualTo(part,0)" in pushed and "LessThanOrEqual(off,5)" in pushed
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Window" not in plan
+    assert sorted((r["part"], r["off"]) for r in got.collect()) == [(0, k) for k in range(11, 41)] + [(1, k) for k in range(6)] + [(2, k) for k in range(101, 133)]
+    assert sorted(map(tuple, log.ends(spark, str(tmp_path / "log")).collect())) == [(0, 133), (1, 132), (2, 132)]
+    whole = log.read_log(spark, str(tmp_path / "log"))
+    assert whole.count() == 400 and whole.where("off * 3 + part <> seq").isEmpty()
+    assert log.replay(spark, str(tmp_path / "log"), bounds.limit(0)).isEmpty()
+
+
+def test_trees_find_the_leaf_of_a_change(spark):
+    rows = [(k, f"v{k % 7}", None if k % 5 == 0 else k / 3) for k in range(500)]
+    df = lambda r: spark.createDataFrame(r, "id bigint, name string, value double")
+    nodes = lambda r: merkle.tree(df(r).repartition(3), [F.col("id")], [F.col("name"), F.col("value")], 2)
+    whole = nodes(rows)
+    assert merkle.root(whole).first() == merkle.root(nodes(rows[::-1])).first() and merkle.root(whole).first()["rows"] == 500
+    assert merkle.differing(whole, nodes(rows[::-1]), 2).isEmpty()
+    changed = [*rows[:250], (250, "v5", -1.0), *rows[251:]]
+    leaves = merkle.differing(whole, nodes(changed), 2)
+    assert leaves.count() == 1 and merkle.rows_of_ranges(df(rows), [F.col("id")], leaves, 2).where("id = 250").count() == 1
+    for other in (rows[1:], [*rows, (1000, "x", 0.0)], [(k, n, 0.0 if k == 5 else v) for k, n, v in rows]):
+        assert merkle.differing(whole, nodes(other), 2).count() == 1
+    empty = nodes([])
+    assert merkle.root(empty).first()["rows"] == 0 and merkle.differing(whole, empty, 2).count() == whole.where("length(prefix) = 2").count()
+    one, two = (spark.createDataFrame([r], "a string, b string").select(merkle.framed([F.col("a"), F.col("b")])).first()[0] for r in (("1:x", None), ("1", ":x-")))
+    assert one != two
+
+
+def test_requests_are_answered_in_one_plan(spark):
+    history = projections.event_history(arrivals(spark))
+    rows = [(1, "v1", None, None), (2, "v1", 3, None), (3, "v1", 0, None), (4, "v2", 2, BASE + 20 * S), (5, "nobody", 5, None), (6, "v1", 3, None)]
+    asked = spark.createDataFrame(rows, "request_id int, vehicle_id string, k int, since bigint")
+    got = {}
+    for r in serving.requested_events(asked, history).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append(r["event_id"])
+    for number, vehicle, k, since in rows:
+        one = serving.recent_events(history.where(F.col("vehicle_id") == vehicle).where(F.lit(since).isNull() | (F.col("occurred_at") >= F.lit(since))), 20 if k is None else k)
+        assert got.get(number, []) == [r["event_id"] for r in one.orderBy("rank").collect()]
+    with pytest.raises(Exception, match="negative"):
+        serving.requested_events(asked.withColumn("k", F.lit(-1)), history).collect()

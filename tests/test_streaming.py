@@ -10,7 +10,7 @@ from test_fleet import BASE, FLUSH, M, S, SCHEMA, events, spikes
 
 from convoylake.operators import projections
 from convoylake.sources.fleet import EVENT_V2, STATUSES
-from convoylake.streaming import jobs
+from convoylake.streaming import exact, jobs
 from convoylake.streaming.projector import ReadModel, project
 
 DROPPED = spikes((130, 250 * S), (60, 340 * S), (150, 260 * S), FLUSH)
@@ -44,13 +44,10 @@ def test_rollups(spark, tmp_path):
 
 
 def test_exact_windows_decide_record_by_record(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        path = as_files(spark, tmp_path / "in", DROPPED, [(0, 3)])  # one batch: a watermark would keep the late row
-        got = run(spark, jobs.exact_windows(jobs.file_stream(spark, path, SCHEMA), "part", "vehicle_id", 5 * M), tmp_path)
-        assert {r["window_start"]: r["value"] for r in got if r["violations"]} == {BASE + k * M: 150.0 if k > 0 else 130.0 for k in range(5)}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    path = as_files(spark, tmp_path / "in", DROPPED, [(0, 3)])  # one batch: a watermark would keep the late row
+    job = exact.Anomalies(spark, str(tmp_path / "out"), buckets=2)
+    exact.exact_stream(jobs.file_stream(spark, path, SCHEMA), job, str(tmp_path / "c")).awaitTermination(120)
+    assert {r["window_start"]: r["value"] for r in job.results().collect()} == {BASE + k * M: 150.0 if k > 0 else 130.0 for k in range(5)}
 
 
 def test_projector_equals_the_batch_form(spark, tmp_path):
