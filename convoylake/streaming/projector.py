@@ -20,6 +20,8 @@ from convoylake.sources.stored import folders, remove
 
 #: Topic -> columns of its records; ``seq`` is derived where a topic's records come without it.
 TOPICS = {topic: f"{columns}, part int, off bigint" for topic, columns in (("vehicle-events", EVENT_V2), ("anomalies", ANOMALY), ("rollups-1m", ROLLUP))}
+#: Columns that a topic's first schema version lacks.
+ADDED = {"vehicle-events": {"battery_pct": "double"}}
 #: Folder of the offsets that a reset has set.
 SEEDS = "_seeds"
 #: Partitions of a topic are fewer; the order of arrival of records without ``seq`` is by offset, then partition.
@@ -43,19 +45,19 @@ class ReadModel:
 
     def append(self, topic: str, batch: DataFrame, batch_id: int, run: str = "0") -> None:
         """Takes a batch of a run in; the same batch again has no effect."""
-        batch.write.mode("overwrite").parquet(f"{self.root}/{topic}/run={run}/batch={batch_id}")
+        places = {c: F.col(c).cast(kind) for c, kind in (("part", "int"), ("off", "bigint"), ("seq", "bigint")) if c in batch.columns}
+        batch.withColumns(places).write.mode("overwrite").parquet(f"{self.root}/{topic}/run={run}/batch={batch_id}")
 
     def arrivals(self, topic: str) -> DataFrame:
         """A topic's records, columns that their schema version lacks as nulls; none of a topic without batches.
 
         Without ``seq`` the order of arrival is that of offsets: folds are by key, and a key is in one partition.
         """
-        declared = dict(f.split() for f in TOPICS[topic].split(", "))
         if folders(self.spark, f"{self.root}/{topic}"):
             rows = self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.root}/{topic}").parquet(f"{self.root}/{topic}").drop("run", "batch")
         else:
             rows = self.spark.createDataFrame([], TOPICS[topic])
-        rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in declared.items() if c not in rows.columns})
+        rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in ADDED.get(topic, {}).items() if c not in rows.columns})
         order = F.col("off").cast("bigint") * PARTITION_LIMIT + F.col("part")
         return rows.withColumn("seq", F.coalesce("seq", order) if "seq" in rows.columns else order)
 
