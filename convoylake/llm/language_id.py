@@ -55,8 +55,10 @@ def features(body: bytes) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine, by dual coordinate descent; y is -1 or 1."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, alpha, norms = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1)
+    wide = np.ones((len(x), x.shape[1] + 1))  # the largest array of the training, made once
+    wide[:, :-1] = x
+    x = wide
+    w, alpha, norms = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
     share = len(x) / (2 * np.array([(y < 0).sum(), (y > 0).sum()]))
     top = cost * share[(y > 0).astype(int)]
     for _ in range(rounds):
@@ -83,7 +85,7 @@ class Model:
     @staticmethod
     def _pair(x: np.ndarray, names: np.ndarray, a: str, b: str) -> np.ndarray:
         rows = np.flatnonzero((names == a) | (names == b))
-        return fit_svm(x[rows], np.where(names[rows] == a, 1.0, -1.0))
+        return fit_svm(x if len(rows) == len(x) else x[rows], np.where(names[rows] == a, 1.0, -1.0))
 
     @staticmethod
     def _vote(f: np.ndarray, names: list[str], weights: dict[tuple[str, str], np.ndarray]) -> tuple[str, float]:
@@ -124,7 +126,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return rows_out(pa.schema([("lang", pa.string()), ("f", pa.binary())]), 100)(out())
 
     found = sorted((r["lang"], bytes(r["f"])) for r in picked.select("lang", "body").mapInArrow(describe, "lang string, f binary").limit(2 * sample * len(counts)).collect())
-    return Model(np.stack([np.frombuffer(f, np.float32) for _, f in found]), [v for v, _ in found]) if found else None
+    if not found:
+        return None
+    x, langs = np.stack([np.frombuffer(f, np.float32) for _, f in found]), [v for v, _ in found]
+    del found
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
