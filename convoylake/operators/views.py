@@ -42,6 +42,20 @@ def visible_anomalies(anomalies: DataFrame, order: str, limit: int = VISIBLE) ->
     return anomalies.orderBy(F.desc_nulls_last("window_end"), order).limit(limit)
 
 
+def merge_visible(visible: DataFrame, incoming: DataFrame, limit: int = VISIBLE) -> DataFrame:
+    """The first ``limit`` rows of ``merge_anomalies``, from a list that was cut to them before.
+
+    That is exact as long as the window end of an id on the list does not go back (an id names its window), as
+    only then a row that was cut could be among them again; an incoming row that takes one back is an error.
+    The list has at most ``limit`` rows, so it is broadcast.
+    """
+    held = F.broadcast(visible.select("anomaly_id", F.col("window_end").alias("_held")))
+    back = F.col("_held").isNotNull() & (F.col("window_end").isNull() | (F.col("window_end") < F.col("_held")))
+    error = F.raise_error(F.concat(F.lit("window end goes back: "), F.col("anomaly_id"))).cast("bigint")
+    checked = incoming.join(held, "anomaly_id", "left").withColumn("window_end", F.when(back, error).otherwise(F.col("window_end"))).select(incoming.columns)
+    return merge_anomalies(visible, checked).limit(limit)
+
+
 def latest_rollups(rollups: DataFrame) -> DataFrame:
     """The rollup with the largest window end of each region; of equal ends the first by start."""
     rest = [c for c in rollups.columns if c != "region"]

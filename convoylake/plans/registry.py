@@ -12,7 +12,7 @@ from convoylake.operators import clock, coerce, merkle, projections, replay, ret
 from convoylake.sources import log as stored_log
 from convoylake.sources.fleet import EPOCH_MS, FLEET_SQL, PARTITIONS, REGIONS, fleet_events, fleet_rows, per_region, reader_projection
 from convoylake.sources.stored import new_folder
-from convoylake.streaming import exact, folds, progress
+from convoylake.streaming import exact, feeds, folds, progress
 
 NOW = EPOCH_MS + 21_600_000
 SINCE = EPOCH_MS + 10_800_000
@@ -294,6 +294,24 @@ _add(
 )
 _add("anomalous_vehicles", lambda m: views.anomalous_vehicles(m.anomalies, NOW), f"SELECT DISTINCT vehicle_id FROM anomalies WHERE window_end BETWEEN {NOW} - 300000 AND {NOW}", ANOMALY_SQL)
 _add("visible_anomalies", lambda m: views.visible_anomalies(m.anomalies, "anomaly_id"), f"SELECT {ANOMALY_COLUMNS} FROM anomalies ORDER BY window_end DESC, anomaly_id LIMIT 200", ANOMALY_SQL)
+_add(
+    "visible_merged", lambda m: views.merge_visible(views.visible_anomalies(m.anomalies.where(f"window_start <= {NOW}"), F.desc("anomaly_id")), m.anomalies.where(f"window_start > {SINCE}").withColumn("value", F.col("value") * 2)),
+    f"""SELECT anomaly_id, vehicle_id, region, kind, CASE WHEN window_start > {SINCE} THEN value * 2 ELSE value END AS value, detector_version, window_start, window_end
+    FROM anomalies ORDER BY window_end DESC, anomaly_id DESC LIMIT 200""", ANOMALY_SQL,
+)
+
+
+def _subscriptions(m: Model) -> DataFrame:
+    """A subscription for each nation, to one of the four regions or to all."""
+    key = F.col("n_nationkey") % 5
+    return m.spark.read.parquet(f"{m.sf_dir}/nation.parquet").select(F.col("n_name").alias("subscription"), F.when(key < 4, per_region(*(r[0] for r in REGIONS), key=key)).alias("region"))
+
+
+_add(
+    "anomaly_feeds", lambda m: feeds.fan_out(m.anomalies, _subscriptions(m)).select("subscription", "anomaly_id", "vehicle_id", "region", "value", "window_end"),
+    """SELECT n_name AS subscription, anomaly_id, vehicle_id, a.region, value, window_end FROM anomalies a
+    JOIN nation n ON n_nationkey % 5 = 4 OR a.region = CASE n_nationkey % 5 WHEN 0 THEN 'SEA' WHEN 1 THEN 'SFO' WHEN 2 THEN 'NYC' ELSE 'AUS' END""", ANOMALY_SQL,
+)
 _add("latest_rollup", lambda m: _rounded(views.latest_rollups(m.rollups), "avg_speed_kph"), f"SELECT {ROLLUP_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY window_end DESC) AS k FROM rollups) WHERE k = 1", ROLLUP_SQL)
 _add(
     "dashboard_rollups", lambda m: _rounded(views.dashboard_rollups(m.rollups, [r[0] for r in REGIONS], NOW), "avg_speed_kph"),

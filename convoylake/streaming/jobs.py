@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoylake.functions.scalars import anomaly_id
@@ -37,6 +37,11 @@ def unframed(records: DataFrame) -> DataFrame:
     return records.withColumns({"schema_id": F.when(framed, schema_id), "body": F.when(framed, F.expr("substring(value, 6)"))})
 
 
+def frame(body: Column, schema_id: int) -> Column:
+    """A body behind the registry's frame: what ``unframed`` takes off."""
+    return F.concat(F.unhex(F.lit(f"00{schema_id:08X}")), body)
+
+
 def avro_schema(name: str, ddl: str, nullable: tuple[str, ...] = (), enums: dict[str, tuple[str, ...]] | None = None) -> str:
     """An Avro record schema of a Spark schema's columns; nullable ones are a union with null, null by default."""
     kinds = {"string": "string", "double": "double", "bigint": "long", "int": "int"}
@@ -48,18 +53,18 @@ def avro_schema(name: str, ddl: str, nullable: tuple[str, ...] = (), enums: dict
     return json.dumps({"type": "record", "name": name, "fields": fields})
 
 
-def decoded(records: DataFrame, writers: dict[int, str], topic_columns: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
-    """Vehicle events of raw records by the writer schema that each names (id -> Avro schema), with ``part`` and ``off``; needs the package ``spark-avro``. Values of unknown schemas fail, null values (tombstones) are left out."""
+def decoded(records: DataFrame, writers: dict[int, str], topic_columns: tuple[str, ...] = ("partition", "offset"), columns: str = EVENT_V2) -> DataFrame:
+    """Rows (vehicle events, or those of other ``columns``) of raw records by the writer schema that each names (id -> Avro schema), with ``part`` and ``off``; needs the package ``spark-avro``. Values of unknown schemas fail, null values (tombstones) are left out."""
     from pyspark.sql.avro.functions import from_avro
 
     rows = unframed(records.where("value is not null"))
-    names = [f.split()[0] for f in EVENT_V2.split(", ")]
+    kinds = dict(f.split() for f in columns.split(", "))
     event = F.raise_error(F.concat(F.lit("no writer schema "), F.coalesce(F.col("schema_id").cast("string"), F.lit("in frame"))))
-    event = event.cast(f"struct<{', '.join(f'{n}:{k}' for n, k in (f.split() for f in EVENT_V2.split(', ')))}>")
+    event = event.cast(f"struct<{', '.join(f'{n}:{k}' for n, k in kinds.items())}>")
     for number, schema in writers.items():
         v = from_avro("body", schema, {"mode": "FAILFAST"})
         has = {f["name"] for f in json.loads(schema)["fields"]}
-        one = F.struct(*[(v[n] if n in has else F.lit(None).cast("double")).alias(n) for n in names])
+        one = F.struct(*[(v[n] if n in has else F.lit(None).cast(kind)).alias(n) for n, kind in kinds.items()])
         event = F.when(F.col("schema_id") == number, one).otherwise(event)
     part, off = topic_columns
     return rows.select(event.alias("e"), F.col(part).alias("part"), F.col(off).alias("off")).select("e.*", "part", "off")
@@ -70,9 +75,18 @@ def keyed(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def topic_sink(stream: DataFrame, key: str, topic: str, servers: str, checkpoint: str):
-    """A running query that sends a job's rows to a topic, keyed (anomalies by vehicle, rollups by region), at least once; needs the Kafka package."""
-    return keyed(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+def framed(rows: DataFrame, key: str, schema_id: int, schema: str) -> DataFrame:
+    """Records for a topic sink: the key column's text and the row as Avro behind the registry's frame, as ``decoded`` reads it; needs the package ``spark-avro``."""
+    from pyspark.sql.avro.functions import to_avro
+
+    fields = [f["name"] for f in json.loads(schema)["fields"]]
+    return rows.select(F.col(key).cast("string").alias("key"), frame(to_avro(F.struct(*fields), schema), schema_id).alias("value"))
+
+
+def topic_sink(stream: DataFrame, key: str, topic: str, servers: str, checkpoint: str, writer: tuple[int, str] | None = None):
+    """A running query that sends a job's rows to a topic, keyed (anomalies by vehicle, rollups by region), at least once; needs the Kafka package. ``writer``: the id and Avro schema of framed values, JSON without it."""
+    records = framed(stream, key, *writer) if writer else keyed(stream, key)
+    return records.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def folder_sink(stream: DataFrame, path: str, checkpoint: str):
