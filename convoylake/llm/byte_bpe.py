@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import struct
 from functools import cached_property
 
 import numpy as np
@@ -28,8 +29,10 @@ WIDER, LONGEST = 8, 4_000_000
 #: Pre-tokens at the end of a chunk that what follows it can change: the last one can go on, and a
 #: contraction cut after its apostrophe shows as two; one more is left out for safety.
 UNSURE = 3
-#: Pre-tokens whose ids a worker keeps (about 200 bytes each), and the characters of the longest that it keeps.
-CACHE, CACHED_LENGTH = 60_000, 32
+#: Pre-tokens whose ids a worker keeps in either of two generations (about 200 bytes each), and the characters of the longest that it keeps.
+CACHE, CACHED_LENGTH = 200_000, 32
+#: Bytes of a pre-token up to which a list of its pairs' ranks is faster than a heap of them.
+LISTED = 96
 #: Bytes of text or ids that a worker takes from a batch at a time.
 PART_BYTES = 1_000_000
 _LOADED: dict[tuple[str, str], Encoder] = {}
@@ -40,6 +43,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
+    if n <= LISTED:
+        return _merge_listed(piece, ranks)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(r, k, k + 2) for k in range(n - 1) if (r := ranks.get(piece[k : k + 2])) is not None]
     heapq.heapify(heap)
@@ -59,6 +64,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[k : ends[k]]] for k in range(n) if alive[k]]
 
 
+def _merge_listed(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get, none = ranks.get, 1 << 62
+    starts = list(range(len(piece) + 1))
+    pairs = [get(piece[k : k + 2], none) for k in range(len(piece) - 1)]
+    while pairs and (lowest := min(pairs)) != none:
+        k = pairs.index(lowest)
+        del starts[k + 1], pairs[k]
+        if k < len(pairs):
+            pairs[k] = get(piece[starts[k] : starts[k + 2]], none)
+        if k:
+            pairs[k - 1] = get(piece[starts[k - 1] : starts[k + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:])]
+
+
 def merge_pairs(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Tokens of one pre-token cut into its smallest parts, by ranks of pairs: the lowest rank, leftmost first, until none is left."""
     n = len(parts)
@@ -82,17 +101,21 @@ def merge_pairs(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str
 
 
 class Encoder(dict):
-    """Pre-token to little-endian ids, filled as pre-tokens come."""
+    """Pre-token to little-endian ids, filled as pre-tokens come. A full generation becomes the older one; what is met again moves on to the new one."""
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        if (ids := self.older.get(piece)) is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

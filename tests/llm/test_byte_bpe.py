@@ -59,3 +59,21 @@ def test_what_follows_changes_few_pre_tokens():
         for cut in range(len(text)):
             assert {x.end() for x in pattern.finditer(text[:cut])} - whole <= {cut, cut - 1}
             assert set([x.end() for x in pattern.finditer(text[:cut])][: -m.UNSURE]) <= whole
+
+
+def test_short_and_long_pre_tokens_merge_alike(monkeypatch):
+    rng, ranks = random.Random(3), m.encoder(PATH, P.PATTERN).ranks
+    for _ in range(400):
+        piece = bytes(rng.choice(b"aab the\xc3\xa9") for _ in range(rng.randrange(1, 150)))
+        monkeypatch.setattr(m, "LISTED", 0)
+        by_heap = m.merge(piece, ranks)
+        monkeypatch.setattr(m, "LISTED", 1000)
+        assert m.merge(piece, ranks) == by_heap
+
+
+def test_ids_do_not_change_when_the_cache_turns_over(monkeypatch):
+    texts = [f"word{k % 37} other{k % 11} {k}" for k in range(200)]
+    want = [m.Encoder(PATH, P.PATTERN).encode(t) for t in texts]
+    monkeypatch.setattr(m, "CACHE", 5)
+    small = m.Encoder(PATH, P.PATTERN)
+    assert [small.encode(t) for t in texts] == want and len(small) <= 5 and len(small.older) <= 5
