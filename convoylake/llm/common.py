@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a worker turns into Python objects at a time.
 SLICE_BYTES = 4_000_000
 
+#: Setting by which the shuffle files of a query go when it ends, rather than when the driver's garbage collection gets to them.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes to bytes: A-Z to a-z, 0-9 a-z and bytes of non-ASCII characters kept, every other byte to a space.
 ALNUM = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -31,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
+
+    Nothing needs the shuffles behind it any more; their files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/convoylake/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

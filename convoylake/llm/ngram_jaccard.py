@@ -209,13 +209,17 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     every = store(docs.mapInArrow(describe, "row bigint, n bigint, node bigint, sure int, pool array<bigint>, key binary"))
     classes = store(every.where("node is not null and row is not null").groupBy("node").agg(F.min("row").alias("rep")))
-    pools = every.where("pool is not null").select("node", "n", "sure", "pool").dropDuplicates(["node"])
-    twice = pools.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    slim = store(every.select("row", "n", "node", "key"))
+    pools = store(every.where("pool is not null").select("node", "n", "sure", "pool").dropDuplicates(["node"]))
+    forget(every)
+    twice = store(pools.select(F.explode("pool").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     # what a partner of any size would have in its pool too comes first
     sure = pools.select("node", F.explode(F.slice("pool", F.lit(1), F.col("sure"))).alias("token"))
     met = sure.join(twice, "token").groupBy("node").agg(F.count("*").alias("met"))
     few = pools.select("node", (F.col("sure") - F.expr(f"n - ceil({percent} * n / 100)")).alias("least"))
     chosen = store(few.join(met, "node", "left").where(F.coalesce("met", F.lit(0)) >= F.col("least")).select("node"))
+    for done in (pools, twice):
+        forget(done)
     wanted = store(classes.join(chosen, "node").select("rep"))
     texts = _texts_again(docs, wanted, width)
     sets = store(texts.join(chosen, "node", "left_semi").dropDuplicates(["node"]))
@@ -226,9 +230,9 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         least = labels.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least"))
         roots = labels.join(least, "component").select("node", "least", "component")
         told = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("least", "rep").alias("root"), F.coalesce("component", "node").alias("component"))
-    told, slim = store(told), store(every.select("row", "n", "node", "key"))
-    for done in (every, classes, chosen, wanted, sets, *([found] if found is not None else [])):
-        forget(done)  # the result needs neither pools nor sets any more
+    told = store(told)
+    for done in (classes, chosen, wanted, sets, *([found] if found is not None else [])):
+        forget(done)  # the result needs no sets any more
     out = slim.join(told, "node", "left")
     known = F.col("row").isNotNull()
     more = [F.col("key").alias("text_key"), F.when(known, F.col("component")).alias("component")] if keyed else []
@@ -269,7 +273,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between nodes of (node, tokens, sketch, odd) that join all nodes of a component; None without any."""
     sized = sets.withColumn("n", F.size("tokens"))
     tokens = sets.select("node", F.explode("tokens").alias("token"))
-    counted = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", (F.col("df") <= RARE).alias("rare"))
+    counted = store(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", (F.col("df") <= RARE).alias("rare")))
     shared = tokens.join(counted, "token").groupBy("node").agg(F.collect_list("token").alias("token"), F.collect_list("rare").alias("rare"))
     shared = shared.join(sized.select("node", "n"), "node").select("node", "n", "token", "rare")
 
@@ -312,7 +316,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     signed = store(shared.mapInArrow(sign, "sig bigint, node bigint, n int, own int, after boolean").withColumn("comp", F.col("node")))
     found: DataFrame | None = None
     open_sigs = store(still_open(signed))
-    forget(signed)
+    for done in (signed, counted):
+        forget(done)
     odds = sets.select("node", "odd")
     leaders_each = 1
     while not open_sigs.isEmpty():
@@ -321,7 +326,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
         heads = heads.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders_each)
         leaders = store(heads.select("sig", "l", F.col("comp").alias("c")).join(odds.select(F.col("node").alias("led"), F.col("odd").alias("parity")), F.expr("led = l.node")).drop("led"))
         pairs = open_sigs.join(odds, "node").join(leaders, "sig").where(fits).select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
-        links = store(verify(pairs))
+        left = store(pairs)
+        links = store(verify(left))
+        forget(left)
         rest = open_sigs.join(leaders.select("sig", "l.node"), ["sig", "node"], "left_anti")
         if not links.isEmpty():
             more = links if found is None else store(found.unionAll(links))
