@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -50,6 +50,8 @@ RARE = 8
 COMBINED = 2
 #: Components of a signature that get a leader grow by this factor from round to round.
 MORE_LEADERS = 16
+#: Passes in which sets are told which of their tokens are shared, each for a part of the sets, so that a part of the tokens is shuffled at a time.
+PASSES = 2
 #: Bits of the bitmap that chooses texts to read again (a fixed 8 MB).
 BITMAP = 1 << 26
 #: Bytes of a sketch.
@@ -274,8 +276,6 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     sized = sets.withColumn("n", F.size("tokens"))
     tokens = sets.select("node", F.explode("tokens").alias("token"))
     counted = store(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token", (F.col("df") <= RARE).alias("rare")))
-    shared = tokens.join(counted, "token").groupBy("node").agg(F.collect_list("token").alias("token"), F.collect_list("rare").alias("rare"))
-    shared = shared.join(sized.select("node", "n"), "node").select("node", "n", "token", "rare")
 
     def sign(batches):
         def rows():
@@ -288,6 +288,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
 
         return rows_out(pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("after", pa.bool_())]), 20_000)(rows())
 
+    def signed_part(k: int) -> DataFrame:
+        part = F.pmod("node", F.lit(PASSES)) == k
+        shared = tokens.where(part).join(counted, "token").groupBy("node").agg(F.collect_list("token").alias("token"), F.collect_list("rare").alias("rare"))
+        shared = shared.join(sized.where(part).select("node", "n"), "node").select("node", "n", "token", "rare")
+        return store(shared.mapInArrow(sign, "sig bigint, node bigint, n int, own int, after boolean").withColumn("comp", F.col("node")))
+
     def still_open(rows: DataFrame) -> DataFrame:
         """The rows of signatures that have nodes of several components, one of this band among them."""
         apart = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("after").alias("after")).where("low <> high and not after").select("sig")
@@ -313,10 +319,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
         f"comp <> c and not (after and l.after) and 100 * least(l.n, n) >= {percent} * greatest(l.n, n)"
         f" and {100 + percent} * greatest(l.own + own + abs((l.n - l.own) - (n - own)), {differ}) <= {100 - percent} * (l.n + n)"
     )
-    signed = store(shared.mapInArrow(sign, "sig bigint, node bigint, n int, own int, after boolean").withColumn("comp", F.col("node")))
+    signed = [signed_part(k) for k in range(PASSES)]
     found: DataFrame | None = None
-    open_sigs = store(still_open(signed))
-    for done in (signed, counted):
+    open_sigs = store(still_open(reduce(DataFrame.unionAll, signed)))
+    for done in (*signed, counted):
         forget(done)
     odds = sets.select("node", "odd")
     leaders_each = 1
