@@ -19,9 +19,9 @@ quarter of a set): a set with more own tokens in the pool than it may lack is ou
 read again and indexed, chosen by a bitmap of a fixed size.
 
 Equal sets are one node. Among the nodes of a signature one leader (the one with fewest own tokens) is compared
-with all others; links are contracted to components, and the leader is settled there. Further rounds draw the
-leaders of more and more of the components, the smallest first, until no signature has nodes of several
-components. A large group of near copies so costs about its size, and no link between different texts is
+with all others; links are contracted to components, and the leader is settled there. Further rounds draw
+more and more leaders, first one of each component, the smallest first, then their second ones and so on, until no
+signature has nodes of several components: the number of rounds is the logarithm of a signature's nodes. A large group of near copies so costs about its size, and no link between different texts is
 lost to the components. A pair is compared only if sizes, own tokens and parities allow for a link: of each
 set the parity of its tokens in 512 parts of the hash range is kept, and two sets differ in as many tokens as
 parities at least. What is left is compared by 128 one-byte minima of the hashes (a pair that links fails there
@@ -48,7 +48,7 @@ from convoylake.llm.common import column_bytes, components, forget, mix, rows_ou
 RARE = 8
 #: Frequent tokens that make one signature.
 COMBINED = 2
-#: Components of a signature that get a leader grow by this factor from round to round.
+#: Leaders of a signature grow by this factor from round to round.
 MORE_LEADERS = 16
 #: Passes in which sets are told which of their tokens are shared, each for a part of the sets, so that a part of the tokens is shuffled at a time.
 PASSES = 2
@@ -327,10 +327,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     odds = sets.select("node", "odd")
     leaders_each = 1
     while not open_sigs.isEmpty():
-        heads = open_sigs.groupBy("sig", "comp").agg(F.count("*").alias("size"), F.min(F.struct("after", "own", "node", "n")).alias("l"))
-        order = Window.partitionBy("sig").orderBy("size", "l.after", "l.own", "l.node")
+        sizes = open_sigs.groupBy("sig", "comp").agg(F.count("*").alias("size"))
+        inside = Window.partitionBy("sig", "comp").orderBy("after", "own", "node")
+        heads = open_sigs.withColumn("turn", F.row_number().over(inside)).where(F.col("turn") <= leaders_each).join(sizes, ["sig", "comp"])
+        order = Window.partitionBy("sig").orderBy("turn", "size", "after", "own", "node")
         heads = heads.withColumn("at", F.row_number().over(order)).where(F.col("at") <= leaders_each)
-        leaders = store(heads.select("sig", "l", F.col("comp").alias("c")).join(odds.select(F.col("node").alias("led"), F.col("odd").alias("parity")), F.expr("led = l.node")).drop("led"))
+        leaders = store(heads.select("sig", F.struct("after", "own", "node", "n").alias("l"), F.col("comp").alias("c")).join(odds.select(F.col("node").alias("led"), F.col("odd").alias("parity")), F.expr("led = l.node")).drop("led"))
         pairs = open_sigs.join(odds, "node").join(leaders, "sig").where(fits).select(F.least("l.node", "node").alias("a"), F.greatest("l.node", "node").alias("b")).distinct()
         left = store(pairs)
         links = store(verify(left))

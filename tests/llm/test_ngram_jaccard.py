@@ -2,6 +2,7 @@ import random
 
 from brute import jaccard_components
 
+from convoylake.llm import ngram_jaccard
 from convoylake.llm.ngram_jaccard import op2_ngram_jaccard, similarity_components
 
 SMALL = "/root/testdata/sf0.01"
@@ -31,6 +32,23 @@ def test_dense_near_copies(spark, monkeypatch):
     assert as_dict(similarity_components(df)) == jaccard_components(docs)
 
 
+def test_two_large_groups_apart(spark, monkeypatch):
+    """Many nodes of two components that never link share signatures: rounds grow with the logarithm of the nodes."""
+    rounds = []
+    real = ngram_jaccard.store
+    monkeypatch.setattr(ngram_jaccard, "store", lambda df: rounds.append(1) or real(df) if "parity" in df.columns else real(df))
+    shared, docs = [f"w{k}" for k in range(155)], []
+    for group in "ab":
+        for k in range(40):
+            tail = [f"{group}{j}" for j in range(45)]
+            tail[k] = "x"
+            docs.append((len(docs), " ".join(shared + tail)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = as_dict(similarity_components(df))
+    assert got == jaccard_components(docs) and {c for _, c in got.values()} == {0, 40}
+    assert len(rounds) <= 4
+
+
 def test_edges(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, " \t\n", "c"), (4, "One two", None), (5, "one TWO", "x"), (6, "one two three", "x"), (6, "one two three", "x"), (None, "one two three", "x"), (7, "É a b", "x"), (8, "é a b", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string").repartition(3)
