@@ -123,6 +123,20 @@ def test_views(spark):
     assert views.visible_anomalies(a.union(a), "anomaly_id", 3).count() == 3
 
 
+def test_one_id_in_two_partitions(spark):
+    """Vehicles of two partitions under one name have anomalies under one id; none is lost."""
+    rows = [(speed, BASE + at * S, "v1", region, "ACTIVE", part) for part, region in ((0, "SEA"), (1, "NYC")) for speed, at in ((150.0 + part, 10), (0.0, 600))]
+    e = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "speed_kph double, occurred_at long, vehicle_id string, region string, status string, part int, seq long")
+    a = windows.speed_anomalies(e, keep=("part",))
+    changed = a.where("part = 1").withColumn("value", F.lit(1.0))
+    want = {("SEA", 150.0, 5), ("NYC", 1.0, 5)}
+    assert a.select("anomaly_id").distinct().count() == 5 and windows.speed_anomalies(e).columns == [c for c in a.columns if c != "part"]
+    for merged in (views.merge_anomalies(a, changed, ("anomaly_id", "part")), views.merge_visible(a, changed, keys=("anomaly_id", "part"))):
+        assert {tuple(r) for r in merged.groupBy("region", "value").count().collect()} == want and merged.columns == a.columns
+    newest = views.merge_visible(a, changed, 3, ("anomaly_id", "part")).collect()
+    assert [r["part"] for r in newest] == [1, 0, 1] and len({r["anomaly_id"] for r in newest}) == 2
+
+
 def test_scalars(spark):
     row = spark.range(1).select(
         fn.battery_label(F.lit(None).cast("double")), fn.battery_label(F.lit(61.5)), fn.anomaly_value_label(F.lit(150.0)), fn.anomaly_value_label(F.lit(121.5)), fn.anomaly_value_label(F.lit(float("nan"))), fn.avg_speed_label(F.lit(55.0)),
