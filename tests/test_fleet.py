@@ -123,6 +123,23 @@ def test_views(spark):
     assert views.visible_anomalies(a.union(a), "anomaly_id", 3).count() == 3
 
 
+def _backwards(spark):
+    """Windowed events, the last to arrive first, and the mean of their speeds as added in order of arrival."""
+    rng = random.Random(5)
+    speeds = [round(rng.random() * 90, 2) for _ in range(128)]
+    rows = [("SEA", BASE, BASE + M, f"v{k % 7}", "ACTIVE", v, k) for k, v in enumerate(speeds)]
+    total = 0.0
+    for v in speeds:  # not sum(), which compensates
+        total += v
+    return spark.createDataFrame(rows[::-1], "region string, window_start long, window_end long, vehicle_id string, status string, speed_kph double, seq long").coalesce(1), total / len(speeds)
+
+
+def test_speeds_are_added_in_order_of_arrival(spark):
+    rows, mean = _backwards(spark)
+    for dealt in (rows, rows.repartition(5)):
+        assert [tuple(r) for r in windows.rollup_windows(dealt).collect()] == [("SEA", BASE, BASE + M, 128, 7, mean)]
+
+
 def test_one_id_in_two_partitions(spark):
     """Vehicles of two partitions under one name have anomalies under one id; none is lost."""
     rows = [(speed, BASE + at * S, "v1", region, "ACTIVE", part) for part, region in ((0, "SEA"), (1, "NYC")) for speed, at in ((150.0 + part, 10), (0.0, 600))]
