@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convoylake.functions import scalars as fn
-from convoylake.operators import clock, projections, replay, serving, views, windows
+from convoylake.operators import clock, merkle, projections, replay, serving, views, windows
 from convoylake.sources.fleet import fully_compatible
 
 BASE = 60_000_000
@@ -140,6 +140,12 @@ def test_speeds_are_added_in_order_of_arrival(spark):
         assert [tuple(r) for r in windows.rollup_windows(dealt).collect()] == [("SEA", BASE, BASE + M, 128, 7, mean)]
 
 
+def test_tree_of_rollups_is_the_same_however_events_are_dealt(spark):
+    rows, _ = _backwards(spark)
+    roots = {merkle.root(merkle.tree(windows.rollup_windows(dealt), [F.col("region")], [F.hex(F.encode(F.col("avg_speed_kph").cast("string"), "UTF-8"))], 1)).first()["root"] for dealt in (rows, rows.repartition(5), rows.orderBy("seq").coalesce(1))}
+    assert len(roots) == 1
+
+
 def test_one_id_in_two_partitions(spark):
     """Vehicles of two partitions under one name have anomalies under one id; none is lost."""
     rows = [(speed, BASE + at * S, "v1", region, "ACTIVE", part) for part, region in ((0, "SEA"), (1, "NYC")) for speed, at in ((150.0 + part, 10), (0.0, 600))]
