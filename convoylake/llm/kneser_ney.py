@@ -5,13 +5,13 @@ documents without pruning. Its counts are summed in
 shards of the code range and joined back to the documents' own words and pairs, block by block
 (``word_blocks``), so what is gathered grows with the input and no table of the model is ever in one place:
 
-1. Blocks send their distinct pairs with trusted counts; a shard answers each block with the sum over all
-   blocks and the number of blocks that have the pair in trusted text.
-2. From those a block knows its part of each word's statistics - what a pair adds to its context and to its
-   word, each shared between the blocks that have the pair - and sends it to the words' shards, which answer
-   with the sums: of a context its tokens and the pairs seen once, twice and more often, of a word the
-   number of different words before it.
-3. A block scores its documents. Discounts and totals come as one row a block.
+1. Trusted documents are chosen by a bitmap of ids and dealt to blocks, which send their distinct pairs with
+   counts; a shard keeps the sums and answers for each pair one of the blocks that have it.
+2. That block gives what the pair adds to its context and to its word to the words' shards, which keep the sums:
+   of a context its tokens and the pairs seen once, twice and more often, of a word the number of different words
+   before it. The different words of all documents are counted in one scan.
+3. All documents are scored in up to eight passes: blocks ask the shards for their own pairs and words. What a pass
+   shuffles (its texts, codes and answers) goes before the next, so beside the model an eighth of it is on disk at a time.
 
 A trusted document's own counts are left out when it is scored, so trusted documents are judged as any
 other, and all of them enter the model and the thresholds. A document is of low quality when its
@@ -21,13 +21,15 @@ language with few of them leans on the one of all languages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoylake.llm.common import store, table
-from convoylake.llm.word_blocks import Blocks, Tokens, from_planes, packed_codes, planes, slices_of, unpacked_codes, words_and_marks
+from convoylake.llm.common import forget, mix, store, table
+from convoylake.llm.word_blocks import Blocks, Tokens, from_planes, marked_hashes, numbered, packed_codes, planes, slices_of, unpacked_codes
 
 #: Share of the trusted documents of a language that may be called low.
 QUANTILE = 0.995
@@ -35,7 +37,13 @@ QUANTILE = 0.995
 LEAN = 200
 #: Bytes of text in a block, about: scoring holds some twenty numbers a token.
 BLOCK_BYTES = 4_000_000
+#: Parts of the documents that are scored one after the other, at most: so much less is on disk at a time beside the model.
+PASSES = 8
 _WORD_STATISTICS = ("tokens", "once", "twice", "often", "before")
+_STATISTICS = ", ".join(f"{c} binary" for c in _WORD_STATISTICS)
+_OF_WORDS = ("types", "mass", "c1", "c2", "c3", "c4")
+#: What a row tells: a shard's pairs or words, a block's counts of pairs, a trusted document's name.
+PAIRS, COUNTED, WORDS, NAMES = 0, 1, 2, 3
 
 
 def discounts(of: list[float]) -> np.ndarray:
@@ -52,100 +60,146 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     block; null ids are not trusted.
     """
     blocks = Blocks(docs, id_col, text_col, block_bytes)
-    n, named = blocks.n, blocks.named(trusted)
-
-    def ask(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    pairs, words, of_pairs, of_words = _model(blocks, trusted, block_bytes)
+    model = pairs.unionByName(words, allowMissingColumns=True)
+    size, shards = _vocabulary(blocks), of_pairs["shards"]
+    d, dc = discounts([of_pairs[f"n{k}"] for k in range(1, 5)]), discounts([of_words[f"c{k}"] for k in range(1, 5)])
+    mass = max(of_words["mass"], 1)
+    given = dc[1] * of_words["c1"] + dc[2] * of_words["c2"] + dc[3] * (of_words["types"] - of_words["c1"] - of_words["c2"])
+    rest = given / mass if of_words["mass"] else 1.0
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        x = Tokens(rows["body"].tolist(), marked_hashes)
+        out = [(s, int(rows["block"].iat[0]), kind, packed_codes(of[i:j])) for kind, of in ((PAIRS, x.pairs), (WORDS, x.vocab)) for s, i, j in slices_of(of, shards)]
+        return pd.DataFrame(out, columns=["shard", "block", "kind", "codes"])
+
+    def answer(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(rows):
-            x = Tokens(rows["body"].tolist(), words_and_marks)
-            kept = rows["row"].isin(set(names["row"])).to_numpy(bool)[x.doc]
-            t = np.bincount(x.pair[kept], minlength=len(x.pairs)).astype(np.uint32)
-            out = [(s, int(rows["block"].iat[0]), packed_codes(x.pairs[i:j]), planes(t[i:j])) for s, i, j in slices_of(x.pairs, n)]
-        return pd.DataFrame(out, columns=["shard", "block", "codes", "t"])
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        codes, own = [unpacked_codes(c) for c in rows["codes"]], [from_planes(t, np.uint32) for t in rows["t"]]
-        at, distinct = pd.factorize(np.concatenate(codes))
-        t = np.concatenate(own)
-        sums = np.bincount(at, weights=t, minlength=len(distinct)).astype(np.uint64)
-        holders = np.bincount(at[t > 0], minlength=len(distinct)).astype(np.uint32)
-        ends, shard = np.cumsum([0, *map(len, codes)]), rows["shard"].iat[0]
-        out = [(block, shard, 1, planes(sums[at[i:j]]), planes(holders[at[i:j]]), planes(t[i:j]), 0, 0, 0, 0) for block, i, j in zip(rows["block"], ends, ends[1:])]
-        out.append((-1, shard, 0, None, None, None, *((sums == k).sum() for k in range(1, 5))))
-        return pd.DataFrame(out, columns=["block", "shard", "kind", "sums", "holders", "own", "n1", "n2", "n3", "n4"])
-
-    def pair_counts(told: pd.DataFrame) -> list[np.ndarray]:
-        told = told[told["kind"] == 1].sort_values("shard")
-        return [np.concatenate([np.zeros(0, k), *(from_planes(v, k) for v in told[c])]) for c, k in (("sums", np.uint64), ("holders", np.uint32), ("own", np.uint32))]
-
-    def share(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            x = Tokens(rows["body"].tolist(), words_and_marks)
-            sums, holders, own = pair_counts(told)
-            context, word = np.zeros(len(x.pairs), np.int64), np.zeros(len(x.pairs), np.int64)
-            context[x.pair], word[x.pair] = x.before, x.word
-            part = np.where(own > 0, 1 / np.maximum(holders, 1), 0.0)
-            of = [np.bincount(context, weights=own, minlength=len(x.vocab))]
-            of += [np.bincount(context, weights=part * c, minlength=len(x.vocab)) for c in (sums == 1, sums == 2, sums > 2)]
-            of.append(np.bincount(word, weights=part, minlength=len(x.vocab)))
-            out = [(s, int(rows["block"].iat[0]), packed_codes(x.vocab[i:j]), *(planes(v[i:j]) for v in of)) for s, i, j in slices_of(x.vocab, n)]
-        return pd.DataFrame(out, columns=["shard", "block", "codes", *_WORD_STATISTICS])
-
-    def total(rows: pd.DataFrame) -> pd.DataFrame:
-        codes = [unpacked_codes(c) for c in rows["codes"]]
-        at, distinct = pd.factorize(np.concatenate(codes))
-        # whole numbers, up to the rounding of the shares
-        of = [np.rint(np.bincount(at, weights=np.concatenate([from_planes(v, np.float64) for v in rows[c]]), minlength=len(distinct))).astype(np.uint64) for c in _WORD_STATISTICS]
-        ends, shard = np.cumsum([0, *map(len, codes)]), rows["shard"].iat[0]
-        out = [(block, shard, 2, *(planes(v[at[i:j]]) for v in of), 0, 0, 0, 0, 0, 0, 0) for block, i, j in zip(rows["block"], ends, ends[1:])]
-        before = of[-1]
-        out.append((-1, shard, 0, *[None] * 5, (distinct > 0).sum(), (before > 0).sum(), before.sum(), *((before == k).sum() for k in range(1, 5))))
-        return pd.DataFrame(out, columns=["block", "shard", "kind", *_WORD_STATISTICS, "size", "types", "mass", "c1", "c2", "c3", "c4"])
+        for kind, names in ((PAIRS, ("sums",)), (WORDS, _WORD_STATISTICS)):
+            of, mine = asked[asked["kind"] == kind], known[known["kind"] == kind]
+            if not len(of):
+                continue
+            codes = [unpacked_codes(c) for c in of["codes"]]
+            wanted, ends = np.concatenate(codes), np.cumsum([0, *map(len, codes)])
+            values = [np.zeros(len(wanted), np.uint64) for _ in names]
+            if len(mine):
+                there = unpacked_codes(mine["codes"].iat[0])
+                at = np.minimum(np.searchsorted(there, wanted), len(there) - 1)
+                values = [np.where(there[at] == wanted, from_planes(mine[c].iat[0])[at], np.uint64(0)) for c in names]
+            out += [{"block": block, "shard": of["shard"].iat[0], "kind": kind} | {c: planes(v[i:j]) for c, v in zip(names, values, strict=True)} for block, i, j in zip(of["block"], ends, ends[1:])]
+        return pd.DataFrame(out, columns=["block", "shard", "kind", "sums", *_WORD_STATISTICS])
 
     def score(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame([], columns=["row", "n_words", "perplexity"])
-        x = Tokens(rows["body"].tolist(), words_and_marks)
-        kept = rows["row"].isin(set(told["name"][told["kind"] == 3])).to_numpy(bool)
-        pairs, words = (told[told["kind"] == k].iloc[0] for k in (4, 5))
-        d, dc = discounts([pairs[f"n{k}"] for k in range(1, 5)]), discounts([words[f"c{k}"] for k in range(1, 5)])
-        sums = pair_counts(told)[0].astype(np.int64)
-        told = told[told["kind"] == 2].sort_values("shard")
-        tokens, once, twice, often, before = (np.concatenate([np.zeros(0, np.uint64), *map(from_planes, told[c])]).astype(np.float64) for c in _WORD_STATISTICS)
+        x = Tokens(rows["body"].tolist(), marked_hashes)
+        kept = rows["row"].isin(set(told["name"][told["kind"] == NAMES])).to_numpy(bool)
+        told = told.sort_values("shard")
+        sums = np.concatenate([np.zeros(0, np.uint64), *map(from_planes, told["sums"][told["kind"] == PAIRS])]).astype(np.int64)
+        tokens, once, twice, often, before = (np.concatenate([np.zeros(0, np.uint64), *map(from_planes, told[c][told["kind"] == WORDS])]).astype(np.float64) for c in _WORD_STATISTICS)
         # each token's pair without what its document gives to the model, and what the document gives to context and word
-        own = x.own(x.pair) * kept[x.doc]
+        every = x.own(x.pair)
+        own = every * kept[x.doc]
         c = sums[x.pair] - own
-        each = 1 / x.own(x.pair)  # so that a document's distinct pairs count once
+        each = 1 / every  # so that a document's distinct pairs count once
         lost = d[1] * once + d[2] * twice + d[3] * often
         lost_now = lost[x.before] + _by(x, x.before, (d[np.minimum(c, 3)] - d[np.minimum(c + own, 3)]) * each)
         tokens_now = tokens[x.before] - x.own(x.before) * kept[x.doc]
         before_now = before[x.word] - _by(x, x.word, ((own > 0) & (c == 0)) * each)
-        mass = max(words["mass"], 1)
-        given = dc[1] * words["c1"] + dc[2] * words["c2"] + dc[3] * (words["types"] - words["c1"] - words["c2"])
-        rest = given / mass if words["mass"] else 1.0
         whole = np.rint(before_now)
-        single = np.maximum(whole - dc[np.clip(whole, 0, 3).astype(np.int64)], 0) / mass + rest / (words["size"] + 1)
+        single = np.maximum(whole - dc[np.clip(whole, 0, 3).astype(np.int64)], 0) / mass + rest / (size + 1)
         seen = tokens_now > 0
         full = np.maximum(tokens_now, 1)
         prob = np.where(seen, np.maximum(c - d[np.minimum(c, 3)], 0) / full + np.maximum(lost_now, 0) / full * single, single)
         return pd.DataFrame({"row": rows["row"], "n_words": x.length, "perplexity": np.where(x.length > 0, np.exp(x.sums(-np.log(prob)) / np.maximum(x.length, 1)), np.nan)})
 
-    asked = blocks.dealt.groupBy("block").cogroup(named.groupBy("block")).applyInPandas(ask, "shard long, block long, codes binary, t binary")
-    counted = asked.groupBy("shard").applyInPandas(count, "block long, shard long, kind int, sums binary, holders binary, own binary, n1 long, n2 long, n3 long, n4 long")
-    to_blocks = counted.where("block >= 0")
-    statistics = ", ".join(f"{c} binary" for c in _WORD_STATISTICS)
-    shared = blocks.dealt.groupBy("block").cogroup(to_blocks.groupBy("block")).applyInPandas(share, f"shard long, block long, codes binary, {statistics}")
-    summed = shared.groupBy("shard").applyInPandas(total, f"block long, shard long, kind int, {statistics}, size long, types long, mass long, c1 long, c2 long, c3 long, c4 long")
-    told = to_blocks.unionByName(summed.where("block >= 0"), allowMissingColumns=True)
-    for kind, rows, columns in ((4, counted, ("n1", "n2", "n3", "n4")), (5, summed, ("size", "types", "mass", "c1", "c2", "c3", "c4"))):
-        one = rows.where("block < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in columns])
-        told = told.unionByName(blocks.everywhere(one).withColumn("kind", F.lit(kind)), allowMissingColumns=True)
-    told = told.unionByName(named.select("block", F.lit(3).alias("kind"), F.col("row").alias("name")), allowMissingColumns=True)
-    out = blocks.dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(score, "row string, n_words long, perplexity double")
+    out, passes = None, max(1, min(PASSES, blocks.n // 12))
+    for k in range(passes):
+        mine = F.col("block") % passes == k
+        dealt, named = blocks.dealt.where(mine).groupBy("block"), blocks.named(trusted).where(mine)
+        asked = dealt.applyInPandas(ask, "shard long, block long, kind int, codes binary")
+        answered = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(answer, f"block long, shard long, kind int, sums binary, {_STATISTICS}")
+        told = answered.unionByName(named.select("block", F.lit(NAMES).alias("kind"), F.col("row").alias("name")), allowMissingColumns=True)
+        scored = store(dealt.cogroup(told.groupBy("block")).applyInPandas(score, "row string, n_words long, perplexity double"))
+        out = scored if out is None else out.unionByName(scored)
+    forget(pairs)
+    forget(words)
     return out.select(F.col("row").cast("bigint").alias(id_col), "n_words", F.nanvl("perplexity", F.lit(None)).alias("perplexity"))
 
 
+def _vocabulary(blocks: Blocks) -> int:
+    """The number of different words of all documents."""
+    shards = blocks.n // 8 + 1
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = np.unique(mix(marked_hashes(rows["body"].tolist())[1] + np.uint64(1)))
+            yield pd.DataFrame([(s, packed_codes(x[i:j])) for s, i, j in slices_of(x, shards)], columns=["shard", "codes"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(np.unique(np.concatenate([unpacked_codes(c) for c in rows["codes"]])))]})
+
+    given = blocks.docs.select("body").mapInPandas(give, "shard long, codes binary")
+    found = store(given.groupBy("shard").applyInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    n = found.first()["n"]
+    forget(found)
+    return n
+
+
+def _model(blocks: Blocks, trusted: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
+    """The model in shards of the code range: sorted pairs with their counts, sorted words with their statistics; and the sums of both over all shards."""
+    docs = Blocks(blocks.few(trusted).withColumnRenamed("row", blocks.id_col), blocks.id_col, "body", block_bytes)
+    n, named = docs.n, docs.named(trusted)
+
+    def ask(rows: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows[rows["row"].isin(set(names["row"]))], []
+        if len(rows):
+            x = Tokens(rows["body"].tolist(), marked_hashes)
+            t = np.bincount(x.pair, minlength=len(x.pairs)).astype(np.uint32)
+            out = [(s, int(rows["block"].iat[0]), packed_codes(x.pairs[i:j]), planes(t[i:j])) for s, i, j in slices_of(x.pairs, n)]
+        return pd.DataFrame(out, columns=["shard", "block", "codes", "t"])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        codes = [unpacked_codes(c) for c in rows["codes"]]
+        at, distinct = numbered(np.concatenate(codes))
+        sums = np.bincount(at, weights=np.concatenate([from_planes(t, np.uint32) for t in rows["t"]]), minlength=len(distinct)).astype(np.uint64)
+        # one of the blocks with a pair answers for it
+        counted = np.where(pd.Series(at).duplicated(), 0, np.minimum(sums, 3)[at]).astype(np.uint8)
+        ends, shard = np.cumsum([0, *map(len, codes)]), rows["shard"].iat[0]
+        out = [(block, shard, COUNTED, planes(counted[i:j]), None, None, 0, 0, 0, 0) for block, i, j in zip(rows["block"], ends, ends[1:])]
+        out.append((-1, shard, PAIRS, None, packed_codes(distinct), planes(sums), *((sums == k).sum() for k in range(1, 5))))
+        return pd.DataFrame(out, columns=["block", "shard", "kind", "counted", "codes", "sums", "n1", "n2", "n3", "n4"])
+
+    def share(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows, out = rows[rows["row"].isin(set(told["name"][told["kind"] == NAMES]))], []
+        if len(rows):
+            x = Tokens(rows["body"].tolist(), marked_hashes)
+            c = np.concatenate([np.zeros(0, np.uint8), *(from_planes(v, np.uint8) for v in told[told["kind"] == COUNTED].sort_values("shard")["counted"])])
+            context, word = np.zeros(len(x.pairs), np.int64), np.zeros(len(x.pairs), np.int64)
+            context[x.pair], word[x.pair] = x.before, x.word
+            of = [np.bincount(x.before, minlength=len(x.vocab)), *(np.bincount(context[c == k], minlength=len(x.vocab)) for k in (1, 2, 3)), np.bincount(word[c > 0], minlength=len(x.vocab))]
+            out = [(s, packed_codes(x.vocab[i:j]), *(planes(v[i:j].astype(np.uint32)) for v in of)) for s, i, j in slices_of(x.vocab, n)]
+        return pd.DataFrame(out, columns=["shard", "codes", *_WORD_STATISTICS])
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        at, distinct = numbered(np.concatenate([unpacked_codes(c) for c in rows["codes"]]))
+        of = [np.bincount(at, weights=np.concatenate([from_planes(v, np.uint32) for v in rows[c]]), minlength=len(distinct)).astype(np.uint64) for c in _WORD_STATISTICS]
+        before = of[-1]
+        one = (rows["shard"].iat[0], WORDS, packed_codes(distinct), *map(planes, of), (before > 0).sum(), before.sum(), *((before == k).sum() for k in range(1, 5)))
+        return pd.DataFrame([one], columns=["shard", "kind", "codes", *_WORD_STATISTICS, *_OF_WORDS])
+
+    dealt = docs.dealt.groupBy("block")
+    asked = dealt.cogroup(named.groupBy("block")).applyInPandas(ask, "shard long, block long, codes binary, t binary")
+    counted = store(asked.groupBy("shard").applyInPandas(count, "block long, shard long, kind int, counted binary, codes binary, sums binary, n1 long, n2 long, n3 long, n4 long"))
+    told = counted.where(F.col("kind") == COUNTED).select("block", "shard", "kind", "counted")
+    told = told.unionByName(named.select("block", F.lit(NAMES).alias("kind"), F.col("row").alias("name")), allowMissingColumns=True)
+    shared = dealt.cogroup(told.groupBy("block")).applyInPandas(share, f"shard long, codes binary, {_STATISTICS}")
+    words = store(shared.groupBy("shard").applyInPandas(total, f"shard long, kind int, codes binary, {_STATISTICS}, {', '.join(f'{c} long' for c in _OF_WORDS)}"))
+    pairs = counted.where(F.col("kind") == PAIRS)
+    of_pairs, of_words = (t.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names]).first().asDict() for t, names in ((pairs, ("n1", "n2", "n3", "n4")), (words, _OF_WORDS)))
+    return pairs.select("shard", "kind", "codes", "sums"), words.drop(*_OF_WORDS), of_pairs | {"shards": n}, of_words
+
+
 def _by(x: Tokens, numbers: np.ndarray, values: np.ndarray) -> np.ndarray:
     """For each token the sum of the values over the tokens of its document with the same number."""
     if not len(numbers):

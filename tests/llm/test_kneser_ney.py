@@ -1,11 +1,15 @@
 import math
+import random
 import re
+import tempfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from convoylake.llm import kneser_ney as m
+from convoylake.llm.word_blocks import marked_hashes
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -90,6 +94,46 @@ def test_good_documents_stand_out(spark):
     assert np.mean([r["low"] for r in good]) < 0.1 and np.mean([r["low"] for r in bad]) >= 0.8
 
 
+def test_hashes_of_words_and_marks():
+    random.seed(3)
+    texts = [None, b"", b" ", b"a", *(bytes(random.choice(b"aab \n\t\x0b\x0c\r\x00\x1c\x85\xe9.,!Z9") for _ in range(random.randint(0, 60))) for _ in range(20_000)), b"x" * 700_000, b"the sea"]
+    lengths, found = marked_hashes(texts)
+    tokens = [re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", t or b"") for t in texts]
+    assert lengths.tolist() == [len(t) for t in tokens]
+    pairs = set(zip([t for ts in tokens for t in ts], found.tolist(), strict=True))
+    assert len(pairs) == len({t for t, _ in pairs}) == len({h for _, h in pairs})
+
+
+def shuffled(spark):
+    """Bytes of shuffle files on disk."""
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return sum(p.stat().st_size for f in folders for p in Path(f).rglob("shuffle_*.data"))
+
+
+def test_a_part_of_the_texts_is_on_disk_at_a_time(spark, monkeypatch):
+    """Shuffle files of a step go before the next one, and no step shuffles all texts (here of random letters, which do not compress)."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(500)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    path = f"{tempfile.mkdtemp()}/documents"
+    df.write.parquet(path)
+    df = spark.read.parquet(path)
+    held = []
+
+    def store(table):
+        # as common.store, but looks at the shuffle files before they go
+        folder = f"{tempfile.mkdtemp()}/t"
+        before = shuffled(spark)
+        table.write.parquet(folder)
+        held.append(shuffled(spark) - before)
+        return spark.read.schema(table.schema).parquet(folder)
+
+    monkeypatch.setattr(m, "store", store)
+    monkeypatch.setattr(m, "forget", lambda table: None, raising=False)
+    assert m.classify(df, df.where("doc_id % 3 = 0"), block_bytes=20_000).count() == 500
+    assert held and max(held) < 0.7 * sum(map(len, texts)), held
+
+
 def test_many_blocks_equal_one(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     few, many = ({r["doc_id"]: r["perplexity"] for r in m.perplexities(df, df.where("doc_id % 2 = 0"), block_bytes=b).collect()} for b in (10**9, 20_000))
