@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convoylake.functions import scalars as fn
 from convoylake.operators import clock, merkle, projections, replay, serving, views, windows
+from convoylake.plans import registry
 from convoylake.sources.fleet import fully_compatible
 
 BASE = 60_000_000
@@ -203,3 +204,12 @@ def test_watermark_files_and_resuming(spark, tmp_path):
     assert replay.read_watermark(spark, str(tmp_path / "mark")) == mark
     assert mark["topics"]["vehicle-events"] == {"0": 9, "1": -1, "2": 7, "3": -1, "4": -1, "5": -1}
     assert json.loads(replay.starting_offsets(projections.offsets_current(log), "vehicle-events")) == {"vehicle-events": {"0": 10, "1": -2, "2": 8, "3": -2, "4": -2, "5": -2}}
+
+
+def test_digests_round_as_the_sql(spark):
+    """A mean just below a half in the seventh decimal, whose product with a million is a half: the SQL rounds it up."""
+    duckdb = pytest.importorskip("duckdb")
+    values = [43.754062499999996, 40.785312499999996, 47.260312499999976, 47.0078125, 0.0, -43.754062499999996, 12.3456784, 1e9 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    want = [duckdb.execute("SELECT CAST(floor(round(x, 6) * 1000000 + 0.5) AS BIGINT), round(x, 6) FROM (SELECT ?::DOUBLE AS x)", [v]).fetchone() for v in values]
+    assert [tuple(r) for r in registry._rounded(df.withColumn("m", registry._micro("x")), "x").select("m", "x").collect()] == want
