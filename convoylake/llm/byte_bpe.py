@@ -142,15 +142,19 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """Token ids of each text: the id column, ``ids`` (little-endian unsigned 32-bit, as binary) and ``n_tokens``.
 
+    ``decoded`` adds what ``decode`` adds, in the same pass over the texts: a task then has one Python worker rather than two,
+    which matters where workers stay for later stages with what they hold.
     ``path`` is a vocabulary file on every machine. Null texts count as empty and have no tokens.
     Repeated rows and null ids are kept, other columns ignored, empty input gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     long = F.length("body") > chunk
-    plain = pa.schema([("row", pa.int64()), ("ids", pa.binary())])
+    more = ["decoded"] if decoded else []
+    plain = pa.schema([("row", pa.int64()), ("ids", pa.binary()), *[(c, pa.binary()) for c in more]])
+    plain_ddl = "row bigint, ids binary" + ", decoded binary" * decoded
 
     def whole(batches):
         enc = encoder(path, pattern)
@@ -158,7 +162,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         def rows():
             for batch in slices(batches, "body", PART_BYTES):
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield row, enc.encode(text)
+                    ids = enc.encode(text)
+                    yield (row, ids, enc.decode(ids)) if decoded else (row, ids)
 
         return rows_out(plain, 200)(rows())
 
@@ -199,7 +204,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return rows_out(pa.schema([("uid", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())]), 200)(rows())
 
-    short = docs.where(~long).mapInArrow(whole, "row bigint, ids binary")
+    short = docs.where(~long).mapInArrow(whole, plain_ddl)
     pieces = docs.where(long).select(F.monotonically_increasing_id().alias("uid"), "row", "body").mapInArrow(split, "uid bigint, row bigint, k int, piece string, last boolean")
     pieces = store(pieces)
     seams = pieces.select("uid", "k", "piece", "last").repartition("uid", "k").mapInArrow(borders, "uid bigint, k int, head array<bigint>, tail array<bigint>, last boolean")
@@ -211,16 +216,16 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     joined = parts.select("uid", "row", "k", "piece", "start", "stop").mapInArrow(finish, "uid bigint, row bigint, k int, ids binary")
     joined = joined.groupBy("uid", "row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = joined.select("row", F.aggregate(F.col("parts.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
-    out = short.unionByName(joined)
+    out = short.unionByName(decode(joined, path, pattern) if decoded else joined)
     if not seams.where("start is null").isEmpty():
         unsynced = pieces.join(apart.where("apart").select("uid"), "uid", "left_semi").groupBy("uid", "row").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("parts"))
         unsynced = unsynced.select("row", F.array_join(F.transform("parts.piece", lambda x: F.substring(x, 1, chunk)), "").alias("body"))
         if WIDER * chunk <= LONGEST:  # wider overlaps first; a run of one kind of characters as long as those is one pre-token
-            again = encode(unsynced, path, pattern, "row", "body", WIDER * chunk, WIDER * overlap).select("row", "ids")
+            again = encode(unsynced, path, pattern, "row", "body", WIDER * chunk, WIDER * overlap, decoded).select("row", "ids", *more)
         else:
-            again = unsynced.mapInArrow(whole, "row bigint, ids binary")
+            again = unsynced.mapInArrow(whole, plain_ddl)
         out = out.unionByName(again)
-    return out.select(F.col("row").alias(id_col), "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"))
+    return out.select(F.col("row").alias(id_col), "ids", F.expr("octet_length(ids) div 4").alias("n_tokens"), *more)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

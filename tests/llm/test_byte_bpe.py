@@ -45,6 +45,17 @@ def test_small_chunks_are_stitched(spark):
     assert m.encode(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_decoding_in_the_same_pass(spark):
+    rng = random.Random(6)
+    rows = [(k, odd(rng)) for k in range(100)] + [(200, None), (201, ""), (None, "x " * 300), (203, "a" * 5000), (204, "a" * 5000), (204, "a" * 5000), (205, " " * 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for chunk, overlap in ((64, 24), (m.LONGEST, 24)):
+        one = m.encode(df, PATH, P.PATTERN, chunk=chunk, overlap=overlap, decoded=True)
+        two = m.decode(m.encode(df, PATH, P.PATTERN, chunk=chunk, overlap=overlap), PATH, P.PATTERN)
+        assert one.dtypes == two.dtypes
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
 def test_each_pattern_has_its_encoder():
     assert m.encoder(PATH, P.PATTERN).encode("ab cd") != m.encoder(PATH, r"[a-z]|\s").encode("ab cd")
     assert m.encoder(PATH, P.PATTERN).encode("ab cd") == np.array(library().encode_ordinary("ab cd"), "<u4").tobytes()

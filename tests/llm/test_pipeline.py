@@ -73,3 +73,22 @@ def test_texts_of_one_id_are_judged_by_themselves(spark):
     near = [(3, " ".join(f"w{k}" for k in range(60))), (3, " ".join(f"w{k}" for k in range(59)))]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in near], "doc_id long, text string, lang string, source string, n_chars long")
     assert p.near_duplicates(spark, df, SMALL).count() == 1
+
+
+def workers(node, here=0):
+    """Python workers that a task of the plan has at once, at most."""
+    name = node.nodeName()
+    here = 0 if "Exchange" in name else here + (name == "MapInArrow")
+    below = node.children()
+    return max([here, *(workers(below.apply(k), here) for k in range(below.size()))])
+
+
+def test_a_task_has_one_python_worker(spark):
+    """Workers stay for the stages after, with all that they hold: a second one to a task costs its memory for the rest of the run."""
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, stage in p.STAGES:
+            assert workers(stage(spark, df, SMALL)._jdf.queryExecution().executedPlan()) <= 1, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
